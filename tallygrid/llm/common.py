@@ -98,7 +98,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed:
     """64-bit hashes, eight bytes a step."""
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eights = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
-    h = mixed(lengths.astype(np.uint64) + np.uint64(seed) * _STEP + _STEP)
+    h = mixed(lengths.astype(np.uint64) + np.uint64((seed + 1) * int(_STEP) % 2**64))
     todo, at = np.arange(len(starts)), 0
     while len(todo):
         left = lengths[todo] - at
@@ -112,7 +112,7 @@ def window_hashes(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = np.full(n, np.uint64(size) * _STEP)
+    total = np.full(n, size, np.uint64) * _STEP
     for k in range(size):
         total = total * _M1 + h[k : k + n]
     crossing = np.zeros(len(h) + 1, bool)

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op2_decontaminate
+from .packing import op1_pack
 from .sharding import op8_byte_shards
 from .url_filter import op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_pack,
+        op2_decontaminate,
         op5_url_filter,
         op8_byte_shards,
     )
