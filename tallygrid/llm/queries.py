@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op2_decontaminate
+from .line_rules import op4_line_frequency
 from .packing import op1_pack
+from .quality import op10_quality
 from .sharding import op8_byte_shards
 from .url_filter import op5_url_filter
 
@@ -16,8 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pack,
         op2_decontaminate,
+        op4_line_frequency,
         op5_url_filter,
         op8_byte_shards,
+        op10_quality,
     )
 }
 
