@@ -12,6 +12,7 @@ from .packing import op1_pack
 from .quality import op10_quality
 from .sharding import op8_byte_shards
 from .url_filter import op5_url_filter
+from .substring_dedup import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontaminate,
         op4_line_frequency,
         op5_url_filter,
+        op7_substring_dedup,
         op8_byte_shards,
         op10_quality,
     )
