@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op2_decontaminate
 from .line_rules import op4_line_frequency
 from .packing import op1_pack
+from .ppm import op9_ppm
 from .quality import op10_quality
 from .sharding import op8_byte_shards
 from .url_filter import op5_url_filter
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_url_filter,
         op7_substring_dedup,
         op8_byte_shards,
+        op9_ppm,
         op10_quality,
     )
 }
