@@ -11,6 +11,7 @@ from .line_rules import op4_line_frequency
 from .packing import op1_pack
 from .ppm import op9_ppm
 from .quality import op10_quality
+from .secrets import op3_secrets
 from .sharding import op8_byte_shards
 from .url_filter import op5_url_filter
 from .substring_dedup import op7_substring_dedup
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pack,
         op2_decontaminate,
+        op3_secrets,
         op4_line_frequency,
         op5_url_filter,
         op7_substring_dedup,
