@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op2_decontaminate
+from .jaccard_join import op6_ngram_jaccard
 from .line_rules import op4_line_frequency
 from .packing import op1_pack
 from .ppm import op9_ppm
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_secrets,
         op4_line_frequency,
         op5_url_filter,
+        op6_ngram_jaccard,
         op7_substring_dedup,
         op8_byte_shards,
         op9_ppm,
