@@ -24,6 +24,11 @@ def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     return narrow.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
 
 
+def block_count(n_chunks: int) -> int:
+    """Blocks for so many chunks; the messages are chunks times blocks."""
+    return max(8, n_chunks // 4)
+
+
 def in_order(chunk: pa.Table) -> pa.RecordBatch:
     """The chunk's rows in an order that doesn't depend on how they came."""
     chunk = chunk.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()

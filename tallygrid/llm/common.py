@@ -46,9 +46,9 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def chunk_count(df: DataFrame, chunk_bytes: int = 2 << 20) -> int:
-    """Into how many chunks a corpus is dealt so that one holds about ``chunk_bytes`` of files, and each shuffle task several."""
+    """Into how many chunks a corpus is dealt so that one holds about ``chunk_bytes`` of files, and each shuffle task some."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(3 * tasks, estimated_bytes(df) // chunk_bytes)
+    return max(2 * tasks, estimated_bytes(df) // chunk_bytes)
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import bits, by_block, dealt, in_order, packed, unbits, unpacked
+from .chunks import bits, block_count, by_block, dealt, in_order, packed, unbits, unpacked
 from .common import flat, run_ends, slices, table, window_hashes, word_hashes, words
 
 WINDOW = 13
@@ -118,7 +118,7 @@ def _cell_blocks(chunk: _Chunk) -> list[tuple[int, int, int]]:
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by spaces)."""
     rows, n_chunks = dealt(docs)
-    n_blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_chunks // 4)
+    n_blocks = block_count(n_chunks)
     mask = np.uint64((1 << CELL_BITS) - 1)
     chunks = rows.groupBy("chunk")
 
