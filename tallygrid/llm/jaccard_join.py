@@ -39,6 +39,7 @@ separate documents; an empty table gives no rows; other columns are ignored by
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ _MOST = 0xFFFF
 _SENT = "block int, chunk int, n int, keys binary, counts binary"
 _ANSWER = "chunk int, block int, n int, counts binary"
 #: kind 0: prefix shingles of regions for a block; kind 1: a document.
-_FOUND = "kind int, block int, node long, doc_id long, size long, pivot long, distance double, active boolean, shingles binary, pivots binary"
+_FOUND = "kind int, block int, node long, doc_id long, crc long, bytes long, size long, pivot long, distance double, active boolean, shingles binary, pivots binary"
 _MET = "shingle long, pivot long, first long"
 
 
@@ -82,6 +83,8 @@ class _Chunk:
 
     def __init__(self, rows: pa.RecordBatch, size: int, n_blocks: int):
         self.ids = rows.column("doc_id").to_pylist()
+        texts = [x or b"" for x in rows.column("text").cast(pa.large_binary()).to_pylist()]
+        self.marks = [(zlib.crc32(x), len(x)) for x in texts]
         self.sets: list[np.ndarray] = []
         for part in slices(rows, "text"):
             self.sets += shingle_sets(*flat(part.column("text")), size)
@@ -158,14 +161,14 @@ def _regions(chunk: _Chunk, frequency: np.ndarray, number: int, percent: int, n_
             if near not in known:
                 known.append(near)
         entries.update((t, near) for t in prefix.tolist())
-    rows = [(1, None, first + k, chunk.ids[k], int(chunk.sizes[k]), first + home[k], float(distance[k]), len(prefixes[k]) > 0, chunk.sets[k].tobytes() if len(prefixes[k]) else None, None) for k in range(len(chunk.sets))]
+    rows = [(1, None, first + k, chunk.ids[k], *chunk.marks[k], int(chunk.sizes[k]), first + home[k], float(distance[k]), len(prefixes[k]) > 0, chunk.sets[k].tobytes() if len(prefixes[k]) else None, None) for k in range(len(chunk.sets))]
     if entries:
         pairs = np.array(sorted(entries), dtype=[("t", np.uint64), ("p", np.int64)])
         block = pairs["t"] % np.uint64(n_blocks)
         order = np.argsort(block, kind="stable")
         for b, s, e in by_block(block[order]):
             at = order[s:e]
-            rows.append((0, b, None, None, None, None, None, None, pairs["t"][at].tobytes(), (pairs["p"][at] + first).tobytes()))
+            rows.append((0, b, None, None, None, None, None, None, None, None, pairs["t"][at].tobytes(), (pairs["p"][at] + first).tobytes()))
     return _table(_FOUND, rows)
 
 
@@ -223,7 +226,7 @@ def links_and_documents(docs: DataFrame, size: int, percent: int) -> tuple[DataF
         return _regions(chunk, frequency, key[0].as_py(), percent, n_blocks)
 
     found = checkpointed(chunks.cogroup(_frequencies(chunks, size, n_blocks).groupBy("chunk")).applyInArrow(regions, _FOUND))
-    documents = found.filter("kind = 1").select("node", "doc_id", "size", "pivot", "distance")
+    documents = found.filter("kind = 1").select("node", "doc_id", "crc", "bytes", "size", "pivot", "distance")
     sets = found.filter("kind = 1 and active").select("node", "shingles")
 
     def met(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,19 +263,41 @@ def links_and_documents(docs: DataFrame, size: int, percent: int) -> tuple[DataF
     return inside.unionAll(star_links).unionAll(met_pairs.filter("linked").select("a", "b")).unionAll(border_links), documents
 
 
+def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The documents and their component (a node)."""
+    links, documents = links_and_documents(docs, size, percent)
+    return documents.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def similar_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id; two documents link if 100 * intersection >= percent * union."""
-    links, documents = links_and_documents(docs, size, percent)
-    placed = documents.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = _placed(docs, size, percent)
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "component").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents less all but the one with the least ``doc_id`` of each component."""
-    groups = similar_components(docs, size, percent)
-    extra = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti")
+    """One document of each component: the one with the least ``doc_id`` (null comes last).
+
+    Documents are told apart by id and text, so a row repeated as it is stays once, too.
+    Texts of no words are alike to none and all stay.
+    """
+    placed = checkpointed(_placed(docs, size, percent))
+    own = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "crc", "bytes")
+    kept = placed.groupBy("component").agg(F.min(own).alias("kept"))
+    extra = placed.join(kept, "component").filter(~own.eqNullSafe(F.col("kept"))).select("doc_id", "crc", "bytes").distinct()
+    repeated = placed.filter("size > 0").groupBy("doc_id", "crc", "bytes").count().filter("count > 1").drop("count")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({"_crc": F.crc32(F.encode(text, "UTF-8")), "_bytes": F.octet_length(text).cast("long")})
+
+    def same(keys: DataFrame):
+        return rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["_crc"] == keys["crc"]) & (rows["_bytes"] == keys["bytes"])
+
+    rows = rows.join(extra, same(extra), "left_anti")
+    if not repeated.isEmpty():
+        once = rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_crc", "_bytes"])
+        rows = rows.join(repeated, same(repeated), "left_anti").unionByName(once)
+    return rows.select(*docs.columns)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
