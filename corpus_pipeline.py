@@ -1,16 +1,58 @@
-"""The corpus pipeline: documents in, training sequences out."""
+"""The corpus pipeline: documents in, training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from tallygrid.llm import decontamination, jaccard_join, line_rules, packing, secrets
+from tallygrid.llm.common import checkpointed
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules go; lines that a host repeats too often are cut from the others."""
+    return line_rules.apply(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents alike to 0.8 on shingles of five words, the one with the least id stays."""
+    return jaccard_join.without_copies(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item to 0.8 go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return docs.join(decontamination.contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("secret scans", secret_spans),
+    ("packing", packed_sequences),
+]
 
+#: SQL can express neither the join's components nor the packing; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
