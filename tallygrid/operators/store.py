@@ -61,11 +61,11 @@ def ledger(responses: DataFrame, person: str, correct: Column, base: float, rate
 
 
 def activity_span(tables: list[DataFrame], person: str, start: str, end: str) -> DataFrame:
-    """Per person the time from the first start to the last end over all tables, in seconds."""
+    """Per person the time from the first start to the last end over all tables, in microseconds."""
     rows = tables[0].select(person, start, end)
     for t in tables[1:]:
         rows = rows.unionByName(t.select(person, start, end))
-    return rows.groupBy(person).agg((F.unix_micros(F.max(end)) - F.unix_micros(F.min(start))).alias("span_us"))
+    return rows.groupBy(person).agg((F.unix_micros(F.max(end).cast("timestamp")) - F.unix_micros(F.min(start).cast("timestamp"))).alias("span_us"))
 
 
 def page(rows: DataFrame, order: list[str], limit: int, offset: int, most: int = 5000) -> DataFrame:
