@@ -13,8 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def _sum(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0.0))
@@ -29,11 +27,11 @@ def js_shared(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence in bits; never below 0, NaN stays NaN."""
     both = p + q
     common = _sum((p * F.log2(2 * p / both) + q * F.log2(2 * q / both)) / 2)
-    return F.greatest(ZERO, common + (2 - _sum(both)) / 2)
+    return F.greatest(F.lit(0.0), common + (2 - _sum(both)) / 2)
 
 
 def hellinger_shared(p: Column, q: Column) -> Column:
-    return F.sqrt(F.greatest(ZERO, 1 - _sum(F.sqrt(p * q))))
+    return F.sqrt(F.greatest(F.lit(0.0), 1 - _sum(F.sqrt(p * q))))
 
 
 #: name -> aggregate over the shared classes' (p, q) of a pair.
@@ -74,7 +72,7 @@ def normalized_attraction(gain: Column, before: Column) -> Column:
 
 def directional_gain(before: Column, after: Column, least: float = 1e-12) -> Column:
     """(after - before) / max(0, 1 - before), null where the gap is not above ``least``."""
-    gap = F.greatest(ZERO, 1 - before)
+    gap = F.greatest(F.lit(0.0), 1 - before)
     return F.when(gap > least, F.try_divide(after - before, gap))
 
 
