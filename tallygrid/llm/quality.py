@@ -101,6 +101,7 @@ def _capital(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 def _equal_lines(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """Share of a text's lines that are equal to another of its lines."""
     cuts = np.union1d(np.flatnonzero(data == 10) + 1, offsets[:-1][np.diff(offsets) > 0])
+    cuts = cuts[cuts < len(data)]
     if not len(cuts):
         return np.zeros(n)
     starts, ends = cuts, np.append(cuts[1:], len(data))
