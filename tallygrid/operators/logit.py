@@ -7,6 +7,8 @@ by backtracking; an intercept, if any, isn't penalised.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -83,6 +85,23 @@ class Choice:
 
         return minimise(value, derivatives, np.zeros(self.width))
 
+    def robust_errors(self, beta: np.ndarray) -> np.ndarray:
+        """Standard errors from the items' own scores (each item a cluster); for fits without a penalty."""
+        scores = np.array([x.T @ (p - q) for x, q, p in zip(self.x, self.q, self.shares(beta), strict=True)])
+        curvature = sum((x.T * p) @ x - np.outer(x.T @ p, x.T @ p) for x, p in zip(self.x, self.shares(beta), strict=True))
+        bread = np.linalg.pinv(curvature)
+        return np.sqrt(np.maximum(0, np.diag(bread @ (scores.T @ scores) @ bread)))
+
+
+def normal_p(z: float) -> float:
+    """Two-sided p of a standard normal."""
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def unfinished(rows: DataFrame, done: DataFrame, task: str, fingerprint: str) -> DataFrame:
+    """Rows of the tasks that have no finished fit of this fingerprint: what a resumed run has left to do."""
+    return rows.join(done.filter(F.col("fingerprint") == fingerprint).select(task).distinct(), task, "left_anti")
+
 
 class Source:
     """Weighted logistic regression of which source an answer came from, with an intercept."""

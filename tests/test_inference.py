@@ -108,3 +108,17 @@ def test_choice_fits_find_the_signal(spark):
     assert got["f"].coefficient == pytest.approx(2, abs=0.05) and got["f"].low <= got["f"].coefficient <= got["f"].high
     assert got["flat"].coefficient == pytest.approx(0, abs=1e-6)
     assert got["f"].held_out_loss < got["f"].chance_loss
+
+
+def test_robust_errors_and_resume(spark):
+    rng = np.random.default_rng(3)
+    x = [rng.normal(size=(3, 1)) for _ in range(400)]
+    q = [np.eye(3)[rng.choice(3, p=np.exp(m[:, 0]) / np.exp(m[:, 0]).sum())] for m in x]
+    model = logit.Choice(x, q, penalty=0.0)
+    beta, _, _ = model.fit()
+    information = sum((m.T * p) @ m - np.outer(m.T @ p, m.T @ p) for m, p in zip(x, model.shares(beta)))
+    assert model.robust_errors(beta)[0] == pytest.approx(1 / np.sqrt(information[0, 0]), rel=0.2)
+    assert logit.normal_p(1.959964) == pytest.approx(0.05, abs=1e-6)
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "task string, v int")
+    done = spark.createDataFrame([("a", "f1"), ("b", "f0")], "task string, fingerprint string")
+    assert [r.task for r in logit.unfinished(rows, done, "task", "f1").collect()] == ["b"]
