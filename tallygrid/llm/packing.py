@@ -23,7 +23,9 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import sys
 import types
 import zlib
@@ -169,14 +171,113 @@ def _powers(sequence: list[Piece]) -> Iterator[list[Piece]]:
         yield out
 
 
+class Merger:
+    """The byte-pair merges of a vocabulary with word ends, for many words of letters at once.
+
+    A word is a row of ids; in each round every row's leftmost pair of least
+    rank is merged, until no row has a pair of the list.  The tokenizer does
+    the same word by word.
+    """
+
+    NEVER = np.int32(2**31 - 1)
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str):
+        # Bytes stand for themselves where they print, and for 256 and on, in order, where not.
+        printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printing]
+        sign = {b: chr(b) for b in printing} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.inner = np.array([vocabulary[sign[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocabulary[sign[b] + end] for b in range(256)], np.int32)
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in merges], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.merged = np.array([vocabulary[a + b] for a, b in merges], np.int32)
+
+    @classmethod
+    def of(cls, tokenizer: dict) -> Merger | None:
+        """None for a kind of model that this doesn't cover."""
+        model = tokenizer["model"]
+        if model.get("type") != "BPE" or not model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        return cls(model["vocab"], merges, model["end_of_word_suffix"])
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], self.NEVER)
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        data = [w.encode() for w in words]
+        order = sorted(range(len(data)), key=lambda k: len(data[k]))
+        out: list[bytes] = [b""] * len(data)
+        for at in range(0, len(order), 4096):
+            own = order[at : at + 4096]
+            for k, ids in zip(own, self._merge([data[k] for k in own]), strict=True):
+                out[k] = ids
+        return out
+
+    def _merge(self, data: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(x) for x in data])
+        width = int(sizes.max())
+        # One column more than needed, so that each pair has a right-hand side; -1 is no id.
+        ids = np.full((len(data), width + 1), -1, np.int32)
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        row = np.repeat(np.arange(len(data)), sizes)
+        ids[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = self.inner[flat]
+        ids[np.arange(len(data)), sizes - 1] = self.last[[x[-1] for x in data]]
+        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        todo, done, columns = np.arange(len(data)), np.full_like(ids, -1), np.arange(width + 1)
+        while len(todo):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(todo)), at]
+            ended = best == self.NEVER
+            done[todo[ended], : ids.shape[1]] = ids[ended]
+            todo, ids, ranks, at, best = (x[~ended] for x in (todo, ids, ranks, at, best))
+            if not len(todo):
+                break
+            n = np.arange(len(todo))
+            ids[n, at] = self.merged[best]
+            source = columns + (columns > at[:, None])
+            ids = np.where(source <= width, np.take_along_axis(ids, np.minimum(source, width), 1), -1)
+            ranks = np.where(source[:, :-1] < width, np.take_along_axis(ranks, np.minimum(source[:, :-1], width - 1), 1), self.NEVER)
+            ranks[n, at] = self._rank(ids[n, at], ids[n, at + 1])
+            left = np.maximum(at - 1, 0)
+            ranks[n, left] = np.where(at > 0, self._rank(ids[n, left], ids[n, left + 1]), ranks[n, left])
+        counts = (done >= 0).sum(1)
+        whole = done[done >= 0].astype("<u4").tobytes()
+        ends = np.cumsum(counts) * 4
+        return [whole[e - 4 * c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
+_TAILS = frozenset(".,")
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """A word with the same ids that more words share, and a mark that the tokenizer splits off: case and one mark after a letter, where plain to see."""
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return word, ""
+    if "<|" in word:  # may be a special token, whose case counts
+        return word, ""
+    if len(word) > 1 and word[-1] in _TAILS and word[-2].isalpha():
+        return word[:-1].lower(), word[-1]
+    return word.lower(), ""
+
+
 class WordIds:
     """Token ids of texts, with the ids of words kept: the tokenizer splits at white space, so a text's ids are its words' ids in a row."""
 
+    tried = False
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            self.merger = Merger.of(json.load(f))
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -186,15 +287,33 @@ class WordIds:
             kept[path] = cls(path)
         return kept[path]
 
+    def _learn(self, words: set[str]) -> None:
+        plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0100"] if self.merger else []
+        if plain:
+            if not self.tried:  # the merger has to agree with the tokenizer before it is trusted
+                self.tried = True
+                sample = plain[:300]
+                if self._encoded(sample) != self.merger.encode(sample):
+                    self.merger, plain = None, []
+            self.known.update(zip(plain, self.merger.encode(plain) if plain else [], strict=True))
+        some = list(words.difference(plain))
+        self.known.update(zip(some, self._encoded(some), strict=True))
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 10_000):
+            found = self.tokenizer.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False)
+            out += [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+        return out
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        new = {word: _parts(word) for word in set().union(*split).difference(self.known)}
+        self._learn({stem for stem, _ in new.values()}.difference(self.known).union(_TAILS.difference(self.known)))
+        for word, (stem, tail) in new.items():
+            self.known[word] = self.known[stem] + self.known[tail] if tail else self.known[stem]
         for words in split:
             yield b"".join(map(self.known.__getitem__, words))
 
