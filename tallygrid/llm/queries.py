@@ -33,4 +33,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NAMES = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+
+
+def _shingles(source: str, key: str, words: str, size: int) -> str:
+    return f"""SELECT DISTINCT {key}, array_to_string(ws[i:i + {size - 1}], ' ') AS s
+  FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {size - 2})) AS i FROM (SELECT {key}, {words} AS ws FROM {source}))"""
+
+
+#: SQL for the operators whose whole result it can state; the others are held against brute force in the tests.
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": f"""WITH d AS ({_shingles("documents", "doc_id", _NAMES, 5)}), b AS ({_shingles("benchmark", "item_id", _NAMES, 5)}),
+ n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
+ m AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY ALL)
+ SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment FROM m JOIN n USING (item_id) WHERE 10 * shared >= 8 * item_shingles""",
+    "op6_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("text", _LOWER, 1)} AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [1] ELSE range(1, len(ws) - 2) END) AS i FROM w)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+ met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+ link AS (SELECT a, b FROM met JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * x >= 85 * (p.n + q.n - x)),
+ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN reach r ON r.a = d.doc_id GROUP BY ALL""",
+    "op7_substring_dedup": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+ v AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+ f AS (SELECT k, min(doc_id) AS first FROM v GROUP BY k),
+ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM v JOIN f USING (k) WHERE first < doc_id),
+ g AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id),
+ x AS (SELECT w.doc_id, ws, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed, coalesce(gone, []) AS gone FROM w LEFT JOIN g ON w.doc_id = g.doc_id)
+ SELECT doc_id, n_words, n_removed, sha256(array_to_string(list_filter(ws, lambda t, j: NOT list_contains(gone, j)), ' ')) AS kept_sha256 FROM x""",
+}

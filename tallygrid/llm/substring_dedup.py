@@ -9,8 +9,8 @@ also starts in a document with a smaller ``doc_id`` goes.
    the blocks of the cell space as 16-bit steps and are merged there.  Cells
    can collide, so a merged count is never too low; no repeated window is lost.
    A block answers each chunk with one bit for each cell it sent.
-2. Each chunk sends only its windows in cells counted twice or more, with 96
-   further bits of hash and the smallest ``doc_id`` that has the window in the
+2. Each chunk sends only its windows in cells counted twice or more, by 96
+   bits of hash, with the smallest ``doc_id`` that has the window in the
    chunk.  Blocks group them exactly and answer with one bit: whether a smaller
    ``doc_id`` has it elsewhere.
 3. Each chunk removes the covered words.
