@@ -8,6 +8,7 @@ are 64-bit and computed with numpy over the buffer, never per Python object.
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Iterator
 
@@ -39,6 +40,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """At most n rows in an Arrow batch of what is run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size of the input files: no job.  Plans without statistics count as 1 GB."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -18,14 +18,18 @@ one global order, two linked documents share one of the first
    that shares a prefix shingle with them, or else become pivots.  A
    region's radius is its largest such distance.  Every prefix shingle of a
    region's documents goes to its block once for each region, not document.
-3. Blocks group by shingle: regions that share one may meet.  First each is
-   compared with one of its group (a star, so a group of copies costs its size,
-   not its square), and components are formed.
+3. Blocks group by shingle: regions that share one may meet, if the shingles
+   that come before it in both leave room.  Twice each is
+   compared with a single one that it met (stars, so a group of copies costs
+   its size, not its square), and components are formed.
 4. Then pairs of regions of *different* components that share a shingle are
-   compared by their pivots.  Beyond ``radius + radius + (1-t)`` they
-   cannot link; otherwise their boundary documents, those ``x``, ``y`` with
-   ``d(x,p) + d(y,q) >= d(p,q) - (1-t)``, are compared one by one.  Regions are
-   parts of a chunk, so their size is bounded.
+   compared by their pivots, unless both were compared with one centre and
+   their distances from it differ by more than ``radius + radius + (1-t)``,
+   or the parity bits of their sets show a larger distance (both in the join's
+   condition, so such pairs are never made).
+   Beyond that distance two regions cannot link; otherwise their boundary
+   documents, those ``x``, ``y`` with ``d(x,p) + d(y,q) >= d(p,q) - (1-t)``, are
+   compared one by one.  Regions are parts of a chunk, so their size is bounded.
 
 Every comparison is of whole sets of 64-bit shingle hashes.  Documents of no
 words link with nothing; those with fewer words than a shingle have their whole
@@ -44,11 +48,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import block_count, by_block, dealt, in_order, packed, unpacked
-from .common import checkpointed, flat, lowered, slices, table, window_hashes, word_hashes, words
+from .common import arrow_rows, checkpointed, flat, lowered, slices, table, window_hashes, word_hashes, words
 from .components import components
 
 CELL_BITS = 26
@@ -57,8 +61,8 @@ _MOST = 0xFFFF
 _SENT = "block int, chunk int, n int, keys binary, counts binary"
 _ANSWER = "chunk int, block int, n int, counts binary"
 #: kind 0: prefix shingles of regions for a block; kind 1: a document.
-_FOUND = "kind int, block int, node long, doc_id long, crc long, bytes long, size long, pivot long, distance double, active boolean, shingles binary, pivots binary"
-_MET = "shingle long, pivot long, first long"
+_FOUND = "kind int, block int, node long, doc_id long, crc long, bytes long, size long, pivot long, distance double, active boolean, shingles binary, pivots binary, places binary, sizes binary, bits array<bigint>"
+_MET = "shingle long, pivot long, first long, place long, most long"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -97,7 +101,7 @@ class _Chunk:
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
     fields = [c.split() for c in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
     return pa.Table.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
@@ -111,6 +115,28 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bits that say which of 4 to 8 cells a shingle are hit an odd number of times, as 64-bit words.
+
+    Two sets differ in at least as many shingles as their bits differ.
+    """
+    n = max(64, 1 << (4 * len(shingles)).bit_length())
+    odd = np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """Differing bits of two parities; the longer is folded once if it has twice the cells, else nothing is said (0)."""
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, F.size(x)), lambda p, q: p.bitwiseXOR(q))
+    count = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    return (
+        F.when(F.size(a) == F.size(b), count(a, b))
+        .when(F.size(a) == 2 * F.size(b), count(half(a), b))
+        .when(F.size(b) == 2 * F.size(a), count(a, half(b)))
+        .otherwise(0)
+    )
+
+
 def _frequencies(docs_by_chunk, size: int, n_blocks: int) -> DataFrame:
     """Answers to the chunks: documents counted in each of their cells."""
     mask = np.uint64((1 << CELL_BITS) - 1)
@@ -122,7 +148,7 @@ def _frequencies(docs_by_chunk, size: int, n_blocks: int) -> DataFrame:
     def merge(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
         sizes = sent.column("n").to_pylist()
         count = np.concatenate([np.frombuffer(x, "<u2") for x in sent.column("counts").to_pylist()]).astype(np.int64)
-        cells, inverse = np.unique(np.concatenate([unpacked(x) for x in sent.column("keys").to_pylist()]), return_inverse=True)
+        cells, inverse = np.unique(np.concatenate([unpacked(x).astype(np.uint32) for x in sent.column("keys").to_pylist()]), return_inverse=True)
         total = np.minimum(np.bincount(inverse, count, len(cells)), _MOST).astype("<u2")[inverse]
         at = np.concatenate(([0], np.cumsum(sizes)))
         return _table(_ANSWER, [(c, key[0].as_py(), n, total[a : a + n].tobytes()) for c, n, a in zip(sent.column("chunk").to_pylist(), sizes, at.tolist(), strict=False)])
@@ -135,16 +161,18 @@ def _regions(chunk: _Chunk, frequency: np.ndarray, number: int, percent: int, n_
     least = frequency[chunk.inverse]  # of each document's shingles, in the order of chunk.all
     ends = np.cumsum(chunk.sizes)
     prefixes: list[np.ndarray] = []
+    places: list[np.ndarray] = []
     for k, s in enumerate(chunk.sets):
         own = least[ends[k] - len(s) : ends[k]]
         keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
         order = np.lexsort((s, own))[:keep]
         prefixes.append(s[order[own[order] > 1]])
+        places.append(np.flatnonzero(own[order] > 1))  # how many shingles come before, those of no other document included
     first = number << 32
     home = list(range(len(chunk.sets)))
     distance = np.zeros(len(chunk.sets))
     pivots_with: dict[int, list[int]] = {}
-    entries: set[tuple[int, int]] = set()
+    entries: dict[tuple[int, int], int] = {}
     shared = _in_several(prefixes)
     for k, prefix in enumerate(prefixes):
         local = prefix[np.isin(prefix, shared)].tolist() if len(shared) else []
@@ -160,15 +188,18 @@ def _regions(chunk: _Chunk, frequency: np.ndarray, number: int, percent: int, n_
             known = pivots_with.setdefault(t, [])
             if near not in known:
                 known.append(near)
-        entries.update((t, near) for t in prefix.tolist())
-    rows = [(1, None, first + k, chunk.ids[k], *chunk.marks[k], int(chunk.sizes[k]), first + home[k], float(distance[k]), len(prefixes[k]) > 0, chunk.sets[k].tobytes() if len(prefixes[k]) else None, None) for k in range(len(chunk.sets))]
+        for t, at in zip(prefix.tolist(), places[k].tolist(), strict=True):
+            entries[t, near] = min(at, entries.get((t, near), at))
+    rows = [(1, None, first + k, chunk.ids[k], *chunk.marks[k], int(chunk.sizes[k]), first + home[k], float(distance[k]), len(prefixes[k]) > 0, chunk.sets[k].tobytes() if len(prefixes[k]) else None, None, None, None, parity(chunk.sets[k]) if len(prefixes[k]) else None) for k in range(len(chunk.sets))]
     if entries:
-        pairs = np.array(sorted(entries), dtype=[("t", np.uint64), ("p", np.int64)])
+        pairs = np.array([(t, p, at) for (t, p), at in sorted(entries.items())], dtype=[("t", np.uint64), ("p", np.int64), ("at", np.int64)])
+        most = np.zeros(len(home), np.int64)
+        np.maximum.at(most, home, chunk.sizes)
         block = pairs["t"] % np.uint64(n_blocks)
         order = np.argsort(block, kind="stable")
         for b, s, e in by_block(block[order]):
             at = order[s:e]
-            rows.append((0, b, None, None, None, None, None, None, None, None, pairs["t"][at].tobytes(), (pairs["p"][at] + first).tobytes()))
+            rows.append((0, b, None, None, None, None, None, None, None, None, pairs["t"][at].tobytes(), (pairs["p"][at] + first).tobytes(), pairs["at"][at].tobytes(), most[pairs["p"][at]].tobytes(), None))
     return _table(_FOUND, rows)
 
 
@@ -178,20 +209,33 @@ def _in_several(prefixes: list[np.ndarray]) -> np.ndarray:
     return np.unique(every[1:][every[1:] == every[:-1]])
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one block: the regions of each shingle that several have, and the first of them."""
-    shingles, pivots = [], []
+def _met(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """Of one block: the regions of each shingle that several have, and the first of them.
+
+    If a shingle is the first, in the common order, that two documents share, none of those
+    before it in either is shared; so they differ in as many, which may be no more than
+    ``share`` of their sizes.  Regions for which no other can meet that are left out.
+    """
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in ("shingles", "pivots", "places", "sizes")}
     for batch in batches:
-        shingles += [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
-        pivots += [np.frombuffer(x, np.int64) for x in batch.column("pivots").to_pylist()]
-    t, p = np.concatenate(shingles), np.concatenate(pivots)
+        for c, found in parts.items():
+            found += [np.frombuffer(x, np.uint64 if c == "shingles" else np.int64) for x in batch.column(c).to_pylist()]
+    t, p, place, most = (np.concatenate(found) for found in parts.values())
+    order = np.lexsort((p, place, t))
+    t, p, place, most = (x[order] for x in (t, p, place, most))
+    start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(t))))
+    second = np.append(place, 1 << 40)[start + 1]  # only of use where the run has a second
+    other = np.where(np.arange(len(t)) == start[run], second[run], place[start][run])
+    keep = (np.bincount(run)[run] > 1) & (place + other <= share * (most + np.maximum.reduceat(most, start)[run]) + 1e-9)
+    t, p, place, most = (x[keep] for x in (t, p, place, most))
     order = np.lexsort((p, t))
-    t, p = t[order], p[order]
-    new = np.concatenate(([True], t[1:] != t[:-1]))
+    t, p, place, most = (x[order] for x in (t, p, place, most))
+    new = np.concatenate(([True], t[1:] != t[:-1])) if len(t) else np.zeros(0, bool)
     run = np.cumsum(new) - 1
-    head, size = p[new][run], np.bincount(run)[run]
-    several = size > 1
-    yield pa.RecordBatch.from_arrays([pa.array(t[several].view(np.int64)), pa.array(p[several]), pa.array(head[several])], ["shingle", "pivot", "first"])
+    several = np.bincount(run, minlength=1)[run] > 1 if len(t) else new
+    columns = [t.view(np.int64), p, p[new][run] if len(t) else p, place, most]
+    yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in columns], [c.split()[0] for c in _MET.split(", ")])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,38 +273,79 @@ def links_and_documents(docs: DataFrame, size: int, percent: int) -> tuple[DataF
     documents = found.filter("kind = 1").select("node", "doc_id", "crc", "bytes", "size", "pivot", "distance")
     sets = found.filter("kind = 1 and active").select("node", "shingles")
 
+    share = (100 - percent) / (100 + percent)
+
     def met(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _met(batches)
+        yield from _met(batches, share)
 
-    groups = checkpointed(found.filter("kind = 0").select("block", "shingles", "pivots").groupBy("block").applyInArrow(met, _MET))
+    groups = checkpointed(found.filter("kind = 0").select("block", "shingles", "pivots", "places", "sizes").groupBy("block").applyInArrow(met, _MET))
     inside = documents.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    linked = F.col("both") * 100 >= F.col("union") * percent
-    stars = groups.filter("pivot != first").select(F.col("first").alias("a"), F.col("pivot").alias("b")).distinct()
-    star_links = checkpointed(_compared(stars, sets).filter(linked).select("a", "b"))
-
-    # Regions of different components that share a shingle.
-    label = components(star_links)
-    placed = groups.select("shingle", "pivot").join(label.withColumnRenamed("node", "pivot"), "pivot", "left").select("shingle", "pivot", F.coalesce("component", "pivot").alias("component"))
-    mixed = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("shingle")
-    placed = checkpointed(placed.join(mixed, "shingle"))
-    one, two = (placed.select("shingle", F.col("pivot").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-    pairs = one.join(two, "shingle").filter("a < b and ca != cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    apart = 1 - F.col("both") / F.col("union")
-    met_pairs = checkpointed(_compared(pairs, sets).withColumn("apart", apart).withColumn("linked", linked))
-
-    # Boundary documents of regions that the triangle inequality leaves.
     slack = 1 - percent / 100 + 1e-9
+
+    # Two stars: each region against one that it met, then against one it met in another component.
+    first_star = _tested(groups.filter("pivot != first").groupBy(F.col("pivot").alias("b")).agg(F.min("first").alias("a")), sets, percent)
+    label = components(first_star.filter("linked"))
+    heads = label.select(F.col("node").alias("first"), F.col("component").alias("head"))
+    other = _labelled(groups, label).join(heads, "first", "left").filter(F.coalesce("head", "first") != F.col("component"))
+    second = other.groupBy(F.col("pivot").alias("b")).agg(F.max("first").alias("a")).join(first_star, ["a", "b"], "left_anti")
+    second_star = _tested(second, sets, percent)
+    tested = first_star.unionAll(second_star)
+
+    # Regions of different components that share a shingle, unless their distances to one star's centre say no.
+    label = components(tested.filter("linked"))
+    centred = first_star.select(F.col("b").alias("pivot"), F.col("a").alias("centre"), F.col("apart").alias("off"))
     radius = documents.filter("node != pivot").groupBy("pivot").agg(F.max("distance").alias("radius"))
-    unlinked = met_pairs.filter("not linked").unionAll(_compared(stars, sets).withColumn("apart", apart).withColumn("linked", linked).filter("not linked")).select("a", "b", "apart")
+    placed = _labelled(groups, label).join(centred, "pivot", "left").join(radius, "pivot", "left")
+    placed = placed.select("shingle", "pivot", "component", "place", "most", F.coalesce("centre", "pivot").alias("centre"), F.coalesce("off", F.lit(0.0)).alias("off"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    marks = found.filter("kind = 1 and active").select(F.col("node").alias("pivot"), "size", "bits")
+    sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("shingle").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("largest")).filter("kinds > 1").select("shingle", "largest")
+    placed = checkpointed(placed.join(largest, "shingle"))
+    placed = placed.join(marks, "pivot")
+    parts = ("pivot", "component", "place", "most", "centre", "off", "radius", "size", "bits")
+    one = placed.filter("component != largest").select("shingle", *[F.col(c).alias(f"{c}1") for c in parts])
+    two = placed.select("shingle", *[F.col(c).alias(f"{c}2") for c in parts])
+    reach = F.least(F.lit(1.0), slack + F.col("radius1") + F.col("radius2"))
+    windows = (F.col("centre1") != F.col("centre2")) | (F.abs(F.col("off1") - F.col("off2")) <= reach)
+    # Sets at a distance d differ in d / (2 - d) of the sum of their sizes.
+    close = _differing(F.col("bits1"), F.col("bits2")) <= reach / (2 - reach) * (F.col("size1") + F.col("size2"))
+    early = F.col("place1") + F.col("place2") <= share * (F.col("most1") + F.col("most2")) + 1e-9
+    may_meet = (F.col("component1") != F.col("component2")) & early & windows & close
+    met = one.join(two, "shingle").filter(may_meet).select(F.least("pivot1", "pivot2").alias("a"), F.greatest("pivot1", "pivot2").alias("b"))
+    met = _tested(met.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
+
+    # Boundary documents of regions that the triangle inequality leaves, where the regions are still apart.
+    label = components(tested.unionAll(met).filter("linked"))
+    apart = tested.unionAll(met).filter("not linked").select("a", "b", "apart")
     for n in "ab":
-        unlinked = unlinked.join(radius.select(F.col("pivot").alias(n), F.col("radius").alias(f"r{n}")), n, "left").fillna(0.0, [f"r{n}"])
-    near = unlinked.filter((F.col("ra") + F.col("rb") > 0) & (F.col("apart") <= F.col("ra") + F.col("rb") + slack))
+        apart = apart.join(radius.select(F.col("pivot").alias(n), F.col("radius").alias(f"r{n}")), n, "left").fillna(0.0, [f"r{n}"])
+        apart = apart.join(label.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")), n, "left").withColumn(f"c{n}", F.coalesce(f"c{n}", n))
+    near = apart.filter((F.col("ca") != F.col("cb")) & (F.col("ra") + F.col("rb") > 0) & (F.col("apart") <= F.col("ra") + F.col("rb") + slack))
+    inner = documents.select("node", "pivot", "distance").join(marks.withColumnRenamed("pivot", "node"), "node")
     for n in "ab":
-        members = documents.select(F.col("pivot").alias(n), F.col("node").alias(f"n{n}"), F.col("distance").alias(f"d{n}"))
-        near = near.join(members, n)
-    border = near.filter(F.col("da") + F.col("db") >= F.col("apart") - slack).filter("na != a or nb != b")
-    border_links = _compared(border.select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct(), sets).filter(linked).select("a", "b")
-    return inside.unionAll(star_links).unionAll(met_pairs.filter("linked").select("a", "b")).unionAll(border_links), documents
+        members = inner.select(F.col("pivot").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("node", "distance", "size", "bits")])
+        meets = F.col("distance_a") + F.col("rb") >= F.col("apart") - slack
+        if n == "b":
+            differing = _differing(F.col("bits_a"), F.col("bits_b")) <= slack / (2 - slack) * (F.col("size_a") + F.col("size_b"))
+            meets = (F.col("distance_a") + F.col("distance_b") >= F.col("apart") - slack) & ((F.col("node_a") != F.col("a")) | (F.col("node_b") != members["b"])) & differing
+        near = near.join(members, (near[n] == members[n]) & meets).drop(members[n])
+    crossing = _tested(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, percent)
+    links = inside
+    for found in (tested, met, crossing):
+        links = links.unionAll(found.filter("linked").select("a", "b"))
+    return links, documents
+
+
+def _labelled(groups: DataFrame, label: DataFrame) -> DataFrame:
+    """Adds the regions' components."""
+    return groups.join(label.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("component", F.coalesce("component", "pivot"))
+
+
+def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart, linked) of distinct pairs, fixed by a checkpoint."""
+    apart, linked = 1 - F.col("both") / F.col("union"), F.col("both") * 100 >= F.col("union") * percent
+    with arrow_rows(pairs.sparkSession, 500):
+        return checkpointed(_compared(pairs.select("a", "b"), sets).select("a", "b", apart.alias("apart"), linked.alias("linked")))
 
 
 def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
