@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+LINKS_A_TASK = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the least node that links reach.
@@ -19,12 +21,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpointed(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(edges)
     while True:
+        # So many tasks as the number of links asks for: few links in many tasks are mostly small files.
+        edges = edges.coalesce(1 + state[0] // LINKS_A_TASK)
+        tasks = 1 + 2 * state[0] // LINKS_A_TASK
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct().coalesce(tasks)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.filter("u != v").distinct())
+        edges = checkpointed(small.filter("u != v").distinct().coalesce(tasks))
         before, state = state, _state(edges)
         if state == before:
             break

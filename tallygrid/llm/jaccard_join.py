@@ -296,21 +296,23 @@ def links_and_documents(docs: DataFrame, size: int, percent: int) -> tuple[DataF
     centred = first_star.select(F.col("b").alias("pivot"), F.col("a").alias("centre"), F.col("apart").alias("off"))
     radius = documents.filter("node != pivot").groupBy("pivot").agg(F.max("distance").alias("radius"))
     placed = _labelled(groups, label).join(centred, "pivot", "left").join(radius, "pivot", "left")
-    placed = placed.select("shingle", "pivot", "component", "place", "most", F.coalesce("centre", "pivot").alias("centre"), F.coalesce("off", F.lit(0.0)).alias("off"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    placed = placed.select("shingle", "pivot", "component", F.coalesce("centre", "pivot").alias("centre"), F.coalesce("off", F.lit(0.0)).alias("off"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
     marks = found.filter("kind = 1 and active").select(F.col("node").alias("pivot"), "size", "bits")
     sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("shingle").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("largest")).filter("kinds > 1").select("shingle", "largest")
     placed = checkpointed(placed.join(largest, "shingle"))
-    placed = placed.join(marks, "pivot")
-    parts = ("pivot", "component", "place", "most", "centre", "off", "radius", "size", "bits")
+    shared = placed.groupBy("pivot").agg(F.collect_list("shingle").alias("shared"))
+    placed = placed.join(marks.join(shared, "pivot"), "pivot")
+    parts = ("pivot", "component", "centre", "off", "radius", "size", "bits", "shared")
     one = placed.filter("component != largest").select("shingle", *[F.col(c).alias(f"{c}1") for c in parts])
     two = placed.select("shingle", *[F.col(c).alias(f"{c}2") for c in parts])
     reach = F.least(F.lit(1.0), slack + F.col("radius1") + F.col("radius2"))
     windows = (F.col("centre1") != F.col("centre2")) | (F.abs(F.col("off1") - F.col("off2")) <= reach)
     # Sets at a distance d differ in d / (2 - d) of the sum of their sizes.
     close = _differing(F.col("bits1"), F.col("bits2")) <= reach / (2 - reach) * (F.col("size1") + F.col("size2"))
-    early = F.col("place1") + F.col("place2") <= share * (F.col("most1") + F.col("most2")) + 1e-9
-    may_meet = (F.col("component1") != F.col("component2")) & early & windows & close
+    # Of the shingles that a pair shares, the least makes it, so that it is made once.
+    once = F.array_min(F.array_intersect("shared1", "shared2")) == F.col("shingle")
+    may_meet = (F.col("component1") != F.col("component2")) & windows & close & once
     met = one.join(two, "shingle").filter(may_meet).select(F.least("pivot1", "pivot2").alias("a"), F.greatest("pivot1", "pivot2").alias("b"))
     met = _tested(met.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
 
