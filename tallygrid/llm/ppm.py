@@ -11,13 +11,15 @@ The model is pretrained: the trie counts all training documents, and a text's
 score is its code length in log10, summed over its bytes.
 
 1. Each chunk of documents sends its distinct words (64-bit hashes) with their
-   training counts, and its distinct n-grams with theirs, to blocks, which add
-   them up and answer each chunk with its words' counts.  Both follow the
-   corpus; nothing is sampled or pruned.
-2. The n-gram table goes to the tasks.  Its size is counted first; beyond
-   ``MAX_GRAMS`` the order falls by one and the table is added up anew, so it
-   always fits (order 1 has at most 65,536).
-3. Each chunk scores its distinct words once and sums by document.
+   training counts to blocks, which add them up and answer each chunk with its
+   words' counts.  Nothing is sampled or pruned.
+2. Its distinct n-grams go to blocks in the same way.  A block adds its n-grams
+   up and passes each on, once, to the group of its context's last two bytes,
+   which holds all longer contexts that end alike and so the trie above order
+   1; orders 0 and 1 (65,536 n-grams at most) go to all groups.  A group
+   gives each n-gram its log probability, the block answers the chunks.  The
+   trie as a whole is nowhere in one place, and ``ORDER`` holds at every size.
+3. Each chunk sums its n-grams' log probabilities by document.
 
 Defined results: null and empty texts have the end alone; a null ``doc_id`` is
 never held out; repeated rows each count and get a row each; with no training
@@ -32,20 +34,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import block_count, by_block, dealt, in_order
-from .common import checkpointed, flat, lowered, slices, table, word_hashes, words
+from .common import _SPACE, checkpointed, flat, keyed, lowered, slices, table, word_hashes, words
 
 ORDER = 4
-MAX_GRAMS = 2_000_000
+MAX_GROUPS = 1024
 SPACE, END = 0x20, 0x0A
+_ROW_BITS = 24  # codes have 40 bits, so code and row are sorted as one number
 
 _SENT = "block int, chunk int, keys binary, counts binary"
 _MERGED = "kind int, chunk int, block int, n long, total long, keys binary, counts binary"
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"
+_ANSWER = "kind int, chunk int, block int, n long, counts binary"
+_TOTALS = "family int, block int, keys binary, counts binary"
+_LOGS = "block int, keys binary, logs binary"
 _WORDS, _SUMS, _GRAMS = 0, 1, 2
 
 
@@ -53,48 +58,73 @@ def is_held_out(doc_id: int | None, remainder: int = 1) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == remainder
 
 
+def _parts(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for part in slices(rows, "text"):
+        for start in range(0, part.num_rows, 1 << _ROW_BITS):
+            yield part.slice(start, 1 << _ROW_BITS)
+
+
+def codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram of order+1 bytes, row) of every byte of the texts as the model sees them."""
+    n = len(first) - 1
+    ends = np.cumsum(lengths + 1)
+    spaces = ends - 1 + np.repeat(np.arange(n), np.diff(first))
+    finish = np.concatenate(([0], ends))[first[1:]] + np.arange(n)
+    symbol = np.full(len(starts) + int(lengths.sum()) + n, SPACE, np.uint64)
+    inside = np.ones(len(symbol), bool)
+    inside[spaces] = inside[finish] = False
+    symbol[inside] = data[~_SPACE[data]]
+    symbol[finish] = END
+    stops = np.sort(np.concatenate((spaces, finish))) + 1
+    size = np.diff(stops, prepend=0)
+    at = np.arange(len(symbol)) - np.repeat(stops - size, size)
+    code = symbol.copy()
+    for k in range(1, order + 1):
+        before = np.zeros(len(symbol), np.uint64)
+        before[k:] = symbol[:-k]
+        code |= np.where(at >= k, before, np.uint64(SPACE) * (at == k - 1)) << np.uint64(8 * k)
+    return code, np.repeat(np.arange(n), np.diff(finish, prepend=-1))
+
+
 class _Chunk:
-    """A chunk's distinct words, and for each token its row and word."""
+    """A chunk's distinct words, for each token its row and word, and its distinct n-grams."""
 
-    def __init__(self, rows: pa.RecordBatch):
+    def __init__(self, rows: pa.RecordBatch, order: int | None = None):
         self.ids = rows.column("doc_id").to_pylist()
         self.held = np.array([is_held_out(x) for x in self.ids], bool)
-        hashes, row, pool, place, size = [], [], [], [], []
-        at = done = 0
-        for part in slices(rows, "text"):
+        hashes, row, grams, trained = [], [], [], []
+        self.runs = []  # of each part: its first row, the rows of its sorted n-grams, lengths of equal n-grams
+        done = 0
+        for part in _parts(rows):
             data, offsets = flat(part.column("text"))
             data = lowered(data)
             starts, lengths, first = words(data, offsets)
             hashes.append(word_hashes(data, starts, lengths))
-            row.append(np.repeat(np.arange(len(offsets) - 1), np.diff(first)) + done)
-            pool.append(data)
-            place.append(starts + at)
-            size.append(lengths)
-            at, done = at + len(data), done + len(offsets) - 1
+            row.append(np.repeat(np.arange(part.num_rows), np.diff(first)) + done)
+            if order is not None:
+                code, owner = codes(data, starts, lengths, first, order)
+                both = np.sort(code << np.uint64(_ROW_BITS) | owner.astype(np.uint64))
+                owner = (both & np.uint64((1 << _ROW_BITS) - 1)).astype(np.int64)
+                code = both >> np.uint64(_ROW_BITS)
+                head = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+                grams.append(code[head])
+                trained.append(np.add.reduceat((~self.held[owner + done]).astype(np.int64), head))
+                self.runs.append((done, owner.astype(np.int32), np.diff(np.append(head, len(code)))))
+            done += part.num_rows
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.row = join(row, np.int64)
-        self.keys, index, self.word = np.unique(join(hashes, np.uint64), return_index=True, return_inverse=True)
-        self.data, self.starts, self.lengths = join(pool, np.uint8), join(place, np.int64)[index], join(size, np.int64)[index]
+        self.keys, self.word = np.unique(join(hashes, np.uint64), return_inverse=True)
         self.trained = np.bincount(self.word, ~self.held[self.row], len(self.keys)).astype(np.int64)
-
-    def codes(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(n-gram of order+1 bytes, word) of every byte of the distinct words and the space after each."""
-        width = self.lengths + 1
-        ends = np.cumsum(width)
-        word = np.repeat(np.arange(len(width)), width)
-        at = np.arange(len(word)) - np.repeat(ends - width, width)
-        source = np.append(self.data, np.uint8(SPACE))
-        symbol = np.where(at == self.lengths[word], SPACE, source[np.minimum(self.starts[word] + at, len(self.data))]).astype(np.uint64)
-        code = symbol.copy()
-        for k in range(1, order + 1):
-            before = np.zeros(len(word), np.uint64)
-            before[k:] = symbol[:-k]
-            code |= np.where(at >= k, before, np.uint64(SPACE) * (at == k - 1)) << np.uint64(8 * k)
-        return code, word
-
-
-def end_code(order: int) -> int:
-    return END | (SPACE << 8 if order else 0)
+        self.grams, self.gram_counts, self.place = _added(join(grams, np.uint64), join(trained, np.int64))
+
+    def sums(self, logs: np.ndarray) -> np.ndarray:
+        """Sum over each row's bytes of what ``logs`` has for its n-grams."""
+        out, at = np.zeros(len(self.ids)), 0
+        for first, owner, size in self.runs:
+            own = np.bincount(owner, np.repeat(logs[self.place[at : at + len(size)]], size))
+            out[first : first + len(own)] += own
+            at += len(size)
+        return out
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -121,11 +151,11 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return distinct, total, inverse
 
 
-def _send_grams(grams: np.ndarray, counts: np.ndarray, n_blocks: int, chunk: int) -> list[tuple]:
-    """Rows for the blocks of n-grams, which are numbered below zero."""
+def _blocks(grams: np.ndarray, n_blocks: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the n-grams by block, and each block's run in it."""
     block = grams * np.uint64(0x9E3779B97F4A7C15) % np.uint64(n_blocks)
     order = np.argsort(block, kind="stable")
-    return [(-1 - b, chunk, grams[order[s:e]].tobytes(), _narrow(counts[order[s:e]])) for b, s, e in by_block(block[order])]
+    return order, by_block(block[order])
 
 
 def _merge(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
@@ -133,22 +163,24 @@ def _merge(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
     lists = [np.frombuffer(x, np.uint64) for x in sent.column("keys").to_pylist()]
     sizes = [len(x) for x in lists]
     counts = np.concatenate([_wide(x, n) for x, n in zip(sent.column("counts").to_pylist(), sizes, strict=True)])
-    distinct, total, inverse = _added(np.concatenate(lists), counts)
-    if block < 0:
-        return _table(_MERGED, [(_GRAMS, None, block, len(distinct), 0, distinct.tobytes(), _narrow(total))])
+    _, total, inverse = _added(np.concatenate(lists), counts)
     at = np.concatenate(([0], np.cumsum(sizes)))
     out = [(_WORDS, c, block, n, 0, None, _narrow(total[inverse[a : a + n]])) for c, n, a in zip(sent.column("chunk").to_pylist(), sizes, at.tolist(), strict=False)]
     return _table(_MERGED, [*out, (_SUMS, None, block, int((total > 0).sum()), int(total.sum()), None, None)])
 
 
 class Trie:
-    """The context trie as sorted tables: for each order its n-grams and its contexts."""
+    """The context trie as sorted tables: for each order its n-grams and its contexts.
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int):
+    ``pairs`` are all n-grams of two bytes with their counts; above order 1 the trie has the contexts of ``grams``.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, pairs: tuple[np.ndarray, np.ndarray]):
         self.order, self.levels = order, []
         below = None
         for k in range(order + 1):
-            codes, n, _ = _added(grams & np.uint64((1 << (8 * (k + 1))) - 1), counts)
+            source, times = (grams, counts) if k > 1 else pairs
+            codes, n, _ = _added(source & np.uint64((1 << (8 * (k + 1))) - 1), times)
             contexts, first, inverse = np.unique(codes >> np.uint64(8), return_index=True, return_inverse=True)
             total, kinds = np.bincount(inverse, n, len(contexts)), np.bincount(inverse, minlength=len(contexts))
             level = {"codes": codes, "n": n.astype(float), "of": inverse, "contexts": contexts, "total": total, "kinds": kinds.astype(float)}
@@ -169,7 +201,7 @@ class Trie:
         for k in range(self.order, -1, -1):
             level = self.levels[k]
             if not len(level["codes"]):
-                break
+                continue
             code = codes[todo] & np.uint64((1 << (8 * (k + 1))) - 1)
             gram = np.minimum(np.searchsorted(level["codes"], code), len(level["codes"]) - 1)
             seen = level["codes"][gram] == code
@@ -194,71 +226,102 @@ class Trie:
         return out
 
 
-def trained_trie(merged: DataFrame, order: int, max_grams: int) -> Trie:
-    grams = merged.filter(F.col("kind") == _GRAMS)
+def pair_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The training documents' n-grams of two bytes with their counts; 65,536 at most."""
 
-    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.uint64((1 << (8 * order)) - 1)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for k, c, n in zip(*(batch.column(x).to_pylist() for x in ("keys", "counts", "n")), strict=True):
-                codes, total, _ = _added(np.frombuffer(k, np.uint64) & keep, _wide(c, n))
-                yield from _table(_SENT, _send_grams(codes, total, 64, 0)).to_batches()
+            train = batch.filter(pa.array([not is_held_out(x) for x in batch.column("doc_id").to_pylist()], pa.bool_()))
+            for part in _parts(train):
+                data, offsets = flat(part.column("text"))
+                data = lowered(data)
+                total += np.bincount(codes(data, *words(data, offsets), 1)[0].astype(np.int64), minlength=1 << 16)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["code", "n"])
 
-    while (grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) > max_grams and order > 1:
-        grams = checkpointed(grams.mapInArrow(shorter, _SENT).groupBy("block").applyInArrow(_merge, _MERGED))
-        order -= 1
-    rows = grams.select("keys", "counts", "n").collect()  # max_grams in all
-    codes = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
-    counts = np.concatenate([_wide(r["counts"], r["n"]) for r in rows]) if rows else np.zeros(0, np.int64)
-    return Trie(codes, counts, order)
+    rows = keyed(docs).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    return np.array([r.code for r in rows], np.uint64), np.array([r.n for r in rows], np.int64)
 
 
-def score(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, order: int = ORDER, max_grams: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  ``max_grams`` has no effect: the order holds at every size."""
     spark = docs.sparkSession
     rows, n_chunks = dealt(docs)
     n_blocks = block_count(n_chunks)
+    n_groups = min(n_blocks, MAX_GROUPS)
     chunks = rows.groupBy("chunk")
 
-    def gather(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+    def gather_words(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
         chunk, number = _Chunk(in_order(own)), key[0].as_py()
         block = chunk.keys % np.uint64(n_blocks)
         at = np.argsort(block, kind="stable")
-        out = [(b, number, chunk.keys[at[s:e]].tobytes(), _narrow(chunk.trained[at[s:e]])) for b, s, e in by_block(block[at])]
-        codes, word = chunk.codes(order)
-        weight = chunk.trained[word]
-        codes = np.append(codes[weight > 0], np.uint64(end_code(order)))
-        grams, total, _ = _added(codes, np.append(weight[weight > 0], (~chunk.held).sum()))
-        return _table(_SENT, out + _send_grams(grams[total > 0], total[total > 0], n_blocks, number))
-
-    merged = checkpointed(chunks.applyInArrow(gather, _SENT).groupBy("block").applyInArrow(_merge, _MERGED))
-    n_train = rows.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, F.lit(True))).count()
+        return _table(_SENT, [(b, number, chunk.keys[at[s:e]].tobytes(), _narrow(chunk.trained[at[s:e]])) for b, s, e in by_block(block[at])])
+
+    merged = checkpointed(chunks.applyInArrow(gather_words, _SENT).groupBy("block").applyInArrow(_merge, _MERGED))
+    pairs = pair_counts(docs)
+    n_train = int(pairs[1][pairs[0] & np.uint64(0xFF) == END].sum())  # a text has one end
     sums = merged.filter(F.col("kind") == _SUMS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
     distinct, tokens = sums["v"] + (n_train > 0), sums["n"] + n_train
-    model = spark.sparkContext.broadcast(cloudpickle.dumps(trained_trie(merged, order, max_grams)))
+    short = spark.sparkContext.broadcast(pairs)
+
+    def gather_grams(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+        chunk, number = _Chunk(in_order(own), order), key[0].as_py()
+        at, blocks = _blocks(chunk.grams, n_blocks)
+        return _table(_SENT, [(b, number, chunk.grams[at[s:e]].tobytes(), _narrow(chunk.gram_counts[at[s:e]])) for b, s, e in blocks])
+
+    def add_up(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, np.uint64) for x in sent.column("keys").to_pylist()]
+        counts = np.concatenate([_wide(x, len(k)) for x, k in zip(sent.column("counts").to_pylist(), lists, strict=True)])
+        grams, total, _ = _added(np.concatenate(lists), counts)
+        at, groups = _blocks(grams >> np.uint64(8) & np.uint64(0xFFFF), n_groups)
+        return _table(_TOTALS, [(g, key[0].as_py(), grams[at[s:e]].tobytes(), _narrow(total[at[s:e]])) for g, s, e in groups])
+
+    def solve(key: tuple[pa.Scalar, ...], totals: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, np.uint64) for x in totals.column("keys").to_pylist()]
+        counts = np.concatenate([_wide(x, len(k)) for x, k in zip(totals.column("counts").to_pylist(), lists, strict=True)])
+        grams = np.concatenate(lists)
+        trie = Trie(grams[counts > 0], counts[counts > 0], order, short.value)
+        logs = np.split(trie.log10(grams), np.cumsum([len(x) for x in lists])[:-1])
+        return _table(_LOGS, [(b, k.tobytes(), x.tobytes()) for b, k, x in zip(totals.column("block").to_pylist(), lists, logs, strict=True)])
+
+    def answer(key: tuple[pa.Scalar, ...], sent: pa.Table, solved: pa.Table) -> pa.Table:
+        grams = np.concatenate([np.frombuffer(x, np.uint64) for x in solved.column("keys").to_pylist()])
+        logs = np.concatenate([np.frombuffer(x, np.float64) for x in solved.column("logs").to_pylist()])
+        at = np.argsort(grams)
+        grams, logs = grams[at], logs[at]
+        lists = [np.frombuffer(x, np.uint64) for x in sent.column("keys").to_pylist()]
+        found = zip(sent.column("chunk").to_pylist(), lists, strict=True)
+        return _table(_ANSWER, [(_GRAMS, c, key[0].as_py(), len(x), logs[np.searchsorted(grams, x)].tobytes()) for c, x in found])
+
+    sent = chunks.applyInArrow(gather_grams, _SENT)
+    solved = sent.groupBy("block").applyInArrow(add_up, _TOTALS).groupBy("family").applyInArrow(solve, _LOGS)
+    answers = sent.groupBy("block").cogroup(solved.groupBy("block")).applyInArrow(answer, _ANSWER)
+    answers = answers.unionByName(merged.filter(F.col("kind") == _WORDS).select("kind", "chunk", "block", "n", "counts"))
 
     def finish(key: tuple[pa.Scalar, ...], own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
             return _table(_RESULT, [])
-        chunk, trie = _Chunk(in_order(own)), cloudpickle.loads(model.value)
+        chunk = _Chunk(in_order(own), order)
         block = chunk.keys % np.uint64(n_blocks)
         at = np.argsort(block, kind="stable")
-        known = {b: (n, c) for b, n, c in zip(*(answers.column(x).to_pylist() for x in ("block", "n", "counts")), strict=True)}
+        known = {(k, b): (n, c) for k, b, n, c in zip(*(answers.column(x).to_pylist() for x in ("kind", "block", "n", "counts")), strict=True)}
         count = np.zeros(len(chunk.keys), np.int64)
         for b, s, e in by_block(block[at]):
-            count[at[s:e]] = _wide(known[b][1], known[b][0])
-        codes, word = chunk.codes(trie.order)
-        logs = np.bincount(word, trie.log10(codes), len(chunk.keys))
+            n, c = known[_WORDS, b]
+            count[at[s:e]] = _wide(c, n)
+        logs = np.zeros(len(chunk.grams))
+        at, blocks = _blocks(chunk.grams, n_blocks)
+        for b, s, e in blocks:
+            logs[at[s:e]] = np.frombuffer(known[_GRAMS, b][1], np.float64)
         n = len(chunk.ids)
-        end = trie.log10(np.array([end_code(trie.order)], np.uint64))[0]
         per_doc = lambda x: np.bincount(chunk.row, x[chunk.word], n)
-        tokens = np.bincount(chunk.row, minlength=n) + 1
+        n_tokens = np.bincount(chunk.row, minlength=n) + 1
         seen = per_doc((count > 0).astype(float)).astype(np.int64) + (n_train > 0)
         base = per_doc(np.log10(count + 0.5)) + np.log10(n_train + 0.5)
-        columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(tokens), pa.array(seen), pa.array(base), pa.array(per_doc(logs) + end)]
+        columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(n_tokens), pa.array(seen), pa.array(base), pa.array(chunk.sums(logs))]
         return pa.Table.from_arrays(columns, [c.split()[0] for c in _RESULT.split(", ")])
 
-    answers = merged.filter(F.col("kind") == _WORDS).select("chunk", "block", "n", "counts")
     out = chunks.cogroup(answers.groupBy("chunk")).applyInArrow(finish, _RESULT)
     scale = float(np.log10(tokens + 0.5 * (distinct + 1)))
     base = F.col("log_counts") - F.col("n_tokens") * F.lit(scale)

@@ -215,3 +215,9 @@ def test_scores(spark, rows, docs):
     lower = ppm.score(docs, order, max_grams=50)  # a table too large makes the order fall
     assert lower.count() == len(rows)
     assert ppm.score(docs.limit(0)).count() == 0
+
+
+def test_order_holds(spark, docs):
+    """No number of n-grams makes the model's order fall."""
+    table = lambda **k: Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in ppm.score(docs, 4, **k).collect())
+    assert table(max_grams=50) == table()
