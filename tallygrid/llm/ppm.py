@@ -1,8 +1,10 @@
 """Scores of texts under a byte-level PPM model (prediction by partial matching) and under word counts.
 
 Text as the model sees it: the words with A-Z in lower case, each followed by a
-space, then one line feed as the end.  Bytes are predicted from the ``ORDER``
-bytes before them, back to the space before the word.  The context trie is
+space, then one line feed as the end.  Bytes are predicted from the last
+``ORDER`` bytes of this running text, spaces and earlier words included; before
+the first word stands a space.  (``running=False`` cuts contexts at the space
+before the word instead; the query doesn't.)  The context trie is
 kept as sorted tables of byte n-grams, one for each order; the escape
 probability is that of method C (distinct symbols over occurrences plus
 distinct symbols), and after an escape the symbols of the longer context are
@@ -64,8 +66,8 @@ def _parts(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield part.slice(start, 1 << _ROW_BITS)
 
 
-def codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram of order+1 bytes, row) of every byte of the texts as the model sees them."""
+def codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, order: int, running: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram of order+1 bytes, row) of every byte of the texts as the model sees them; unless ``running``, words alone."""
     n = len(first) - 1
     ends = np.cumsum(lengths + 1)
     spaces = ends - 1 + np.repeat(np.arange(n), np.diff(first))
@@ -75,7 +77,7 @@ def codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.n
     inside[spaces] = inside[finish] = False
     symbol[inside] = data[~_SPACE[data]]
     symbol[finish] = END
-    stops = np.sort(np.concatenate((spaces, finish))) + 1
+    stops = finish + 1 if running else np.sort(np.concatenate((spaces, finish))) + 1
     size = np.diff(stops, prepend=0)
     at = np.arange(len(symbol)) - np.repeat(stops - size, size)
     code = symbol.copy()
@@ -89,7 +91,7 @@ def codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.n
 class _Chunk:
     """A chunk's distinct words, for each token its row and word, and its distinct n-grams."""
 
-    def __init__(self, rows: pa.RecordBatch, order: int | None = None):
+    def __init__(self, rows: pa.RecordBatch, order: int | None = None, running: bool = False):
         self.ids = rows.column("doc_id").to_pylist()
         self.held = np.array([is_held_out(x) for x in self.ids], bool)
         hashes, row, grams, trained = [], [], [], []
@@ -102,7 +104,7 @@ class _Chunk:
             hashes.append(word_hashes(data, starts, lengths))
             row.append(np.repeat(np.arange(part.num_rows), np.diff(first)) + done)
             if order is not None:
-                code, owner = codes(data, starts, lengths, first, order)
+                code, owner = codes(data, starts, lengths, first, order, running)
                 both = np.sort(code << np.uint64(_ROW_BITS) | owner.astype(np.uint64))
                 owner = (both & np.uint64((1 << _ROW_BITS) - 1)).astype(np.int64)
                 code = both >> np.uint64(_ROW_BITS)
@@ -244,7 +246,7 @@ def pair_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.code for r in rows], np.uint64), np.array([r.n for r in rows], np.int64)
 
 
-def score(docs: DataFrame, order: int = ORDER, max_grams: int | None = None) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, max_grams: int | None = None, running: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  ``max_grams`` has no effect: the order holds at every size."""
     spark = docs.sparkSession
     rows, n_chunks = dealt(docs)
@@ -266,7 +268,7 @@ def score(docs: DataFrame, order: int = ORDER, max_grams: int | None = None) ->
     short = spark.sparkContext.broadcast(pairs)
 
     def gather_grams(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
-        chunk, number = _Chunk(in_order(own), order), key[0].as_py()
+        chunk, number = _Chunk(in_order(own), order, running), key[0].as_py()
         at, blocks = _blocks(chunk.grams, n_blocks)
         return _table(_SENT, [(b, number, chunk.grams[at[s:e]].tobytes(), _narrow(chunk.gram_counts[at[s:e]])) for b, s, e in blocks])
 
@@ -302,7 +304,7 @@ def score(docs: DataFrame, order: int = ORDER, max_grams: int | None = None) ->
     def finish(key: tuple[pa.Scalar, ...], own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
             return _table(_RESULT, [])
-        chunk = _Chunk(in_order(own), order)
+        chunk = _Chunk(in_order(own), order, running)
         block = chunk.keys % np.uint64(n_blocks)
         at = np.argsort(block, kind="stable")
         known = {(k, b): (n, c) for k, b, n, c in zip(*(answers.column(x).to_pylist() for x in ("kind", "block", "n", "counts")), strict=True)}
@@ -329,4 +331,4 @@ def score(docs: DataFrame, order: int = ORDER, max_grams: int | None = None) ->
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), running=True)

@@ -221,3 +221,43 @@ def test_order_holds(spark, docs):
     """No number of n-grams makes the model's order fall."""
     table = lambda **k: Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in ppm.score(docs, 4, **k).collect())
     assert table(max_grams=50) == table()
+
+
+def test_running_contexts(spark, rows, tmp_path):
+    """The query's score follows the last bytes of the running text, so the order of words counts."""
+    order = ppm.ORDER
+    rows = [*rows, (7000, "red fox blue dog " * 4), (7001, "dog blue fox red " * 4), (7002, "red fox blue dog " * 3)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    text = lambda t: b"".join(w.encode() + b" " for w in words((t or "").translate(LOWER))) + b"\n"
+    tables = {}
+    start = b"\0" * (order - 1) + b" "
+    for i, t in rows:
+        data = start + text(t)
+        for k in range(order, len(data) if not held(i) else 0):
+            for o in range(order + 1):
+                tables.setdefault(data[k - o : k], Counter())[data[k]] += 1
+
+    def log10(context, symbol):
+        gone, total = set(), 0.0
+        for o in range(order, -1, -1):
+            seen = tables.get(context[order - o :])
+            if seen is None:
+                continue
+            left = {s: c for s, c in seen.items() if s not in gone}
+            whole = sum(left.values()) + len(left)
+            if symbol in left:
+                return total + math.log10(left[symbol] / whole)
+            if left:
+                total += math.log10(len(left) / whole)
+            gone |= set(seen)
+        return total - math.log10(256 - len(gone))
+
+    expected = Counter()
+    for i, t in rows:
+        data = start + text(t)
+        expected[i, round(sum(log10(data[k - order : k], data[k]) for k in range(order, len(data))), 6)] += 1
+    out = ppm.op9_ppm(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in out) == expected
+    by_id = {r.doc_id: r.score for r in out}
+    assert by_id[7000] != pytest.approx(by_id[7001])
