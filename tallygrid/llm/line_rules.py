@@ -8,8 +8,8 @@ if it fails the base rules, or if it is depleted: boilerplate was removed and
 fewer than ``LEAST_WORDS`` words or less than ``LEAST_LEFT`` of them remain.
 
 Copies of one document are not boilerplate, so they count once: a document
-counts for a line by the least hash among its *other* lines, which copies and
-most near copies share, and unrelated documents do not.
+counts for a line by a 64-bit fingerprint of its whole normalised text (all its
+lines in order), which copies share and other documents do not.
 
 The text is read once; what goes on is a row of numbers a document and a hash
 for each distinct line.  The count is aggregated before and after the shuffle;
@@ -46,7 +46,7 @@ _DIGITS = np.arange(256, dtype=np.uint8)
 _DIGITS[48:58] = 48
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<line: long, words: int, context: long>>"
+SCHEMA = "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", print long, lines array<struct<line: long, words: int>>"
 
 
 def _per_text(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -105,20 +105,21 @@ def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
     total = np.add.reduceat(line_words[order], head) if len(head) else np.zeros(0, np.int64)
     counts = np.bincount(owner, minlength=n)
     begin = np.cumsum(counts) - counts
-    # Sorted by hash, so a text's least hash is its first; the first line's least other hash is the second.
-    least = hashes[begin[owner]] if len(head) else hashes
-    is_first = np.arange(len(head)) == begin[owner] if len(head) else np.zeros(0, bool)
-    second = hashes[np.minimum(begin[owner] + 1, max(0, len(head) - 1))] if len(head) else hashes
-    context = np.where(is_first, np.where(counts[owner] > 1, second, 0), least) if len(head) else hashes
-
-    items = pa.StructArray.from_arrays([pa.array(hashes), pa.array(total.astype(np.int32)), pa.array(context)], ["line", "words", "context"])
+    # The fingerprint: the text's normalised lines, each mixed with its place, added up.
+    per_text = np.bincount(text, minlength=n)
+    place = np.arange(len(normal)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    whole = np.zeros(n, np.uint64)
+    np.add.at(whole, text, mixed(normal + (place.astype(np.uint64) + np.uint64(1)) * _STEP))
+    whole = mixed(whole)
+
+    items = pa.StructArray.from_arrays([pa.array(hashes), pa.array(total.astype(np.int32))], ["line", "words"])
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), items)
     numbers = [pa.array(np.asarray(c, np.int64)) for c in (n_words, word_chars, symbols, dup_lines, repeated)]
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), *numbers, lists], ["doc_id", "host", *COUNTS, "lines"])
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), *numbers, pa.array(whole.view(np.int64)), lists], ["doc_id", "host", *COUNTS, "print", "lines"])
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host, COUNTS and the distinct normalised lines of each document."""
+    """doc_id, host, COUNTS, the fingerprint and the distinct normalised lines of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +132,10 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def boilerplate(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """host, line, n_docs of the lines above the host's limit."""
-    lines = rows.select("host", F.explode("lines").alias("l")).select("host", "l.line", "l.context")
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("context").alias("n_docs")).filter(F.col("n_docs") > min_documents)
+    # One row a distinct text, so its distinct lines count by rows, which are added up before the shuffle.
+    texts = rows.groupBy("host", "print").agg(F.first("lines").alias("lines"))
+    lines = texts.select("host", F.explode("lines.line").alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_documents)
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
     return counts.join(hosts, "host").filter(F.col("n_docs") > share * F.col("host_docs")).select("host", "line", "n_docs")
 
@@ -143,7 +146,7 @@ def judge(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUME
     bad = boilerplate(rows, min_documents, share)
     lines = rows.select("_row", "host", F.explode("lines").alias("l")).select("_row", "host", "l.line", "l.words")
     removed = lines.join(bad, ["host", "line"]).groupBy("_row").agg(F.sum("words").cast("long").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
-    out = rows.drop("lines").join(removed, "_row", "left")
+    out = rows.drop("lines", "print").join(removed, "_row", "left")
     gone = F.coalesce("removed_words", F.lit(0).cast("long"))
     left = F.col("n_words") - gone
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

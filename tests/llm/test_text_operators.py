@@ -109,6 +109,16 @@ def test_boilerplate(spark):
     assert out[5] == body(5) + "\n" and out[100].endswith("copies only") and 200 not in out and out[201].endswith("news 12")
 
 
+def test_several_shared_lines(spark):
+    """Documents that share several lines still count one by one."""
+    shared = [f"shared line number {chr(97 + k)} of the page" for k in range(10)]
+    rows = [(k, "\n".join([*shared, f"own text {chr(97 + k % 26)}{chr(97 + k // 26)} and nothing else at all"]), "h") for k in range(300)]
+    rows += [(1000 + k, "\n".join([*shared, "one text that was copied"]), "h") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.n_docs for r in line_rules.boilerplate(line_rules.measured(df)).collect()) == [301] * 10
+    assert {r.doc_id: r.removed_words for r in line_rules.judge(df).collect()}[7] == 70
+
+
 URLS = [
     (1, "http://www.Example.ORG/es/1?q#x"), (2, "https://org"), (3, "https://org/"), (4, "ftp://a.example.org/en/12"), (5, "https://b.com/fr/x"), (6, "https://b.com/de/"),
     (7, None), (8, "no scheme"), (9, "https://x.net?a=/org/"), (10, "http://cheap-pills.example.net/en/3"), (11, "https://museum.example.net/en/3"), (12, "https://notexample.org/es/"),
