@@ -51,36 +51,43 @@ class Choice:
     def __init__(self, x: list[np.ndarray], q: list[np.ndarray], penalty: float = PENALTY):
         self.x, self.q, self.penalty = x, q, penalty
         self.width = x[0].shape[1] if x else 0
+        # All items in one matrix; an item's candidates are a run of rows.
+        self.size = np.array([len(m) for m in x], np.int64)
+        self.head = np.cumsum(self.size) - self.size
+        self.rows = np.concatenate(x) if x else np.zeros((0, 0))
+        self.target = np.concatenate(q) if q else np.zeros(0)
+
+    def _shares(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shares and linear terms of all rows, and each item's log of the summed exponentials."""
+        e = self.rows @ beta
+        top = np.maximum.reduceat(e, self.head)
+        p = np.exp(e - np.repeat(top, self.size))
+        total = np.add.reduceat(p, self.head)
+        return p / np.repeat(total, self.size), e, top + np.log(total)
 
     def shares(self, beta: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for x in self.x:
-            e = x @ beta
-            e = np.exp(e - e.max())
-            out.append(e / e.sum())
-        return out
+        return np.split(self._shares(beta)[0], self.head[1:]) if self.x else []
 
     def losses(self, beta: np.ndarray) -> np.ndarray:
         """Cross-entropy of each item, in nats."""
-        out = []
-        for x, q in zip(self.x, self.q, strict=True):
-            e = x @ beta
-            top = e.max()
-            out.append(top + np.log(np.exp(e - top).sum()) - q @ e)
-        return np.array(out)
+        if not self.x:
+            return np.zeros(0)
+        _, e, log_total = self._shares(beta)
+        return log_total - np.add.reduceat(self.target * e, self.head)
 
     def fit(self, weights: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
         w = np.ones(len(self.x)) if weights is None else weights
         w = w / w.sum()
+        each = np.repeat(w, self.size)
 
         def value(beta: np.ndarray) -> float:
             return float(w @ self.losses(beta) + self.penalty / 2 * beta @ beta)
 
         def derivatives(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            gradient, curvature = self.penalty * beta, self.penalty * np.eye(self.width)
-            for weight, x, q, p in zip(w, self.x, self.q, self.shares(beta), strict=True):
-                gradient = gradient + weight * (x.T @ (p - q))
-                curvature = curvature + weight * ((x.T * p) @ x - np.outer(x.T @ p, x.T @ p))
+            p = self._shares(beta)[0]
+            mean = np.add.reduceat(self.rows * p[:, None], self.head)
+            gradient = self.penalty * beta + self.rows.T @ (each * (p - self.target))
+            curvature = self.penalty * np.eye(self.width) + (self.rows.T * (each * p)) @ self.rows - (mean.T * w) @ mean
             return gradient, curvature
 
         return minimise(value, derivatives, np.zeros(self.width))
@@ -128,17 +135,19 @@ class Source:
         return minimise(value, derivatives, np.zeros(self.x.shape[1]))
 
 
-def _filled(x: list[np.ndarray], training: list[int]) -> list[np.ndarray]:
+class _Filled:
     """Features that don't vary inside an item say nothing of its choice; they take the mean of the training items."""
-    constant = np.array([np.ptp(m, axis=0) == 0 if len(m) else np.ones(m.shape[1], bool) for m in x])
-    out = [m.copy() for m in x]
-    for j in range(x[0].shape[1]):
-        varied = [x[k][:, j] for k in training if not constant[k, j]]
-        mean = float(np.concatenate(varied).mean()) if varied else 0.0
-        for k in range(len(x)):
-            if constant[k, j]:
-                out[k][:, j] = mean
-    return out
+
+    def __init__(self, x: list[np.ndarray]):
+        self.x = x
+        self.constant = np.array([np.ptp(m, axis=0) == 0 if len(m) else np.ones(m.shape[1], bool) for m in x])
+        self.sums = np.array([m.sum(axis=0) for m in x]) * ~self.constant
+        self.counts = np.array([len(m) for m in x])[:, None] * ~self.constant
+
+    def by(self, training: np.ndarray) -> list[np.ndarray]:
+        count = self.counts[training].sum(axis=0)
+        mean = self.sums[training].sum(axis=0) / np.maximum(1, count)
+        return [np.where(c, mean, m) if some else m for m, c, some in zip(self.x, self.constant, self.constant.any(axis=1).tolist(), strict=True)]
 
 
 def choice_fits(rows: DataFrame, task: str, item: str, candidate: str, share: str, features: list[str], repeats: int = 200, seed: int = 0, penalty: float = PENALTY) -> DataFrame:
@@ -149,22 +158,22 @@ def choice_fits(rows: DataFrame, task: str, item: str, candidate: str, share: st
         groups = [g for _, g in pdf.groupby(item, sort=True)]
         x = [g[features].to_numpy(float) for g in groups]
         q = [g[share].to_numpy(float) / g[share].sum() for g in groups]
-        everyone = list(range(len(x)))
-        model = Choice(_filled(x, everyone), q, penalty)
+        everyone, features_of = np.arange(len(x)), _Filled(x)
+        model = Choice(features_of.by(everyone), q, penalty)
         beta, gradient, steps = model.fit()
         held = []
         for k in everyone:
-            others = [j for j in everyone if j != k]
-            if not others:
+            others = np.delete(everyone, k)
+            if not len(others):
                 continue
-            filled = _filled(x, others)
+            filled = features_of.by(others)
             b, _, _ = Choice([filled[j] for j in others], [q[j] for j in others], penalty).fit()
             held.append(Choice([filled[k]], [q[k]], penalty).losses(b)[0])
         rng, drawn = np.random.default_rng(seed), []
         for _ in range(repeats):
             times = np.bincount(rng.integers(0, len(x), len(x)), minlength=len(x))
-            some = [j for j in everyone if times[j]]
-            filled = _filled(x, some)
+            some = np.flatnonzero(times)
+            filled = features_of.by(some)
             drawn.append(Choice([filled[j] for j in some], [q[j] for j in some], penalty).fit(times[some].astype(float))[0])
         low, high = np.quantile(drawn, (0.025, 0.975), axis=0) if drawn else (beta * np.nan, beta * np.nan)
         chance = float(np.mean([np.log(len(m)) for m in x]))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallygrid.functions import solvers
 from tallygrid.operators import geometry, inference, logit, ordering
 
 
@@ -122,3 +123,27 @@ def test_robust_errors_and_resume(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "task string, v int")
     done = spark.createDataFrame([("a", "f1"), ("b", "f0")], "task string, fingerprint string")
     assert [r.task for r in logit.unfinished(rows, done, "task", "f1").collect()] == ["b"]
+
+
+def test_queries_cover_their_tables(spark, tmp_path):
+    """Solvers and fits take all rows, not the first ids."""
+    from tallygrid.plans.inference_queries import QUERIES
+
+    parts = [(k, k % 50 + 1) for k in (1, 59, 60, 199, 200, 1999)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    rng = np.random.default_rng(3)
+    flags = lambda: "ANR"[rng.integers(3)]
+    lines = [(s, int(n), flags(), float(rng.integers(1, 50)), float(rng.random() / 10)) for s in (1, 40, 41, 90) for n in rng.integers(1, 8, 120)]
+    lines = [(k, *x) for k, x in enumerate(lines)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, k % 3) for k in (1, 40, 41, 90)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(k, 0) for k in range(3)], "n_nationkey long, n_regionkey long").write.parquet(str(tmp_path / "nation.parquet"))
+    assert {r.puzzle_id for r in QUERIES["solver_maze"](spark, str(tmp_path)).collect()} >= {199, 1999}
+    found = {}
+    for r in QUERIES["solver_arithmetic"](spark, str(tmp_path)).collect():
+        found.setdefault(r.p_partkey, []).append(r.expression)
+    solved = {k: solvers.arithmetic(tuple((k * (j + 3) + size * j) % 9 + 1 for j in range(4)), 24) for k, size in parts}
+    assert {k: sorted(v) for k, v in found.items()} == {k: v for k, v in solved.items() if v}
+    assert max(found) >= 60
+    for name in ("choice_logit", "source_logit"):
+        assert {r["items"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == {4}
