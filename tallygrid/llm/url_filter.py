@@ -28,9 +28,23 @@ from .common import flat, mixed, table
 #: (rule, verdict) of the query; fixed by its contract.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: Parameters of the training table: ordinary hosts against hosts of spam farms.
-GOOD_WORDS = ("news", "library", "school", "museum", "garden", "cooking", "travel", "science", "weather", "history", "music", "tionsh", "thther", "ththon", "therin")
-BAD_WORDS = ("cheap-pills", "spam-farm", "casino-win", "free-bonus", "adult-x", "loan-fast", "replica-watch", "click-here")
+#: Parameters of the training table: families of words, written down without the tables at hand; a host joins a first and a second word.
+GOOD_FAMILIES = (
+    (("city", "north", "river", "green", "old", "village"), ("library", "museum", "school", "garden", "church", "hospital")),
+    (("daily", "world", "local", "sunday", "open", "modern"), ("news", "journal", "science", "history", "weather", "review")),
+    (("home", "slow", "little", "family", "mountain", "coast"), ("cooking", "travel", "music", "bakery", "hotel", "photography")),
+    (("data", "cloud", "rust", "linux", "paper", "theory"), ("docs", "forum", "lab", "project", "engineering", "notes")),
+    (("north", "state", "public", "royal", "county", "national"), ("university", "council", "archive", "health", "theatre", "institute")),
+    (("bird", "ocean", "forest", "winter", "kitchen", "story"), ("watching", "society", "magazine", "club", "corner", "studio")),
+)
+BAD_FAMILIES = (
+    (("cheap", "online", "discount", "generic", "buy", "rx"), ("drugs", "pharmacy", "meds", "viagra", "tablets", "steroids")),
+    (("casino", "poker", "slots", "jackpot", "lucky", "vegas"), ("bonus", "lottery", "betting", "spins", "gambling", "roulette")),
+    (("adult", "xxx", "sexy", "hot", "nude", "webcam"), ("dating", "girls", "videos", "chat", "escort", "singles")),
+    (("fast", "payday", "instant", "easy", "quick", "cash"), ("loans", "credit", "money", "profit", "bitcoin", "income")),
+    (("replica", "fake", "luxury", "outlet", "wholesale", "designer"), ("watches", "handbags", "rolex", "sneakers", "sunglasses", "brands")),
+    (("free", "click", "promo", "gift", "traffic", "banner"), ("prizes", "giveaway", "clicks", "survey", "popup", "offers")),
+)
 
 N_BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
@@ -109,11 +123,14 @@ def _scores(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
 def training_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table of the query, made from its parameters: (url, label), label 1 for block."""
     rows = []
-    for words, label in ((GOOD_WORDS, 0), (BAD_WORDS, 1)):
-        for i, word in enumerate(words):
-            for j, top in enumerate(("com", "net")):
-                place = ("en", "fr", "de", "es")[(i + j) % 4]
-                rows.append((f"https://{('', 'www.', 'blog.')[(i + j) % 3]}{word}.example.{top}/{place}/{37 * i + 411 * j}", label))
+    for families, label in ((GOOD_FAMILIES, 0), (BAD_FAMILIES, 1)):
+        for f, (firsts, seconds) in enumerate(families):
+            for i, first in enumerate(firsts):
+                for j, second in enumerate(seconds):
+                    k = i + 2 * j + f
+                    name = (f"{first}-{second}", f"{first}{second}", f"{second}-{first}", first, second)[k % 5]
+                    place, top = ("en", "fr", "de", "es")[(i + j) % 4], ("com", "net")[(i + j // 2) % 2]
+                    rows.append((f"https://{('', 'www.', 'blog.')[(i + j) % 3]}{name}.example.{top}/{place}/{37 * i + 411 * j}", label))
     return spark.createDataFrame(rows, "url string, label int")
 
 

@@ -153,6 +153,20 @@ def test_url_verdicts(spark):
     assert none.count() == 0
 
 
+def test_url_hosts_kept_out(spark):
+    """Hosts that the model was not trained on are judged rightly for the most part."""
+    rows = url_filter.training_urls(spark).collect()
+    name = lambda u: brute_rule(u)[0]
+    out = [r for r in rows if zlib.crc32(name(r.url).encode()) % 4 == 0]
+    rest = spark.createDataFrame([r for r in rows if zlib.crc32(name(r.url).encode()) % 4], "url string, label int")
+    assert len(out) > 50
+    pages = spark.createDataFrame([(k, r.url) for k, r in enumerate(out)], "page_id long, url string")
+    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(pages, rest, ()).collect()}
+    right = {x: [got[k] == bool(x) for k, r in enumerate(out) if r.label == x] for x in (0, 1)}
+    print("kept out", {x: (sum(v), len(v)) for x, v in right.items()})
+    assert all(sum(v) >= 0.7 * len(v) for v in right.values())
+
+
 def test_substring_removal(spark, rows, docs):
     first = {}
     for i, t in rows:
