@@ -18,10 +18,14 @@ from .common import chunk_count, keyed
 
 
 def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) and the number of chunks."""
+    """(chunk, doc_id, text) and the number of chunks.
+
+    Rows that are equal in id and text differ in the input partition at best, so
+    of them a chunk gets no more than one partition has.
+    """
     n = chunk_count(docs)
     narrow = keyed(docs)
-    return narrow.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
+    return narrow.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
 
 
 def block_count(n_chunks: int) -> int:
@@ -39,17 +43,25 @@ _TOP = 0xFFFF
 
 
 def packed(sorted_numbers: np.ndarray) -> bytes:
-    """Ascending numbers as 16-bit steps; a step of 65535 or more is written in several."""
+    """Ascending numbers below 2^32 as steps of two bytes, a step of 65535 or more in several, or of four, whichever is shorter.
+
+    An odd length tells the four bytes: they are followed by one more byte.
+    """
     steps = np.diff(sorted_numbers.astype(np.int64), prepend=0)
-    if not len(steps) or steps.max() < _TOP:
-        return steps.astype("<u2").tobytes()
     full = steps // _TOP
-    out = np.full(int(full.sum()) + len(steps), _TOP, np.int64)
+    extra = int(full.sum())
+    if extra > len(steps):
+        return steps.astype("<u4").tobytes() + b"\0"
+    if not extra:
+        return steps.astype("<u2").tobytes()
+    out = np.full(extra + len(steps), _TOP, np.int64)
     out[np.cumsum(full + 1) - 1] = steps % _TOP
     return out.astype("<u2").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
+    if len(data) % 2:
+        return np.cumsum(np.frombuffer(data, "<u4", len(data) // 4).astype(np.int64))
     steps = np.frombuffer(data, "<u2").astype(np.int64)
     return np.cumsum(steps)[steps < _TOP]
 

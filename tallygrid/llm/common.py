@@ -9,7 +9,6 @@ are 64-bit and computed with numpy over the buffer, never per Python object.
 from __future__ import annotations
 
 import contextlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; the temporaries take some forty times as much.
 SLICE_BYTES = 1 << 20
+#: Text of a chunk, and the size of a corpus from which on chunks grow.
+CHUNK_BYTES = 7 << 19
+LARGE_BYTES = 64 << 30
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,13 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of ``spark.checkpoint.dir`` (a local one only where none is set)."""
-    context = df.sparkSession.sparkContext
+    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``, or one in the warehouse where none is set."""
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(os.path.abspath("spark-warehouse"), "checkpoints"))
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     return df.checkpoint()
 
 
+def boxed(df: DataFrame, name: str = "row") -> DataFrame:
+    """All columns in one struct, so that no name of theirs can clash with one that is added."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """At most n rows in an Arrow batch of what is run inside."""
@@ -52,16 +59,20 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the input files: no job.  Plans without statistics count as 1 GB."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 56 else 1 << 30
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """UTF-8 bytes of all texts, measured by one pass over that column."""
+    return int(df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0)
+
 
+def chunk_count(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
+    """Into how many chunks a corpus is dealt so that one holds about ``chunk_bytes`` of text, and each shuffle task some.
 
-def chunk_count(df: DataFrame, chunk_bytes: int = 2 << 20) -> int:
-    """Into how many chunks a corpus is dealt so that one holds about ``chunk_bytes`` of files, and each shuffle task some."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * tasks, estimated_bytes(df) // chunk_bytes)
+    Chunks exchange messages with blocks, of which there are a quarter as many.  Beyond
+    ``LARGE_BYTES`` of text a chunk grows with the square root of the corpus, so
+    that the number of messages stays in proportion to the corpus.
+    """
+    tasks, total = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(df)
+    return max(2 * tasks, int(total / (chunk_bytes * max(1.0, (total / LARGE_BYTES) ** 0.5))))
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

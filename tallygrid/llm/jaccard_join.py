@@ -1,49 +1,53 @@
 """Exact Jaccard similarity join of documents' shingle sets, to connected components.
 
 The Jaccard distance ``d`` is a metric, and the join uses it as one: documents
-gather in Voronoi regions around pivots, the triangle inequality says which
-regions and which of their boundary documents can reach each other, and only
-those are joined, region by region.  Taken alone, pivots cannot divide a text
-corpus: a document that shares no shingle with a pivot is at distance exactly
-1 from it, and nearly every pair is.  So the places where a region may meet
-another are found by prefix shingles, which is exact as well: with shingles in
-one global order, two linked documents share one of the first
-``n - ceil(t n) + 1`` of their ``n``.
+gather in Voronoi regions around pivots, and the triangle inequality says in
+which windows of distance from the pivot two linked documents can lie.  Taken
+alone, pivots cannot divide a text corpus: a document that shares no shingle
+with a pivot is at distance exactly 1 from it, and nearly every pair is.  So
+the places where documents may meet are found by prefix shingles, which is
+exact as well: with shingles in one global order, two linked documents share
+one of the first ``n - ceil(t n) + 1`` of their ``n``; and if their first
+common shingle has ``i`` and ``j`` others before it, their sets differ in
+``i + j`` shingles at least, of the share ``(1-t)/(1+t)`` of their sizes that
+linked sets may differ in.
 
 1. The order is rarest first.  Document frequencies come from merged count
    sketches, as in substring deduplication: chunks send cells and counts,
-   blocks add up and answer.  Any order gives right results; and as counts are never too
-   low, a shingle counted once has no partner and is dropped.
-2. In each chunk, documents in turn join the nearest pivot within ``1 - t``
-   that shares a prefix shingle with them, or else become pivots.  A
-   region's radius is its largest such distance.  Every prefix shingle of a
-   region's documents goes to its block once for each region, not document.
-3. Blocks group by shingle: regions that share one may meet, if the shingles
-   that come before it in both leave room.  Twice each is
-   compared with a single one that it met (stars, so a group of copies costs
-   its size, not its square), and components are formed.
-4. Then pairs of regions of *different* components that share a shingle are
-   compared by their pivots, unless both were compared with one centre and
-   their distances from it differ by more than ``radius + radius + (1-t)``,
-   or the parity bits of their sets show a larger distance (both in the join's
-   condition, so such pairs are never made).
-   Beyond that distance two regions cannot link; otherwise their boundary
-   documents, those ``x``, ``y`` with ``d(x,p) + d(y,q) >= d(p,q) - (1-t)``, are
-   compared one by one.  Regions are parts of a chunk, so their size is bounded.
+   blocks add up and answer.  Any order gives right results; and as counts are
+   never too low, a shingle counted once has no partner and is dropped.
+2. Of equal sets in a chunk, one sends its prefix shingles with their places to
+   blocks, which keep those that several have and whose places leave room.
+3. A shingle's first document, by place, is a pivot.  Each document is compared
+   with the pivot it shares most prefix shingles with, and so has a region and
+   its distance ``off`` from the region's pivot.  Those within ``1-t`` link with
+   it: a group of copies costs its size, not its square.
+4. The regions, merged by these links, join again: each document is compared
+   with one pivot that it met in another component.
+5. Documents of *different* components that share a prefix shingle join exactly.
+   The join's key is the shingle, the region and a ring of width ``1-t`` in
+   ``off``, a document being copied to each ring that its window
+   ``off +- (1-t)`` reaches; for documents of two regions, the shingle alone.
+   A pair's lesser place is below half the room, so of each shingle's documents
+   those with a larger one (the followers) meet leaders only.  Places, ring and
+   component are conditions of the join, so other pairs are never made.
 
 Every comparison is of whole sets of 64-bit shingle hashes.  Documents of no
 words link with nothing; those with fewer words than a shingle have their whole
-word sequence as one.
+word sequence as one.  Links within a component that its other links make
+known are not looked for: the result is components, not all pairs.
 
 Defined results: null texts are empty; rows with a null ``doc_id`` take part
 and get the least id of their component, or null; rows with one ``doc_id`` are
-separate documents; an empty table gives no rows; other columns are ignored by
-:func:`similar_components` and kept by :func:`without_copies`.
+separate documents; ties of place or distance go to the least node; very long
+texts are one set like others; an empty table gives no rows; other columns are
+ignored by :func:`similar_components` and kept, whatever their names, by
+:func:`without_copies`.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +56,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import block_count, by_block, dealt, in_order, packed, unpacked
-from .common import arrow_rows, checkpointed, flat, lowered, slices, table, window_hashes, word_hashes, words
+from .common import arrow_rows, boxed, checkpointed, flat, lowered, slices, table, window_hashes, word_hashes, words
 from .components import components
 
 CELL_BITS = 26
@@ -60,9 +64,9 @@ _MOST = 0xFFFF
 
 _SENT = "block int, chunk int, n int, keys binary, counts binary"
 _ANSWER = "chunk int, block int, n int, counts binary"
-#: kind 0: prefix shingles of regions for a block; kind 1: a document.
-_FOUND = "kind int, block int, node long, doc_id long, crc long, bytes long, size long, pivot long, distance double, active boolean, shingles binary, pivots binary, places binary, sizes binary, bits array<bigint>"
-_MET = "shingle long, pivot long, first long, place long, most long"
+#: kind 0: prefix shingles of documents for a block; kind 1: a document.
+_FOUND = "kind int, block int, node long, doc_id long, print string, size long, twin long, active boolean, shingles binary, nodes binary, places binary, sizes binary"
+_MET = "shingle long, node long, first long, place int, size int"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -88,7 +92,7 @@ class _Chunk:
     def __init__(self, rows: pa.RecordBatch, size: int, n_blocks: int):
         self.ids = rows.column("doc_id").to_pylist()
         texts = [x or b"" for x in rows.column("text").cast(pa.large_binary()).to_pylist()]
-        self.marks = [(zlib.crc32(x), len(x)) for x in texts]
+        self.prints = [hashlib.md5(x).hexdigest() for x in texts]
         self.sets: list[np.ndarray] = []
         for part in slices(rows, "text"):
             self.sets += shingle_sets(*flat(part.column("text")), size)
@@ -101,7 +105,7 @@ class _Chunk:
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
     fields = [c.split() for c in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
     return pa.Table.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
@@ -115,28 +119,6 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """Bits that say which of 4 to 8 cells a shingle are hit an odd number of times, as 64-bit words.
-
-    Two sets differ in at least as many shingles as their bits differ.
-    """
-    n = max(64, 1 << (4 * len(shingles)).bit_length())
-    odd = np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64)
-
-
-def _differing(a: Column, b: Column) -> Column:
-    """Differing bits of two parities; the longer is folded once if it has twice the cells, else nothing is said (0)."""
-    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, F.size(x)), lambda p, q: p.bitwiseXOR(q))
-    count = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-    return (
-        F.when(F.size(a) == F.size(b), count(a, b))
-        .when(F.size(a) == 2 * F.size(b), count(half(a), b))
-        .when(F.size(b) == 2 * F.size(a), count(a, half(b)))
-        .otherwise(0)
-    )
-
-
 def _frequencies(docs_by_chunk, size: int, n_blocks: int) -> DataFrame:
     """Answers to the chunks: documents counted in each of their cells."""
     mask = np.uint64((1 << CELL_BITS) - 1)
@@ -156,85 +138,60 @@ def _frequencies(docs_by_chunk, size: int, n_blocks: int) -> DataFrame:
     return docs_by_chunk.applyInArrow(sketch, _SENT).groupBy("block").applyInArrow(merge, _ANSWER)
 
 
-def _regions(chunk: _Chunk, frequency: np.ndarray, number: int, percent: int, n_blocks: int) -> pa.Table:
-    """Pivots, regions and the prefix shingles that others may share."""
+def _placed_prefixes(chunk: _Chunk, frequency: np.ndarray, number: int, percent: int, n_blocks: int) -> pa.Table:
+    """The documents, and the prefix shingles that others may share, with the number of shingles before each."""
     least = frequency[chunk.inverse]  # of each document's shingles, in the order of chunk.all
-    ends = np.cumsum(chunk.sizes)
-    prefixes: list[np.ndarray] = []
-    places: list[np.ndarray] = []
+    ends, first = np.cumsum(chunk.sizes), number << 32
+    same: dict[bytes, int] = {}
+    rows: list[tuple] = []
+    shingles, nodes, places, sizes = ([] for _ in range(4))
     for k, s in enumerate(chunk.sets):
-        own = least[ends[k] - len(s) : ends[k]]
-        keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-        order = np.lexsort((s, own))[:keep]
-        prefixes.append(s[order[own[order] > 1]])
-        places.append(np.flatnonzero(own[order] > 1))  # how many shingles come before, those of no other document included
-    first = number << 32
-    home = list(range(len(chunk.sets)))
-    distance = np.zeros(len(chunk.sets))
-    pivots_with: dict[int, list[int]] = {}
-    entries: dict[tuple[int, int], int] = {}
-    shared = _in_several(prefixes)
-    for k, prefix in enumerate(prefixes):
-        local = prefix[np.isin(prefix, shared)].tolist() if len(shared) else []
-        near, best = k, 2.0
-        for p in sorted({p for t in local for p in pivots_with.get(t, ())}):
-            both = _shared(chunk.sets[k], chunk.sets[p])
-            union = len(chunk.sets[k]) + len(chunk.sets[p]) - both
-            if 100 * both >= percent * union and (apart := 1 - both / union) < best:
-                near, best = p, apart
-        if near != k:
-            home[k], distance[k] = near, best
-        for t in local:
-            known = pivots_with.setdefault(t, [])
-            if near not in known:
-                known.append(near)
-        for t, at in zip(prefix.tolist(), places[k].tolist(), strict=True):
-            entries[t, near] = min(at, entries.get((t, near), at))
-    rows = [(1, None, first + k, chunk.ids[k], *chunk.marks[k], int(chunk.sizes[k]), first + home[k], float(distance[k]), len(prefixes[k]) > 0, chunk.sets[k].tobytes() if len(prefixes[k]) else None, None, None, None, parity(chunk.sets[k]) if len(prefixes[k]) else None) for k in range(len(chunk.sets))]
-    if entries:
-        pairs = np.array([(t, p, at) for (t, p), at in sorted(entries.items())], dtype=[("t", np.uint64), ("p", np.int64), ("at", np.int64)])
-        most = np.zeros(len(home), np.int64)
-        np.maximum.at(most, home, chunk.sizes)
-        block = pairs["t"] % np.uint64(n_blocks)
-        order = np.argsort(block, kind="stable")
+        whole = s.tobytes()
+        twin = same.setdefault(whole, k) if len(s) else k
+        kept = 0
+        if twin == k and len(s):
+            own = least[ends[k] - len(s) : ends[k]]
+            prefix = np.lexsort((s, own))[: len(s) - -(-percent * len(s) // 100) + 1]
+            at = np.flatnonzero(own[prefix] > 1)
+            if kept := len(at):
+                shingles.append(s[prefix[at]])
+                places.append(at)
+                nodes.append(np.full(kept, first + k))
+                sizes.append(np.full(kept, len(s)))
+        rows.append((1, None, first + k, chunk.ids[k], chunk.prints[k], len(s), first + twin, kept > 0, whole if kept else None, None, None, None))
+    if shingles:
+        t, node, place, size = np.concatenate(shingles), np.concatenate(nodes), np.concatenate(places).astype("<i4"), np.concatenate(sizes).astype("<i4")
+        block = t % np.uint64(n_blocks)
+        order = np.lexsort((t, block))
         for b, s, e in by_block(block[order]):
             at = order[s:e]
-            rows.append((0, b, None, None, None, None, None, None, None, None, pairs["t"][at].tobytes(), (pairs["p"][at] + first).tobytes(), pairs["at"][at].tobytes(), most[pairs["p"][at]].tobytes(), None))
+            rows.append((0, b, None, None, None, None, None, None, t[at].tobytes(), node[at].tobytes(), place[at].tobytes(), size[at].tobytes()))
     return _table(_FOUND, rows)
 
 
-def _in_several(prefixes: list[np.ndarray]) -> np.ndarray:
-    """The shingles that several of a chunk's prefixes have."""
-    every = np.sort(np.concatenate(prefixes)) if prefixes else np.zeros(0, np.uint64)
-    return np.unique(every[1:][every[1:] == every[:-1]])
-
-
 def _met(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """Of one block: the regions of each shingle that several have, and the first of them.
+    """Of one block: the documents of each shingle that several have, and the first of them by place.
 
-    If a shingle is the first, in the common order, that two documents share, none of those
-    before it in either is shared; so they differ in as many, which may be no more than
-    ``share`` of their sizes.  Regions for which no other can meet that are left out.
+    Documents for which the places leave room for no other are left out.
     """
-    parts: dict[str, list[np.ndarray]] = {c: [] for c in ("shingles", "pivots", "places", "sizes")}
+    types = {"shingles": np.uint64, "nodes": np.int64, "places": "<i4", "sizes": "<i4"}
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in types}
     for batch in batches:
         for c, found in parts.items():
-            found += [np.frombuffer(x, np.uint64 if c == "shingles" else np.int64) for x in batch.column(c).to_pylist()]
-    t, p, place, most = (np.concatenate(found) for found in parts.values())
+            found += [np.frombuffer(x, types[c]) for x in batch.column(c).to_pylist()]
+    t, p, place, size = (np.concatenate(found) for found in parts.values())
     order = np.lexsort((p, place, t))
-    t, p, place, most = (x[order] for x in (t, p, place, most))
+    t, p, place, size = (x[order] for x in (t, p, place, size))
     start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
     run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(t))))
-    second = np.append(place, 1 << 40)[start + 1]  # only of use where the run has a second
+    second = np.append(place, 1 << 30)[start + 1]  # only of use where the run has a second
     other = np.where(np.arange(len(t)) == start[run], second[run], place[start][run])
-    keep = (np.bincount(run)[run] > 1) & (place + other <= share * (most + np.maximum.reduceat(most, start)[run]) + 1e-9)
-    t, p, place, most = (x[keep] for x in (t, p, place, most))
-    order = np.lexsort((p, t))
-    t, p, place, most = (x[order] for x in (t, p, place, most))
+    keep = (np.bincount(run)[run] > 1) & (place + other.astype(np.int64) <= share * (size + np.maximum.reduceat(size, start)[run].astype(np.int64)) + 1e-9)
+    t, p, place, size = (x[keep] for x in (t, p, place, size))
     new = np.concatenate(([True], t[1:] != t[:-1])) if len(t) else np.zeros(0, bool)
     run = np.cumsum(new) - 1
     several = np.bincount(run, minlength=1)[run] > 1 if len(t) else new
-    columns = [t.view(np.int64), p, p[new][run] if len(t) else p, place, most]
+    columns = [t.view(np.int64), p, p[new][run] if len(t) else p, place, size]
     yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in columns], [c.split()[0] for c in _MET.split(", ")])
 
 
@@ -256,91 +213,82 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links_and_documents(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) links enough for the components, and the documents: node, doc_id, size, pivot."""
+    """(a, b) links enough for the components, and the documents: node, doc_id, print, size."""
     rows, n_chunks = dealt(docs)
     n_blocks = block_count(n_chunks)
     chunks = rows.groupBy("chunk")
 
-    def regions(key: tuple[pa.Scalar, ...], own: pa.Table, answers: pa.Table) -> pa.Table:
+    def placed(key: tuple[pa.Scalar, ...], own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
             return _table(_FOUND, [])
         chunk = _Chunk(in_order(own), size, n_blocks)
         known = {b: np.frombuffer(c, "<u2") for b, c in zip(answers.column("block").to_pylist(), answers.column("counts").to_pylist(), strict=True)}
         frequency = np.concatenate([known[b] for b, _, _ in chunk.blocks]) if chunk.blocks else np.zeros(0, "<u2")
-        return _regions(chunk, frequency, key[0].as_py(), percent, n_blocks)
+        return _placed_prefixes(chunk, frequency, key[0].as_py(), percent, n_blocks)
 
-    found = checkpointed(chunks.cogroup(_frequencies(chunks, size, n_blocks).groupBy("chunk")).applyInArrow(regions, _FOUND))
-    documents = found.filter("kind = 1").select("node", "doc_id", "crc", "bytes", "size", "pivot", "distance")
+    found = checkpointed(chunks.cogroup(_frequencies(chunks, size, n_blocks).groupBy("chunk")).applyInArrow(placed, _FOUND))
+    documents = found.filter("kind = 1").select("node", "doc_id", "print", "size", "twin")
     sets = found.filter("kind = 1 and active").select("node", "shingles")
-
     share = (100 - percent) / (100 + percent)
 
     def met(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _met(batches, share)
 
-    groups = checkpointed(found.filter("kind = 0").select("block", "shingles", "pivots", "places", "sizes").groupBy("block").applyInArrow(met, _MET))
-    inside = documents.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    slack = 1 - percent / 100 + 1e-9
+    groups = checkpointed(found.filter("kind = 0").select("block", "shingles", "nodes", "places", "sizes").groupBy("block").applyInArrow(met, _MET))
+    equal = documents.filter("node != twin").select(F.col("node").alias("a"), F.col("twin").alias("b"))
 
-    # Two stars: each region against one that it met, then against one it met in another component.
-    first_star = _tested(groups.filter("pivot != first").groupBy(F.col("pivot").alias("b")).agg(F.min("first").alias("a")), sets, percent)
-    label = components(first_star.filter("linked"))
+    # Regions: each document and the pivot it shares most prefix shingles with.
+    shared = groups.filter("node != first").groupBy(F.col("node").alias("b"), F.col("first").alias("a")).agg(F.count("*").alias("n"))
+    regions = _tested(shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")), sets, percent)
+    label = components(regions.filter("linked"))
+    # Once more across components: a pivot met in another one.
     heads = label.select(F.col("node").alias("first"), F.col("component").alias("head"))
     other = _labelled(groups, label).join(heads, "first", "left").filter(F.coalesce("head", "first") != F.col("component"))
-    second = other.groupBy(F.col("pivot").alias("b")).agg(F.max("first").alias("a")).join(first_star, ["a", "b"], "left_anti")
-    second_star = _tested(second, sets, percent)
-    tested = first_star.unionAll(second_star)
+    second = _tested(other.groupBy(F.col("node").alias("b")).agg(F.max("first").alias("a")).join(regions, ["a", "b"], "left_anti"), sets, percent)
+    tested = regions.unionAll(second)
 
-    # Regions of different components that share a shingle, unless their distances to one star's centre say no.
     label = components(tested.filter("linked"))
-    centred = first_star.select(F.col("b").alias("pivot"), F.col("a").alias("centre"), F.col("apart").alias("off"))
-    radius = documents.filter("node != pivot").groupBy("pivot").agg(F.max("distance").alias("radius"))
-    placed = _labelled(groups, label).join(centred, "pivot", "left").join(radius, "pivot", "left")
-    placed = placed.select("shingle", "pivot", "component", F.coalesce("centre", "pivot").alias("centre"), F.coalesce("off", F.lit(0.0)).alias("off"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
-    marks = found.filter("kind = 1 and active").select(F.col("node").alias("pivot"), "size", "bits")
-    sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("shingle").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("largest")).filter("kinds > 1").select("shingle", "largest")
-    placed = checkpointed(placed.join(largest, "shingle"))
-    shared = placed.groupBy("pivot").agg(F.collect_list("shingle").alias("shared"))
-    placed = placed.join(marks.join(shared, "pivot"), "pivot")
-    parts = ("pivot", "component", "centre", "off", "radius", "size", "bits", "shared")
-    one = placed.filter("component != largest").select("shingle", *[F.col(c).alias(f"{c}1") for c in parts])
-    two = placed.select("shingle", *[F.col(c).alias(f"{c}2") for c in parts])
-    reach = F.least(F.lit(1.0), slack + F.col("radius1") + F.col("radius2"))
-    windows = (F.col("centre1") != F.col("centre2")) | (F.abs(F.col("off1") - F.col("off2")) <= reach)
-    # Sets at a distance d differ in d / (2 - d) of the sum of their sizes.
-    close = _differing(F.col("bits1"), F.col("bits2")) <= reach / (2 - reach) * (F.col("size1") + F.col("size2"))
-    # Of the shingles that a pair shares, the least makes it, so that it is made once.
-    once = F.array_min(F.array_intersect("shared1", "shared2")) == F.col("shingle")
-    may_meet = (F.col("component1") != F.col("component2")) & windows & close & once
-    met = one.join(two, "shingle").filter(may_meet).select(F.least("pivot1", "pivot2").alias("a"), F.greatest("pivot1", "pivot2").alias("b"))
-    met = _tested(met.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
-
-    # Boundary documents of regions that the triangle inequality leaves, where the regions are still apart.
-    label = components(tested.unionAll(met).filter("linked"))
-    apart = tested.unionAll(met).filter("not linked").select("a", "b", "apart")
-    for n in "ab":
-        apart = apart.join(radius.select(F.col("pivot").alias(n), F.col("radius").alias(f"r{n}")), n, "left").fillna(0.0, [f"r{n}"])
-        apart = apart.join(label.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")), n, "left").withColumn(f"c{n}", F.coalesce(f"c{n}", n))
-    near = apart.filter((F.col("ca") != F.col("cb")) & (F.col("ra") + F.col("rb") > 0) & (F.col("apart") <= F.col("ra") + F.col("rb") + slack))
-    inner = documents.select("node", "pivot", "distance").join(marks.withColumnRenamed("pivot", "node"), "node")
-    for n in "ab":
-        members = inner.select(F.col("pivot").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("node", "distance", "size", "bits")])
-        meets = F.col("distance_a") + F.col("rb") >= F.col("apart") - slack
-        if n == "b":
-            differing = _differing(F.col("bits_a"), F.col("bits_b")) <= slack / (2 - slack) * (F.col("size_a") + F.col("size_b"))
-            meets = (F.col("distance_a") + F.col("distance_b") >= F.col("apart") - slack) & ((F.col("node_a") != F.col("a")) | (F.col("node_b") != members["b"])) & differing
-        near = near.join(members, (near[n] == members[n]) & meets).drop(members[n])
-    crossing = _tested(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, percent)
-    links = inside
-    for found in (tested, met, crossing):
-        links = links.unionAll(found.filter("linked").select("a", "b"))
-    return links, documents
+    pairs = _crossing(_labelled(groups, label).join(regions.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("apart").alias("off")), "node", "left"), percent)
+    crossing = _tested(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
+    return equal.unionAll(tested.unionAll(crossing).filter("linked").select("a", "b")), documents
+
+
+def _crossing(placed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different components whose places, sizes and distances from a common pivot let them link.
+
+    Columns shingle, node, place, size, component, pivot and off; a pivot without a region is its own.
+    """
+    slack, most = (100 - percent) / 100 + 1e-9, (100 - percent) / (100 + percent)
+    kinds = placed.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    kinds = kinds.groupBy("shingle").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("largest")).filter("kinds > 1").select("shingle", "largest")
+    ring = F.floor(F.coalesce("off", F.lit(0.0)) / slack).cast("int")
+    placed = placed.join(kinds, "shingle").select(
+        "shingle", "node", "place", "size", "component", "largest",
+        F.coalesce("pivot", "node").alias("pivot"), F.coalesce("off", F.lit(0.0)).alias("off"), ring.alias("ring"),
+        (F.col("place") <= most * F.col("size") * (1 + 100 / percent) / 2 + 1e-9).alias("leader"),
+    )
+    parts = ("node", "place", "size", "component", "pivot", "off", "leader")
+    # The home ring on one side, all rings of the window on the other; -1 stands for other regions.
+    cell = lambda pivot, ring: F.struct(F.lit(pivot).alias("pivot") if pivot == -1 else F.col(pivot).alias("pivot"), ring.alias("ring"))
+    nowhere = cell(-1, F.lit(0))
+    rings = F.transform(F.sequence(F.greatest(F.lit(0), F.floor((F.col("off") - slack) / slack)).cast("int"), F.floor((F.col("off") + slack) / slack).cast("int")), lambda r: cell("pivot", r))
+    one = placed.filter("component != largest").select("shingle", F.explode(F.array(cell("pivot", F.col("ring")), nowhere)).alias("cell"), F.when(F.col("leader"), 0).otherwise(1).alias("among"), *[F.col(c).alias(f"{c}1") for c in parts])
+    sides = F.when(F.col("leader"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    two = placed.select("shingle", F.explode(F.concat(rings, F.array(nowhere))).alias("cell"), sides.alias("sides"), *[F.col(c).alias(f"{c}2") for c in parts])
+    two = two.select("shingle", "cell", F.explode("sides").alias("among"), *[f"{c}2" for c in parts])
+    sizes = F.col("size1") + F.col("size2")
+    may_link = (
+        (F.col("component1") != F.col("component2"))
+        & F.when(F.col("cell.pivot") == -1, F.col("pivot1") != F.col("pivot2")).otherwise(F.abs(F.col("off1") - F.col("off2")) <= slack)
+        & (F.col("place1") + F.col("place2") <= most * sizes + 1e-9)
+        & ((100 + percent) * F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2")) >= percent * sizes)
+    )
+    return one.join(two, ["shingle", "cell", "among"]).filter(may_link).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def _labelled(groups: DataFrame, label: DataFrame) -> DataFrame:
-    """Adds the regions' components."""
-    return groups.join(label.withColumnRenamed("node", "pivot"), "pivot", "left").withColumn("component", F.coalesce("component", "pivot"))
+    """Adds the documents' components."""
+    return groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -366,25 +314,25 @@ def similar_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component: the one with the least ``doc_id`` (null comes last).
 
-    Documents are told apart by id and text, so a row repeated as it is stays once, too.
-    Texts of no words are alike to none and all stay.
+    Documents are told apart by id and a 128-bit digest of the text, so a row repeated as it is
+    stays once, too.  Texts of no words are alike to none and all stay.
     """
     placed = checkpointed(_placed(docs, size, percent))
-    own = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "crc", "bytes")
+    own = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "print")
     kept = placed.groupBy("component").agg(F.min(own).alias("kept"))
-    extra = placed.join(kept, "component").filter(~own.eqNullSafe(F.col("kept"))).select("doc_id", "crc", "bytes").distinct()
-    repeated = placed.filter("size > 0").groupBy("doc_id", "crc", "bytes").count().filter("count > 1").drop("count")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_crc": F.crc32(F.encode(text, "UTF-8")), "_bytes": F.octet_length(text).cast("long")})
+    extra = placed.join(kept, "component").filter(~own.eqNullSafe(F.col("kept"))).select("doc_id", "print").distinct()
+    repeated = placed.filter("size > 0").groupBy("doc_id", "print").count().filter("count > 1").drop("count")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = boxed(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "own": F.md5(F.encode(text, "UTF-8"))})
 
-    def same(keys: DataFrame):
-        return rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["_crc"] == keys["crc"]) & (rows["_bytes"] == keys["bytes"])
+    def same(keys: DataFrame) -> Column:
+        return rows["id"].eqNullSafe(keys["doc_id"]) & (rows["own"] == keys["print"])
 
     rows = rows.join(extra, same(extra), "left_anti")
     if not repeated.isEmpty():
-        once = rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_crc", "_bytes"])
+        once = rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["id", "own"])
         rows = rows.join(repeated, same(repeated), "left_anti").unionByName(once)
-    return rows.select(*docs.columns)
+    return rows.select("row.*")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
