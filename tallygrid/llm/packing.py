@@ -16,15 +16,19 @@ lengths are powers of two, which need no padding.
 Sequence ids are the task's partition in the high bits and a counter in the
 low 40: unique without coordination and the same when a task runs again.
 
+Words of one 64-bit hash count as one word when ids are looked up.
+
 Defined results: a null text is empty; an empty document is its end id alone; repeated
-rows and null ``doc_id`` are packed like any other row; an empty table gives no
-rows; other columns are ignored.
+rows and null ``doc_id`` are packed like any other row; a very long text is cut
+into many pieces; of pieces with the same dot product the first in the pool
+goes in; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import sys
 import types
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import keyed, slices, table
+from .common import _SPACE, flat, keyed, lowered, slices, table, word_hashes
 
 SEQUENCE = 2048
 MAX_SEGMENTS = 128
@@ -192,6 +196,8 @@ class Merger:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([vocabulary[a + b] for a, b in merges], np.int32)
+        left, right = np.repeat(self.inner, 256), np.stack((np.tile(self.inner, 256), np.tile(self.last, 256)))
+        self.bytes = np.stack([self._rank(left, r).reshape(256, 256) for r in right])
 
     @classmethod
     def of(cls, tokenizer: dict) -> Merger | None:
@@ -207,8 +213,7 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], self.NEVER)
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        data = [w.encode() for w in words]
+    def encode(self, data: list[bytes]) -> list[bytes]:
         order = sorted(range(len(data)), key=lambda k: len(data[k]))
         out: list[bytes] = [b""] * len(data)
         for at in range(0, len(order), 4096):
@@ -223,10 +228,16 @@ class Merger:
         # One column more than needed, so that each pair has a right-hand side; -1 is no id.
         ids = np.full((len(data), width + 1), -1, np.int32)
         flat = np.frombuffer(b"".join(data), np.uint8)
-        row = np.repeat(np.arange(len(data)), sizes)
-        ids[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = self.inner[flat]
-        ids[np.arange(len(data)), sizes - 1] = self.last[[x[-1] for x in data]]
-        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        row, column = np.repeat(np.arange(len(data)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids[row, column] = self.inner[flat]
+        finish = np.cumsum(sizes) - 1
+        ids[np.arange(len(data)), sizes - 1] = self.last[flat[finish]]
+        # Pairs of bytes have their ranks in a table, by whether the second ends the word.
+        ranks = np.full((len(data), width), self.NEVER, np.int32)
+        ended = np.zeros(len(flat), np.int64)
+        ended[finish] = 1
+        pair = np.flatnonzero(np.diff(row, append=-1) == 0)
+        ranks[row[pair], column[pair]] = self.bytes[ended[pair + 1], flat[pair], flat[pair + 1]]
         todo, done, columns = np.arange(len(data)), np.full_like(ids, -1), np.arange(width + 1)
         while len(todo):
             at = ranks.argmin(1)
@@ -250,24 +261,43 @@ class Merger:
         return [whole[e - 4 * c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
-_TAILS = frozenset(".,")
+# The normaliser and pre-tokenizer under which a text's ids are its words' ids in a row, whatever the case.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_words(tokenizer: dict) -> bool:
+    """Whether the tokenizer lower-cases, splits at white space, and splits off a mark after a letter."""
+    steps = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first, rest = steps[0], steps[1:]
+    return (
+        tokenizer.get("normalizer") == _NORMALIZER
+        and first.get("type") == "Split" and first.get("pattern") == {"Regex": _SPLITTER} and first.get("behavior") == "Removed" and first.get("invert") is True
+        and [(s.get("type"), s.get("add_prefix_space"), s.get("use_regex")) for s in rest] == [("ByteLevel", False, False)]
+        and all(t["content"].startswith("<|") and not t.get("normalized") for t in tokenizer.get("added_tokens") or [])
+    )
+
+
+#: Kinds of bytes between which the splitter always splits: small letters, marks but the apostrophe, digits (which stand alone); 0 for all others.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127], _KIND[39] = 2, 0
+_KIND[97:123], _KIND[48:58] = 1, 3
+_LETTERS_AND_MARKS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
 
 
-def _parts(word: str) -> tuple[str, str]:
-    """A word with the same ids that more words share, and a mark that the tokenizer splits off: case and one mark after a letter, where plain to see."""
-    try:
-        word.encode("latin-1")
-    except UnicodeEncodeError:
-        return word, ""
-    if "<|" in word:  # may be a special token, whose case counts
-        return word, ""
-    if len(word) > 1 and word[-1] in _TAILS and word[-2].isalpha():
-        return word[:-1].lower(), word[-1]
-    return word.lower(), ""
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of the parts of words in lower-cased texts, and the number of parts before each text."""
+    kind, solid = _KIND[data], ~_SPACE[data]
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = ~solid[:-1] | ((kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 3)))
+    cut[offsets] = True
+    starts = np.flatnonzero(solid & cut[:-1])
+    ends = np.flatnonzero(solid & (cut[1:] | np.append(~solid[1:], True))) + 1 if len(data) else starts
+    return starts, ends - starts, np.searchsorted(starts, offsets)
 
 
 class WordIds:
-    """Token ids of texts, with the ids of words kept: the tokenizer splits at white space, so a text's ids are its words' ids in a row."""
+    """Token ids of texts.  Where the tokenizer splits at words, the ids of distinct words are kept and texts are put together from them; else it takes whole texts."""
 
     tried = False
 
@@ -275,9 +305,12 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.merger = Merger.of(json.load(f))
+            what = json.load(f)
+        self.by_word = splits_at_words(what)
+        self.merger = Merger.of(what) if self.by_word else None
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -287,35 +320,77 @@ class WordIds:
             kept[path] = cls(path)
         return kept[path]
 
-    def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0100"] if self.merger else []
-        if plain:
-            if not self.tried:  # the merger has to agree with the tokenizer before it is trusted
-                self.tried = True
-                sample = plain[:300]
-                if self._encoded(sample) != self.merger.encode(sample):
-                    self.merger, plain = None, []
-            self.known.update(zip(plain, self.merger.encode(plain) if plain else [], strict=True))
-        some = list(words.difference(plain))
-        self.known.update(zip(some, self._encoded(some), strict=True))
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}  # hash of a word to its place
+        self.ids, self.begin, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         out = []
-        for at in range(0, len(words), 10_000):
-            found = self.tokenizer.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False)
+        for at in range(0, len(texts), 10_000):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False)
             out += [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+    def _learn(self, hashes: list[int], fresh: list[bytes], small: np.ndarray) -> None:
+        """Keeps the ids of words; ``small`` marks those of a-z alone."""
+        found: list[bytes] = [b""] * len(fresh)
+        plain, others = np.flatnonzero(small).tolist(), np.flatnonzero(~small).tolist()
+        if plain and self.merger and not self.tried:  # the merger has to agree with the tokenizer before it is trusted
+            self.tried = True
+            sample = [fresh[k] for k in plain[:300]]
+            if self._encoded([w.decode() for w in sample]) != self.merger.encode(sample):
+                self.merger = None
+        if not self.merger:
+            plain, others = [], list(range(len(fresh)))
+        texts = [fresh[k].decode() for k in others]
+        if self.merger:  # letters of one or two bytes, lower-cased, merge alike; marks after them are split off
+            split = [_LETTERS_AND_MARKS.fullmatch(t.lower()) if max(t) < "\u0100" else None for t in texts]
+            letters = [k for k, t, m in zip(others, texts, split, strict=True) if not m and t.isalpha() and max(t) < "\u0100"]
+            marked = {k: m.groups() for k, m in zip(others, split, strict=True) if m}
+            stems = self.merger.encode([t.encode() for t in (*[fresh[k].decode().lower() for k in letters], *[m[0] for m in marked.values()])])
+            marks = sorted({m[1] for m in marked.values()})
+            marks = dict(zip(marks, self._encoded(marks), strict=True))
+            for k, ids in zip((*letters, *marked), stems, strict=True):
+                found[k] = ids + marks[marked[k][1]] if k in marked else ids
+            others = sorted(set(others).difference(letters, marked))
+            texts = [fresh[k].decode() for k in others]
+        for own, ids in ((plain, self.merger.encode([fresh[k] for k in plain]) if plain else []), (others, self._encoded(texts))):
+            for k, x in zip(own, ids, strict=True):
+                found[k] = x
+        count = np.array([len(x) // 4 for x in found], np.int64)
+        self.known.update(zip(hashes, range(len(self.begin), len(self.begin) + len(fresh)), strict=True))
+        self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), "<u4")))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        data, offsets = flat(texts)
+        whole = data.tobytes()
+        if not self.by_word or b"<|" in whole:  # or there may be a special token
+            return self._encoded([whole[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = {word: _parts(word) for word in set().union(*split).difference(self.known)}
-        self._learn({stem for stem, _ in new.values()}.difference(self.known).union(_TAILS.difference(self.known)))
-        for word, (stem, tail) in new.items():
-            self.known[word] = self.known[stem] + self.known[tail] if tail else self.known[stem]
-        for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+            self._forget()
+        data = lowered(data)
+        starts, lengths, first = _pieces(data, offsets)
+        distinct, where, inverse = np.unique(word_hashes(data, starts, lengths), return_index=True, return_inverse=True)
+        numbers = distinct.tolist()
+        slots = list(map(self.known.get, numbers))
+        new = [k for k, slot in enumerate(slots) if slot is None]
+        if new:
+            at, whole = where[new], data.tobytes()
+            fresh = [whole[a:b] for a, b in zip(starts[at].tolist(), (starts[at] + lengths[at]).tolist(), strict=True)]
+            small = np.concatenate(([0], np.cumsum(_KIND[data] == 1)))
+            self._learn([numbers[k] for k in new], fresh, small[starts[at] + lengths[at]] - small[starts[at]] == lengths[at])
+            for k in new:
+                slots[k] = self.known[numbers[k]]
+        slot = np.array(slots, np.int64)[inverse]
+        size = self.count[slot]
+        ends = np.cumsum(size)
+        out = self.ids[np.repeat(self.begin[slot] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = (np.concatenate(([0], ends))[first] * 4).tolist()
+        raw = out.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(), cut: bool = True) -> DataFrame:
@@ -326,30 +401,34 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
         ids_of, end = WordIds.of(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of.encode(texts), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of.encode(part.column("text")), strict=True):
                     ids += end
                     yield Piece((doc_id, len(ids) // 4), 0, ids, b"\0" + b"\1" * (len(ids) // 4 - 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, rows = TaskContext.get().partitionId() << 40, []
-        for k, sequence in enumerate(pack(pieces(batches), limits, cut)):
-            offset = 0
-            for p in sequence:
-                rows.append((p.row[0], p.start, len(p), zlib.crc32(p.ids), p.row[1], base + k, offset, p.loss.count(1)))
-                offset += len(p)
-            if len(rows) >= 10_000:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-
-    return keyed(docs).mapInArrow(run, ", ".join(f"{name} long" for name in COLUMNS))
+    return keyed(docs).mapInArrow(lambda batches: _rows(pack(pieces(batches), limits, cut)), SCHEMA)
 
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+SCHEMA = ", ".join(f"{name} long" for name in COLUMNS)
+
+
+def _rows(sequences: Iterable[list[Piece]]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece; the sequences are numbered from the task's partition on."""
+    base, rows = TaskContext.get().partitionId() << 40, []
+    for k, sequence in enumerate(sequences):
+        offset = 0
+        for p in sequence:
+            rows.append((p.row[0], p.start, len(p), zlib.crc32(p.ids), p.row[1], base + k, offset, p.loss.count(1)))
+            offset += len(p)
+        if len(rows) >= 10_000:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], list(COLUMNS))
 
@@ -365,28 +444,17 @@ def pack_conversations(turns: DataFrame, tokenizer: str | None = None, limits: L
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = turns.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
         ids_of, end = WordIds.of(path), np.array([END_ID], "<u4").tobytes()
-
-        def pieces() -> Iterator[Piece]:
-            for batch in batches:
-                for doc_id, turns in zip(batch.column("doc_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-                    ids, loss = b"", b""
-                    for t, own in zip(turns, ids_of.encode([t["text"] for t in turns]), strict=True):
-                        own += end
-                        ids, loss = ids + own, loss + (b"\1" if t["role"] == "assistant" else b"\0") * (len(own) // 4)
-                    yield Piece((doc_id, len(ids) // 4), 0, ids, loss)
-
-        base, rows = TaskContext.get().partitionId() << 40, []
-        for k, sequence in enumerate(pack(pieces(), limits, cut)):
-            offset = 0
-            for p in sequence:
-                rows.append((p.row[0], p.start, len(p), zlib.crc32(p.ids), p.row[1], base + k, offset, p.loss.count(1)))
-                offset += len(p)
-        if rows:
-            yield _batch(rows)
-
-    return whole.mapInArrow(run, ", ".join(f"{name} long" for name in COLUMNS))
+        for batch in batches:
+            for doc_id, turns in zip(batch.column("doc_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
+                ids, loss = [], []
+                for t, own in zip(turns, ids_of.encode(pa.array([t["text"] for t in turns], pa.string())), strict=True):
+                    ids += (own, end)
+                    loss.append((b"\1" if t["role"] == "assistant" else b"\0") * (len(own) // 4 + 1))
+                yield Piece((doc_id, sum(map(len, loss))), 0, b"".join(ids), b"".join(loss))
+
+    return whole.mapInArrow(lambda batches: _rows(pack(examples(batches), limits, cut)), SCHEMA)
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
