@@ -6,22 +6,27 @@ their places from the lengths of the pieces that ``split`` leaves between them.
 **Battery.**  Candidates are runs of 20 or more characters of the base-64
 alphabets.  For each an encoding is inferred (hex, base 32, base 64), and three
 tests ask whether it could be uniform over that alphabet: chi-squared on the
-alphabet's classes (vowels, other capitals, other small letters, digits,
-signs), the runs test on changes of class given the class counts, and the
-lag-1 serial correlation of alphabet positions.  A candidate goes on only if
-none rejects at 0.001.
-
-**False discoveries.**  The null hypothesis of a discovery is a token of prose,
-whose classes follow ``PROSE``.  Under it chi-squared has a mean and variance in
-proportion to the length, so how far below that mean a token lies gives a
-p-value (the bound exp(-z^2/2)/2), and short tokens need to be far more even.
-Benjamini-Hochberg with weights in proportion to the length is run over all
-candidates of all documents.  It needs only how many p-values lie below each
-of ``N_BINS`` bounds: a table of fixed size, taken to the driver.
+counts of the alphabet's characters, the runs test on changes of class (capital,
+small, digit, sign) given the class counts, and the lag-1 serial correlation of
+alphabet positions.  A candidate that one of them rejects at 0.001 gets the
+p-value 1.
+
+**False discoveries.**  The null hypothesis of a discovery is a token of prose
+or code.  Two statistics of the battery speak against it: fewer equal pairs of
+characters (which is chi-squared) than text has, by the exact mean and
+variance of their number (p at most exp(-z^2/2)/2), and more changes of class
+than ``CHANGES`` of the places, a capital before a small letter not counted
+(p by the Chernoff bound).  Fisher's rule joins the two.  Benjamini-Hochberg
+with weights in proportion to the length is run over all candidates of all
+documents, the rejected ones included, and what it discovers is what is
+reported.  It needs only how many p-values lie below each of ``N_BINS`` bounds:
+a table of fixed size, taken to the driver.
 
 Defined results: null and empty texts have no spans; a null ``doc_id`` and
-repeated rows are kept as rows; with no candidates nothing is added; an empty
-table gives no rows; other columns are ignored by :func:`find` and kept by
+repeated rows are kept as rows; with no candidates nothing is added; spans that
+overlap a base one are not added, and spans that start together are ordered by
+kind; texts of any length are read whole; an empty table gives no rows; other
+columns are ignored by :func:`find` and kept, whatever their names, by
 :func:`redact`.  Places count code points, the end excluded.
 """
 
@@ -32,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import boxed, checkpointed, table
 
 # Fixed values of the query's contract.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,19 +52,17 @@ N_BINS = 400
 BIN = 0.05
 LENGTH = 32  # weights are 1 at this length before they are scaled to a mean of 1
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_VOWELS, _DIGITS = "aeiouAEIOU", "0123456789"
-#: Encoding: pattern, alphabet, and by class (vowel, capital, small, digit, sign) how many of the alphabet's characters.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Encoding: pattern, alphabet, and for a token of prose or numbers the chance that two (three) of its characters are equal.
 ENCODINGS = {
-    "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", (2, 0, 4, 10, 0)),
-    "base32": (r"^[A-Z2-7]+=*$", _UPPER + "234567", (5, 21, 0, 6, 0)),
-    "base64": (r"^", _UPPER + _LOWER + _DIGITS + "+/", (10, 21, 21, 10, 2)),
+    "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.12, 0.016),
+    "base32": (r"^[A-Z2-7]+=*$", _UPPER + "234567", 0.065, 0.0053),
+    "base64": (r"^", _UPPER + _LOWER + _DIGITS + "+/", 0.065, 0.0053),
 }
-#: Shares of the classes in tokens of prose.
-PROSE = (0.38, 0.03, 0.55, 0.02, 0.02)
-#: Upper 0.001 points of chi-squared by degrees of freedom, and of the absolute normal.
-CHI_CRITICAL = {1: 10.83, 2: 13.82, 3: 16.27, 4: 18.47}
-Z_CRITICAL = 3.29
+#: Changes of class a place in prose and code.
+CHANGES = 0.2
+#: Upper 0.001 point of the normal, and of its absolute value.
+UPPER_CRITICAL, Z_CRITICAL = 3.09, 3.29
 
 _SPAN = "array<struct<start:int,end:int>>"
 
@@ -93,83 +96,62 @@ def _count(token: Column, characters: str) -> Column:
 
 
 def _battery(token: Column) -> Column:
-    """struct(score, even): -log10 of the weighted p-value under prose, and whether no test rejects uniformity."""
+    """-log10 of the weighted p-value under prose, or of 1 where a test rejects uniformity."""
     body = F.regexp_replace(token, "=+$", "")
-    body = F.when(token.rlike(ENCODINGS["hex"][0]), F.lower(body)).otherwise(body)
+    body = F.translate(F.when(token.rlike(ENCODINGS["hex"][0]), F.lower(body)).otherwise(body), "-_", "+/")
     n = F.length(body).cast("double")
-    vowels, digits = _count(body, _VOWELS), _count(body, _DIGITS)
-    capital = _count(body, _UPPER) - _count(body, "AEIOU")
-    small = _count(body, _LOWER) - _count(body, "aeiou")
-    observed = (vowels, capital, small, digits, n - vowels - capital - small - digits)
-
-    def by_encoding(make) -> Column:
-        out = make(*ENCODINGS["base64"][1:])
-        for name in ("base32", "hex"):
-            out = F.when(token.rlike(ENCODINGS[name][0]), make(*ENCODINGS[name][1:])).otherwise(out)
-        return out
-
-    def chi(alphabet: str, sizes: tuple[int, ...]) -> Column:
-        terms = [(o - n * s / len(alphabet)) ** 2 / (n * s / len(alphabet)) for o, s in zip(observed, sizes, strict=True) if s]
-        return sum(terms[1:], terms[0])
-
-    def critical(alphabet: str, sizes: tuple[int, ...]) -> Column:
-        return F.lit(CHI_CRITICAL[sum(s > 0 for s in sizes) - 1])
-
-    def prose(alphabet: str, sizes: tuple[int, ...]) -> tuple[float, float, float]:
-        """Constant and slope of chi-squared's mean, and slope of its variance, by length."""
-        e = [s / len(alphabet) for s in sizes if s]
-        q = [p for p, s in zip(PROSE, sizes, strict=True) if s]
-        q = [p / sum(q) for p in q]
-        g = [2 * (a - b) / b for a, b in zip(q, e, strict=True)]
-        gq = sum(a * b for a, b in zip(g, q, strict=True))
-        return (
-            sum(a * (1 - a) / b for a, b in zip(q, e, strict=True)),
-            sum((a - b) ** 2 / b for a, b in zip(q, e, strict=True)),
-            sum(a * a * b for a, b in zip(g, q, strict=True)) - gq * gq,
-        )
-
-    statistic = by_encoding(chi)
-    mean = by_encoding(lambda a, s: F.lit(prose(a, s)[0]) + n * prose(a, s)[1])
-    variance = by_encoding(lambda a, s: n * prose(a, s)[2])
-    z = F.least(F.lit(0.0), (statistic - mean) / F.sqrt(variance))
-    score = (z * z / 2 + math.log(2)) / math.log(10) + F.log10(n / LENGTH)
-
-    letters = _count(body, _UPPER), _count(body, _LOWER), digits, observed[4]
-    squares, cubes = (sum((c**k for c in letters[1:]), letters[0] ** k) for k in (2, 3))
-    runs = F.size(F.regexp_extract_all(body, F.lit("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0)))
-    expected = n + 1 - squares / n
-    spread = (squares * (squares + n * (n + 1)) - 2 * n * cubes - n**3) / (n * n * (n - 1))
-    z_runs = F.when(spread > 1e-9, F.abs(runs - expected) / F.sqrt(spread)).otherwise(0.0)
 
-    folded = F.translate(body, "-_", "+/")
-    places = F.transform(F.regexp_extract_all(folded, F.lit("."), F.lit(0)), lambda c: by_encoding(lambda a, s: F.instr(F.lit(a), c)).cast("double"))
+    def by_encoding(of) -> Column:
+        return F.when(token.rlike(ENCODINGS["hex"][0]), of(*ENCODINGS["hex"][1:])).when(token.rlike(ENCODINGS["base32"][0]), of(*ENCODINGS["base32"][1:])).otherwise(of(*ENCODINGS["base64"][1:]))
+
     add = lambda acc, x: acc + x
-    average = lambda xs: F.aggregate(xs, F.lit(0.0), add) / n
-    centred = lambda xs, m: F.transform(xs, lambda x: x - m)
-    deviations = centred(places, average(places))
-    products = F.zip_with(F.slice(deviations, 1, F.size(deviations) - 1), F.slice(deviations, 2, F.size(deviations) - 1), lambda a, b: a * b)
-    power = F.aggregate(F.transform(deviations, lambda x: x * x), F.lit(0.0), add)
-    z_serial = F.when(power > 1e-9, F.abs(F.aggregate(products, F.lit(0.0), add) / power + 1 / n) * F.sqrt(n)).otherwise(99.0)
+    characters = F.regexp_extract_all(body, F.lit("."), F.lit(0))
+    squares = F.aggregate(F.transform(F.array_distinct(characters), lambda c: F.pow(n - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0))), F.lit(0.0), add)
 
-    even = (statistic <= by_encoding(critical)) & (z_runs <= Z_CRITICAL) & (z_serial <= Z_CRITICAL)
-    return F.struct(score.alias("score"), even.alias("even"))
+    # Uniform over the alphabet: chi-squared (its upper point by the cube-root rule), runs of classes, serial correlation.
+    size = by_encoding(lambda a, *_: F.lit(float(len(a))))
+    point = by_encoding(lambda a, *_: F.lit((len(a) - 1) * (1 - 2 / (9 * (len(a) - 1)) + UPPER_CRITICAL * math.sqrt(2 / (9 * (len(a) - 1)))) ** 3))
+    uneven = squares * size / n - n > point
 
+    classes = [_count(body, x) for x in (_UPPER, _LOWER, _DIGITS)]
+    classes.append(n - classes[0] - classes[1] - classes[2])
+    second, third = (sum((c**k for c in classes[1:]), classes[0] ** k) for k in (2, 3))
+    runs = F.size(F.regexp_extract_all(body, F.lit("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0)))
+    spread = (second * (second + n * (n + 1)) - 2 * n * third - n**3) / (n * n * (n - 1))
+    z_runs = F.when(spread > 1e-9, F.abs(runs - (n + 1 - second / n)) / F.sqrt(spread)).otherwise(0.0)
+
+    places = F.transform(characters, lambda c: by_encoding(lambda a, *_: F.instr(F.lit(a), c)).cast("double"))
+    average = F.aggregate(places, F.lit(0.0), add) / n
+    deviations = F.transform(places, lambda x: x - average)
+    products = F.zip_with(F.slice(deviations, 1, F.size(deviations) - 1), F.slice(deviations, 2, F.size(deviations) - 1), lambda x, y: x * y)
+    power = F.aggregate(F.transform(deviations, lambda x: x * x), F.lit(0.0), add)
+    z_serial = F.when(power > 1e-9, F.abs(F.aggregate(products, F.lit(0.0), add) / power + 1 / n) * F.sqrt(n)).otherwise(99.0)
 
-def _scanned(docs: DataFrame) -> DataFrame:
-    """Adds assign, access, hex (places) and candidates (place, score, even)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    places = _places(text, CANDIDATE)
-    tested = F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.substring(text, p["start"] + 1, p["end"] - p["start"]).alias("token")))
+    # Prose: equal pairs of characters, and changes of class.
+    two, three = by_encoding(lambda a, two, three: F.lit(two)), by_encoding(lambda a, two, three: F.lit(three))
+    pairs, all_pairs = (squares - n) / 2, n * (n - 1) / 2
+    z = F.least(F.lit(0.0), (pairs - all_pairs * two) / F.sqrt(all_pairs * (two + 2 * (n - 2) * three - (2 * n - 3) * two * two)))
+    starts = F.size(F.regexp_extract_all(body, F.lit("[A-Z][a-z]"), F.lit(0)))
+    share = F.least(F.lit(0.999), (runs - 1 - starts) / (n - 1))
+    chernoff = F.when(share > CHANGES, (n - 1) * (share * F.log(share / CHANGES) + (1 - share) * F.log((1 - share) / (1 - CHANGES)))).otherwise(0.0)
+    both = z * z / 2 + math.log(2) + chernoff  # -ln of the product
+    fisher = F.greatest(F.lit(0.0), (both - F.log(1 + both)) / math.log(10))
+    return F.when(uneven | (z_runs > Z_CRITICAL) | (z_serial > Z_CRITICAL), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), fisher + F.log10(n / LENGTH)))
+
+
+def _scanned(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds assign, access, hex (places) and candidates (place, score)."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    tested = F.transform(_places(text, CANDIDATE), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.substring(text, p["start"] + 1, p["end"] - p["start"]).alias("token")))
     tested = F.filter(tested, lambda c: F.length(F.regexp_replace(c["token"], "=+$", "")) >= 16)
-    tested = F.transform(tested, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _battery(c["token"]).alias("test")))
-    tested = F.transform(tested, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["test"]["score"].alias("score"), c["test"]["even"].alias("even")))
-    none = F.array().cast("array<struct<start:int,end:int,score:double,even:boolean>>")
-    return docs.select("*", _assign(text).alias("_assign"), _places(text, ACCESS).alias("_access"), _places(text, HEX).alias("_hex"), F.when(text.rlike(CANDIDATE), tested).otherwise(none).alias("_candidates"))
+    tested = F.transform(tested, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _battery(c["token"]).alias("score")))
+    none = F.array().cast("array<struct<start:int,end:int,score:double>>")
+    return rows.select("*", _assign(text).alias("assign"), _places(text, ACCESS).alias("access"), _places(text, HEX).alias("hex"), F.when(text.rlike(CANDIDATE), tested).otherwise(none).alias("candidates"))
 
 
 def discovery_bound(scanned: DataFrame, fdr: float = FDR) -> float:
     """The least score of a discovery: weighted Benjamini-Hochberg on binned scores (each taken at its bin's lower end)."""
-    candidates = scanned.select(F.explode("_candidates").alias("c"))
+    candidates = scanned.select(F.explode("candidates").alias("c"))
     size = F.col("c.end") - F.col("c.start")
     cell = F.greatest(F.lit(0), F.least(F.lit(N_BINS - 1), F.floor(F.col("c.score") / BIN))).cast("int")
     rows = candidates.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum(size).alias("length")).collect()  # N_BINS at most
@@ -189,8 +171,8 @@ def discovery_bound(scanned: DataFrame, fdr: float = FDR) -> float:
 def _all_spans(bound: float) -> tuple[Column, Column]:
     """(base, all) spans as arrays of (start, rank, end), in order."""
     kind = lambda name, rank: F.transform(name, lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), p["end"].alias("end")))
-    base = F.array_sort(F.concat(kind("_assign", 0), kind("_access", 1), kind("_hex", 2)))
-    found = F.filter("_candidates", lambda c: c["even"] & (c["score"] >= F.lit(bound)))
+    base = F.array_sort(F.concat(kind("assign", 0), kind("access", 1), kind("hex", 2)))
+    found = F.filter("candidates", lambda c: c["score"] >= F.lit(bound))
     found = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return base, F.array_sort(F.concat(base, kind(found, 3)))
 
@@ -203,36 +185,37 @@ def _written(spans: Column) -> Column:
 def find(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = checkpointed(_scanned(narrow).drop("text"))
+    scanned = checkpointed(_scanned(narrow, F.col("text")).drop("text"))
     base, spans = _all_spans(discovery_bound(scanned, fdr))
-    rows = scanned.withColumn("_base", base).withColumn("_spans", spans)
+    rows = scanned.withColumn("base", base).withColumn("spans", spans)
     size = lambda name: F.size(name).cast("long")
     return rows.select(
         "doc_id",
-        size("_assign").alias("n_assign"),
-        size("_access").alias("n_access"),
-        size("_hex").alias("n_hex"),
-        F.sha2(F.encode(_written(F.col("_base")), "UTF-8"), 256).alias("base_sha256"),
-        _written(F.col("_spans")).alias("spans"),
-        (size("_spans") - size("_base")).alias("n_random"),
+        size("assign").alias("n_assign"),
+        size("access").alias("n_access"),
+        size("hex").alias("n_hex"),
+        F.sha2(F.encode(_written(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+        _written(F.col("spans")).alias("spans"),
+        (size("spans") - size("base")).alias("n_random"),
     )
 
 
 def redact(docs: DataFrame, fdr: float = FDR, mark: str = "[SECRET]") -> DataFrame:
     """The documents with each span replaced by ``mark``; ``n_chars``, if there, follows the text."""
-    scanned = _scanned(docs)
-    _, spans = _all_spans(discovery_bound(scanned.select("_candidates"), fdr))
+    scanned = _scanned(boxed(docs), F.col("row.text"))
+    _, spans = _all_spans(discovery_bound(scanned.select("candidates"), fdr))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("row.text").cast("string")
 
     def add(acc: Column, s: Column) -> Column:
-        before = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", start, add, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    rows = scanned.withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    clean = F.aggregate("spans", start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    rows = scanned.select("row", spans.alias("spans"))
+    rows = rows.select("row", (F.size("spans") > 0).alias("changed"), F.when(F.size("spans") > 0, clean).otherwise(text).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.length("text")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return rows.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col(f"row.`{f.name}`")).alias(f.name) for f in docs.schema])
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
