@@ -21,9 +21,11 @@ Words are maximal runs of word characters, lower-cased, so punctuation and
 layout do not hide a passage.
 
 Defined results: null or empty texts match nothing, as do items of fewer words
-than a shingle; repeated documents or items are each reported; null ids are
-carried as null; an empty table on either side gives no rows; other columns
-are ignored.
+than a shingle; very long texts are searched whole; repeated documents or items
+are each reported, and so are ties, an item in several documents or a document
+with several items; null ids are carried as null; an empty table on either side
+gives no rows; other columns are ignored, and kept, whatever their names, by
+:func:`without_contaminated`.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _STEP, flat, keyed, mixed, slices, table, window_hashes, word_hashes
+from .common import _STEP, boxed, flat, mixed, slices, table, window_hashes, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -48,7 +50,7 @@ _WORD = re.compile(r"\w+")
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), 95, *range(97, 123), *range(128, 256)]] = True
 
-SCHEMA = "doc_id long, item_id long, shared long, item_shingles long, containment double"
+SCHEMA = "doc_id {}, item_id long, shared long, item_shingles long, containment double"
 
 
 def shingles_of(text: str, size: int = SHINGLE) -> set[str]:
@@ -96,7 +98,7 @@ class _Block:
         by_bound: dict[int, list[int]] = {}
         for k, s in enumerate(self.shingles):
             if s:
-                by_bound.setdefault(max(4, (len(s) - 1).bit_length()), []).append(k)
+                by_bound.setdefault((len(s) - 1).bit_length(), []).append(k)
         for power, members in by_bound.items():
             own = [np.unique(hashes[rows == k]) for k in members]
             self.partitions[1 << power] = []
@@ -140,9 +142,9 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield [(r.item_id, r.text) for r in part.collect()]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, n_hashes: int = N_HASHES) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, n_hashes: int = N_HASHES, id_type: str = "long") -> DataFrame:
     """One row for each pair of a document and an item that it contains to a degree of ``threshold`` or more."""
-    parts = []
+    narrow, schema, parts = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("text").cast("string").alias("text")), SCHEMA.format(id_type), []
     for items_of_block in _blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(_Block(items_of_block, size, n_hashes)))
 
@@ -161,17 +163,27 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                         if both >= threshold * all_of:
                             rows.append((ids[r], block.ids[k], both, all_of, both / all_of))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                    kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "shared", "item_shingles", "containment"])
 
-        parts.append(keyed(docs).mapInArrow(search, SCHEMA))
+        parts.append(narrow.mapInArrow(search, schema))
     if not parts:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
+        return docs.sparkSession.createDataFrame([], schema)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
     return out
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """The documents that contain no item to a degree of ``threshold``.
+
+    Whether one does depends on its text alone, so documents go by a 128-bit digest of the text: null ids and rows that share an id are told apart.
+    """
+    rows = boxed(docs).withColumn("own", F.md5(F.encode(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "UTF-8")))
+    found = contaminated(rows.select(F.col("own").alias("doc_id"), F.col("row.text").alias("text")), items, threshold, size, id_type="string").select(F.col("doc_id").alias("own")).distinct()
+    return rows.join(found, "own", "left_anti").select("row.*")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

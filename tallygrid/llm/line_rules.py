@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import _STEP, checkpointed, flat, lowered, mixed, slices, table, window_hashes, word_hashes, words
+from .common import _STEP, boxed, checkpointed, flat, lowered, mixed, slices, table, window_hashes, word_hashes, words
 
 MIN_DOCUMENTS = 20
 SHARE = 0.002
@@ -46,7 +47,7 @@ _DIGITS = np.arange(256, dtype=np.uint8)
 _DIGITS[48:58] = 48
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", print long, lines array<struct<line: long, words: int>>"
+SCHEMA = "doc_id {}, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", print long, lines array<struct<line: long, words: int>>"
 
 
 def _per_text(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -118,7 +119,7 @@ def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), *numbers, pa.array(whole.view(np.int64)), lists], ["doc_id", "host", *COUNTS, "print", "lines"])
 
 
-def measured(docs: DataFrame, host: str = "source") -> DataFrame:
+def measured(docs: DataFrame, host: str = "source", id_type: str = "long") -> DataFrame:
     """doc_id, host, COUNTS, the fingerprint and the distinct normalised lines of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +127,8 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
             for part in slices(batch, "text"):
                 yield _measure(part)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, SCHEMA)
+    narrow = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, SCHEMA.format(id_type))
 
 
 def boilerplate(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
@@ -140,9 +141,9 @@ def boilerplate(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, share: floa
     return counts.join(hosts, "host").filter(F.col("n_docs") > share * F.col("host_docs")).select("host", "line", "n_docs")
 
 
-def judge(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE, id_type: str = "long") -> DataFrame:
     """One row a document: COUNTS, base_failed, removed_words, removed_lines (hashes) and kept."""
-    rows = checkpointed(measured(docs, host)).withColumn("_row", F.monotonically_increasing_id())  # stable on checkpointed rows
+    rows = checkpointed(measured(docs, host, id_type)).withColumn("_row", F.monotonically_increasing_id())  # stable on checkpointed rows
     bad = boilerplate(rows, min_documents, share)
     lines = rows.select("_row", "host", F.explode("lines").alias("l")).select("_row", "host", "l.line", "l.words")
     removed = lines.join(bad, ["host", "line"]).groupBy("_row").agg(F.sum("words").cast("long").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
@@ -156,27 +157,23 @@ def judge(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUME
 
 def apply(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """The documents that are kept, without their boilerplate lines; ``n_chars``, if there, follows the text."""
-    digest = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(F.col(host).cast("string"), F.lit("")))
-    marked = docs.withColumn("_key", digest)
-    # The verdict depends on text and host alone, so it is joined by both; only documents that change or go have a row.
-    own = docs.withColumn("doc_id", digest)
-    verdicts = judge(own, host, min_documents, share).filter("not kept or removed_words > 0")
-    verdicts = verdicts.groupBy(F.col("doc_id").alias("_key")).agg(F.min("kept").alias("_kept"), F.min("removed_lines").alias("_gone"))
-    joined = marked.join(verdicts, "_key", "left").filter(F.coalesce("_kept", F.lit(True)))
-    same = joined.filter("_gone is null").select(*docs.columns)
-    changed = joined.filter("_gone is not null").select(*docs.columns, "_gone")
-
-    columns = docs.columns
+    text, name = F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.coalesce(F.col(f"row.`{host}`").cast("string"), F.lit(""))
+    # The verdict depends on text and host alone, so it is joined by a 128-bit digest of both; only documents that change or go have a row.
+    rows = boxed(docs).withColumn("own", F.md5(F.encode(F.concat(name, F.lit("\0"), text), "UTF-8")))
+    verdicts = judge(rows.select(F.col("own").alias("doc_id"), text.alias("text"), name.alias("host")), "host", min_documents, share, "string").filter("not kept or removed_words > 0")
+    verdicts = verdicts.groupBy(F.col("doc_id").alias("own")).agg(F.min("kept").alias("kept"), F.min("removed_lines").alias("gone"))
+    joined = rows.join(verdicts, "own", "left").filter(F.coalesce("kept", F.lit(True)))
+    same = joined.filter("gone is null").select("row.*")
+    shape = StructType([StructField("row", docs.schema), StructField("text", StringType())])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without_lines(t, set(g)) for t, g in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True)]
-            k = batch.schema.get_field_index("text")
-            yield batch.set_column(k, "text", pa.array(texts, batch.schema.field(k).type)).select(columns)
+            texts = [without_lines(t, set(g)) for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    changed = changed.mapInArrow(strip, docs.schema)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    changed = joined.filter("gone is not null").select("row", text.alias("text"), "gone").mapInArrow(strip, shape)
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    changed = changed.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col(f"row.`{f.name}`")).alias(f.name) for f in docs.schema])
     return same.unionByName(changed)
 
 

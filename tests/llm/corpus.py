@@ -6,6 +6,9 @@ import re
 BREAKS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, line long, chunk int, component long"
+#: Names that the operators use or might.
+CLASHING = ("_key", "_gone", "_kept", "_row", "_crc", "_bytes", "_hex", "_spans", "_candidates", "row", "own", "kept", "gone", "id", "print", "hex", "spans", "host", "node", "changed", "a column")
+SCHEMA += "".join(f", `{c}` string" for c in CLASHING)
 
 
 def words(text):
@@ -36,5 +39,5 @@ def documents(seed=0, n=60):
 
 def frame(spark, rows):
     """The rows with all columns of documents and others whose names clash with what the operators make."""
-    full = [(i, t, "en" if k % 3 else None, f"src{k % 2}" if k % 7 else None, None if t is None else len(t), "w", 1, 2, 3) for k, (i, t) in enumerate(rows)]
+    full = [(i, t, "en" if k % 3 else None, f"src{k % 2}" if k % 7 else None, None if t is None else len(t), "w", 1, 2, 3, *CLASHING) for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(full, SCHEMA).repartition(3)
