@@ -57,9 +57,7 @@ def main(argv: list[str] | None = None) -> None:
     started = time.time()
     {"process": process, "analyze": analyze, "export": export}[args.command](spark, args)
     options = {k: v for k, v in vars(args).items() if k != "command"}
-    local = {k: v for k, v in options.items() if k in ("responses", "puzzles") and "://" not in v}
-    if "://" not in args.out:
-        records.write_manifest(f"{args.out}/{args.command}.json", options, {k: records.file_hash(v) for k, v in local.items()}, "done", started)
+    records.write_manifest(spark, f"{args.out}/{args.command}.json", options, {k: v for k, v in options.items() if k in ("responses", "puzzles")}, "done", started)
 
 
 if __name__ == "__main__":

@@ -187,3 +187,8 @@ def first_number(*columns: Column) -> Column:
 def resolved_class(valid: Column, abstract: Column, concrete: Column) -> Column:
     """The abstract class of a valid answer, or else its own; null for an invalid one."""
     return F.when(F.coalesce(valid, F.lit(False)), F.coalesce(F.nullif(abstract, F.lit("")), F.nullif(concrete, F.lit(""))))
+
+
+def preferred(*columns: Column) -> Column:
+    """The first that is neither null nor an empty string."""
+    return F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in columns])

@@ -9,65 +9,103 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallygrid.functions import metrics as m
+
 LEVELS = (0.025, 0.975)
 
 
-def indices(sizes: tuple[int, ...], repeats: int, seed: int) -> np.ndarray:
-    """Index draws with replacement inside consecutive strata, one number of Python's stream after the other."""
-    stream = random.Random(seed)
-    starts = [sum(sizes[:k]) for k in range(len(sizes))]
-    plan = [(start, size) for start, size in zip(starts, sizes, strict=True) for _ in range(size)]
-    return np.array([[start + stream.randrange(size) for start, size in plan] for _ in range(repeats)], dtype=np.int64).reshape(repeats, len(plan))
+def indices(sizes: tuple[int, ...], repeats: int, seed: int) -> Iterator[np.ndarray]:
+    """For each replicate the places drawn: from every stratum as many as it has, with replacement, strata lying one after the other.
+
+    All come from one stream of Python's generator, in this order.
+    """
+    pick, ends = random.Random(seed).randrange, np.cumsum(sizes, dtype=np.int64)
+    for _ in range(repeats):
+        parts = [end - n + np.fromiter((pick(n) for _ in range(n)), np.int64, n) for n, end in zip(sizes, ends.tolist(), strict=True)]
+        yield np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def draws(spark: SparkSession, sizes: tuple[int, ...], repeats: int, seed: int) -> DataFrame:
-    """(rep, index, times) of :func:`indices`.  One stream has one order, so one task makes it; it grows with repeats x strata, not with data."""
+    """(rep, index, times) of :func:`indices`.  One stream has one order, so one task makes it, replicate by replicate; it grows with repeats x clusters of the design, not with data."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _ in range(len(batch)):
-                drawn = indices(sizes, repeats, seed)
-                for rep in range(repeats):
-                    index, times = np.unique(drawn[rep], return_counts=True)
-                    yield pd.DataFrame({"rep": rep, "index": index, "times": times})
+                for rep, places in enumerate(indices(sizes, repeats, seed)):
+                    index, times = np.unique(places, return_counts=True)
+                    yield pd.DataFrame({"rep": np.full(len(index), rep, np.int32), "index": index, "times": times})
 
     return spark.range(1, numPartitions=1).mapInPandas(make, "rep int, index long, times long")
 
 
-def bootstrap(values: DataFrame, repeats: int, seed: int, keys: list[str], equal_strata: bool) -> DataFrame:
-    """Mean and percentile interval of ``value`` over clusters drawn whole within strata.
-
-    ``values`` has keys, stratum, cluster, value.  A replicate's mean is over all drawn
-    rows, or (``equal_strata``) the mean of its strata's means.  The same draws
-    serve every key.
-    """
+def numbered_clusters(values: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
+    """(stratum, cluster, index) in the order of both, nulls first, and the strata's sizes.  The strata, a design's few, are listed on the driver."""
     clusters = values.select("stratum", "cluster").distinct()
-    listed = clusters.orderBy("stratum", "cluster").collect()  # a design's clusters
-    sizes = pd.Series([r["stratum"] for r in listed]).value_counts(sort=False) if listed else pd.Series(dtype=int)
-    order = {(r["stratum"], r["cluster"]): k for k, r in enumerate(listed)}
-    spark = values.sparkSession
-    numbered = spark.createDataFrame([(s, c, k) for (s, c), k in order.items()], values.select("stratum", "cluster").schema.add("index", "long"))
-    by = values.join(F.broadcast(numbered), ["stratum", "cluster"]).groupBy(*keys, "stratum", "index").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
-    picked = by.join(draws(spark, tuple(int(n) for n in sizes), repeats, seed), "index")
+    strata = clusters.groupBy("stratum").agg(F.count("*").alias("n")).orderBy("stratum").collect()
+    before = np.cumsum([0, *(r["n"] for r in strata)]).tolist()
+    offset = F.lit(0).cast("long")
+    for r, first in zip(strata, before, strict=False):
+        offset = F.when(F.col("stratum").eqNullSafe(F.lit(r["stratum"])), F.lit(first)).otherwise(offset)
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy("cluster")) - 1
+    return clusters.select("stratum", "cluster", (offset + place).cast("long").alias("index")), tuple(r["n"] for r in strata)
+
+
+def _placed(values: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Adds the clusters' index; null equals null."""
+    other = numbered.select(F.col("stratum").alias("_s"), F.col("cluster").alias("_c"), "index")
+    return values.join(other, F.col("stratum").eqNullSafe(F.col("_s")) & F.col("cluster").eqNullSafe(F.col("_c"))).drop("_s", "_c")
+
+
+def summarised(values: DataFrame, numbered: DataFrame, drawn: DataFrame, keys: list[str], equal_strata: bool) -> DataFrame:
+    """Mean of ``value`` and its percentile interval over the draws (rep, index, times) of numbered clusters; nothing is lost to null strata or clusters."""
+    by = _placed(values, numbered).groupBy(*keys, "stratum", "index").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    picked = by.join(drawn, "index")
     total = lambda c: F.sum(F.col(c) * F.col("times"))
     if equal_strata:
-        means = picked.groupBy(*keys, "rep", "stratum").agg((total("s") / total("n")).alias("m")).groupBy(*keys, "rep").agg(F.avg("m").alias("m"))
+        means = picked.groupBy(*keys, "rep", "stratum").agg(F.try_divide(total("s"), total("n")).alias("m")).groupBy(*keys, "rep").agg(F.avg("m").alias("m"))
         point = values.groupBy(*keys, "stratum").agg(F.avg("value").alias("m")).groupBy(*keys).agg(F.avg("m").alias("mean"))
     else:
-        means = picked.groupBy(*keys, "rep").agg((total("s") / total("n")).alias("m"))
+        means = picked.groupBy(*keys, "rep").agg(F.try_divide(total("s"), total("n")).alias("m"))
         point = values.groupBy(*keys).agg(F.avg("value").alias("mean"))
     limits = means.groupBy(*keys).agg(F.percentile("m", list(LEVELS)).alias("q"), F.count("*").alias("replicates"))
     return point.join(limits, keys).select(*keys, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "replicates")
 
 
+def bootstrap(values: DataFrame, repeats: int, seed: int, keys: list[str], equal_strata: bool) -> DataFrame:
+    """Mean and percentile interval of ``value`` over clusters drawn whole within strata.
+
+    ``values`` has keys, stratum, cluster, value.  A replicate's mean is over all drawn
+    rows, or (``equal_strata``) the mean of its strata's means.  The same draws
+    serve every key.
+    """
+    numbered, sizes = numbered_clusters(values)
+    return summarised(values, numbered, draws(values.sparkSession, sizes, repeats, seed), keys, equal_strata)
+
+
+def recentred_summary(values: DataFrame, drawn: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Per source and stratum: mean of the value less the source's mean, with its interval; the source's mean is taken anew in every draw.
+
+    ``values`` has source, stratum, cluster, value.
+    """
+    picked = _placed(values, numbered).join(drawn, "index")
+    w = F.col("value") * F.col("times")
+    cells = picked.groupBy("rep", "source", "stratum").agg(F.sum(w).alias("s"), F.sum("times").alias("n"))
+    whole = Window.partitionBy("rep", "source")
+    means = cells.select("source", "stratum", (F.col("s") / F.col("n") - F.sum("s").over(whole) / F.sum("n").over(whole)).alias("m"))
+    limits = means.groupBy("source", "stratum").agg(F.percentile("m", list(LEVELS)).alias("q"))
+    point = recentred(values).groupBy("source", "stratum").agg(F.avg("centred").alias("mean"))
+    return point.join(limits, ["source", "stratum"]).select("source", "stratum", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def generator(*parts: str) -> np.random.Generator:
     """PCG64 seeded by the first eight bytes of the parts' SHA-256."""
     return np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256("|".join(parts).encode()).digest()[:8], "little")))
@@ -97,24 +135,45 @@ def joint_p(cells: np.ndarray, repeats: int, rng: np.random.Generator) -> float:
     return (1 + beyond) / (repeats + 1)
 
 
-def information(a: np.ndarray, b: np.ndarray, ka: int, kb: int) -> float:
-    p = np.bincount(a * kb + b, minlength=ka * kb).reshape(ka, kb) / len(a)
-    q = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
-    some = p > 0
-    return float((p[some] * np.log2(p[some] / q[some])).sum())
+def information(a: np.ndarray, b: np.ndarray, ka: int, kb: int) -> np.ndarray:
+    """Mutual information in bits of a with each row of b."""
+    code = (np.arange(len(b))[:, None] * ka + a) * kb + b
+    p = np.bincount(code.ravel(), minlength=len(b) * ka * kb).reshape(len(b), ka, kb) / len(a)
+    q = p.sum(2, keepdims=True) * p.sum(1, keepdims=True)
+    return np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / np.where(q > 0, q, 1)), 0.0).sum((1, 2))
 
 
-def information_p(cells: list[tuple[str, str, int]], repeats: int, rng: np.random.Generator) -> tuple[float, float, float]:
-    """(observed, mean under permutation, p) of mutual information; cells are sorted first, so their order doesn't matter."""
-    pairs = [(a, b) for a, b, n in sorted(cells) for _ in range(n)]
-    first, second = (sorted({p[k] for p in pairs}) for k in (0, 1))
-    a = np.array([first.index(p[0]) for p in pairs])
-    b = np.array([second.index(p[1]) for p in pairs])
-    seen = information(a, b, len(first), len(second))
-    null = np.array([information(a, rng.permutation(b), len(first), len(second)) for _ in range(repeats)])
+def information_p(cells: list[tuple[str, str, int]], repeats: int, rng: np.random.Generator, together: int = 1 << 20) -> tuple[float, float, float]:
+    """(observed, mean under permutation, p) of mutual information; cells are sorted first, so their order doesn't matter.
+
+    Permutations are taken one by one from the stream and counted several at a time, about ``together`` answers.
+    """
+    cells = sorted(cells)
+    times = np.array([n for *_, n in cells], np.int64)
+    codes = [np.unique([c[k] for c in cells], return_inverse=True)[1] for k in (0, 1)]
+    a, b = (np.repeat(c, times) for c in codes)
+    ka, kb = (int(c.max(initial=0)) + 1 for c in codes)
+    seen = float(information(a, b[None], ka, kb)[0])
+    null, step = np.zeros(repeats), max(1, together // max(1, len(b)))
+    for start in range(0, repeats, step):
+        block = np.stack([rng.permutation(b) for _ in range(min(step, repeats - start))])
+        null[start : start + len(block)] = information(a, block, ka, kb)
     return seen, float(null.mean()) if repeats else 0.0, float((1 + (null >= seen - 1e-15).sum()) / (repeats + 1))
 
 
+def canonical_pairs(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, place, a, b): the cells (a, b, n) of each key as single pairs, numbered in the order of a and b."""
+    first = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = cells.filter("n > 0").withColumn("first", first)
+    return rows.select(*keys, "a", "b", F.explode(F.sequence(F.col("first") + 1, F.col("first") + F.col("n"))).alias("place"))
+
+
+def seed_of(*parts: Column) -> Column:
+    """The seed of :func:`generator` as a decimal number: the first eight bytes of the SHA-256, the lowest first."""
+    digest = F.sha2(F.concat_ws("|", *parts), 256)
+    return F.conv(F.concat(*[F.substring(digest, 2 * k + 1, 2) for k in range(7, -1, -1)]), 16, 10).cast("decimal(20,0)")
+
+
 def canonical_seed(namespace: str, base: int, **parts: str) -> int:
     """The whole SHA-256 of a canonical JSON text, as a seed."""
     text = json.dumps({"namespace": namespace, "base_seed": base, **parts}, sort_keys=True, separators=(",", ":"))
@@ -164,48 +223,87 @@ def _schema(rows: DataFrame, keys: list[str], more: str) -> str:
     return ", ".join([*(f"{k} {kinds[k]}" for k in keys), more])
 
 
-def response_bootstrap(counts: DataFrame, repeats: int, seed: int) -> DataFrame:
-    """Intervals of mean TV, JS and Hellinger between two sources when *answers* are drawn anew.
+def response_bootstrap(answers: DataFrame, repeats: int, seed: int, crossed: str | None = None, item_draws: DataFrame | None = None) -> DataFrame:
+    """Intervals of mean TV, JS and Hellinger of pairs of sources when *answers* are drawn anew.
+
+    ``answers`` has source, person, item, klass and n; a null ``klass`` counts answers without a
+    class: they are drawn with the others but leave no mass.  The people of the source
+    ``crossed`` answer many items, so a replicate draws them once, for all items; of other
+    sources each item's answers are drawn on their own.  A replicate in which a
+    source has no classed answer left on an item is drawn again, whole; items on which a
+    source has none to begin with are left out.
+    With ``item_draws`` (rep, item, times) replicates weigh their items by how often they were drawn: the joint
+    bootstrap of answers and items.
 
-    ``counts`` has left, right, item, klass, ln, rn.  Each (replicate, item) has its own generator,
-    so items run in parallel; a replicate in which a side has no answer left is drawn again.
-    ``klass`` null counts answers without a class: they are drawn with the others but leave no mass.
+    Answers of a cell are a multinomial draw with a generator of its own.  A person's weight is a Poisson(1)
+    number made by hash of (seed, replicate, try, person), so that all items see the same and no stream has to be
+    shared; the number of people drawn then varies a little, but a distribution is a share of what was drawn.
     """
-    cells = F.sort_array(F.collect_list(F.struct(F.col("klass").isNull().alias("void"), F.col("klass").cast("string").alias("k"), F.col("ln").cast("long").alias("l"), F.col("rn").cast("long").alias("r"))))
-    rows = counts.groupBy("left", "right", "item").agg(cells.alias("cells"))
+    world = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")
+    there = answers.filter("klass is not null and n > 0").select("source", "item").distinct()
+    answers = answers.join(there, ["source", "item"], "left_semi")
+    tries, accepted, left = 0, None, answers.sparkSession.range(1).select(world)
+    while True:
+        cells = _world(answers, left, seed, tries, crossed)
+        mass = cells.groupBy("rep", "source", "item").agg(F.sum(F.when(F.col("klass").isNotNull(), F.col("w"))).alias("total"))
+        empty = mass.filter("coalesce(total, 0) = 0").select("rep").distinct()
+        p = cells.filter("klass is not null and w > 0").join(mass, ["rep", "source", "item"]).join(empty, "rep", "left_anti").select("rep", "source", "item", "klass", (F.col("w") / F.col("total")).alias("p"))
+        accepted = p if accepted is None else accepted.unionAll(p)
+        failed = [r["rep"] for r in empty.collect()]  # replicates, at most
+        if not failed:
+            break
+        tries += 1
+        if tries == 100:
+            raise ValueError("a source has hardly any classed answers on an item")
+        left = answers.sparkSession.createDataFrame([(k,) for k in failed], "rep int")
+    one, other = (accepted.select("rep", "item", "klass", F.col("source").alias(s), F.col("p").alias(v)) for s, v in (("left", "p"), ("right", "q")))
+    shared = one.join(other, ["rep", "item", "klass"]).filter(F.col("left") < F.col("right"))
+    found = shared.groupBy("left", "right", "rep", "item").agg(m.tv_shared(F.col("p"), F.col("q")).alias("tv"), m.js_shared(F.col("p"), F.col("q")).alias("js"), m.hellinger_shared(F.col("p"), F.col("q")).alias("hellinger"))
+    # Pairs that share no class on an item in a replicate are at distance 1.
+    pairs = there.withColumnRenamed("source", "left").join(there.withColumnRenamed("source", "right"), "item").filter(F.col("left") < F.col("right"))
+    names = ("tv", "js", "hellinger")
+    all_of = pairs.select("*", world).join(found, ["left", "right", "rep", "item"], "left").fillna(1.0, list(names))
+    if item_draws is not None:
+        all_of = all_of.join(item_draws, ["rep", "item"])
+    times = F.lit(1) if item_draws is None else F.col("times")
+    means = all_of.groupBy("left", "right", "rep").agg(*[(F.sum(F.col(x) * times) / F.sum(times)).alias(x) for x in names])
+    return means.groupBy("left", "right").agg(*[F.percentile(x, list(LEVELS)).alias(x) for x in names]).select("left", "right", *[F.col(x)[k].alias(f"{x}_{side}") for x in names for k, side in enumerate(("low", "high"))])
+
+
+def poisson_of(*parts: Column) -> Column:
+    """A Poisson(1) number made of a 64-bit hash of the parts; cumulative probabilities up to 10, beyond which there is less than 1e-8."""
+    u = (F.shiftrightunsigned(F.xxhash64(*parts), 11)).cast("double") / float(1 << 53)
+    total, term, out = 0.0, math.exp(-1), F.lit(0)
+    for k in range(10):
+        total += term
+        out = out + (u >= total).cast("int")
+        term /= k + 1
+    return out
+
+
+def _world(answers: DataFrame, reps: DataFrame, seed: int, tries: int, crossed: str | None) -> DataFrame:
+    """(rep, source, item, klass, w): how much of each cell the replicates have drawn."""
+    wanted = sorted(r["rep"] for r in reps.collect())  # replicates, at most
+    own = F.col("source").eqNullSafe(F.lit(crossed)) if crossed is not None else F.lit(False)
+    cell = F.struct(F.col("klass").isNull().alias("void"), F.col("klass").cast("string").alias("k"), F.col("n").cast("long").alias("n"))
+    cells = answers.filter(~own).groupBy("source", "item", "klass").agg(F.sum("n").alias("n")).filter("n > 0")
+    rows = cells.groupBy("source", "item").agg(F.sort_array(F.collect_list(cell)).alias("cells"))  # an item's classes
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for left, right, item, cells in zip(batch["left"], batch["right"], batch["item"], batch["cells"], strict=True):
-                real = np.array([not c["void"] for c in cells])
-                sides = [np.array([c[s] for c in cells], float) for s in "lr"]
-                if any(not s[real].sum() for s in sides):
-                    raise ValueError(f"no answers of a source on item {item}")
-                found = np.empty((repeats, 3))
-                for rep in range(repeats):
-                    rng = generator(str(seed), str(rep), str(left), str(right), str(item))
-                    p, q = (_drawn(s, real, rng) for s in sides)
-                    found[rep] = distances(p, q)
-                yield pd.DataFrame({"left": left, "right": right, "rep": np.arange(repeats), "tv": found[:, 0], "js": found[:, 1], "hellinger": found[:, 2]})
-
-    drawn = rows.mapInPandas(draw, _schema(rows, ["left", "right"], "rep int, tv double, js double, hellinger double"))
-    names = ("tv", "js", "hellinger")
-    means = drawn.groupBy("left", "right", "rep").agg(*[F.avg(m).alias(m) for m in names])
-    return means.groupBy("left", "right").agg(*[F.percentile(m, list(LEVELS)).alias(m) for m in names]).select("left", "right", *[F.col(m)[k].alias(f"{m}_{side}") for m in names for k, side in enumerate(("low", "high"))])
-
-
-def _drawn(counts: np.ndarray, real: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    while True:
-        new = rng.multinomial(int(counts.sum()), counts / counts.sum())[real]
-        if new.sum():
-            return new / new.sum()
-
-
-def distances(p: np.ndarray, q: np.ndarray) -> tuple[float, float, float]:
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        js = (np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)).sum() / 2
-    return float(np.abs(p - q).sum() / 2), float(max(0, js)), float(np.sqrt(((np.sqrt(p) - np.sqrt(q)) ** 2).sum() / 2))
+            for source, item, found in zip(batch["source"], batch["item"], batch["cells"], strict=True):
+                n = np.array([c["n"] for c in found], float)
+                drawn = generator(str(seed), str(tries), str(source), str(item)).multinomial(int(n.sum()), n / n.sum(), size=wanted[-1] + 1)[wanted]
+                rep, place = np.nonzero(drawn)
+                names = np.array([c["k"] for c in found], object)
+                yield pd.DataFrame({"rep": np.array(wanted, np.int32)[rep], "source": source, "item": item, "klass": names[place], "w": drawn[rep, place]})
+
+    kinds = dict(answers.dtypes)
+    out = rows.mapInPandas(draw, f"rep int, source {kinds['source']}, item {kinds['item']}, klass string, w long")
+    if crossed is not None:
+        weighed = answers.filter(own).join(reps, F.lit(True)).withColumn("w", F.col("n") * poisson_of(F.lit(seed), F.col("rep"), F.lit(tries), F.col("person").cast("string")))
+        out = out.unionAll(weighed.groupBy("rep", "source", "item", F.col("klass").cast("string").alias("klass")).agg(F.sum("w").cast("long").alias("w")).filter("w > 0"))
+    return out
 
 
 def paired_correlations(values: DataFrame, repeats: int, seed: int) -> DataFrame:

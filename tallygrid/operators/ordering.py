@@ -42,6 +42,49 @@ def rank_percentile(rows: DataFrame, score: str, ties: list[str], within: list[s
     return rows.withColumn("rank", rank).withColumn("percentile", (F.col("rank") - 1) / F.greatest(F.lit(1), F.count("*").over(w) - 1))
 
 
+def flattened(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """(keys, name, value): numbers as they are, booleans as 0 and 1, lists item by item; other values and what isn't finite are left out."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    one = lambda name, value: F.array(F.struct(F.lit(name).alias("name"), value.cast("double").alias("value")))
+    cells = []
+    listed = lambda name: F.transform(F.coalesce(name, F.array()), lambda x, k: F.struct(F.concat(F.lit(f"{name}_"), k.cast("string")).alias("name"), x.cast("double").alias("value")))
+    for name in features:
+        if isinstance(kinds[name], T.ArrayType):
+            cells.append(listed(name))
+        elif isinstance(kinds[name], (T.NumericType, T.BooleanType)):
+            cells.append(one(name, F.col(name)))
+    flat = rows.select(*keys, F.explode(F.concat(*cells)).alias("cell")).select(*keys, "cell.name", "cell.value")
+    return flat.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+
+
+def scaled_vectors(cells: DataFrame, within: list[str], key: list[str]) -> DataFrame:
+    """Adds scaled: 0 to 1 by group and name.  A row without a name that its group has counts as 0 there."""
+    members = cells.select(*within, *key).distinct()
+    names = cells.groupBy(*within).agg(F.collect_set("name").alias("names"))  # a group's feature names
+    dense = members.join(names, within).select(*within, *key, F.explode("names").alias("name")).join(cells, [*within, *key, "name"], "left").fillna(0.0, ["value"])
+    return minmax_scaled(dense, "value", [*within, "name"]).withColumnRenamed("value_scaled", "scaled")
+
+
+def submatrix(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """The (left, right) rows among some labels, with their places (i, j) in the new order."""
+    place = lambda c: F.array_position(F.array(*map(F.lit, labels)), F.col(c)).cast("int") - 1
+    return rows.filter(F.col("left").isin(labels) & F.col("right").isin(labels)).withColumns({"i": place("left"), "j": place("right")})
+
+
+def rebalanced(strata: DataFrame, bucket: str, target: str, available: str, total: int) -> DataFrame:
+    """Adds chosen: how many to take of each bucket so that they are ``total``.
+
+    Each gives its target, or what it has; what is missing is filled from the
+    others, the largest shortage first, then the most available, then the later name.  Strata are a design's few rows.
+    """
+    have = strata.withColumn("base", F.least(target, available)).withColumn("spare", F.col(available) - F.col("base"))
+    order = Window.orderBy(F.desc(F.col(target) - F.col("base")), F.desc(available), F.col(bucket))
+    missing = F.lit(total) - F.sum("base").over(Window.partitionBy(F.lit(0)))
+    before = F.sum("spare").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    left = F.greatest(F.lit(0), missing - F.coalesce(before, F.lit(0)))
+    return have.withColumn("chosen", F.col("base") + F.least("spare", left)).drop("base", "spare")
+
+
 def round_robin(rows: DataFrame, lane: str, order: list[str]) -> DataFrame:
     """Adds turn (place in its lane) and position fields: rows sorted by (turn, lane) take the lanes in turns."""
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(lane).orderBy(*order)))

@@ -73,8 +73,65 @@ def page(rows: DataFrame, order: list[str], limit: int, offset: int, most: int =
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(limit, most))
 
 
-def page_with_count(rows: DataFrame, order: list[str], limit: int, offset: int) -> tuple[DataFrame, int]:
-    return page(rows, order, limit, offset), rows.count()
+def export_page(rows: DataFrame, people: DataFrame, person: str, order: list[str], limit: int, offset: int, since: Column | None = None) -> DataFrame:
+    """A page of the rows of some people since some time, with ``total``: how many such rows there are on all pages."""
+    chosen = rows.join(people.select(person).distinct(), person, "left_semi")
+    chosen = chosen if since is None else chosen.filter(since)
+    return page(chosen, order, limit, offset).join(chosen.agg(F.count("*").alias("total")), F.lit(True))
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of each table, in one job."""
+    out = None
+    for name, rows in tables.items():
+        own = rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+def lookup(rows: DataFrame, key: dict[str, object], alias: str | None = None, place: str = "trial_order") -> DataFrame:
+    """Rows of a key; an alias ``T###`` picks the one at that place of the order."""
+    for column, value in key.items():
+        rows = rows.filter(F.col(column) == value)
+    return rows if alias is None else rows.filter(F.col(place) == int(alias.removeprefix("T")))
+
+
+def history(rows: DataFrame, person: str, order: list[str]) -> DataFrame:
+    """Adds place: a person's rows numbered from 1 in their order."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(person).orderBy(*order)))
+
+
+def in_scope(rows: DataFrame, module: str, scope: str) -> DataFrame:
+    """The rows of the main part, of the modules, or all."""
+    main = F.coalesce(F.nullif(F.col(module), F.lit("")), F.lit("main")) == "main"
+    return {"all": lambda: rows, "main": lambda: rows.filter(main), "modules": lambda: rows.filter(~main)}[scope]()
+
+
+def run_summary(queue: DataFrame, completed: DataFrame, errors: DataFrame, key: str, valid: Column) -> DataFrame:
+    """One row on a collection run: queue, completed, remaining, errors, those without a completed request, and the share of valid ones.
+
+    ``completed`` has one row for each request.
+    """
+    total = queue.agg(F.count("*").alias("queue_rows"))
+    done = completed.agg(F.count("*").alias("completed"), F.avg(valid.cast("double")).alias("valid_rate"))
+    failed = errors.agg(F.count("*").alias("errors"), F.count_distinct(key).alias("error_requests"))
+    open_ = errors.select(key).distinct().join(completed, key, "left_anti").agg(F.count("*").alias("unresolved"))
+    row = total.join(done, F.lit(True)).join(failed, F.lit(True)).join(open_, F.lit(True))
+    return row.select(
+        F.when(F.col("completed") < F.col("queue_rows"), "collection_started").otherwise("collection_complete").alias("status"),
+        "queue_rows", "completed", F.greatest(F.lit(0), F.col("queue_rows") - F.col("completed")).alias("remaining"), "errors", "error_requests", "unresolved",
+        (F.col("unresolved") / F.greatest(F.lit(1), F.col("queue_rows"))).alias("error_rate"), "valid_rate",
+    )
+
+
+def quality_flags(rows: DataFrame, person: str, time_taken: Column, fast: float, error: Column) -> DataFrame:
+    """Per person: rows, those answered in 1 to ``fast``, errors, and those without a time."""
+    return rows.groupBy(person).agg(
+        F.count("*").alias("rows_seen"),
+        F.count_if(time_taken.between(1, fast)).alias("fast"),
+        F.count_if(error).alias("errors"),
+        F.count_if(time_taken.isNull() | (time_taken < 1)).alias("untimed"),
+    )
 
 
 def last_of_union(tables: list[DataFrame], key: list[str]) -> DataFrame:

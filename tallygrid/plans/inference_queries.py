@@ -14,7 +14,7 @@ from .tables import orders, shipments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-REPEATS = 500
+REPEATS = 5000
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]):
@@ -43,15 +43,31 @@ def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("item", "klass").agg(one("O").alias("before"), one("F").alias("after"))
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as answers: the status is the source, the customer the person, the nation the item; the lowest priority counts as no class."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+    klass = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+    return rows.groupBy(F.col("o_orderstatus").alias("source"), F.col("c_custkey").alias("person"), F.col("c_nationkey").alias("item"), klass.alias("klass")).agg(F.count("*").alias("n"))
+
+
 @query
 def response_bootstrap(spark, sf_dir):
-    cells = _arms(spark, sf_dir).select(F.lit("O").alias("left"), F.lit("F").alias("right"), "item", "klass", F.col("before").alias("ln"), F.col("after").alias("rn"))
-    return inference.response_bootstrap(cells, 100, 0)
+    return inference.response_bootstrap(_answers(spark, sf_dir), 200, 0, crossed="F")
+
+
+@query
+def joint_bootstrap(spark, sf_dir):
+    """Answers and items drawn anew together: items within their region."""
+    rows = _answers(spark, sf_dir)
+    items = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cluster"), F.col("n_regionkey").alias("stratum")).join(rows.select(F.col("item").alias("cluster")).distinct(), "cluster")
+    numbered, sizes = inference.numbered_clusters(items)
+    drawn = inference.draws(spark, sizes, 200, 0).join(numbered, "index").select("rep", F.col("cluster").alias("item"), "times")
+    return inference.response_bootstrap(rows, 200, 0, crossed="F", item_draws=drawn)
 
 
 @query
 def permutation_tv(spark, sf_dir):
-    return inference.tv_tests(_arms(spark, sf_dir), ["item"], 2000)
+    return inference.tv_tests(_arms(spark, sf_dir), ["item"], 10_000)
 
 
 @query
@@ -59,7 +75,7 @@ def permutation_mi(spark, sf_dir):
     from .distribution_queries import _event_pairs
 
     joint = _event_pairs(spark, sf_dir).groupBy("user_id", "a", "b").agg(F.count("*").alias("n"))
-    return inference.joint_tests(joint, ["user_id"], 200)
+    return inference.joint_tests(joint, ["user_id"], 2000)
 
 
 @query

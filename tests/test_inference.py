@@ -10,7 +10,7 @@ from tallygrid.operators import geometry, inference, logit, ordering
 
 def test_golden_draws(spark):
     expected = [[1, 1, 2, 3, 4], [1, 1, 3, 3, 3], [0, 0, 3, 2, 2], [1, 0, 3, 2, 4]]
-    assert inference.indices((2, 3), 4, 0).tolist() == expected
+    assert [x.tolist() for x in inference.indices((2, 3), 4, 0)] == expected
     rows = inference.draws(spark, (2, 3), 4, 0).collect()
     for rep, own in enumerate(expected):
         assert sorted((r["index"], r.times) for r in rows if r.rep == rep) == [(k, own.count(k)) for k in sorted(set(own))]
@@ -19,7 +19,7 @@ def test_golden_draws(spark):
 def test_bootstrap_equals_numpy(spark):
     values = [("a", f"c{k}", float(k)) for k in range(4)] + [("b", f"d{k}", 10.0 * k) for k in range(3)]
     rows = spark.createDataFrame([("k", *v) for v in values], "key string, stratum string, cluster string, value double")
-    drawn = inference.indices((4, 3), 200, 5)
+    drawn = np.stack(list(inference.indices((4, 3), 200, 5)))
     x = np.array([v[2] for v in values])
     for equal in (True, False):
         means = (x[drawn[:, :4]].mean(1) + x[drawn[:, 4:]].mean(1)) / 2 if equal else x[drawn].mean(1)
@@ -38,7 +38,7 @@ def test_permutation_p_values(spark):
     pairs = [(a, b) for a, b, n in cells for _ in range(n)]
     a, b = (np.array([p[k] == v for p in pairs], int) for k, v in ((0, "b"), (1, "y")))
     rng = np.random.default_rng(81)
-    null = [inference.information(a, rng.permutation(b), 2, 2) for _ in range(200)]
+    null = [inference.information(a, rng.permutation(b)[None], 2, 2)[0] for _ in range(200)]
     assert first[2] == (1 + sum(v >= first[0] - 1e-15 for v in null)) / 201
     rows = spark.createDataFrame([("k", "x", 50, 5), ("k", "y", 5, 50), ("e", "x", 0, 3)], "key string, klass string, before long, after long")
     assert {r.key: r.p for r in inference.tv_tests(rows, ["key"], 100).collect()} == {"k": 1 / 101, "e": None}
@@ -51,11 +51,34 @@ def test_holm_leaves_controls_alone(spark):
 
 
 def test_response_bootstrap(spark):
-    rows = spark.createDataFrame([("h", "m", "i", "a", 2, 50), ("h", "m", "i", None, 2, 50)], "left string, right string, item string, klass string, ln long, rn long")
-    assert all(v == 0 for v in inference.response_bootstrap(rows, 8, 0).first()[2:])
-    bad = spark.createDataFrame([("h", "m", "i", "a", 0, 5)], "left string, right string, item string, klass string, ln long, rn long")
-    with pytest.raises(Exception, match="no answers"):
-        inference.response_bootstrap(bad, 2, 0).collect()
+    schema = "source string, person string, item string, klass string, n int"
+    rows = [("h", "p", "i", "a", 2), ("h", "p", "i", None, 2), ("m", None, "i", "a", 50), ("m", None, "i", None, 50), ("m", None, "j", None, 50)]
+    assert all(v == 0 for v in inference.response_bootstrap(spark.createDataFrame(rows, schema), 8, 0).first()[2:])
+    # People answer alike on all items, so what a replicate draws of them is the same on each: many items say no more than one.
+    people = [("h", f"p{k}", f"i{j}", "a" if k < 6 else "b", 1) for k in range(20) for j in range(5)]
+    fixed = [("m", None, f"i{j}", "a", 9) for j in range(5)]
+    df = spark.createDataFrame(people + fixed, schema)
+    many, one = (inference.response_bootstrap(x, 300, 0, crossed="h").first() for x in (df, df.filter("item = 'i0'")))
+    assert [many.tv_low, many.tv_high] == pytest.approx([one.tv_low, one.tv_high])
+    assert 0.4 < many.tv_low < 0.6 < 0.75 < many.tv_high < 0.95
+    alone = inference.response_bootstrap(df, 300, 0).first()
+    assert alone.tv_high - alone.tv_low < 0.7 * (many.tv_high - many.tv_low)
+    # Items that are never drawn don't count.
+    other = df.unionAll(spark.createDataFrame([("h", "p0", "k", "b", 1), ("m", None, "k", "a", 1)], schema))
+    draws = df.sparkSession.range(300).selectExpr("cast(id as int) rep", "'i0' item", "2L times")
+    joint = inference.response_bootstrap(other.filter("item in ('i0', 'k')"), 300, 0, crossed="h", item_draws=draws).first()
+    assert joint.left == "h" and joint.right == "m" and 0.4 < joint.tv_low < 0.6
+
+
+def test_poisson_weights(spark):
+    got = spark.range(20000).select(inference.poisson_of(F.lit(1), "id").alias("w")).agg(F.avg("w"), F.var_pop("w"), F.max("w")).first()
+    assert abs(got[0] - 1) < 0.03 and abs(got[1] - 1) < 0.06 and 5 <= got[2] <= 10
+
+
+def test_null_strata_are_drawn(spark):
+    rows = spark.createDataFrame([("k", None, "a", 1.0), ("k", None, "b", 3.0), ("k", "s", "c", 5.0)], "key string, stratum string, cluster string, value double")
+    got = inference.bootstrap(rows, 200, 0, ["key"], equal_strata=True).first()
+    assert got["mean"] == 3.5 and got.low == 3.0 and got.high == 4.0
 
 
 def test_embedding_recovers_points(spark):

@@ -69,10 +69,10 @@ def test_records(spark, tmp_path):
     plain.write_text("[1]\nnot json\n")
     with pytest.raises(Exception):
         records.read_jsonl(spark, str(plain), "k long").collect()
-    assert records.one_input(str(tmp_path), "b").endswith(".gz")
+    assert records.one_input(spark, str(tmp_path), "b").endswith(".gz")
     (tmp_path / "b.jsonl").write_text("")
     with pytest.raises(FileNotFoundError, match="ambiguous"):
-        records.one_input(str(tmp_path), "b")
+        records.one_input(spark, str(tmp_path), "b")
     df = spark.createDataFrame([("0123456789abcdef0123", 1, "z")], "request_id string, v int, secret string")
     with pytest.raises(records.NotAllowed):
         records.exported(df, ["request_id", "v"])
