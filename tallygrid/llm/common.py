@@ -47,6 +47,17 @@ def boxed(df: DataFrame, name: str = "row") -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as far as columns have them already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """At most n rows in an Arrow batch of what is run inside."""

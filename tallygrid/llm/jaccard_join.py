@@ -18,9 +18,10 @@ linked sets may differ in.
    never too low, a shingle counted once has no partner and is dropped.
 2. Of equal sets in a chunk, one sends its prefix shingles with their places to
    blocks, which keep those that several have and whose places leave room.
-3. A shingle's first document, by place, is a pivot.  Each document is compared
-   with the pivot it shares most prefix shingles with, and so has a region and
-   its distance ``off`` from the region's pivot.  Those within ``1-t`` link with
+3. Of a shingle's documents the one whose shingles are the most frequent is a
+   pivot: in a family of copies that is the least edited.  Each document is
+   compared with the pivot it shares most prefix shingles with, and so has a
+   region and its distance ``off`` from the region's pivot.  Those within ``1-t`` link with
    it: a group of copies costs its size, not its square.
 4. The regions, merged by these links, join again: each document is compared
    with one pivot that it met in another component.
@@ -65,7 +66,7 @@ _MOST = 0xFFFF
 _SENT = "block int, chunk int, n int, keys binary, counts binary"
 _ANSWER = "chunk int, block int, n int, counts binary"
 #: kind 0: prefix shingles of documents for a block; kind 1: a document.
-_FOUND = "kind int, block int, node long, doc_id long, print string, size long, twin long, active boolean, shingles binary, nodes binary, places binary, sizes binary"
+_FOUND = "kind int, block int, node long, doc_id long, print string, size long, twin long, active boolean, shingles binary, nodes binary, places binary, sizes binary, scores binary"
 _MET = "shingle long, node long, first long, place int, size int"
 
 
@@ -141,10 +142,11 @@ def _frequencies(docs_by_chunk, size: int, n_blocks: int) -> DataFrame:
 def _placed_prefixes(chunk: _Chunk, frequency: np.ndarray, number: int, percent: int, n_blocks: int) -> pa.Table:
     """The documents, and the prefix shingles that others may share, with the number of shingles before each."""
     least = frequency[chunk.inverse]  # of each document's shingles, in the order of chunk.all
+    logs = np.log2(np.maximum(least, 1), dtype=np.float32)
     ends, first = np.cumsum(chunk.sizes), number << 32
     same: dict[bytes, int] = {}
     rows: list[tuple] = []
-    shingles, nodes, places, sizes = ([] for _ in range(4))
+    shingles, nodes, places, sizes, scores = ([] for _ in range(5))
     for k, s in enumerate(chunk.sets):
         whole = s.tobytes()
         twin = same.setdefault(whole, k) if len(s) else k
@@ -158,36 +160,40 @@ def _placed_prefixes(chunk: _Chunk, frequency: np.ndarray, number: int, percent:
                 places.append(at)
                 nodes.append(np.full(kept, first + k))
                 sizes.append(np.full(kept, len(s)))
-        rows.append((1, None, first + k, chunk.ids[k], chunk.prints[k], len(s), first + twin, kept > 0, whole if kept else None, None, None, None))
+                scores.append(np.full(kept, 4000 * logs[ends[k] - len(s) : ends[k]].mean()))
+        rows.append((1, None, first + k, chunk.ids[k], chunk.prints[k], len(s), first + twin, kept > 0, whole if kept else None, None, None, None, None))
     if shingles:
         t, node, place, size = np.concatenate(shingles), np.concatenate(nodes), np.concatenate(places).astype("<i4"), np.concatenate(sizes).astype("<i4")
+        score = np.concatenate(scores).astype("<u2")
         block = t % np.uint64(n_blocks)
         order = np.lexsort((t, block))
         for b, s, e in by_block(block[order]):
             at = order[s:e]
-            rows.append((0, b, None, None, None, None, None, None, t[at].tobytes(), node[at].tobytes(), place[at].tobytes(), size[at].tobytes()))
+            rows.append((0, b, None, None, None, None, None, None, t[at].tobytes(), node[at].tobytes(), place[at].tobytes(), size[at].tobytes(), score[at].tobytes()))
     return _table(_FOUND, rows)
 
 
 def _met(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """Of one block: the documents of each shingle that several have, and the first of them by place.
+    """Of one block: the documents of each shingle that several have, and the first of them: the one whose shingles are the most frequent.
 
     Documents for which the places leave room for no other are left out.
     """
-    types = {"shingles": np.uint64, "nodes": np.int64, "places": "<i4", "sizes": "<i4"}
+    types = {"shingles": np.uint64, "nodes": np.int64, "places": "<i4", "sizes": "<i4", "scores": "<u2"}
     parts: dict[str, list[np.ndarray]] = {c: [] for c in types}
     for batch in batches:
         for c, found in parts.items():
             found += [np.frombuffer(x, types[c]) for x in batch.column(c).to_pylist()]
-    t, p, place, size = (np.concatenate(found) for found in parts.values())
+    t, p, place, size, score = (np.concatenate(found) for found in parts.values())
     order = np.lexsort((p, place, t))
-    t, p, place, size = (x[order] for x in (t, p, place, size))
+    t, p, place, size, score = (x[order] for x in (t, p, place, size, score))
     start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
     run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(t))))
     second = np.append(place, 1 << 30)[start + 1]  # only of use where the run has a second
     other = np.where(np.arange(len(t)) == start[run], second[run], place[start][run])
     keep = (np.bincount(run)[run] > 1) & (place + other.astype(np.int64) <= share * (size + np.maximum.reduceat(size, start)[run].astype(np.int64)) + 1e-9)
-    t, p, place, size = (x[keep] for x in (t, p, place, size))
+    t, p, place, size, score = (x[keep] for x in (t, p, place, size, score))
+    order = np.lexsort((p, -score.astype(np.int64), t))
+    t, p, place, size = (x[order] for x in (t, p, place, size))
     new = np.concatenate(([True], t[1:] != t[:-1])) if len(t) else np.zeros(0, bool)
     run = np.cumsum(new) - 1
     several = np.bincount(run, minlength=1)[run] > 1 if len(t) else new
@@ -234,7 +240,7 @@ def links_and_documents(docs: DataFrame, size: int, percent: int) -> tuple[DataF
     def met(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _met(batches, share)
 
-    groups = checkpointed(found.filter("kind = 0").select("block", "shingles", "nodes", "places", "sizes").groupBy("block").applyInArrow(met, _MET))
+    groups = checkpointed(found.filter("kind = 0").select("block", "shingles", "nodes", "places", "sizes", "scores").groupBy("block").applyInArrow(met, _MET))
     equal = documents.filter("node != twin").select(F.col("node").alias("a"), F.col("twin").alias("b"))
 
     # Regions: each document and the pivot it shares most prefix shingles with.

@@ -31,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import _STEP, boxed, checkpointed, flat, lowered, mixed, slices, table, window_hashes, word_hashes, words
+from .common import _STEP, checkpointed, flat, fresh, lowered, mixed, slices, table, window_hashes, word_hashes, words
 
 MIN_DOCUMENTS = 20
 SHARE = 0.002
@@ -157,23 +156,27 @@ def judge(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUME
 
 def apply(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """The documents that are kept, without their boilerplate lines; ``n_chars``, if there, follows the text."""
-    text, name = F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.coalesce(F.col(f"row.`{host}`").cast("string"), F.lit(""))
+    text, name = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))
+    own, kept, gone = fresh(docs, "own", "kept", "gone")
     # The verdict depends on text and host alone, so it is joined by a 128-bit digest of both; only documents that change or go have a row.
-    rows = boxed(docs).withColumn("own", F.md5(F.encode(F.concat(name, F.lit("\0"), text), "UTF-8")))
-    verdicts = judge(rows.select(F.col("own").alias("doc_id"), text.alias("text"), name.alias("host")), "host", min_documents, share, "string").filter("not kept or removed_words > 0")
-    verdicts = verdicts.groupBy(F.col("doc_id").alias("own")).agg(F.min("kept").alias("kept"), F.min("removed_lines").alias("gone"))
-    joined = rows.join(verdicts, "own", "left").filter(F.coalesce("kept", F.lit(True)))
-    same = joined.filter("gone is null").select("row.*")
-    shape = StructType([StructField("row", docs.schema), StructField("text", StringType())])
+    digest = F.md5(F.encode(F.concat(name, F.lit("\0"), text), "UTF-8"))
+    verdicts = judge(docs.select(digest.alias("doc_id"), text.alias("text"), name.alias("host")), "host", min_documents, share, "string").filter("not kept or removed_words > 0")
+    verdicts = verdicts.groupBy(F.col("doc_id").alias(own)).agg(F.min("kept").alias(kept), F.min("removed_lines").alias(gone))
+    # Both branches below take the same columns, so that they share one exchange.
+    columns = [f"`{c}`" for c in docs.columns]
+    joined = docs.withColumn(own, digest).join(verdicts, own, "left").filter(F.coalesce(kept, F.lit(True))).select(*columns, gone)
+    same = joined.filter(F.col(gone).isNull()).select(*columns)
+    at = docs.columns.index("text")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without_lines(t, set(g)) for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+            texts = [without_lines(t, set(g)) for t, g in zip(batch.column(at).to_pylist(), batch.column(gone).to_pylist(), strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(docs_columns)
 
-    changed = joined.filter("gone is not null").select("row", text.alias("text"), "gone").mapInArrow(strip, shape)
-    new = {"text": F.col("text"), "n_chars": F.length("text")}
-    changed = changed.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col(f"row.`{f.name}`")).alias(f.name) for f in docs.schema])
+    docs_columns = docs.columns
+    changed = joined.filter(F.col(gone).isNotNull()).mapInArrow(strip, docs.schema)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return same.unionByName(changed)
 
 
