@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MOST_POINTS = 2000
 
@@ -120,3 +121,27 @@ def mds(spark: SparkSession, rows: DataFrame, value: str) -> DataFrame:
     x, _, _ = embedding(kernel(m))
     x = oriented(x)
     return spark.createDataFrame([(str(a), *map(float, p), stress(m, x)) for a, p in zip(labels, x, strict=True)], "label string, x double, y double, stress double")
+
+
+def stress_rows(distances: DataFrame, points: DataFrame) -> DataFrame:
+    """One row: how far distances (left, right, value) are from those between points (label, x, y), as a share of the former; and the number of pairs."""
+    one = points.select(F.col("label").alias("left"), F.col("x").alias("_x1"), F.col("y").alias("_y1"))
+    two = points.select(F.col("label").alias("right"), F.col("x").alias("_x2"), F.col("y").alias("_y2"))
+    shown = F.sqrt((F.col("_x1") - F.col("_x2")) ** 2 + (F.col("_y1") - F.col("_y2")) ** 2)
+    rows = distances.join(one, "left").join(two, "right").select("value", shown.alias("shown"))
+    return rows.agg(F.sqrt(F.sum((F.col("value") - F.col("shown")) ** 2) / F.sum(F.col("value") ** 2)).alias("stress"), F.count("*").alias("pairs"))
+
+
+def matrix_problems(rows: DataFrame, least: float = 0.0, most: float = 1.0, diagonal: float = 0.0) -> DataFrame:
+    """(left, right, problem): cells that are repeated, out of range, off the diagonal's value, or without an equal one across the diagonal."""
+    cells = rows.groupBy("left", "right").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    other = cells.select(F.col("right").alias("left"), F.col("left").alias("right"), "low", "high", F.lit(True).alias("there"))
+    found = cells.join(other, ["left", "right", "low", "high"], "left")
+    outside = (F.col("low") < least) | (F.col("high") > most)
+    rules = [
+        (F.col("n") > 1, "repeated"),
+        (outside, "out_of_range"),
+        ((F.col("left") == F.col("right")) & ((F.col("low") != diagonal) | (F.col("high") != diagonal)), "diagonal"),
+        ((F.col("left") != F.col("right")) & F.col("there").isNull(), "asymmetric"),
+    ]
+    return found.select("left", "right", F.explode(F.array_compact(F.array(*[F.when(rule, text) for rule, text in rules]))).alias("problem"))

@@ -8,10 +8,11 @@ by backtracking; an intercept, if any, isn't penalised.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PENALTY = 1e-4
@@ -75,7 +76,7 @@ class Choice:
         _, e, log_total = self._shares(beta)
         return log_total - np.add.reduceat(self.target * e, self.head)
 
-    def fit(self, weights: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
+    def fit(self, weights: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
         w = np.ones(len(self.x)) if weights is None else weights
         w = w / w.sum()
         each = np.repeat(w, self.size)
@@ -90,7 +91,7 @@ class Choice:
             curvature = self.penalty * np.eye(self.width) + (self.rows.T * (each * p)) @ self.rows - (mean.T * w) @ mean
             return gradient, curvature
 
-        return minimise(value, derivatives, np.zeros(self.width))
+        return minimise(value, derivatives, np.zeros(self.width) if start is None else start)
 
     def robust_errors(self, beta: np.ndarray) -> np.ndarray:
         """Standard errors from the items' own scores (each item a cluster); for fits without a penalty."""
@@ -120,7 +121,7 @@ class Source:
     def probability(self, beta: np.ndarray) -> np.ndarray:
         return 0.5 * (1 + np.tanh(self.x @ beta / 2))
 
-    def fit(self, times: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
+    def fit(self, times: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
         w = self.w if times is None else self.w * times
         w = w / w.sum()
 
@@ -132,7 +133,7 @@ class Source:
             p = self.probability(beta)
             return self.x.T @ (w * (p - self.y)) + self.shrink * beta, (self.x.T * (w * p * (1 - p))) @ self.x + np.diag(self.shrink)
 
-        return minimise(value, derivatives, np.zeros(self.x.shape[1]))
+        return minimise(value, derivatives, np.zeros(self.x.shape[1]) if start is None else start)
 
 
 class _Filled:
@@ -147,75 +148,256 @@ class _Filled:
     def by(self, training: np.ndarray) -> list[np.ndarray]:
         count = self.counts[training].sum(axis=0)
         mean = self.sums[training].sum(axis=0) / np.maximum(1, count)
+        mean = np.where(count > 0, mean, 0.5)
         return [np.where(c, mean, m) if some else m for m, c, some in zip(self.x, self.constant, self.constant.any(axis=1).tolist(), strict=True)]
 
 
-def choice_fits(rows: DataFrame, task: str, item: str, candidate: str, share: str, features: list[str], repeats: int = 200, seed: int = 0, penalty: float = PENALTY) -> DataFrame:
-    """Per task and feature: coefficient and interval (items drawn whole); per task: loss in and out of sample, of chance, and validation by items left out."""
+CHUNK = 64
+_DRAWN = "rep int, place int, coefficient double, held_out double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([item, candidate])
-        groups = [g for _, g in pdf.groupby(item, sort=True)]
-        x = [g[features].to_numpy(float) for g in groups]
-        q = [g[share].to_numpy(float) / g[share].sum() for g in groups]
-        everyone, features_of = np.arange(len(x)), _Filled(x)
-        model = Choice(features_of.by(everyone), q, penalty)
-        beta, gradient, steps = model.fit()
-        held = []
-        for k in everyone:
-            others = np.delete(everyone, k)
-            if not len(others):
-                continue
-            filled = features_of.by(others)
-            b, _, _ = Choice([filled[j] for j in others], [q[j] for j in others], penalty).fit()
-            held.append(Choice([filled[k]], [q[k]], penalty).losses(b)[0])
-        rng, drawn = np.random.default_rng(seed), []
-        for _ in range(repeats):
-            times = np.bincount(rng.integers(0, len(x), len(x)), minlength=len(x))
-            some = np.flatnonzero(times)
-            filled = features_of.by(some)
-            drawn.append(Choice([filled[j] for j in some], [q[j] for j in some], penalty).fit(times[some].astype(float))[0])
-        low, high = np.quantile(drawn, (0.025, 0.975), axis=0) if drawn else (beta * np.nan, beta * np.nan)
-        chance = float(np.mean([np.log(len(m)) for m in x]))
-        return pd.DataFrame(
-            {
-                task: pdf[task].iloc[0], "feature": features, "coefficient": beta, "low": low, "high": high, "items": len(x), "loss": float(model.losses(beta).mean()),
-                "held_out_loss": float(np.mean(held)) if held else np.nan, "chance_loss": chance, "gradient": gradient, "steps": steps,
-            }
-        )
-
-    kind = dict(rows.dtypes)[task]
-    schema = f"{task} {kind}, feature string, coefficient double, low double, high double, items long, loss double, held_out_loss double, chance_loss double, gradient double, steps long"
-    return rows.select(task, item, candidate, share, *features).groupBy(task).applyInPandas(run, schema)
-
-
-def source_fits(rows: DataFrame, task: str, item: str, is_first: str, weight: str, features: list[str], penalty: float = PENALTY) -> DataFrame:
-    """Per task and feature: coefficient of answering like the first source; accuracy in sample and with each item left out.
+
+class _ChoiceTask:
+    """A task's items, and refits of them: all, drawn ones, and with one left out."""
+
+    metric = "loss"
+
+    def __init__(self, pdf: pd.DataFrame, item: str, order: str, target: str, features: list[str], penalty: float):
+        groups = [g for _, g in pdf.sort_values([item, order]).groupby(item, sort=True, dropna=False)]
+        self.names, self.penalty = features, penalty
+        self.q = [g[target].to_numpy(float) / g[target].sum() for g in groups]
+        self.features = _Filled([g[features].to_numpy(float) for g in groups])
+        self.items = len(groups)
+
+    def _model(self, use: np.ndarray, filled: list[np.ndarray]) -> Choice:
+        return Choice([filled[k] for k in use], [self.q[k] for k in use], self.penalty)
+
+    def fit(self, times: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
+        use = np.flatnonzero(times)
+        return self._model(use, self.features.by(use)).fit(times[use].astype(float), start)
+
+    def held_out(self, times: np.ndarray, start: np.ndarray | None = None) -> float:
+        """Mean loss of each drawn item under the fit without it (all its copies), weighted by its copies."""
+        use, total, n = np.flatnonzero(times), 0.0, 0
+        for k in use:
+            others = use[use != k]
+            if len(others):
+                filled = self.features.by(others)
+                beta = self._model(others, filled).fit(times[others].astype(float), start)[0]
+                total += times[k] * self._model([k], filled).losses(beta)[0]
+                n += times[k]
+        return total / n if n else np.nan
+
+    def in_sample(self, beta: np.ndarray) -> dict[str, float]:
+        use = np.arange(self.items)
+        return {"loss": float(self._model(use, self.features.by(use)).losses(beta).mean()), "chance_loss": float(np.mean([np.log(len(q)) for q in self.q]))}
+
+
+class _SourceTask:
+    """The same for the regression of a source: weights of an item's rows grow with its copies."""
+
+    metric = "accuracy"
+
+    def __init__(self, pdf: pd.DataFrame, item: str, order: str, target: str, features: list[str], penalty: float):
+        pdf = pdf.sort_values([item, order])
+        self.names = ["intercept", *features]
+        self.x, self.y, self.w = pdf[features].to_numpy(float), pdf[order].to_numpy(float), pdf[target].to_numpy(float)
+        self.of = np.unique(pdf[item].astype(str).to_numpy(), return_inverse=True)[1]
+        self.items, self.penalty = int(self.of.max(initial=-1)) + 1, penalty
+
+    def _model(self, rows: np.ndarray, times: np.ndarray) -> Source:
+        return Source(self.x[rows], self.y[rows], self.w[rows] * times[self.of[rows]], self.penalty)
+
+    def fit(self, times: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
+        return self._model(times[self.of] > 0, times).fit(start=start)
+
+    @staticmethod
+    def _right(model: Source, beta: np.ndarray) -> float:
+        p = model.probability(beta)
+        return float((model.w * np.where(p > 0.5, model.y, np.where(p < 0.5, 1 - model.y, 0.5))).sum() / model.w.sum())
+
+    def held_out(self, times: np.ndarray, start: np.ndarray | None = None) -> float:
+        total, n = 0.0, 0
+        for k in np.flatnonzero(times):
+            own = self.of == k
+            others = ~own & (times[self.of] > 0)
+            if others.any():
+                beta = self._model(others, times).fit(start=start)[0]
+                total += times[k] * self._right(self._model(own, times), beta)
+                n += times[k]
+        return total / n if n else np.nan
+
+    def in_sample(self, beta: np.ndarray) -> dict[str, float]:
+        ones = np.ones(self.items)
+        return {"accuracy": self._right(self._model(np.ones(len(self.y), bool), ones), beta)}
+
+
+def _fits(kind: type, rows: DataFrame, task: str, item: str, order: str, target: str, features: list[str], repeats: int, seed: int, penalty: float, validate: bool, measures: list[str]) -> DataFrame:
+    """Point fits by task, and the intervals of their refits, which run in chunks of draws side by side.
+
+    All draws of a task come from one generator, so that a chunk takes its own of them whatever the number of chunks.
+    """
+    ready = rows.select(task, item, order, target, *features)
+    task_type = dict(rows.dtypes)[task]
+
+    def point(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = kind(pdf, item, order, target, features, penalty)
+        ones = np.ones(own.items)
+        beta, gradient, steps = own.fit(ones)
+        found = own.in_sample(beta)
+        return pd.DataFrame({task: pdf[task].iloc[0], "place": range(len(own.names)), "feature": own.names, "coefficient": beta, "items": own.items, **{m: found[m] for m in measures}, "held_out": own.held_out(ones, beta), "gradient": gradient, "steps": steps})
+
+    def refits(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, chunk, rng, out = kind(pdf, item, order, target, features, penalty), int(pdf["chunk"].iloc[0]), np.random.default_rng(seed), []
+        for rep in range(min(repeats, (chunk + 1) * CHUNK)):
+            times = np.bincount(rng.integers(0, own.items, own.items), minlength=own.items)
+            if rep >= chunk * CHUNK:
+                beta = own.fit(times)[0]
+                held = own.held_out(times, beta) if validate else np.nan
+                out += [(pdf[task].iloc[0], rep, place, b, held) for place, b in enumerate(beta)]
+        return pd.DataFrame(out, columns=[task, "rep", "place", "coefficient", "held_out"])
+
+    columns = "".join(f"{m} double, " for m in measures)
+    points = ready.groupBy(task).applyInPandas(point, f"{task} {task_type}, place int, feature string, coefficient double, items long, {columns}held_out double, gradient double, steps long")
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-repeats // CHUNK) - 1)))).alias("chunk")
+    drawn = ready.select("*", chunks).groupBy(task, "chunk").applyInPandas(refits, f"{task} {task_type}, {_DRAWN}")
+    limits = drawn.groupBy(task, "place").agg(F.percentile("coefficient", [0.025, 0.975]).alias("c"), F.percentile(F.nanvl("held_out", F.lit(None).cast("double")), [0.025, 0.975]).alias("h"))
+    shown = {"held_out": f"held_out_{kind.metric}"}
+    out = points.join(limits, [task, "place"], "left")
+    return out.select(
+        task, "feature", "coefficient", F.col("c")[0].alias("low"), F.col("c")[1].alias("high"), "items", *measures,
+        F.col("held_out").alias(shown["held_out"]), F.col("h")[0].alias("held_out_low"), F.col("h")[1].alias("held_out_high"), "gradient", "steps",
+    )
+
+
+def choice_fits(rows: DataFrame, task: str, item: str, candidate: str, share: str, features: list[str], repeats: int = 2000, seed: int = 0, penalty: float = PENALTY, validate: bool = False) -> DataFrame:
+    """Per task and feature: coefficient and interval (items drawn whole); per task: loss in and out of sample, of chance, and validation by items left out, in each draw too if ``validate``."""
+    return _fits(_ChoiceTask, rows, task, item, candidate, share, features, repeats, seed, penalty, validate, ["loss", "chance_loss"])
+
+
+def source_fits(rows: DataFrame, task: str, item: str, is_first: str, weight: str, features: list[str], repeats: int = 0, seed: int = 0, penalty: float = PENALTY, validate: bool = False) -> DataFrame:
+    """Per task and feature: coefficient of answering like the first source and its interval; accuracy in sample and with each item left out, in each draw too if ``validate``.
 
     ``rows`` has one row for each item, source and candidate, ``weight`` its share of the source's answers on the item, so each source has weight 1 an item.
     """
+    ready = rows.withColumn(is_first, F.col(is_first).cast("double"))
+    return _fits(_SourceTask, ready, task, item, is_first, weight, features, repeats, seed, penalty, validate, ["accuracy"])
+
+
+def fingerprints(rows: DataFrame, task: str, parameters: str) -> DataFrame:
+    """(task, fingerprint): what a task's rows and the parameters are, whatever the rows' order."""
+    h = F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")
+    return rows.groupBy(task).agg(F.sha2(F.concat_ws("|", F.lit(parameters), F.count("*").cast("string"), F.sum(h).cast("string"), F.bit_xor(F.xxhash64(*sorted(rows.columns))).cast("string")), 256).alias("fingerprint"))
+
+
+def resumed_fits(rows: DataFrame, task: str, parameters: str, path: str, fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The fits of all tasks: those that ``path`` has under their present fingerprint, and fresh ones, which are added to it."""
+    spark, marks = rows.sparkSession, fingerprints(rows, task, parameters)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        done = spark.read.parquet(path).select(task, "fingerprint").distinct()
+        rows = rows.join(marks.join(done, [task, "fingerprint"], "left_anti").select(task), task, "left_semi")
+    fit(rows).join(marks, task).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(marks, [task, "fingerprint"], "left_semi")
+
+
+def method(penalty: float = PENALTY) -> dict[str, str | float]:
+    """How fits are made, to be kept with their results."""
+    return {
+        "method": "damped Newton", "penalty": penalty, "objective": "weighted mean negative log likelihood" + (" and half the penalty times the squared slopes" if penalty else ""),
+        "gradient_tolerance": TOLERANCE, "line_search": "backtracking by halves, sufficient decrease 1e-4", "most_steps": MOST_STEPS,
+        "validation": "each item left out with all its copies", "intervals": "percentiles of refits on whole items drawn with replacement, none of them dropped",
+        "constant_features": "mean over the training items where the feature varies, 0.5 if there is none",
+    }
+
+
+class UnknownClass(ValueError):
+    """An answer has a class that its item doesn't list."""
+
+
+def observations(answers: DataFrame, conditions: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
+    """(source, item, klass, n) of the answers under listed conditions; a class that the catalog lacks is an error.
+
+    ``answers`` has keys, source, item, klass; ``conditions`` the keys that count; ``catalog`` item and klass.
+    """
+    counted = answers.join(conditions, keys, "left_semi").filter("klass is not null").groupBy("source", "item", "klass").agg(F.count("*").alias("n"))
+    if first := counted.join(catalog, ["item", "klass"], "left_anti").first():
+        raise UnknownClass(f"{first['klass']!r} of {first['item']!r}")
+    return counted
+
+
+def choice_rows(counts: DataFrame, catalog: DataFrame, features: list[str]) -> DataFrame:
+    """The choice design in rows: for each source with answers on an item all candidates of it, with features and share."""
+    total = counts.groupBy("source", "item").agg(F.sum("n").alias("total"))
+    rows = total.join(catalog.select("item", "klass", *features), "item").join(counts, ["source", "item", "klass"], "left")
+    return rows.select("source", "item", "klass", *features, (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
+
+
+def source_rows(counts: DataFrame, first: str, second: str) -> DataFrame:
+    """The source design in rows: classes of items that both sources answered, ``y`` 1 for the first; a source's weights add up to 1 on each item."""
+    own = counts.filter(F.col("source").isin(first, second))
+    both = own.groupBy("item").agg(F.count_distinct("source").alias("k")).filter("k = 2").select("item")
+    return own.join(both, "item", "left_semi").select("item", "klass", (F.col("source") == first).cast("int").alias("y"), (F.col("n") / F.sum("n").over(Window.partitionBy("item", "source"))).alias("w"))
+
+
+def filled(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """A feature that is the same for all candidates of an item takes the mean over the items where it varies, 0.5 if there is none.
+
+    ``rows`` has keys, item and features.  The mean is over candidates of varying items, by key.
+    """
+    item, whole = Window.partitionBy(*keys, "item"), Window.partitionBy(*keys)
+    for f in features:
+        varies = F.max(f).over(item) > F.min(f).over(item)
+        rows = rows.withColumn("_v", varies).withColumn(f, F.when(F.col("_v"), F.col(f)).otherwise(F.coalesce(F.avg(F.when(F.col("_v"), F.col(f))).over(whole), F.lit(0.5))))
+    return rows.drop("_v")
+
+
+def shares_at(rows: DataFrame, keys: list[str], beta: dict[str, float]) -> DataFrame:
+    """Adds probability: what a conditional logit with coefficients ``beta`` gives each candidate of an item."""
+    item = Window.partitionBy(*keys, "item")
+    term = sum((F.col(f) * b for f, b in beta.items()), F.lit(0.0))
+    rows = rows.withColumn("_e", term)
+    rows = rows.withColumn("_e", F.col("_e") - F.max("_e").over(item))
+    return rows.withColumn("probability", F.exp("_e") / F.sum(F.exp("_e")).over(item)).drop("_e")
+
+
+def objective_at(rows: DataFrame, keys: list[str], beta: dict[str, float], penalty: float = PENALTY) -> DataFrame:
+    """Per key: mean cross-entropy over items plus half the penalty times the squared coefficients; and the largest part of its gradient."""
+    found = shares_at(rows, keys, beta).withColumn("_r", F.col("probability") - F.col("share"))
+    items = found.groupBy(*keys, "item").agg(F.sum(-F.col("share") * F.log("probability")).alias("loss"), *[F.sum(F.col(f) * F.col("_r")).alias(f"_g{k}") for k, f in enumerate(beta)])
+    slopes = [F.abs(F.avg(f"_g{k}") + penalty * b) for k, b in enumerate(beta.values())]
+    largest = F.greatest(*slopes) if len(slopes) > 1 else slopes[0]
+    return items.groupBy(*keys).agg(F.count("*").alias("items"), (F.avg("loss") + penalty / 2 * sum(b * b for b in beta.values())).alias("objective"), largest.alias("gradient"))
+
+
+def uniform_information(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """(keys, item, i, j, value): each item's information matrix of a uniform choice, from sums over its candidates."""
+    n = F.count("*")
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.sum(F.col(a) * F.col(b)) / n - F.avg(a) * F.avg(b)).alias("value")) for i, a in enumerate(features) for j, b in enumerate(features)]
+    return rows.groupBy(*keys, "item").agg(F.array(*cells).alias("cells")).select(*keys, "item", F.explode("cells").alias("c")).select(*keys, "item", "c.i", "c.j", "c.value")
+
+
+def design_diagnostics(rows: DataFrame, key: str, features: list[str], least: float = 1e-12) -> DataFrame:
+    """Per key: least eigenvalue, condition number and rank of the pooled design; over designs with one item left out, the least eigenvalue and the largest condition number.
+
+    Items come to Python as one small matrix each, a key's items in one group.  ``deficient`` is the first item whose
+    absence leaves the design without full rank, or "pooled"; null for a sound design.
+    """
+    k = len(features)
+    one = F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "value"))), lambda c: c["value"])
+    items = uniform_information(rows, [key], features).groupBy(key, "item").agg(one.alias("m"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([item, is_first])
-        x, y, w, of = pdf[features].to_numpy(float), pdf[is_first].to_numpy(float), pdf[weight].to_numpy(float), pdf[item].to_numpy()
-        model = Source(x, y, w, penalty)
-        beta, gradient, steps = model.fit()
-        right = lambda m, b: (m.w * np.where(m.probability(b) > 0.5, m.y, np.where(m.probability(b) < 0.5, 1 - m.y, 0.5))).sum() / m.w.sum()
-        held = []
-        for k in np.unique(of):
-            own = of == k
-            if own.all():
-                continue
-            b = Source(x[~own], y[~own], w[~own], penalty).fit()[0]
-            held.append(right(Source(x[own], y[own], w[own], penalty), b))
-        return pd.DataFrame(
-            {
-                task: pdf[task].iloc[0], "feature": ["intercept", *features], "coefficient": beta, "accuracy": right(model, beta),
-                "held_out_accuracy": float(np.mean(held)) if held else np.nan, "items": len(np.unique(of)), "gradient": gradient, "steps": steps,
-            }
-        )
-
-    kind = dict(rows.dtypes)[task]
-    schema = f"{task} {kind}, feature string, coefficient double, accuracy double, held_out_accuracy double, items long, gradient double, steps long"
-    ready = rows.select(task, item, F.col(is_first).cast("double").alias(is_first), weight, *features)
-    return ready.groupBy(task).applyInPandas(run, schema)
+        pdf = pdf.sort_values("item")
+        each = np.array(pdf["m"].tolist(), float).reshape(-1, k, k)
+        whole = each.sum(axis=0)
+        values, held = np.linalg.eigvalsh(whole), np.linalg.eigvalsh(whole - each)
+        short = held[:, 0] <= least
+        ratio = np.where(short, np.inf, held[:, -1] / np.where(short, 1, held[:, 0]))
+        deficient = "pooled" if values[0] <= least else str(pdf["item"].iloc[int(short.argmax())]) if short.any() else None
+        return pd.DataFrame([{
+            key: pdf[key].iloc[0], "items": len(pdf), "least": values[0], "condition": values[-1] / values[0] if values[0] > least else np.inf, "rank": int(np.linalg.matrix_rank(whole)),
+            "held_least": held[:, 0].min(), "held_condition": ratio.max(), "deficient": deficient,
+        }])
+
+    kind = dict(rows.dtypes)[key]
+    return items.groupBy(key).applyInPandas(run, f"{key} {kind}, items long, least double, condition double, rank int, held_least double, held_condition double, deficient string")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,3 +119,51 @@ def diverse(rows: DataFrame, within: str, key: str, vector: str, k: int) -> Data
         return pdf.loc[chosen].assign(place=range(1, len(chosen) + 1))
 
     return rows.groupBy(within).applyInPandas(choose, T.StructType([*rows.schema.fields, T.StructField("place", T.IntegerType())]))
+
+
+def legal_cells(boards: DataFrame, digit: str, box_rows: int, box_columns: int) -> DataFrame:
+    """(puzzle_id, r, c, box), from 1, of the empty cells where a digit may go: its row, column and box don't have it yet.
+
+    ``boards`` has puzzle_id and board (rows of characters).
+    """
+    rows = boards.select("puzzle_id", F.posexplode("board").alias("r", "row"))
+    cells = rows.select("puzzle_id", "r", F.posexplode(F.regexp_extract_all("row", F.lit("."), F.lit(0))).alias("c", "x"), (F.length("row") / box_columns).cast("int").alias("across"))
+    cells = cells.withColumn("box", F.floor(F.col("r") / box_rows) * F.col("across") + F.floor(F.col("c") / box_columns))
+    there = lambda key: F.max(F.col("x") == digit).over(Window.partitionBy("puzzle_id", key))
+    free = cells.withColumn("taken", there("r") | there("c") | there("box")).filter((F.col("x") == ".") & ~F.col("taken"))
+    return free.select("puzzle_id", (F.col("r") + 1).alias("r"), (F.col("c") + 1).alias("c"), "box")
+
+
+def mirrored(grid: str) -> Column:
+    """Map of the reflections of a grid (rows of characters)."""
+    rows = F.col(grid)
+    flipped = F.transform(rows, lambda x: F.reverse(x))
+    return F.create_map(F.lit("mirror_v"), F.reverse(rows), F.lit("mirror_h"), flipped, F.lit("mirror_hv"), F.reverse(flipped))
+
+
+def symmetries(size: int) -> list[list[int]]:
+    """The eight symmetries of a square as orders of its cells, row by row."""
+    cells, out = [[r * size + c for c in range(size)] for r in range(size)], []
+    for _ in range(2):
+        for _ in range(4):
+            out.append([x for row in cells for x in row])
+            cells = [list(row) for row in zip(*cells[::-1], strict=True)]
+        cells = [row[::-1] for row in cells]
+    return out
+
+
+def near_grids(rows: DataFrame, group: str, key: str, grid: str, size: int, most: int) -> DataFrame:
+    """(a, b, hamming), a < b: grids of a group that differ in ``most`` cells at most under a symmetry of the square.
+
+    ``most + 1`` bands of cells, one of which must agree, are the join's keys, so a group's pairs are not all made.
+    """
+    flat = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_join(grid, "").alias("s"))
+    n = size * size
+    cuts = [n * b // (most + 1) for b in range(most + 2)]
+    bands = lambda s: F.array(*[F.struct(F.lit(b).alias("band"), F.substring(s, cuts[b] + 1, cuts[b + 1] - cuts[b]).alias("part")) for b in range(most + 1)])
+    turned = F.array(*[F.concat(*[F.substring("s", x + 1, 1) for x in order]) for order in symmetries(size)])
+    one = flat.select("g", F.col("k").alias("a"), F.col("s").alias("x"), F.explode(bands(F.col("s"))).alias("by"))
+    two = flat.select("g", F.col("k").alias("b"), F.explode(F.array_distinct(turned)).alias("y")).select("g", "b", "y", F.explode(bands(F.col("y"))).alias("by"))
+    differing = sum((F.substring("x", k + 1, 1) != F.substring("y", k + 1, 1)).cast("int") for k in range(n))
+    met = one.join(two, ["g", "by"]).filter((F.col("a") < F.col("b")) & (differing <= most))
+    return met.groupBy("a", "b").agg(F.min(differing).alias("hamming"))

@@ -81,3 +81,65 @@ def cell(value: Column, low: Column, high: Column) -> Column:
 def significance(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Mean p, and how many tests are below 0.05 as they are and adjusted."""
     return rows.groupBy(*keys).agg(F.avg("p").alias("mean_p"), F.count_if(F.col("p") < 0.05).alias("n_p"), F.count_if(F.col("p_holm") <= 0.05).alias("n_holm"), F.count("*").alias("n"))
+
+
+def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Sample standard deviation (n-1) of a value, null for a single row."""
+    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"))
+
+
+def status_counts(fits: DataFrame, status: str, keys: list[str] = ()) -> DataFrame:
+    """How many fits ended in each status of the optimizer."""
+    return fits.groupBy(*keys, status).agg(F.count("*").alias("n"))
+
+
+def with_mean(rows: DataFrame, keys: list[str], family: str, values: list[str], name: str = "Mean") -> DataFrame:
+    """Per family the means of values, and a row ``name`` with the equal-family mean."""
+    by = rows.groupBy(*keys, family).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("n"))
+    overall = by.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values], F.sum("n").alias("n")).withColumn(family, F.lit(name))
+    return by.withColumn(family, F.col(family).cast("string")).unionByName(overall)
+
+
+def context_table(rows: DataFrame, keys: list[str], block: str, family: str, arm: str, value: str, before: str) -> DataFrame:
+    """Matched blocks of a related and an unrelated arm: both values, their difference, and the related arm's normalised change from ``before``; by family and in mean."""
+    pick = lambda name, c: F.max(F.when(F.col(arm) == name, F.col(c)))
+    blocks = rows.groupBy(*keys, block, family).agg(pick("related", value).alias("related"), pick("unrelated", value).alias("unrelated"), pick("related", before).alias("p"))
+    blocks = blocks.filter("related is not null and unrelated is not null")
+    blocks = blocks.withColumns({"difference": F.col("related") - F.col("unrelated"), "change": m.directional_gain(F.col("p"), F.col("related"))})
+    return with_mean(blocks, keys, family, ["related", "unrelated", "difference", "change"])
+
+
+def module_summaries(arms: DataFrame, keys: list[str], block: str, family: str, arm: str, movement: str, gain: str, before: str) -> DataFrame:
+    """Per metric the equal-family mean over blocks: of all arms' movement, of each arm's, of the mass gained and of the normalised gain."""
+    levels = [family, block]
+    parts = [
+        nested_means(arms, keys, levels, movement).select(*keys, F.lit("movement").alias("metric"), F.col(movement).alias("value")),
+        nested_means(arms.withColumn("metric", F.concat(F.lit("movement_"), F.col(arm))), [*keys, "metric"], levels, movement).select(*keys, "metric", F.col(movement).alias("value")),
+        nested_means(arms, keys, levels, gain).select(*keys, F.lit("gain").alias("metric"), F.col(gain).alias("value")),
+        nested_means(arms.withColumn("_a", m.normalized_attraction(F.col(gain), F.col(before))).filter("_a is not null"), keys, levels, "_a").select(*keys, F.lit("normalized_gain").alias("metric"), F.col("_a").alias("value")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def design_problems(trials: DataFrame, arms: dict[str, list[str]], crossed: dict[str, str] | None = None) -> DataFrame:
+    """(block, problem): blocks of a module that lack an arm, have one twice or one too many, and those whose columns named in ``crossed`` vary.
+
+    ``trials`` has module, block, condition; ``arms`` the conditions a module's blocks must have, each once.
+    """
+    wanted = F.create_map(*[x for k, v in arms.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(v))))])
+    varying = [(F.count_distinct(c) > 1, text) for c, text in (crossed or {}).items()]
+    blocks = trials.groupBy("module", "block").agg(
+        F.array_sort(F.collect_list("condition")).alias("found"), F.array_compact(F.array(*[F.when(test, text) for test, text in varying], F.lit(None).cast("string"))).alias("varying")
+    )
+    want = wanted[F.col("module")]
+    rules = [
+        (want.isNull(), "unknown_module"),
+        (F.size(F.array_except(want, "found")) > 0, "missing_arm"),
+        (F.size(F.array_except("found", want)) > 0, "unknown_arm"),
+        (F.size("found") > F.size(F.array_distinct("found")), "repeated_arm"),
+    ]
+    found = F.concat(F.array_compact(F.array(*[F.when(rule, text) for rule, text in rules])), "varying")
+    return blocks.select("module", "block", F.explode(found).alias("problem"))

@@ -130,7 +130,36 @@ def source_logit(spark, sf_dir):
     rows = _candidates(spark, sf_dir).filter("source != 'N'")
     rows = d.distributions(rows.select("source", "item", "klass", "n")).join(_candidates(spark, sf_dir).select("source", "item", "klass", "quantity", "discount"), ["source", "item", "klass"])
     rows = rows.withColumn("task", F.lit("A or R")).withColumn("first", F.col("source") == "A")
-    return logit.source_fits(rows, "task", "item", "first", "p", ["quantity", "discount"])
+    return logit.source_fits(rows, "task", "item", "first", "p", ["quantity", "discount"], repeats=50)
+
+
+def _priority_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order priorities as the candidates of each nation, with mean price and share of late orders as features."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+    cells = rows.groupBy(F.col("o_orderstatus").alias("source"), F.col("c_nationkey").alias("item"), F.col("o_orderpriority").alias("klass")).agg(F.count("*").alias("n"))
+    about = rows.groupBy(F.col("c_nationkey").alias("item"), F.col("o_orderpriority").alias("klass")).agg((F.avg("o_totalprice") / 100_000).alias("price"), F.avg((F.year("o_orderdate") > 1996).cast("double")).alias("late"))
+    return logit.choice_rows(cells, about, ["price", "late"])
+
+
+@query
+def revalidated_fits(spark, sf_dir):
+    """Refits with validation in each draw, as tasks that a later run takes up where this one stopped."""
+    from .source_queries import scratch
+
+    rows, path = _priority_choices(spark, sf_dir), scratch(spark, "fits")
+    fit = lambda r: logit.choice_fits(r, "source", "item", "klass", "share", ["price", "late"], repeats=40, validate=True)
+    logit.resumed_fits(rows.filter("source = 'F'"), "source", "choice 40", path, fit)
+    return logit.resumed_fits(rows, "source", "choice 40", path, fit).drop("fingerprint")
+
+
+@query
+def design_diagnostics(spark, sf_dir):
+    return logit.design_diagnostics(_priority_choices(spark, sf_dir), "source", ["price", "late"])
+
+
+@query
+def fit_method(spark, sf_dir):
+    return spark.createDataFrame(sorted((k, str(v)) for k, v in logit.method().items()), "name string, value string")
 
 
 @query
