@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: SQL can express neither the join's components nor the packing; tests hold run() against brute force.
+#: SQL can't tokenize, so it can't express the packing; tests hold the first four stages against brute force, and the packing against the tokenizer.
 ORACLE_SQL = None
 
 

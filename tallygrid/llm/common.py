@@ -76,14 +76,14 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
 
 
 def chunk_count(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
-    """Into how many chunks a corpus is dealt so that one holds about ``chunk_bytes`` of text, and each shuffle task some.
-
-    Chunks exchange messages with blocks, of which there are a quarter as many.  Beyond
-    ``LARGE_BYTES`` of text a chunk grows with the square root of the corpus, so
-    that the number of messages stays in proportion to the corpus.
-    """
-    tasks, total = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(df)
-    return max(2 * tasks, int(total / (chunk_bytes * max(1.0, (total / LARGE_BYTES) ** 0.5))))
+    """Into how many chunks a corpus is dealt so that one holds about ``chunk_bytes`` of text, and each shuffle task some."""
+    return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks_for(text_bytes(df), chunk_bytes))
+
+
+def chunks_for(total: int, chunk_bytes: int = CHUNK_BYTES) -> int:
+    """Chunks exchange messages with blocks, of which there are a quarter as many.  Beyond ``LARGE_BYTES`` of text a chunk
+    grows with the square root of the corpus, so that the number of messages stays in proportion to the corpus."""
+    return int(total / (chunk_bytes * max(1.0, (total / LARGE_BYTES) ** 0.5)))
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

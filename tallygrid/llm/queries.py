@@ -43,12 +43,27 @@ def _shingles(source: str, key: str, words: str, size: int) -> str:
   FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {size - 2})) AS i FROM (SELECT {key}, {words} AS ws FROM {source}))"""
 
 
+_FLAT = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')"
+
 #: SQL for the operators whose whole result it can state; the others are held against brute force in the tests.
 ORACLES: dict[str, str] = {
     "op2_decontaminate": f"""WITH d AS ({_shingles("documents", "doc_id", _NAMES, 5)}), b AS ({_shingles("benchmark", "item_id", _NAMES, 5)}),
  n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
  m AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY ALL)
  SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment FROM m JOIN n USING (item_id) WHERE 10 * shared >= 8 * item_shingles""",
+    "op4_line_frequency": rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+ v AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+ rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM v) WHERE n > 1) GROUP BY ALL),
+ l AS (SELECT doc_id, host, i, ls[i] AS line FROM (SELECT doc_id, host, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, host, string_split(text, chr(10)) AS ls FROM d))),
+ n AS (SELECT doc_id, host, i, line, regexp_extract_all({_FLAT}, '[^\x20\x09-\x0D]+') AS nw FROM l),
+ m AS (SELECT doc_id, host, i, line, array_to_string(nw, ' ') AS norm, len(nw) AS words FROM n WHERE len(nw) > 0),
+ fp AS (SELECT doc_id, string_agg(norm, chr(10) ORDER BY i) AS whole, count(*) - count(DISTINCT line) AS n_dup_lines FROM m GROUP BY ALL),
+ bad AS (SELECT m.host, norm FROM m JOIN fp USING (doc_id) JOIN (SELECT host, count(*) AS docs FROM d GROUP BY ALL) h ON h.host = m.host GROUP BY m.host, norm, docs HAVING count(DISTINCT whole) > 20 AND count(DISTINCT whole) > 0.002 * docs),
+ gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS removed_words FROM m JOIN bad USING (host, norm) GROUP BY ALL),
+ c AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda w: len(w))) AS BIGINT), 0) AS word_chars, len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words FROM d LEFT JOIN fp USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+ SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < 0.2 * n_words)) AS kept FROM b""",
     "op6_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("text", _LOWER, 1)} AS ws FROM documents),
  s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [1] ELSE range(1, len(ws) - 2) END) AS i FROM w)),
  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),

@@ -15,7 +15,7 @@ p-value 1.
 or code.  Two statistics of the battery speak against it: fewer equal pairs of
 characters (which is chi-squared) than text has, by the exact mean and
 variance of their number (p at most exp(-z^2/2)/2), and more changes of class
-than ``CHANGES`` of the places, a capital before a small letter not counted
+than text has, a capital before a small letter not counted
 (p by the Chernoff bound).  Fisher's rule joins the two.  Benjamini-Hochberg
 with weights in proportion to the length is run over all candidates of all
 documents, the rejected ones included, and what it discovers is what is
@@ -53,14 +53,12 @@ BIN = 0.05
 LENGTH = 32  # weights are 1 at this length before they are scaled to a mean of 1
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Encoding: pattern, alphabet, and for a token of prose or numbers the chance that two (three) of its characters are equal.
+#: Encoding: pattern, alphabet, and for a token of prose, code or numbers the chance that two (three) of its characters are equal and that a place changes class.
 ENCODINGS = {
-    "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.12, 0.016),
-    "base32": (r"^[A-Z2-7]+=*$", _UPPER + "234567", 0.065, 0.0053),
-    "base64": (r"^", _UPPER + _LOWER + _DIGITS + "+/", 0.065, 0.0053),
+    "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.12, 0.016, 0.15),
+    "base32": (r"^[A-Z2-7]+=*$", _UPPER + "234567", 0.065, 0.0053, 0.1),
+    "base64": (r"^", _UPPER + _LOWER + _DIGITS + "+/", 0.065, 0.0053, 0.2),
 }
-#: Changes of class a place in prose and code.
-CHANGES = 0.2
 #: Upper 0.001 point of the normal, and of its absolute value.
 UPPER_CRITICAL, Z_CRITICAL = 3.09, 3.29
 
@@ -128,12 +126,13 @@ def _battery(token: Column) -> Column:
     z_serial = F.when(power > 1e-9, F.abs(F.aggregate(products, F.lit(0.0), add) / power + 1 / n) * F.sqrt(n)).otherwise(99.0)
 
     # Prose: equal pairs of characters, and changes of class.
-    two, three = by_encoding(lambda a, two, three: F.lit(two)), by_encoding(lambda a, two, three: F.lit(three))
+    two, three = by_encoding(lambda a, two, *_: F.lit(two)), by_encoding(lambda a, two, three, _: F.lit(three))
+    usual = by_encoding(lambda a, two, three, changes: F.lit(changes))
     pairs, all_pairs = (squares - n) / 2, n * (n - 1) / 2
     z = F.least(F.lit(0.0), (pairs - all_pairs * two) / F.sqrt(all_pairs * (two + 2 * (n - 2) * three - (2 * n - 3) * two * two)))
     starts = F.size(F.regexp_extract_all(body, F.lit("[A-Z][a-z]"), F.lit(0)))
     share = F.least(F.lit(0.999), (runs - 1 - starts) / (n - 1))
-    chernoff = F.when(share > CHANGES, (n - 1) * (share * F.log(share / CHANGES) + (1 - share) * F.log((1 - share) / (1 - CHANGES)))).otherwise(0.0)
+    chernoff = F.when(share > usual, (n - 1) * (share * F.log(share / usual) + (1 - share) * F.log((1 - share) / (1 - usual)))).otherwise(0.0)
     both = z * z / 2 + math.log(2) + chernoff  # -ln of the product
     fisher = F.greatest(F.lit(0.0), (both - F.log(1 + both)) / math.log(10))
     return F.when(uneven | (z_runs > Z_CRITICAL) | (z_serial > Z_CRITICAL), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), fisher + F.log10(n / LENGTH)))

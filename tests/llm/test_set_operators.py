@@ -56,6 +56,41 @@ def test_pieces(spark, rows, docs):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_other_tokenizer(spark, rows):
+    """A tokenizer that neither lower-cases nor splits at white space gets whole texts."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = tokenizers.Tokenizer.from_file(path)
+    given = [(i, t) for i, t in rows if i is not None] + [(900, "Two  Spaces and\nCAPITALS, x.")]
+    out = packing.pack_documents(frame(spark, given), tokenizer=path).groupBy("doc_id").max("doc_tokens").collect()
+    expected = {}
+    for i, t in given:
+        expected[i] = max(expected.get(i, 0), len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1)
+    assert {r[0]: r[1] for r in out} == expected
+
+
+def test_dot_product_choice():
+    """Without cuts, each sequence holds what a plain loop over all pieces chooses."""
+    rng = np.random.default_rng(3)
+    limits = packing.Limits(100, 4, 60)
+    made = [packing.Piece((k,), 0, b"\0" * 4 * n, b"\1" * m + b"\0" * (n - m)) for k, (n, m) in enumerate((n, rng.integers(0, min(n, 60) + 1)) for n in rng.integers(1, 100, 200).tolist())]
+    got = [sorted(p.row[0] for p in s) for s in packing.pack(iter(made), limits, cut=False, pool_size=1000)]
+    left_over = {p.row[0]: np.array([len(p), 1, p.loss.count(1)], float) for p in made}
+    top, seen = np.array([100, 4, 60], float), []
+    while left_over:
+        room, own = top.copy(), []
+        while fits := {k: v @ (room / top**2) for k, v in left_over.items() if (v <= room).all()}:
+            best = max(fits.values())
+            k = next(k for k in fits if abs(fits[k] - best) < 1e-12)
+            room -= left_over.pop(k)
+            own.append(k)
+        seen.append(own)
+    assert sorted(k for s in got for k in s) == list(range(200))
+    assert abs(len(got) - len(seen)) <= 1  # ties may be broken otherwise
+    assert got[0] == sorted(seen[0])
+
+
 def test_little_padding(spark, docs):
     out = packing.pack_documents(docs, limits=packing.Limits(256, 64, 256)).groupBy("sequence_id").sum("length").collect()
     lengths = [r[1] for r in out]
@@ -134,6 +169,19 @@ def test_chain_of_neighbours(spark):
     assert len({r.component_id for r in out}) < 50
 
 
+def test_texts_that_share_a_line(spark):
+    """Many texts with one long line in common, some of them alike: groups of one shingle are large, links are few."""
+    import random
+
+    rng = random.Random(5)
+    line = " ".join(f"c{k}" for k in range(30))
+    rows = [(k, line + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(3, 25)))) for k in range(1200)]
+    rows += [(2000 + k, rows[k * 7][1] + (" end" if k % 2 else "")) for k in range(60)]
+    rows += [(3000 + k, " ".join(f"x{rng.randrange(30)}" if rng.random() < 0.04 else f"b{j}" for j in range(80))) for k in range(150)]
+    out = jaccard_join.similar_components(frame(spark, rows), 4, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == Counter(brute_components(rows, 4, 80)[0])
+
+
 def test_one_of_each_stays(spark, rows, docs):
     groups, roots, sets = brute_components(rows, 5, 80)
     kept = [(r.doc_id, r.text) for r in jaccard_join.without_copies(docs).collect()]
@@ -180,13 +228,57 @@ def test_quality_scores(spark, rows, docs):
     assert quality.score(df.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_normal_equations(spark):
+    """Ridge scores from partition sums are those of one dense solve; calibrated values are the isotonic fit's."""
+    rng = np.random.default_rng(0)
+    d = len(quality.STATISTICS)
+    x = rng.normal(size=(400, d))
+    y = (x[:, 0] + 0.5 * rng.normal(size=400) > 0).astype(float)
+    part = (np.arange(400) % 3 == 2).astype(int)
+    df = spark.createDataFrame([(a.tolist(), float(b), int(c)) for a, b, c in zip(x, y, part)], "x array<double>, y double, fold int").repartition(5)
+    model = quality.fit(df)
+    own = x[part == 0]
+    direct = quality.Model(own.mean(0), own.std(0))
+    z = direct.features(own)
+    penalty = np.full(z.shape[1], quality.RIDGE * len(own))
+    penalty[-1] = 1e-9 * len(own)
+    assert model.beta == pytest.approx(np.linalg.solve(z.T @ z + np.diag(penalty), z.T @ y[part == 0]), rel=1e-6, abs=1e-8)
+    raw = model.raw(x[part == 1])
+    k = np.minimum((raw + 0.5) * quality.N_BINS / 2, quality.N_BINS - 1).astype(int)
+    n, at, positive = (np.bincount(k, v, quality.N_BINS) for v in (None, raw, y[part == 1]))
+    assert model.knots == pytest.approx(quality.isotonic(at[n > 0] / n[n > 0], n[n > 0], positive[n > 0]))
+
+
+def brute_pipeline(rows, items):
+    """doc_id -> text after the first four stages, for rows of (doc_id, text, source); no text has boilerplate."""
+    from .test_text_operators import brute_lines, brute_secrets
+
+    kept = [(i, t) for i, t, _ in rows if (c := brute_lines(t))[0] >= 10 and 100 * c[4] <= 20 * c[0]]
+    _, roots, sets = brute_components(kept, 5, 80)
+    first = {}
+    for k, (i, t) in enumerate(kept):
+        key = roots[k] if sets[k] else ("none", k)
+        own = (i is None, i or 0, t)
+        first[key] = min(first.get(key, own), own)
+    shingles = [decontamination.shingles_of(x) for x in items]
+    out = Counter()
+    for none, i, t in first.values():
+        own = decontamination.shingles_of(t)
+        if any(s and len(s & own) >= 0.8 * len(s) for s in shingles):
+            continue
+        for start, _, end in reversed(brute_secrets(t)):
+            t = t[:start] + "[SECRET]" + t[end:]
+        out[None if none else i, t] += 1
+    return out
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rows = documents(3)
     rows = [(i, t) for i, t in rows]
     passage = "this item of the benchmark has more than a dozen words so that it counts"
-    rows += [(700, "some opening words and then " + passage + " and an end of it all"), (701, "password=hunter2hunter2 and ten more ordinary words that fill this one text up well")]
+    rows += [(700, "some opening words and then " + passage + " and an end of it all"), (701, "password=hunter2hunter2 and ten more ordinary words that fill this one text up well"), (None, "without any id but with " + passage + " in the middle of it all")]
     frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -198,6 +290,13 @@ def test_pipeline(spark, tmp_path):
         sizes.append(docs.count())
     left = {r.doc_id: r.text for r in docs.collect()}
     assert 700 not in left and left[701].startswith("[SECRET] and ten")
+    own = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
+    from .test_text_operators import brute_boilerplate
+
+    assert not brute_boilerplate(own)
+    expected = brute_pipeline(own, [passage])
+    # Of copies the one of the least id stays; two rows of one id may hold either of its texts.
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == expected
     assert sizes == sorted(sizes, reverse=True)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(left)

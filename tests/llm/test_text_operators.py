@@ -76,6 +76,33 @@ def test_secrets(spark, rows, docs):
     assert secrets.find(docs.limit(0)).count() == 0
 
 
+def test_battery_finds_random_tokens(spark):
+    """Planted random tokens of several encodings and lengths among long words, names and numbers: recall, and false discoveries."""
+    import random
+    import string
+
+    rng = random.Random(11)
+    alphabets = {"base64": string.ascii_letters + string.digits + "+/", "base32": string.ascii_uppercase + "234567", "HEX": string.digits + "ABCDEF"}
+    syllable = lambda: rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") + rng.choice("nrslt ").strip()
+    word = lambda n: "".join(syllable() for _ in range(n))
+    made = {
+        "long": lambda: word(rng.randint(9, 16)), "camel": lambda: "".join(word(3).capitalize() for _ in range(rng.randint(4, 6))), "snake": lambda: "_".join(word(2) for _ in range(rng.randint(5, 8))),
+        "path": lambda: "/".join(word(rng.randint(2, 3)) for _ in range(5)), "number": lambda: "".join(rng.choices("01234", k=rng.randint(20, 40))), "same": lambda: rng.choice("ax_-") * rng.randint(20, 50),
+    }
+    rows, planted = [], {}
+    for k in range(1200):
+        rows.append((k, f"see {made[rng.choice(list(made))]()} there"))
+    for k, (name, n) in enumerate((name, n) for name in alphabets for n in (32, 40, 64) for _ in range(20)):
+        rows.append((5000 + k, "key " + "".join(rng.choices(alphabets[name], k=n)) + " end"))
+        planted.setdefault((name, n), []).append(5000 + k)
+    found = {r.doc_id for r in secrets.find(frame(spark, rows)).filter("n_random > 0").collect()}
+    wrong = [i for i in found if i < 5000]
+    recall = {key: sum(i in found for i in ids) / len(ids) for key, ids in planted.items()}
+    assert len(wrong) <= 0.02 * len(found), wrong
+    # Base 32 is much like a name in capitals, so only long tokens of it are found well.
+    assert all(r >= ({32: 0.25, 40: 0.25, 64: 0.75} if name == "base32" else {32: 0.75, 40: 0.85, 64: 0.95})[n] for (name, n), r in recall.items()), recall
+
+
 def brute_lines(text):
     t = text or ""
     w = words(t)
@@ -119,6 +146,38 @@ def test_several_shared_lines(spark):
     assert {r.doc_id: r.removed_words for r in line_rules.judge(df).collect()}[7] == 70
 
 
+def brute_boilerplate(rows, least=line_rules.MIN_DOCUMENTS, share=line_rules.SHARE):
+    """(host, normalised line) -> distinct normalised texts that have it, where those are too many; of rows (doc_id, text, host)."""
+    flat = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
+    docs, of = Counter(), {}
+    for _, t, host in rows:
+        lines = tuple(" ".join(words(x.translate(flat))) for x in (t or "").split("\n") if words(x))
+        docs[host] += 1
+        for x in lines:
+            of.setdefault((host, x), set()).add(lines)
+    return {k: len(v) for k, v in of.items() if len(v) > least and len(v) > share * docs[k[0]]}
+
+
+@pytest.mark.parametrize("template", [1, 2, 5])
+@pytest.mark.parametrize("own", [0, 1, 3])
+def test_template_lines(spark, template, own):
+    """Counts, words removed and verdicts with several template lines and own lines, against a plain count."""
+    body = lambda k: [f"own line {chr(97 + k % 26)}{chr(97 + k // 26)} {chr(97 + j)} with words" for j in range(own)]
+    shared = [f"template line {chr(97 + j)} of this host 20{j}" for j in range(template)]
+    rows = [(k, "\n".join([*shared, *body(k)]), "h") for k in range(40)] + [(100 + k, "\n".join(shared[:1] + body(k)), "other") for k in range(25)]
+    rows += [(200 + k, "\n".join([*shared, "a copied text"]), "h") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    expected = brute_boilerplate(rows)
+    measured = line_rules.measured(df)
+    assert sorted((r.host, r.n_docs) for r in line_rules.boilerplate(measured).collect()) == sorted((h, n) for (h, _), n in expected.items())
+    for r in line_rules.judge(df).collect():
+        text, host = next((t, h) for i, t, h in rows if i == r.doc_id)
+        flat = str.maketrans("123456789", "000000000")
+        gone = sum(len(words(x)) for x in text.split("\n") if (host, x.translate(flat)) in expected)
+        left = len(words(text)) - gone
+        assert r.removed_words == gone and r.kept == (not r.base_failed and not (gone and (left < 10 or left < 0.2 * len(words(text)))))
+
+
 URLS = [
     (1, "http://www.Example.ORG/es/1?q#x"), (2, "https://org"), (3, "https://org/"), (4, "ftp://a.example.org/en/12"), (5, "https://b.com/fr/x"), (6, "https://b.com/de/"),
     (7, None), (8, "no scheme"), (9, "https://x.net?a=/org/"), (10, "http://cheap-pills.example.net/en/3"), (11, "https://museum.example.net/en/3"), (12, "https://notexample.org/es/"),
@@ -190,6 +249,22 @@ def test_packed_steps():
 
     for numbers in ([], [0], [0, 0, 5], [65534, 65535, 65536 * 3], [65535], [131070, 1 << 26]):
         assert chunks.unpacked(chunks.packed(np.array(numbers, np.int64))).tolist() == numbers
+    # A list of few numbers far apart costs four bytes each.
+    assert len(chunks.packed(np.arange(5) << 24)) == 21
+
+
+def test_messages_grow_with_the_corpus():
+    from tallygrid.llm.common import CHUNK_BYTES, LARGE_BYTES, chunks_for
+
+    messages = lambda total: chunks_for(total) * chunks.block_count(chunks_for(total)) / total
+    assert chunks_for(LARGE_BYTES // 8) == LARGE_BYTES // 8 // CHUNK_BYTES
+    assert messages(LARGE_BYTES * 1000) == pytest.approx(messages(LARGE_BYTES), rel=0.01)
+
+
+def test_equal_rows_are_spread(spark):
+    rows = frame(spark, [(1, "one text")] * 4000).repartition(8)
+    counts = [r["count"] for r in chunks.dealt(rows)[0].groupBy("chunk").count().collect()]
+    assert sum(counts) == 4000 and max(counts) <= 2000
 
 
 def test_scores(spark, rows, docs):
