@@ -159,7 +159,7 @@ def apply(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUME
     text, name = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))
     own, kept, gone = fresh(docs, "own", "kept", "gone")
     # The verdict depends on text and host alone, so it is joined by a 128-bit digest of both; only documents that change or go have a row.
-    digest = F.md5(F.encode(F.concat(name, F.lit("\0"), text), "UTF-8"))
+    digest = F.coalesce(F.md5(F.encode(F.concat(name, F.lit("\0"), text), "UTF-8")), F.lit(""))  # never null, so that both branches read it alike
     verdicts = judge(docs.select(digest.alias("doc_id"), text.alias("text"), name.alias("host")), "host", min_documents, share, "string").filter("not kept or removed_words > 0")
     verdicts = verdicts.groupBy(F.col("doc_id").alias(own)).agg(F.min("kept").alias(kept), F.min("removed_lines").alias(gone))
     # Both branches below take the same columns, so that they share one exchange.

@@ -49,7 +49,7 @@ END_ID = 1
 POOL = 1024
 MIN_FILL = 16
 #: Words whose ids a worker keeps; then it starts afresh.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 
 
 def default_tokenizer() -> str:
