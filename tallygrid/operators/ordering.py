@@ -90,8 +90,10 @@ def round_robin(rows: DataFrame, lane: str, order: list[str]) -> DataFrame:
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(lane).orderBy(*order)))
 
 
-def lowest_per_group(rows: DataFrame, score: str, ties: list[str], within: list[str], k: int) -> DataFrame:
-    """The k rows of each group with the least score."""
+def lowest_per_group(rows: DataFrame, score: str, ties: list[str], within: list[str], k: int, seed: int | None = None, key: list[str] = ()) -> DataFrame:
+    """The k rows of each group with the least score.  With a seed, a column ``tie`` made of it and the key is there to order by."""
+    if seed is not None:
+        rows = rows.withColumn("tie", F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]), 256))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(score, *ties))).filter(F.col("place") <= k)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallygrid.functions import answers as a
 from tallygrid.functions import metrics as m
 from tallygrid.operators import distributions as d
-from tallygrid.operators import geometry, inference, logit, ordering, puzzles, scoring, study
+from tallygrid.operators import generation, geometry, inference, logit, ordering, puzzles, scoring, study
 
 from .tables import DENSE_SQL, ORDERS_SQL, orders, table
 
@@ -468,3 +468,55 @@ def near_grids(spark, sf_dir):
     """Grids of a brand that differ in one cell at most under some rotation or reflection."""
     rows = table(spark, sf_dir, "part").filter("p_size < 20").select("p_brand", "p_partkey", _grid3().alias("grid"))
     return puzzles.near_grids(rows, "p_brand", "p_partkey", "grid", 3, 1).select(F.col("a").alias("p_partkey"), F.col("b").alias("other"), "hamming")
+
+
+_BOARD_SQL = """g AS (SELECT p_partkey, list_transform(range(9), lambda k: CASE WHEN (p_partkey * p_partkey * (k + 1) + p_partkey * (k * k + 3) + k) % 23 < 9 THEN 'X' ELSE '.' END) AS b FROM part),
+ ix AS (SELECT * FROM (VALUES ([1,2,3,4,5,6,7,8,9]), ([7,4,1,8,5,2,9,6,3]), ([9,8,7,6,5,4,3,2,1]), ([3,6,9,2,5,8,1,4,7]), ([3,2,1,6,5,4,9,8,7]), ([7,8,9,4,5,6,1,2,3]), ([1,4,7,2,5,8,3,6,9]), ([9,6,3,8,5,2,7,4,1])) t(x)),
+ n AS (SELECT p_partkey, count(*) AS n_solutions FROM g, range(9) i(i), range(9) j(j) WHERE i < j AND i // 3 <> j // 3 AND i % 3 <> j % 3 AND b[i + 1] = '.' AND b[j + 1] = '.' GROUP BY ALL HAVING count(*) BETWEEN 3 AND 8),
+ c AS (SELECT p_partkey, min(array_to_string(list_transform(x, lambda y: b[y]), '')) AS canonical, any_value(len(list_filter(b, lambda y: y = 'X'))) AS blocked FROM g, ix GROUP BY ALL),
+ u AS (SELECT 'p' || lpad(CAST(min(p_partkey) AS VARCHAR), 9, '0') AS puzzle_id, canonical, any_value(blocked) AS blocked, any_value(n_solutions) AS n_solutions FROM c JOIN n USING (p_partkey) GROUP BY canonical),
+ s AS (SELECT *, coalesce((blocked - min(blocked) OVER ()) / nullif(max(blocked) OVER () - min(blocked) OVER (), 0), 0) - coalesce((n_solutions - min(n_solutions) OVER ()) / nullif(max(n_solutions) OVER () - min(n_solutions) OVER (), 0), 0) AS score FROM u),
+ t AS (SELECT *, ntile(3) OVER (ORDER BY score, puzzle_id) AS difficulty FROM s), pool AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY difficulty ORDER BY score DESC, puzzle_id) <= 5)"""
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = lambda k: F.when((F.col("p_partkey") * F.col("p_partkey") * (k + 1) + F.col("p_partkey") * (k * k + 3) + k) % 23 < 9, "X").otherwise(".")
+    board = F.array(*[F.concat(*[cell(3 * r + c) for c in range(3)]) for r in range(3)])
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("puzzle_id"), board.alias("board"))
+    return generation.rook_pool(rows, 3, 2, per_bucket=5)
+
+
+@query(f"WITH {_BOARD_SQL} SELECT puzzle_id, CAST(n_solutions AS INTEGER) AS n_solutions, CAST(blocked AS INTEGER) AS blocked, round(score, 6) AS score, CAST(difficulty AS INTEGER) AS difficulty FROM pool")
+def puzzle_pool(spark, sf_dir):
+    """Boards of two rooks: solved, freed of copies under symmetry, scored, and the best of each third."""
+    return rounded(_pool(spark, sf_dir).drop("board"), "score")
+
+
+@query(
+    f"""WITH {_BOARD_SQL}, k AS (SELECT puzzle_id, difficulty, row_number() OVER (PARTITION BY difficulty ORDER BY puzzle_id) - 1 AS k FROM pool)
+ SELECT 'spatial' AS module, 'spatial_' || puzzle_id AS block, 'spatial_' || puzzle_id || '/' || how AS trial FROM pool, (VALUES ('original'), ('mirror_v'), ('mirror_h'), ('mirror_hv')) v(how)
+ UNION ALL SELECT 'transfer', 'transfer_' || a.puzzle_id || '+' || b.puzzle_id, 'transfer_' || a.puzzle_id || '+' || b.puzzle_id || '/' || how FROM k a JOIN k b ON a.difficulty = b.difficulty AND a.k % 2 = 0 AND b.k = a.k + 1, (VALUES ('prime'), ('target')) v(how)"""
+)
+def study_modules(spark, sf_dir):
+    """Modules of a pool, as blocks of trials; their design has no problem."""
+    pool = _pool(spark, sf_dir)
+    trials = generation.spatial_module(pool).unionAll(generation.transfer_module(pool, "difficulty", ["puzzle_id"]))
+    blocks = generation.module_blocks(trials)
+    return blocks.select("module", "block", F.explode("trial_ids").alias("trial"))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, coalesce((p_size - min(p_size) OVER w) / nullif(max(p_size) OVER w - min(p_size) OVER w, 0), 0) AS a, coalesce((p_retailprice - min(p_retailprice) OVER w) / nullif(max(p_retailprice) OVER w - min(p_retailprice) OVER w, 0), 0) AS b FROM part WINDOW w AS (PARTITION BY p_brand)),
+ t AS (SELECT p_partkey, 0.75 * a - 0.25 * (b - 1) AS pressure FROM s)
+ SELECT p_partkey, round(pressure, 6) AS pressure, ['low', 'medium', 'high'][least(2, CAST(floor(pressure * 3) AS INTEGER)) + 1] AS pressure_bucket FROM t"""
+)
+def probe_scores(spark, sf_dir):
+    rows = generation.probe_scores(table(spark, sf_dir, "part"), ["p_brand"], {"p_size": 3.0, "p_retailprice": -1.0}, "pressure")
+    return rounded(rows.select("p_partkey", "pressure", "pressure_bucket"), "pressure")
+
+
+@query("SELECT p_brand, p_partkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 3, sha256('7|' || p_partkey), p_partkey) AS place FROM part) WHERE place <= 3")
+def seeded_topk(spark, sf_dir):
+    """The lowest quotas of a group, ties in an order that a seed fixes."""
+    rows = table(spark, sf_dir, "part").withColumn("quota", F.col("p_size") % 3)
+    return ordering.lowest_per_group(rows, "quota", ["tie", "p_partkey"], ["p_brand"], 3, seed=7, key=["p_partkey"]).select("p_brand", "p_partkey", "place")
