@@ -7,6 +7,8 @@ notes are those of answer format 5.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,23 +62,29 @@ def _found(value: Column, confidence: Column, manual: Column, notes: Column) ->
     return F.struct(value.alias("value"), confidence.alias("confidence"), manual.alias("manual"), notes.alias("notes"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def moves(text: Column) -> Column:
     """struct(value, confidence, manual, notes): a string of U, D, L, R, null if there is none."""
-    t = _quoted(F.upper(stripped(text)))
     letters = lambda x: F.array_join(F.regexp_extract_all(x, F.lit("[UDLR]"), F.lit(0)), "")
-    explicit = F.regexp_extract_all(t, F.lit(r"(?U)\b(?:PATH|MOVES?)\s*[:=]\s*([UDLR][UDLR\s,;:.-]*)"), F.lit(1))
-    runs = F.regexp_extract_all(t, F.lit("[UDLR]+"), F.lit(0))
     high = lambda x: _found(x, F.lit("high"), F.lit(False), F.lit(""))
-    several = F.size(runs) > 1
-    longest = _found(
-        _first_longest(runs),
-        F.when(several, "medium").otherwise("high"),
-        several,
-        F.when(several, MANY_MOVES).otherwise(""),
-    )
     none = _found(F.lit(None).cast("string"), F.lit("low"), F.lit(False), F.lit(NO_MOVES))
-    plain = t.rlike(r"(?U)^[UDLR\s,;:.-]+\z") & t.rlike("[UDLR]")
-    return F.when(F.size(explicit) > 0, high(letters(F.element_at(explicit, 1)))).when(plain, high(letters(t))).when(F.size(runs) > 0, longest).otherwise(none)
+
+    def by_runs(runs: Column) -> Column:
+        several = F.size(runs) > 1
+        longest = _found(_first_longest(runs), F.when(several, "medium").otherwise("high"), several, F.when(several, MANY_MOVES).otherwise(""))
+        return F.when(F.size(runs) > 0, longest).otherwise(none)
+
+    def read(t: Column) -> Column:
+        named = F.regexp_extract(t, r"(?U)\b(?:PATH|MOVES?)\s*[:=]\s*([UDLR][UDLR\s,;:.-]*)", 1)
+        plain = t.rlike(r"(?U)^[UDLR\s,;:.-]+\z") & t.rlike("[UDLR]")
+        runs = _once(F.regexp_extract_all(t, F.lit("[UDLR]+"), F.lit(0)), by_runs)
+        return _once(named, lambda x: F.when(x != "", high(letters(x))).when(plain, high(letters(t))).otherwise(runs))
+
+    return _once(_quoted(F.upper(stripped(text))), read)
 
 
 def coordinates(text: Column) -> Column:

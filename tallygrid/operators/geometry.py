@@ -7,7 +7,7 @@ check of their number, and worked on with numpy on the driver.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_POINTS = 2000
@@ -17,17 +17,18 @@ class NotAMatrix(ValueError):
     """A matrix lacks what a metric needs."""
 
 
-def matrix(rows: DataFrame, value: str = "value", diagonal: float = 0.0) -> tuple[list, np.ndarray]:
-    """Labels in order and the symmetric matrix of rows (left, right, value), each pair once."""
+def matrix(rows: DataFrame, value: str = "value", diagonal: float | None = 0.0) -> tuple[list, np.ndarray]:
+    """Labels in order and the symmetric matrix of rows (left, right, value), each pair once; without a ``diagonal`` it is among the rows."""
     found = rows.select("left", "right", value).limit(MOST_POINTS**2 + 1).collect()
     if len(found) > MOST_POINTS**2:
         raise NotAMatrix(f"more than {MOST_POINTS} points")
     labels = sorted({r[k] for r in found for k in (0, 1)})
     place = {x: k for k, x in enumerate(labels)}
     out = np.full((len(labels), len(labels)), np.nan)
-    np.fill_diagonal(out, diagonal)
+    if diagonal is not None:
+        np.fill_diagonal(out, diagonal)
     for a, b, v in found:
-        if a != b:
+        if a != b or diagonal is None:
             out[place[a], place[b]] = out[place[b], place[a]] = v
     return labels, out
 
@@ -108,11 +109,18 @@ def projected(m: np.ndarray, x: np.ndarray, values: np.ndarray, new: np.ndarray)
     return centred @ x / used
 
 
-def svd_projection(table: np.ndarray, dimensions: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a column-centred table on its first right singular vectors, and the shares of variance."""
-    centred = table - table.mean(0)
-    u, s, _ = np.linalg.svd(centred, full_matrices=False)
-    return oriented(u[:, :dimensions] * s[:dimensions]), s[:dimensions] ** 2 / max((s**2).sum(), 1e-300)
+def gram_rows(values: DataFrame) -> DataFrame:
+    """(left, right, value): inner products of sources over items, each item centred over the sources; ``values`` has source, item, value."""
+    centred = values.withColumn("x", F.col("value") - F.avg("value").over(Window.partitionBy("item")))
+    a, b = (centred.select("item", F.col("source").alias(s), F.col("x").alias(v)) for s, v in (("left", "p"), ("right", "q")))
+    return a.join(b, "item").groupBy("left", "right").agg(F.sum(F.col("p") * F.col("q")).alias("value"))
+
+
+def svd_projection(gram: np.ndarray, dimensions: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Sources on the first right singular vectors of the item table whose inner products are given, and the shares of variance."""
+    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.maximum(0, values[::-1]), vectors[:, ::-1]
+    return oriented(vectors[:, :dimensions] * np.sqrt(values[:dimensions])), values[:dimensions] / max(values.sum(), 1e-300)
 
 
 def mds(spark: SparkSession, rows: DataFrame, value: str) -> DataFrame:

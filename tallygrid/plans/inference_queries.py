@@ -106,11 +106,10 @@ def cka(spark, sf_dir):
 
 @query
 def svd_projection(spark, sf_dir):
-    import numpy as np
-
-    wide = _entropies(spark, sf_dir).groupBy("item").pivot("source", ["F", "O", "P"]).agg(F.first("value")).orderBy("item").collect()
-    x, shares = geometry.svd_projection(np.array([[r["F"], r["O"], r["P"]] for r in wide], float).T)
-    return spark.createDataFrame([(s, *map(float, p), *map(float, shares)) for s, p in zip("FOP", x, strict=True)], "source string, x double, y double, share_x double, share_y double")
+    rows = geometry.gram_rows(_entropies(spark, sf_dir).select("source", "item", "value"))
+    labels, gram = geometry.matrix(rows, diagonal=None)
+    x, shares = geometry.svd_projection(gram)
+    return spark.createDataFrame([(s, *map(float, p), *map(float, shares)) for s, p in zip(labels, x, strict=True)], "source string, x double, y double, share_x double, share_y double")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

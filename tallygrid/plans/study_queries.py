@@ -520,3 +520,13 @@ def seeded_topk(spark, sf_dir):
     """The lowest quotas of a group, ties in an order that a seed fixes."""
     rows = table(spark, sf_dir, "part").withColumn("quota", F.col("p_size") % 3)
     return ordering.lowest_per_group(rows, "quota", ["tie", "p_partkey"], ["p_brand"], 3, seed=7, key=["p_partkey"]).select("p_brand", "p_partkey", "place")
+
+
+@query(
+    f"""WITH {ORDERS_SQL}, {DENSE_SQL}, e AS (SELECT source, item, -sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END) AS v FROM dist GROUP BY ALL), c AS (SELECT source, item, v - avg(v) OVER (PARTITION BY item) AS x FROM e)
+ SELECT a.source AS "left", b.source AS "right", round(sum(a.x * b.x), 6) AS value FROM c a JOIN c b ON a.item = b.item GROUP BY ALL"""
+)
+def entropy_gram(spark, sf_dir):
+    """What the projection of sources is made of."""
+    own = d.profiles(d.distributions(d.class_counts(orders(spark, sf_dir))))
+    return rounded(geometry.gram_rows(own.select("source", "item", F.col("entropy").alias("value"))), "value")

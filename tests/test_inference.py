@@ -170,3 +170,14 @@ def test_queries_cover_their_tables(spark, tmp_path):
     assert max(found) >= 60
     for name in ("choice_logit", "source_logit"):
         assert {r["items"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == {4}
+
+
+def test_svd_from_inner_products(spark):
+    """The projection from inner products is that of the whole table."""
+    table = np.random.default_rng(4).normal(size=(4, 30))
+    rows = spark.createDataFrame([(f"s{k}", j, float(table[k, j])) for k in range(4) for j in range(30)], "source string, item int, value double")
+    labels, gram = geometry.matrix(geometry.gram_rows(rows), diagonal=None)
+    x, shares = geometry.svd_projection(gram)
+    u, s, _ = np.linalg.svd(table - table.mean(0), full_matrices=False)
+    assert labels == ["s0", "s1", "s2", "s3"] and shares == pytest.approx(s[:2] ** 2 / (s**2).sum())
+    assert np.abs(x) == pytest.approx(np.abs(u[:, :2] * s[:2]))
