@@ -312,8 +312,9 @@ def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def similar_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id; two documents link if 100 * intersection >= percent * union."""
-    placed = _placed(docs, size, percent)
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = checkpointed(_placed(docs, size, percent))
+    # Fixed on its own, so that both sides of the join are dealt out plainly and a large component can be split.
+    least = checkpointed(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return placed.join(least, "component").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
@@ -325,7 +326,7 @@ def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     """
     placed = checkpointed(_placed(docs, size, percent))
     own = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "print")
-    kept = placed.groupBy("component").agg(F.min(own).alias("kept"))
+    kept = checkpointed(placed.groupBy("component").agg(F.min(own).alias("kept")))
     extra = placed.join(kept, "component").filter(~own.eqNullSafe(F.col("kept"))).select("doc_id", "print").distinct()
     repeated = placed.filter("size > 0").groupBy("doc_id", "print").count().filter("count > 1").drop("count")
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
