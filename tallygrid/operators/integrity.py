@@ -83,3 +83,18 @@ def same_in_any(rows: DataFrame, key: str, columns: list[list[str]], name: str)
         arm = rows.select(F.col(key), *cs).join(rows.select(F.col(key).alias("_other"), *cs), cs).filter(F.col(key) != F.col("_other")).select(key, "_other")
         pairs = arm if pairs is None else pairs.unionAll(arm)
     return pairs.distinct().groupBy(key).agg(F.count("*").alias(name))
+
+
+def constraint_problems(name: str, rows: DataFrame, key: list[str], required: list[str] = (), references: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """(name, problem, n): repeated keys, nulls in required columns, and references to nothing; no row where all holds."""
+    parts = [rows.groupBy(*key).count().filter("count > 1").agg(F.lit("repeated_key").alias("problem"), F.count("*").alias("n"))]
+    if required:
+        nulls = F.array(*[F.struct(F.lit(f"null_{c}").alias("problem"), F.count_if(F.col(c).isNull()).alias("n")) for c in required])
+        parts.append(rows.agg(F.explode(nulls).alias("x")).select("x.problem", "x.n"))
+    for column, (other, their) in (references or {}).items():
+        missing = rows.filter(F.col(column).isNotNull()).join(other.select(F.col(their).alias(column)).distinct(), column, "left_anti")
+        parts.append(missing.agg(F.lit(f"unknown_{column}").alias("problem"), F.count("*").alias("n")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out.filter("n > 0").select(F.lit(name).alias("name"), "problem", "n")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallygrid.functions import answers as a
 from tallygrid.functions import metrics as m
 from tallygrid.operators import distributions as d
-from tallygrid.operators import generation, geometry, inference, logit, ordering, puzzles, scoring, study
+from tallygrid.operators import generation, geometry, inference, integrity, logit, ordering, puzzles, scoring, study
 
 from .tables import DENSE_SQL, ORDERS_SQL, orders, table
 
@@ -530,3 +530,49 @@ def entropy_gram(spark, sf_dir):
     """What the projection of sources is made of."""
     own = d.profiles(d.distributions(d.class_counts(orders(spark, sf_dir))))
     return rounded(geometry.gram_rows(own.select("source", "item", F.col("entropy").alias("value"))), "value")
+
+
+@query(
+    """WITH c AS (SELECT CAST(p_partkey AS BIGINT) AS p, CAST(k // 5 AS INTEGER) AS r, CAST(k % 5 AS INTEGER) AS c FROM part, range(25) t(k) WHERE (k = 0 OR k = 24 OR (p_partkey * ((k // 5) * 7 + (k % 5) * 3 + 1)) % 5 <> 0)),
+ st AS (SELECT * FROM (VALUES (-1, 0, 'U'), (1, 0, 'D'), (0, -1, 'L'), (0, 1, 'R')) s(dr, dc, m)),
+ e AS (SELECT a.p, a.r, a.c, b.r AS r2, b.c AS c2, m FROM c a, st JOIN c b ON b.p = a.p AND b.r = a.r + dr AND b.c = a.c + dc)"""
+    + """,
+ reach AS (WITH RECURSIVE w AS (SELECT DISTINCT p, 0 AS r, 0 AS c, 0 AS d FROM c UNION SELECT e.p, r2, c2, d + 1 FROM w JOIN e ON e.p = w.p AND e.r = w.r AND e.c = w.c WHERE d < 20) SELECT p, r, c, min(d) AS d FROM w GROUP BY ALL),
+ walks AS (WITH RECURSIVE w AS (SELECT DISTINCT p, 0 AS r, 0 AS c, 0 AS d, '' AS moves FROM c UNION ALL SELECT e.p, r2, c2, w.d + 1, moves || m FROM w JOIN e ON e.p = w.p AND e.r = w.r AND e.c = w.c JOIN reach x ON x.p = e.p AND x.r = r2 AND x.c = c2 AND x.d = w.d + 1) SELECT p, moves FROM w WHERE r = 4 AND c = 4)
+ SELECT p AS puzzle_id, moves FROM walks"""
+)
+def shortest_walks(spark, sf_dir):
+    """All shortest walks of each 5 x 5 maze."""
+    side = 5
+    cell = lambda r, c: F.when(F.lit(r + c == 0), "S").when(F.lit(r + c == 2 * side - 2), "G").when((F.col("p_partkey") * (r * 7 + c * 3 + 1)) % 5 == 0, "#").otherwise(".")
+    grid = F.array(*[F.concat(*[cell(r, c) for c in range(side)]) for r in range(side)])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("puzzle_id"), F.explode(puzzles.maze_solutions(grid)).alias("moves"))
+
+
+# A board of three by three with a clue in its middle row and unknown cells in the two others.
+_CLUE = "CAST((p_partkey * ({k} + 2) + {k}) % 4 AS INTEGER)"
+
+
+@query(
+    f"""WITH b AS (SELECT p_partkey, [{", ".join(_CLUE.format(k=k) for k in range(3))}] AS clue FROM part), a AS (SELECT p_partkey, s FROM b, range(64) t(s) WHERE
+  bit_count((s & 3) | (s & 24)) = clue[1] AND bit_count(s & 63) = clue[2] AND bit_count((s & 6) | (s & 48)) = clue[3]),
+ f AS (SELECT p_partkey, k, sum((s >> k) & 1) AS mines, count(*) AS n FROM a, range(6) u(k) GROUP BY ALL)
+ SELECT p_partkey, CAST(CASE WHEN k < 3 THEN 1 ELSE 3 END AS INTEGER) AS r, CAST(k % 3 + 1 AS INTEGER) AS c, CASE WHEN mines = 0 THEN 'safe' ELSE 'mine' END AS kind FROM f WHERE mines = 0 OR mines = n"""
+)
+def forced_mines(spark, sf_dir):
+    clues = F.concat(*[F.expr(_CLUE.format(k=k)).cast("string") for k in range(3)])
+    boards = table(spark, sf_dir, "part").select("p_partkey", F.array(F.lit("???"), clues, F.lit("???")).alias("board"), F.explode(F.array(F.lit("safe"), F.lit("mine"))).alias("kind"))
+    cells = boards.select("p_partkey", "kind", F.explode(puzzles.mine_solutions("board", "kind")).alias("cell"))
+    return cells.select("p_partkey", F.col("cell")[0].alias("r"), F.col("cell")[1].alias("c"), "kind")
+
+
+@query(
+    """SELECT 'orders' AS name, 'repeated_key' AS problem, count(*) AS n FROM (SELECT o_custkey, o_orderdate FROM orders GROUP BY ALL HAVING count(*) > 1) HAVING count(*) > 0
+ UNION ALL SELECT 'orders', 'unknown_o_custkey', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) HAVING count(*) > 0
+ UNION ALL SELECT 'orders', 'null_note', count(*) FROM orders WHERE o_orderkey % 5 = 0 HAVING count(*) > 0"""
+)
+def constraint_problems(spark, sf_dir):
+    """Orders as a table whose key is customer and date, whose customers are those with money, and whose note must be there."""
+    rows = table(spark, sf_dir, "orders").withColumn("note", F.when(F.col("o_orderkey") % 5 != 0, "x"))
+    people = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
+    return integrity.constraint_problems("orders", rows, ["o_custkey", "o_orderdate"], ["note"], {"o_custkey": (people, "c_custkey")})
