@@ -120,3 +120,16 @@ def test_manifest_has_hashes(spark, tmp_path):
     records.write_manifest(spark, str(tmp_path / "m.json"), {"x": 1}, {"in": str(tmp_path / "in.jsonl")}, "done", 0.0)
     got = json.loads((tmp_path / "m.json").read_text())
     assert got["inputs"]["in"]["in.jsonl"] == hashlib.sha256(b'{"a": 1}\n').hexdigest() and got["status"] == "done"
+
+
+def test_command_line_regress_and_tables(spark, tmp_path):
+    from tallygrid.__main__ import main
+
+    rows = spark.createDataFrame([(t, i, k, float((i + k) % 3 + 1), float(k * i % 4)) for t in ("x", "y") for i in range(5) for k in range(3)], "source string, item int, klass int, share double, f double")
+    rows.write.parquet(str(tmp_path / "design"))
+    for _ in range(2):
+        main(["regress", "--design", str(tmp_path / "design"), "--features", "f", "--draws", "4", "--out", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out/fits")).count() == 2
+    spark.createDataFrame([("a", "g", 0.01), ("b", "g", 0.04)], "test string, family string, p double").write.parquet(str(tmp_path / "tests"))
+    main(["tables", "--tests", str(tmp_path / "tests"), "--out", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out/significance")).first().n_holm == 2
