@@ -19,8 +19,10 @@ measured size allows.
 
 Defined results: null and empty texts have no words, so fail the base rules; a
 null source is a host of its own; repeated rows get a row each and count once;
-a null ``doc_id`` is carried; an empty table gives no rows; other columns are
-ignored by :func:`judge` and kept by :func:`apply`.
+a null ``doc_id`` is carried; a line in exactly the limit's number of documents
+stays; a very long text is measured whole; an empty table gives no rows; other
+columns are ignored by :func:`judge` and kept, whatever their names, by
+:func:`apply`.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Defined results: null and empty texts have all statistics 0 and are scored like
 any other; rows without a label or with a null one are not trained on; several labels
 of a document each count; with no labelled rows all scores are 0.5, with labels
 of one kind all are near that kind; repeated rows and a null ``doc_id`` (never
-held out) give a row each; an empty table gives no rows; other columns are ignored.
+held out) give a row each; equal statistics have equal scores; very long texts are
+read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ partitioning on both columns cuts even a group of copies that holds a third of
 all rows.
 
 Defined results: a null text has no bytes; a null ``doc_id`` sorts first;
-repeated rows are separate rows; an empty table gives no rows; with fewer rows
+repeated rows are separate rows, whose order among themselves doesn't matter; a
+text longer than a shard's share fills several shards' worth alone; an empty table gives no rows; with fewer rows
 than shards some shards are empty; other columns are ignored.
 """
 

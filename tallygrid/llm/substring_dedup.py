@@ -21,8 +21,10 @@ grows with the number of chunks, so the share of false alarms stays the same.
 
 Defined results: null and empty texts have no words and the hash of the empty
 string; documents with a null ``doc_id`` neither lose words nor take any;
-rows with the same ``doc_id`` don't take from each other; an empty table gives
-no rows; other columns are ignored.
+rows with the same ``doc_id`` don't take from each other; of equal windows the one
+of the least ``doc_id`` stays, ties of one id all do; a very long text is one of
+its chunk's documents and read whole; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
