@@ -10,7 +10,7 @@ its size (``MAX_TRAINING`` rows); the weights have a fixed size.
 Defined results: a null url, or one without ``://``, has an empty host and path
 and gets the model's verdict on the empty string; repeated rows and null
 ``page_id`` are kept as they are; of rules that fit alike the longest wins, and a
-probability of just 0.5 is the verdict that the threshold gives; urls of any
+probability of just the threshold is allowed; urls of any
 length are judged whole; an empty table gives no rows; other columns are ignored; an empty training table gives all weights 0 and the verdict allow.
 """
 
