@@ -18,6 +18,25 @@ def arithmetic_solutions(numbers: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([solvers.arithmetic(tuple(int(x) for x in n), int(t)) for n, t in zip(numbers, target, strict=True)], dtype=object)
 
 
+_CLASSES = T.ArrayType(T.StructType([T.StructField("expression", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("divisions", "awkward", "balanced", "inversions")]]))
+
+
+@F.pandas_udf(_CLASSES)
+def arithmetic_classes(numbers: pd.Series, target: pd.Series) -> pd.Series:
+    """The canonical solutions of numbers in the order shown, each with its counts over all trees."""
+    return pd.Series([[(form, *map(int, counts)) for form, counts in sorted(solvers.arithmetic_features(tuple(int(x) for x in n), int(t)).items())] for n, t in zip(numbers, target, strict=True)], dtype=object)
+
+
+def arithmetic_features(rows: DataFrame) -> DataFrame:
+    """(puzzle_id, expression, divisions, balanced, inversions) of puzzles (puzzle_id, numbers, target); divisions and inversions also scaled in their puzzle."""
+    from .ordering import minmax_scaled
+
+    found = rows.select("puzzle_id", F.explode(arithmetic_classes("numbers", "target")).alias("c")).select("puzzle_id", "c.expression", "c.divisions", "c.balanced", "c.inversions", "c.awkward")
+    for name in ("divisions", "inversions"):
+        found = minmax_scaled(found, name, ["puzzle_id"])
+    return found
+
+
 @F.pandas_udf(_STRINGS)
 def maze_solutions(grid: pd.Series) -> pd.Series:
     return grid.map(lambda g: solvers.shortest_paths(list(g)))

@@ -177,3 +177,13 @@ def solver_maze(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.transform(F.array(*[F.lit(r) for r in range(side)]), lambda r: F.array_join(F.transform(F.array(*[F.lit(c) for c in range(side)]), lambda c: F.when((r == 0) & (c == 0), "S").when((r == side - 1) & (c == side - 1), "G").when((F.col("p_partkey") * (r * 7 + c * 3 + 1)) % 5 == 0, "#").otherwise(".")), "")).alias("grid"))
     paths = rows.select(F.col("p_partkey").alias("puzzle_id"), F.explode(puzzles.maze_solutions("grid")).alias("moves"), *[F.lit(v).alias(n) for n, v in (("start_r", 0), ("start_c", 0), ("goal_r", side - 1), ("goal_c", side - 1))])
     return puzzles.maze_features(paths)
+
+
+@query
+def arithmetic_features(spark, sf_dir):
+    """Features of the solutions of each order of numbers, which is solved once and joined back to its parts."""
+    numbers = F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: ((F.col("p_partkey") * (k + 3) + F.col("p_size") * k) % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array_join(numbers, ",").alias("puzzle_id"), numbers.alias("numbers"))
+    sets = rows.select("puzzle_id", "numbers").distinct().repartition(spark.sparkContext.defaultParallelism, "puzzle_id")
+    found = puzzles.arithmetic_features(sets.withColumn("target", F.lit(24)))
+    return rows.select("p_partkey", "puzzle_id").join(found, "puzzle_id").drop("puzzle_id")

@@ -133,3 +133,44 @@ def test_command_line_regress_and_tables(spark, tmp_path):
     spark.createDataFrame([("a", "g", 0.01), ("b", "g", 0.04)], "test string, family string, p double").write.parquet(str(tmp_path / "tests"))
     main(["tables", "--tests", str(tmp_path / "tests"), "--out", str(tmp_path / "out")])
     assert spark.read.parquet(str(tmp_path / "out/significance")).first().n_holm == 2
+
+
+def brute_arithmetic(numbers, target):
+    """All trees over all orders of the numbers' places, one by one."""
+    from fractions import Fraction
+    from itertools import permutations
+
+    from tallygrid.functions.expressions import read
+
+    def trees(places):
+        if len(places) == 1:
+            yield Fraction(numbers[places[0]]), str(numbers[places[0]]), 0, 0
+            return
+        for k in range(1, len(places)):
+            for a, s, d1, w1 in trees(places[:k]):
+                for b, t, d2, w2 in trees(places[k:]):
+                    for mark, v in (("+", a + b), ("-", a - b), ("*", a * b), ("/", a / b if b else None)):
+                        if v is not None:
+                            yield v, f"({s}{mark}{t})", d1 + d2 + (mark == "/"), w1 + w2 + (v < 0 or v.denominator != 1)
+
+    out = {}
+    for order in permutations(range(len(numbers))):
+        crossed = sum(order[i] > order[j] for i in range(len(order)) for j in range(i + 1, len(order)))
+        for v, text, d, w in trees(order):
+            if v == target:
+                depth, cut = 0, 0
+                for k, c in enumerate(text[1:-1]):
+                    depth += (c == "(") - (c == ")")
+                    if depth == 0 and c in "+-*/" and k:
+                        cut = k
+                left = sum(c.isdigit() for c in text[1:-1][:cut])
+                form = read(text)[2]
+                old = out.get(form, (99, 99, False, 99))
+                out[form] = min(old[0], d), min(old[1], w), old[2] or 2 * left == len(numbers), min(old[3], crossed)
+    return out
+
+
+@pytest.mark.parametrize("numbers", [(3, 3, 8, 8), (1, 2, 3, 4), (6, 1, 4, 1)])
+def test_arithmetic_features(numbers):
+    assert solvers.arithmetic_features(numbers) == brute_arithmetic(numbers, 24)
+    assert sorted(solvers.arithmetic_features(numbers)) == solvers.arithmetic(numbers)
