@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,17 +128,23 @@ def histogram(rows: DataFrame, value: str, bins: int, low: float, high: float, w
 def batches(rows: DataFrame, within: list[str], order: list[str], size: str, max_rows: int, max_size: int) -> DataFrame:
     """Adds batch: rows of each group in order, a new batch where the next row would break a cap on rows or size.
 
-    The caps make it a left fold, so it runs group by group; the fold keeps two numbers.
+    The caps make it a left fold.  Groups are dealt out and sorted by Spark and pass through the fold
+    row by row, so a task keeps three numbers and one Arrow batch, however large a group is.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out, batch, n, total = [], 0, 0, 0
-        for s in pdf[size]:
-            if n and (n + 1 > max_rows or total + s > max_size):
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + s
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    return rows.groupBy(*within).applyInPandas(fold, T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())]))
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, batch, n, total = None, 0, 0, 0
+        for pdf in parts:
+            out = []
+            for key, s in zip(pdf[within].itertuples(index=False, name=None), pdf[size], strict=True):
+                key = tuple(None if pd.isna(x) else x for x in key)
+                if key != last:
+                    last, batch, n, total = key, 0, 0, 0
+                if n and (n + 1 > max_rows or total + s > max_size):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + s
+                out.append(batch)
+            yield pdf.assign(batch=out)
+
+    dealt = rows.repartition(*within).sortWithinPartitions(*within, *order)
+    return dealt.mapInPandas(fold, T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())]))
