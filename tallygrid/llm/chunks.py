@@ -14,17 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, keyed
+from .common import checkpointed, chunk_count, keyed
 
 
 def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     """(chunk, doc_id, text) and the number of chunks.
 
     Rows that are equal in id and text differ in the input partition at best, so
-    of them a chunk gets no more than one partition has.
+    of them a chunk gets no more than one partition has.  All passes have to see
+    the same partitions, so what comes out of a shuffle is fixed by a checkpoint first.
     """
-    n = chunk_count(docs)
     narrow = keyed(docs)
+    if "Exchange" in narrow._jdf.queryExecution().executedPlan().toString():
+        narrow = checkpointed(narrow)
+    n = chunk_count(narrow)
     return narrow.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
 
 
