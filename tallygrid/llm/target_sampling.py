@@ -54,8 +54,12 @@ def buckets(words: Column, n: int = 1, size: int = BUCKETS) -> Column:
 
 
 def counted(texts: DataFrame, n: int, size: int) -> DataFrame:
-    """(bucket, count) over all texts; tasks add up before anything is sent."""
-    return texts.select(F.explode(buckets(words(F.col("text")), n, size)).alias("bucket")).groupBy("bucket").count()
+    """(bucket, count) over all texts; tasks add up before anything is sent.
+
+    An inner explode would be given a filter on the array's size, which makes the words anew for each run.
+    """
+    found = texts.select(words(F.col("text")).alias("words")).select(F.explode_outer(buckets(F.col("words"), n, size)).alias("bucket"))
+    return found.filter("bucket is not null").groupBy("bucket").count()
 
 
 def gains(docs: DataFrame, target: DataFrame, n: int = 1, size: int = BUCKETS) -> list[int]:
@@ -69,20 +73,27 @@ def gains(docs: DataFrame, target: DataFrame, n: int = 1, size: int = BUCKETS) -
     return [r.gain for r in counts.select("bucket", F.floor(1000 * log).alias("gain")).orderBy("bucket").collect()]
 
 
-def _scored(docs: DataFrame, gain: list[int], n: int, seed: int, min_words: int, doc_id: str, text: str) -> dict[str, Column]:
-    """Columns doc_id, n_features, weight, score, eligible and key (the order after the score) of a table of documents."""
-    own, content = F.col(doc_id).cast("long"), F.col(text)
-    found, array = words(content), F.lit(np.array(gain, np.int64))
-    runs = buckets(found, n, len(gain))
-    weight = F.aggregate(runs, F.lit(0).cast("long"), lambda total, b: total + F.element_at(array, b + 1))
+def _scored(rows: DataFrame, gain: list[int], n: int, seed: int, min_words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds id, n_features, weight, score, eligible and key (the order after score and id) to a table of documents.
+
+    Words and buckets are columns of their own, so that they are made once and not anew for each use.
+    """
+    own, array = F.col("id"), F.lit(np.array(gain, np.int64))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(own.cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     gumbel = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    return {"doc_id": own, "n_features": F.size(runs).cast("long"), "weight": weight, "score": weight + gumbel, "eligible": F.size(found) >= min_words, "key": F.xxhash64(content.cast("string"))}
+    rows = rows.withColumns({"id": F.col(doc_id).cast("long"), "key": F.xxhash64(F.col(text).cast("string")), "words": words(F.col(text))})
+    rows = rows.withColumns({"runs": buckets(F.col("words"), n, len(gain)), "eligible": F.size("words") >= min_words}).drop("words")
+    rows = rows.withColumns({"n_features": F.size("runs").cast("long"), "weight": F.aggregate("runs", F.lit(0).cast("long"), lambda total, b: total + F.element_at(array, b + 1))})
+    return rows.withColumn("score", F.col("weight") + gumbel).drop("runs")
+
+
+def _narrow(docs: DataFrame, gain: list[int], n: int, seed: int, min_words: int) -> DataFrame:
+    return _scored(docs.select("doc_id", "text"), gain, n, seed, min_words).drop("doc_id", "text")
 
 
 def _ranked(rows: DataFrame, percent: int) -> tuple[DataFrame, int]:
     """Narrow scored rows with their rank in the order of the draw, and how many are drawn."""
-    order = [F.col("eligible").desc(), F.col("score").desc(), F.coalesce("doc_id", F.lit(_LAST)), F.col("key"), F.col("row")]
+    order = [F.col("eligible").desc(), F.col("score").desc(), F.coalesce("id", F.lit(_LAST)), F.col("key"), F.col("row")]
     # Range bounds come from a sample, so what is dealt is fixed before it is counted and numbered.
     fixed = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
     drawn = fixed.filter("eligible").count() * percent // 100
@@ -99,9 +110,8 @@ def scored(docs: DataFrame, target: DataFrame, n: int = 1, size: int = BUCKETS,
 
     ``percent`` of the documents with ``min_words`` words are drawn and ranked from 1; the others' rank is null.
     """
-    columns = _scored(docs, gains(docs, target, n, size), n, seed, min_words, "doc_id", "text")
-    ranked, _ = _ranked(docs.select(*[c.alias(name) for name, c in columns.items()]), percent)
-    return ranked.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+    ranked, _ = _ranked(_narrow(docs, gains(docs, target, n, size), n, seed, min_words), percent)
+    return ranked.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def resample(docs: DataFrame, target: DataFrame, n: int = 1, size: int = BUCKETS, seed: int = SEED, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -110,15 +120,15 @@ def resample(docs: DataFrame, target: DataFrame, n: int = 1, size: int = BUCKETS
     The last drawn row's score, id and digest are a threshold, so no text is shuffled; rows that repeat that last row as it is stay with it.
     """
     gain = gains(docs, target, n, size)
-    columns = _scored(docs, gain, n, seed, min_words, "doc_id", "text")
-    ranked, drawn = _ranked(docs.select(*[c.alias(name) for name, c in columns.items()]), percent)
-    last = ranked.filter(F.col("rank") == drawn).select("score", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "key").first()
-    rows = boxed(docs)
+    ranked, drawn = _ranked(_narrow(docs, gain, n, seed, min_words), percent)
+    last = ranked.filter(F.col("rank") == drawn).select("score", F.coalesce("id", F.lit(_LAST)).alias("id"), "key").first()
     if last is None:
-        return rows.limit(0).select("row.*")
-    own = _scored(rows, gain, n, seed, min_words, "row.doc_id", "row.text")
-    reached = F.struct(-own["score"], F.coalesce(own["doc_id"], F.lit(_LAST)), own["key"]) <= F.struct(F.lit(-last.score), F.lit(last.id), F.lit(last.key))
-    return rows.filter(own["eligible"] & reached).select("row.*")
+        return docs.limit(0)
+    # A filter isn't pushed below a partition's number, and so doesn't make the words anew for each run.
+    own = _scored(boxed(docs), gain, n, seed, min_words, "row.doc_id", "row.text").withColumn("part", F.spark_partition_id())
+    score, after, key = F.col("score") - last.score, F.coalesce("id", F.lit(_LAST)), F.col("key")
+    reached = (score > 0) | (score == 0) & ((after < last.id) | (after == last.id) & (key <= last.key))
+    return own.filter(F.col("eligible") & reached).select("row.*")
 
 
 def op11_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
