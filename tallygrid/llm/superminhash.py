@@ -20,8 +20,11 @@ if its set is large.
    with, then against one of another group; links become groups by union-find,
    in rounds over a table.
 4. Nodes of *different* groups that share a place are verified pairwise, as far
-   as set sizes and the distances from a common pivot let them link (Jaccard
-   distance is a metric), by the same join as in the metric-space join.
+   as three bounds let them link: sizes; distances from a common pivot (Jaccard
+   distance is a metric, so the join's key has a ring of distances, a node being
+   copied to all rings of its window); and odd sketches, bitmaps of how often,
+   modulo two, the set's shingles fall on each of 1,024 bits.  Two sets differ in
+   at least as many shingles as their bitmaps in bits, so no link is lost.
 
 So no group is expanded into its pairs, and links that others make known are
 not looked for: the result is groups.
@@ -47,10 +50,11 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, boxed, checkpointed, flat, lowered, mixed, slices, table, window_hashes, word_hashes, words
 from .components import components
-from .jaccard_join import _crossing, _labelled, _tested
+from .jaccard_join import _labelled, _tested
 
 BANDS = 36
 ROWS = 5
+ODD_LONGS = 16
 
 _STEP = 0x9E3779B97F4A7C15
 _OPEN = np.uint64(2**64 - 1)
@@ -164,9 +168,9 @@ def signed(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def _places(nodes: DataFrame) -> DataFrame:
-    """(shingle, node, first, place, size): the nodes of each band key that several have, and the key's pivot.
+    """(shingle, node, first, size): the nodes of each band key that several have, and the key's pivot.
 
-    The column names are those of the join of prefix shingles, whose last step serves here too.
+    A band key takes the part of a prefix shingle in the metric-space join, whose steps serve here too.
     """
     placed = nodes.select("node", "size", F.explode("bands").alias("shingle"))
     # Counts are fixed on their own, so that both sides of the joins are dealt out plainly and a frequent key can be split.
@@ -174,11 +178,17 @@ def _places(nodes: DataFrame) -> DataFrame:
     met = checkpointed(placed.join(counts, "shingle"))
     full = met.groupBy("node").agg(F.sum(F.log2("n")).alias("full"))
     pivots = checkpointed(met.join(full, "node").groupBy("shingle").agg(F.max_by("node", F.struct("full", -F.col("node"))).alias("first")))
-    return checkpointed(met.join(pivots, "shingle").select("shingle", "node", "first", F.lit(0).alias("place"), F.col("size").cast("int").alias("size")))
+    return checkpointed(met.join(pivots, "shingle").select("shingle", "node", "first", "size"))
+
+
+def _odd(elements: np.ndarray) -> np.ndarray:
+    """The parity of the number of elements on each bit."""
+    bits = np.bincount((elements % np.uint64(64 * ODD_LONGS)).astype(np.int64), minlength=64 * ODD_LONGS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): the full sets of the nodes that met another, from one document of each."""
+    """(node, shingles, odd): the full sets of the nodes that met another, from one document of each, and their odd sketches."""
     rows = _narrow(docs)
     own = (rows["digest"] == needed["digest"]) & rows["doc_id"].eqNullSafe(needed["doc_id"])
 
@@ -186,10 +196,39 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             at = 0
             for sets in shingle_sets(batch, size):
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+                odd = pa.array([_odd(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary()), odd], ["node", "shingles", "odd"])
                 at += len(sets)
 
-    return checkpointed(rows.join(needed, own).select("node", "text").mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"]))
+    return checkpointed(rows.join(needed, own).select("node", "text").mapInArrow(make, "node long, shingles binary, odd array<long>").dropDuplicates(["node"]))
+
+
+def _apart(placed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different components that share a place and may link by size, distance from the pivot and odd sketch.
+
+    Columns shingle, node, size, component, pivot, off and odd; a node without a pivot is its own.
+    """
+    slack = (100 - percent) / 100 + 1e-9
+    kinds = placed.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("largest"))
+    kinds = checkpointed(kinds.filter("kinds > 1").select("shingle", "largest"))
+    placed = placed.join(kinds, "shingle").withColumns({"pivot": F.coalesce("pivot", "node"), "off": F.coalesce("off", F.lit(0.0))})
+    parts = ("node", "size", "component", "pivot", "off", "odd")
+    ring = lambda off: F.greatest(F.lit(0), F.floor(off / slack)).cast("int")
+    cell = lambda pivot, ring: F.struct(pivot.alias("pivot"), ring.alias("ring"))
+    nowhere = cell(F.lit(-1).cast("long"), F.lit(0))  # where nodes of two regions meet
+    window = F.transform(F.sequence(ring(F.col("off") - slack), ring(F.col("off") + slack)), lambda r: cell(F.col("pivot"), r))
+    # A pair of different components has one outside the largest at least: that one is in its home ring, the other one in its window.
+    one = placed.filter("component != largest").select("shingle", F.explode(F.array(cell(F.col("pivot"), ring(F.col("off"))), nowhere)).alias("cell"), *[F.col(c).alias(f"{c}1") for c in parts])
+    two = placed.select("shingle", F.explode(F.concat(window, F.array(nowhere))).alias("cell"), *[F.col(c).alias(f"{c}2") for c in parts])
+    sizes = F.col("size1") + F.col("size2")
+    differ = sum((F.bit_count(F.col("odd1")[k].bitwiseXOR(F.col("odd2")[k])) for k in range(1, ODD_LONGS)), F.bit_count(F.col("odd1")[0].bitwiseXOR(F.col("odd2")[0])))
+    may_link = (
+        (F.col("component1") != F.col("component2"))
+        & F.when(F.col("cell.pivot") == -1, F.col("pivot1") != F.col("pivot2")).otherwise(F.abs(F.col("off1") - F.col("off2")) <= slack)
+        & ((100 + percent) * F.least("size1", "size2") >= percent * sizes)
+        & ((100 + percent) * differ <= (100 - percent) * sizes)
+    )
+    return one.join(two, ["shingle", "cell"]).filter(may_link).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +250,8 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFram
 
     label = components(tested.filter("linked"))
     off = regions.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("apart").alias("off"))
-    crossing = _tested(_crossing(_labelled(groups, label).join(off, "node", "left"), percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
+    placed = _labelled(groups, label).join(off, "node", "left").join(sets.select("node", "odd"), "node")
+    crossing = _tested(_apart(placed, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
     label = components(tested.unionAll(crossing).filter("linked").select("a", "b"))
 
     placed = checkpointed(nodes.select("node", "digest", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
