@@ -11,7 +11,7 @@ import hashlib
 import json
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import metrics as m
 
+from .lineage import fixed
+
 LEVELS = (0.025, 0.975)
+#: People of a leaf of the splitting tree.
+PEOPLE_A_BLOCK = 1024
 
 
 def indices(sizes: tuple[int, ...], repeats: int, seed: int) -> Iterator[np.ndarray]:
@@ -111,54 +115,57 @@ def generator(*parts: str) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256("|".join(parts).encode()).digest()[:8], "little")))
 
 
-def label_exchange_p(before: np.ndarray, after: np.ndarray, repeats: int, rng: np.random.Generator) -> float:
-    """Monte Carlo p of total variation when the arms' labels are exchangeable."""
-    pooled, n_after, n_before = before + after, int(after.sum()), int(before.sum())
-    seen = np.abs(after / n_after - before / n_before).sum() / 2
-    null = rng.multivariate_hypergeometric(pooled, n_after, size=repeats)
-    distance = np.abs(null / n_after - (pooled - null) / n_before).sum(axis=1) / 2
-    return float((1 + (distance >= seen - 1e-12).sum()) / (repeats + 1))
-
-
-def joint_p(cells: np.ndarray, repeats: int, rng: np.random.Generator) -> float:
-    """Monte Carlo p of total variation from independence, the second answers permuted."""
-    rows, columns, n = cells.sum(1), cells.sum(0), int(cells.sum())
-    first, second = np.repeat(np.arange(len(rows)), rows), np.repeat(np.arange(len(columns)), columns)
-    expected = np.outer(rows, columns) / n**2
-    seen = np.abs(cells / n - expected).sum() / 2
-    beyond = 0
-    for start in range(0, repeats, 200):
-        block = rng.permuted(np.tile(second, (min(200, repeats - start), 1)), axis=1)
-        code = (np.arange(len(block))[:, None] * len(rows) + first) * len(columns) + block
-        null = np.bincount(code.ravel(), minlength=len(block) * cells.size).reshape(len(block), *cells.shape)
-        beyond += int((np.abs(null / n - expected).sum((1, 2)) / 2 >= seen - 1e-12).sum())
-    return (1 + beyond) / (repeats + 1)
-
-
-def information(a: np.ndarray, b: np.ndarray, ka: int, kb: int) -> np.ndarray:
-    """Mutual information in bits of a with each row of b."""
-    code = (np.arange(len(b))[:, None] * ka + a) * kb + b
-    p = np.bincount(code.ravel(), minlength=len(b) * ka * kb).reshape(len(b), ka, kb) / len(a)
-    q = p.sum(2, keepdims=True) * p.sum(1, keepdims=True)
-    return np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / np.where(q > 0, q, 1)), 0.0).sum((1, 2))
+def margin_tables(rows: np.ndarray, columns: np.ndarray, repeats: int, rng: np.random.Generator) -> np.ndarray:
+    """(repeats, rows, columns) contingency tables with these margins, as answers paired at random have them.
+
+    A table is filled cell by cell: of what its row still needs, a cell takes a hypergeometric share of what is
+    left in its column against the columns after it.  The cost follows the cells, not the answers.
+    """
+    out = np.zeros((repeats, len(rows), len(columns)), np.int64)
+    left = np.tile(np.asarray(columns, np.int64), (repeats, 1))
+    for i, size in enumerate(rows[:-1]):
+        need = np.full(repeats, size, np.int64)
+        after = left.sum(1)
+        for j in range(len(columns) - 1):
+            after -= left[:, j]
+            out[:, i, j] = rng.hypergeometric(left[:, j], after, need)
+            need -= out[:, i, j]
+        out[:, i, -1] = need
+        left -= out[:, i]
+    if len(rows):
+        out[:, -1] = left
+    return out
 
 
-def information_p(cells: list[tuple[str, str, int]], repeats: int, rng: np.random.Generator, together: int = 1 << 20) -> tuple[float, float, float]:
-    """(observed, mean under permutation, p) of mutual information; cells are sorted first, so their order doesn't matter.
+def null_values(table: np.ndarray, statistic: Callable[[np.ndarray], np.ndarray], repeats: int, rng: np.random.Generator, room: int = 1 << 20) -> np.ndarray:
+    """The statistic (or statistics, one below the other) of so many random tables with the margins of this one, made some at a time."""
+    step = max(1, room // max(1, table.size))
+    made = [statistic(margin_tables(table.sum(1), table.sum(0), min(step, repeats - k), rng)) for k in range(0, repeats, step)]
+    return np.concatenate(made or [statistic(table[None])[..., :0]], axis=-1)
 
-    Permutations are taken one by one from the stream and counted several at a time, about ``together`` answers.
-    """
-    cells = sorted(cells)
-    times = np.array([n for *_, n in cells], np.int64)
-    codes = [np.unique([c[k] for c in cells], return_inverse=True)[1] for k in (0, 1)]
-    a, b = (np.repeat(c, times) for c in codes)
-    ka, kb = (int(c.max(initial=0)) + 1 for c in codes)
-    seen = float(information(a, b[None], ka, kb)[0])
-    null, step = np.zeros(repeats), max(1, together // max(1, len(b)))
-    for start in range(0, repeats, step):
-        block = np.stack([rng.permutation(b) for _ in range(min(step, repeats - start))])
-        null[start : start + len(block)] = information(a, block, ka, kb)
-    return seen, float(null.mean()) if repeats else 0.0, float((1 + (null >= seen - 1e-15).sum()) / (repeats + 1))
+
+def tail(seen: float, null: np.ndarray, slack: float) -> float:
+    """Share of what is as large as seen, which is counted in."""
+    return float((1 + np.count_nonzero(null >= seen - slack)) / (1 + len(null)))
+
+
+def row_distance(tables: np.ndarray) -> np.ndarray:
+    """Total variation between the two rows of each table."""
+    shares = tables / tables.sum(2, keepdims=True)
+    return np.abs(shares[:, 1] - shares[:, 0]).sum(1) / 2
+
+
+def independence_distance(tables: np.ndarray) -> np.ndarray:
+    """Total variation of each table from the product of its margins."""
+    p = tables / tables.sum((1, 2), keepdims=True)
+    return np.abs(p - p.sum(2, keepdims=True) * p.sum(1, keepdims=True)).sum((1, 2)) / 2
+
+
+def information(tables: np.ndarray) -> np.ndarray:
+    """Mutual information of each table in bits."""
+    p = tables / tables.sum((1, 2), keepdims=True)
+    q = p.sum(2, keepdims=True) * p.sum(1, keepdims=True)
+    return np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / np.where(q > 0, q, 1)), 0.0).sum((1, 2))
 
 
 def canonical_pairs(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -181,37 +188,44 @@ def canonical_seed(namespace: str, base: int, **parts: str) -> int:
 
 
 def tv_tests(counts: DataFrame, keys: list[str], repeats: int) -> DataFrame:
-    """p of each comparison.  ``counts`` has keys, klass, before, after; one row a comparison goes to Python, as two arrays."""
+    """p of each comparison's total variation when the arms' labels are exchangeable.
+
+    ``counts`` has keys, klass, before, after; one row a comparison goes to Python, as a table of two rows.
+    """
     cells = F.sort_array(F.collect_list(F.struct(F.col("klass").cast("string").alias("k"), F.col("before").cast("long").alias("b"), F.col("after").cast("long").alias("a"))))
     rows = counts.groupBy(*keys).agg(cells.alias("cells"))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[keys].copy()
             ps = []
             for key, cells in zip(batch[keys].itertuples(index=False), batch["cells"], strict=True):
-                before, after = np.array([c["b"] for c in cells]), np.array([c["a"] for c in cells])
-                empty = not before.sum() or not after.sum()
-                ps.append(None if empty else label_exchange_p(before, after, repeats, generator(*map(str, key))))
-            yield out.assign(p=pd.Series(ps, index=out.index, dtype=float))
+                table = np.array([[c[arm] for c in cells] for arm in ("b", "a")], np.int64)
+                null = null_values(table, row_distance, repeats, generator(*map(str, key))) if table.sum(1).all() else None
+                ps.append(None if null is None else tail(row_distance(table[None])[0], null, 1e-12))
+            yield batch[keys].assign(p=pd.Series(ps, index=batch.index, dtype=float))
 
     return rows.mapInPandas(test, _schema(rows, keys, "p double"))
 
 
 def joint_tests(joint: DataFrame, keys: list[str], repeats: int) -> DataFrame:
-    """Both tests of dependence.  ``joint`` has keys, a, b, n."""
+    """Both tests of dependence, mutual information and total variation from independence, over the same random tables.
+
+    ``joint`` has keys, a, b, n; one row a key goes to Python, with its cells.
+    """
     cells = F.sort_array(F.collect_list(F.struct(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("n").cast("long").alias("n"))))
-    rows = joint.groupBy(*keys).agg(cells.alias("cells"))
+    rows = joint.filter("n > 0").groupBy(*keys).agg(cells.alias("cells"))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for key, cells in zip(batch[keys].itertuples(index=False), batch["cells"], strict=True):
-                table = pd.DataFrame([tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in cells], columns=["a", "b", "n"])
-                grid = table.pivot(index="a", columns="b", values="n").fillna(0).to_numpy().astype(int)
-                seed = canonical_seed("tallygrid.dependence", 0, key="|".join(map(str, key)))
-                seen, mean, p = information_p(list(table.itertuples(index=False, name=None)), repeats, np.random.Generator(np.random.PCG64(seed)))
-                found.append((seen, mean, p, joint_p(grid, repeats, generator(*map(str, key)))))
+                (ka, a), (kb, b) = (np.unique([str(c[k]) for c in cells], return_inverse=True) for k in ("a", "b"))
+                table = np.zeros((len(ka), len(kb)), np.int64)
+                np.add.at(table, (a, b), [c["n"] for c in cells])
+                rng = np.random.Generator(np.random.PCG64(canonical_seed("tallygrid.dependence", 0, key="|".join(map(str, key)))))
+                bits, apart = null_values(table, lambda t: np.stack((information(t), independence_distance(t))), repeats, rng)
+                seen, off = float(information(table[None])[0]), float(independence_distance(table[None])[0])
+                found.append((seen, float(bits.mean()) if repeats else 0.0, tail(seen, bits, 1e-15), tail(off, apart, 1e-12)))
             extra = pd.DataFrame(found, columns=["information", "information_null", "p_information", "p_tv"], index=batch.index)
             yield pd.concat([batch[keys], extra], axis=1)
 
@@ -228,35 +242,36 @@ def response_bootstrap(answers: DataFrame, repeats: int, seed: int, crossed: str
 
     ``answers`` has source, person, item, klass and n; a null ``klass`` counts answers without a
     class: they are drawn with the others but leave no mass.  The people of the source
-    ``crossed`` answer many items, so a replicate draws them once, for all items; of other
+    ``crossed`` answer many items, so a replicate draws as many people as there are, with
+    replacement, once for all items (:func:`drawn_people`); of other
     sources each item's answers are drawn on their own.  A replicate in which a
     source has no classed answer left on an item is drawn again, whole; items on which a
     source has none to begin with are left out.
     With ``item_draws`` (rep, item, times) replicates weigh their items by how often they were drawn: the joint
     bootstrap of answers and items.
-
-    Answers of a cell are a multinomial draw with a generator of its own.  A person's weight is a Poisson(1)
-    number made by hash of (seed, replicate, try, person), so that all items see the same and no stream has to be
-    shared; the number of people drawn then varies a little, but a distribution is a share of what was drawn.
     """
-    world = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")
     there = answers.filter("klass is not null and n > 0").select("source", "item").distinct()
     answers = answers.join(there, ["source", "item"], "left_semi")
-    tries, accepted, left = 0, None, answers.sparkSession.range(1).select(world)
-    while True:
-        cells = _world(answers, left, seed, tries, crossed)
-        mass = cells.groupBy("rep", "source", "item").agg(F.sum(F.when(F.col("klass").isNotNull(), F.col("w"))).alias("total"))
-        empty = mass.filter("coalesce(total, 0) = 0").select("rep").distinct()
-        p = cells.filter("klass is not null and w > 0").join(mass, ["rep", "source", "item"]).join(empty, "rep", "left_anti").select("rep", "source", "item", "klass", (F.col("w") / F.col("total")).alias("p"))
-        accepted = p if accepted is None else accepted.unionAll(p)
-        failed = [r["rep"] for r in empty.collect()]  # replicates, at most
-        if not failed:
-            break
-        tries += 1
+    tries, accepted, left = 0, None, list(range(repeats))
+    while left:
         if tries == 100:
             raise ValueError("a source has hardly any classed answers on an item")
-        left = answers.sparkSession.createDataFrame([(k,) for k in failed], "rep int")
-    one, other = (accepted.select("rep", "item", "klass", F.col("source").alias(s), F.col("p").alias(v)) for s, v in (("left", "p"), ("right", "q")))
+        cells = fixed(_world(answers, left, seed, tries, crossed))
+        empty = _emptied(cells, there, left)
+        cells = cells.join(empty, "rep", "left_anti")
+        accepted = cells if accepted is None else accepted.unionAll(cells)
+        left = sorted(r["rep"] for r in empty.collect())  # replicates, at most
+        tries += 1
+    return replicate_intervals(accepted, there, repeats, item_draws)
+
+
+def replicate_intervals(cells: DataFrame, there: DataFrame, repeats: int, item_draws: DataFrame | None = None) -> DataFrame:
+    """(left, right, tv_low, ...) of drawn cells (rep, source, item, klass, w) whose sources answer the items that ``there`` (source, item) says."""
+    world = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")
+    classed = cells.filter("klass is not null and w > 0")
+    mass = classed.groupBy("rep", "source", "item").agg(F.sum("w").alias("total"))
+    shares = classed.join(mass, ["rep", "source", "item"]).withColumn("p", F.col("w") / F.col("total"))
+    one, other = (shares.select("rep", "item", "klass", F.col("source").alias(s), F.col("p").alias(v)) for s, v in (("left", "p"), ("right", "q")))
     shared = one.join(other, ["rep", "item", "klass"]).filter(F.col("left") < F.col("right"))
     found = shared.groupBy("left", "right", "rep", "item").agg(m.tv_shared(F.col("p"), F.col("q")).alias("tv"), m.js_shared(F.col("p"), F.col("q")).alias("js"), m.hellinger_shared(F.col("p"), F.col("q")).alias("hellinger"))
     # Pairs that share no class on an item in a replicate are at distance 1.
@@ -270,20 +285,80 @@ def response_bootstrap(answers: DataFrame, repeats: int, seed: int, crossed: str
     return means.groupBy("left", "right").agg(*[F.percentile(x, list(LEVELS)).alias(x) for x in names]).select("left", "right", *[F.col(x)[k].alias(f"{x}_{side}") for x in names for k, side in enumerate(("low", "high"))])
 
 
-def poisson_of(*parts: Column) -> Column:
-    """A Poisson(1) number made of a 64-bit hash of the parts; cumulative probabilities up to 10, beyond which there is less than 1e-8."""
-    u = (F.shiftrightunsigned(F.xxhash64(*parts), 11)).cast("double") / float(1 << 53)
-    total, term, out = 0.0, math.exp(-1), F.lit(0)
-    for k in range(10):
-        total += term
-        out = out + (u >= total).cast("int")
-        term /= k + 1
-    return out
+def _emptied(cells: DataFrame, there: DataFrame, reps: list[int]) -> DataFrame:
+    """(rep) of the replicates in which a source lost all classed answers on an item that it had some on."""
+    wanted = there.count()
+    full = cells.filter("klass is not null and w > 0").select("rep", "source", "item").distinct().groupBy("rep").agg(F.count("*").alias("n")).filter(F.col("n") == wanted)
+    return cells.sparkSession.createDataFrame([(r,) for r in reps], "rep int").join(full, "rep", "left_anti")
+
+
+def people_blocks(people: DataFrame, depth: int) -> DataFrame:
+    """(block, path): the leaves of a splitting tree over people, and the sizes along their way down from the root.
 
+    ``people`` has one row a person and a column ``h``, a hash of the person, whose first ``depth`` bits say which
+    way the person goes.  ``path`` lists each node on the way, whether the way goes on to the right, how many people go left
+    there and how many pass it.
+    """
+    sizes = people.groupBy(_block_of("h", depth).alias("block")).agg(F.count("*").alias("n"))
+    on_way = sizes.select("block", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).withColumn("node", F.expr(f"shiftright(block, {depth} - level)"))
+    nodes = on_way.groupBy("level", "node").agg(F.sum("n").alias("size"))
+    left = nodes.filter("level > 0 and node % 2 = 0").select((F.col("level") - 1).alias("level"), F.shiftright("node", 1).alias("node"), F.col("size").alias("left"))
+    nodes = nodes.join(left, ["level", "node"], "left").fillna(0, ["left"])
+    step = F.struct("level", "node", F.expr(f"shiftright(block, greatest({depth} - level - 1, 0)) % 2 = 1").alias("right"), "left", "size")
+    return on_way.select("block", "level", "node").join(nodes, ["level", "node"]).groupBy("block").agg(F.sort_array(F.collect_list(step)).alias("path"))
+
+
+def _block_of(h: str, depth: int) -> Column:
+    """The first bits of a 64-bit hash."""
+    return F.shiftrightunsigned(h, 64 - depth).cast("long") if depth else F.lit(0).cast("long")
+
+
+def block_counts(path: list[dict], reps: int, seed: int, tries: int) -> np.ndarray:
+    """How many of the people that each replicate draws fall to a block.
 
-def _world(answers: DataFrame, reps: DataFrame, seed: int, tries: int, crossed: str | None) -> DataFrame:
+    At each node on its way the count is split by a binomial seeded by the node, so all blocks see the same
+    splits and together get exactly as many as there are people: a multinomial of any number of people, drawn in parallel.
+    """
+    count = np.full(reps, path[0]["size"], np.int64)
+    for step in path[:-1]:
+        left = generator(str(seed), str(tries), "node", str(step["level"]), str(step["node"])).binomial(count, step["left"] / step["size"])
+        count = count - left if step["right"] else left
+    return count
+
+
+def drawn_people(answers: DataFrame, reps: list[int], seed: int, tries: int, block: int = PEOPLE_A_BLOCK) -> DataFrame:
+    """(rep, item, klass, w) of people drawn with replacement, as many as there are, each with all answers (person, item, klass, n).
+
+    A block's sums are rows of its own, to be added up; blocks hold about ``block`` people whatever their number.
+    People's order within a block is that of their hashes, so the draw doesn't depend on how rows came.
+    """
+    rows = answers.groupBy(F.col("person").cast("string").alias("person"), "item", F.col("klass").cast("string").alias("klass")).agg(F.sum("n").cast("long").alias("n"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "person"))
+    people = rows.select("person", "h").distinct()
+    depth = max(0, math.ceil(math.log2(max(people.count(), 1) / block)))
+    item = dict(answers.dtypes)["item"]
+
+    def draw(key: tuple, own: pd.DataFrame, way: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["h", "person", "item", "klass"])
+        person = own.groupby(["h", "person"], dropna=False, sort=False).ngroup().to_numpy()
+        cells = own.groupby(["item", "klass"], dropna=False)
+        cell, names = cells.ngroup().to_numpy(), cells.size().reset_index()
+        n, people = own["n"].to_numpy(), int(person.max()) + 1
+        rng = generator(str(seed), str(tries), "block", str(key[0]))
+        sums = np.empty((len(reps), len(names)), np.int64)
+        for k, count in enumerate(block_counts(list(way["path"].iloc[0]), len(reps), seed, tries)):
+            times = np.bincount(rng.integers(0, people, count), minlength=people)
+            sums[k] = np.bincount(cell, times[person] * n, len(names))
+        rep, at = np.nonzero(sums)
+        klass = names["klass"].astype(object).where(names["klass"].notna(), None).to_numpy()
+        return pd.DataFrame({"rep": np.array(reps, np.int32)[rep], "item": names["item"].to_numpy()[at], "klass": klass[at], "w": sums[rep, at]})
+
+    mine = rows.withColumn("block", _block_of("h", depth)).groupBy("block").cogroup(people_blocks(people, depth).groupBy("block"))
+    return mine.applyInPandas(draw, f"rep int, item {item}, klass string, w long")
+
+
+def _world(answers: DataFrame, reps: list[int], seed: int, tries: int, crossed: str | None) -> DataFrame:
     """(rep, source, item, klass, w): how much of each cell the replicates have drawn."""
-    wanted = sorted(r["rep"] for r in reps.collect())  # replicates, at most
     own = F.col("source").eqNullSafe(F.lit(crossed)) if crossed is not None else F.lit(False)
     cell = F.struct(F.col("klass").isNull().alias("void"), F.col("klass").cast("string").alias("k"), F.col("n").cast("long").alias("n"))
     cells = answers.filter(~own).groupBy("source", "item", "klass").agg(F.sum("n").alias("n")).filter("n > 0")
@@ -293,16 +368,16 @@ def _world(answers: DataFrame, reps: DataFrame, seed: int, tries: int, crossed:
         for batch in batches:
             for source, item, found in zip(batch["source"], batch["item"], batch["cells"], strict=True):
                 n = np.array([c["n"] for c in found], float)
-                drawn = generator(str(seed), str(tries), str(source), str(item)).multinomial(int(n.sum()), n / n.sum(), size=wanted[-1] + 1)[wanted]
+                drawn = generator(str(seed), str(tries), str(source), str(item)).multinomial(int(n.sum()), n / n.sum(), size=len(reps))
                 rep, place = np.nonzero(drawn)
                 names = np.array([c["k"] for c in found], object)
-                yield pd.DataFrame({"rep": np.array(wanted, np.int32)[rep], "source": source, "item": item, "klass": names[place], "w": drawn[rep, place]})
+                yield pd.DataFrame({"rep": np.array(reps, np.int32)[rep], "source": source, "item": item, "klass": names[place], "w": drawn[rep, place]})
 
     kinds = dict(answers.dtypes)
     out = rows.mapInPandas(draw, f"rep int, source {kinds['source']}, item {kinds['item']}, klass string, w long")
     if crossed is not None:
-        weighed = answers.filter(own).join(reps, F.lit(True)).withColumn("w", F.col("n") * poisson_of(F.lit(seed), F.col("rep"), F.lit(tries), F.col("person").cast("string")))
-        out = out.unionAll(weighed.groupBy("rep", "source", "item", F.col("klass").cast("string").alias("klass")).agg(F.sum("w").cast("long").alias("w")).filter("w > 0"))
+        drawn = drawn_people(answers.filter(own), reps, seed, tries).groupBy("rep", "item", "klass").agg(F.sum("w").alias("w"))
+        out = out.unionAll(drawn.select("rep", F.lit(crossed).cast(kinds["source"]).alias("source"), "item", "klass", "w"))
     return out
 
 

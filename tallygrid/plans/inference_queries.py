@@ -52,7 +52,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def response_bootstrap(spark, sf_dir):
-    return inference.response_bootstrap(_answers(spark, sf_dir), 200, 0, crossed="F")
+    return inference.response_bootstrap(_answers(spark, sf_dir), REPEATS, 0, crossed="F")
 
 
 @query
@@ -61,8 +61,35 @@ def joint_bootstrap(spark, sf_dir):
     rows = _answers(spark, sf_dir)
     items = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cluster"), F.col("n_regionkey").alias("stratum")).join(rows.select(F.col("item").alias("cluster")).distinct(), "cluster")
     numbered, sizes = inference.numbered_clusters(items)
-    drawn = inference.draws(spark, sizes, 200, 0).join(numbered, "index").select("rep", F.col("cluster").alias("item"), "times")
-    return inference.response_bootstrap(rows, 200, 0, crossed="F", item_draws=drawn)
+    drawn = inference.draws(spark, sizes, REPEATS, 0).join(numbered, "index").select("rep", F.col("cluster").alias("item"), "times")
+    return inference.response_bootstrap(rows, REPEATS, 0, crossed="F", item_draws=drawn)
+
+
+@query
+def given_draw_intervals(spark, sf_dir):
+    """Intervals over draws of people that a rule gives: each replicate takes a person none to three times."""
+    rows = _answers(spark, sf_dir).filter("source = 'F' or person % 2 = 0")
+    draws = F.explode(F.sequence(F.lit(0), F.lit(39))).alias("rep")
+    picked = rows.select("*", draws).withColumn("w", F.col("n") * ((F.col("person") * 7 + F.col("rep") * 13 + F.col("person") * F.col("rep")) % 4))
+    cells = picked.groupBy("rep", "source", "item", "klass").agg(F.sum("w").alias("w"))
+    there = rows.filter("klass is not null").select("source", "item").distinct()
+    return inference.replicate_intervals(cells, there, 40)
+
+
+ORACLES["given_draw_intervals"] = """WITH a AS (SELECT o_orderstatus AS source, c_custkey AS person, c_nationkey AS item, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS klass, count(*) AS n
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' OR c_custkey % 2 = 0 GROUP BY ALL),
+ c AS (SELECT rep, source, item, klass, sum(n * ((person * 7 + rep * 13 + person * rep) % 4)) AS w FROM a, range(40) AS r(rep) WHERE klass IS NOT NULL GROUP BY ALL HAVING w > 0),
+ s AS (SELECT rep, source, item, klass, w / sum(w) OVER (PARTITION BY rep, source, item) AS p FROM c),
+ t AS (SELECT DISTINCT source, item FROM a WHERE klass IS NOT NULL),
+ k AS (SELECT item, klass FROM a WHERE klass IS NOT NULL GROUP BY ALL),
+ x AS (SELECT l.source AS "left", r.source AS "right", l.item, rep, klass FROM t l JOIN t r ON l.item = r.item AND l.source < r.source JOIN k ON k.item = l.item, range(40) AS q(rep)),
+ d AS (SELECT x.*, coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q, (p + q) / 2 AS m FROM x LEFT JOIN s a ON a.rep = x.rep AND a.source = x."left" AND a.item = x.item AND a.klass = x.klass
+  LEFT JOIN s b ON b.rep = x.rep AND b.source = x."right" AND b.item = x.item AND b.klass = x.klass),
+ e AS (SELECT "left", "right", item, rep, sum(p) > 0 AND sum(q) > 0 AS met, sum(abs(p - q)) / 2 AS tv,
+  (sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END)) / 2 AS js, sqrt(sum((sqrt(p) - sqrt(q)) ** 2) / 2) AS hellinger FROM d GROUP BY ALL),
+ f AS (SELECT "left", "right", rep, avg(CASE WHEN met THEN tv ELSE 1 END) AS tv, avg(CASE WHEN met THEN js ELSE 1 END) AS js, avg(CASE WHEN met THEN hellinger ELSE 1 END) AS hellinger FROM e GROUP BY ALL)
+ SELECT "left", "right", quantile_cont(tv, 0.025) AS tv_low, quantile_cont(tv, 0.975) AS tv_high, quantile_cont(js, 0.025) AS js_low, quantile_cont(js, 0.975) AS js_high,
+  quantile_cont(hellinger, 0.025) AS hellinger_low, quantile_cont(hellinger, 0.975) AS hellinger_high FROM f GROUP BY ALL"""
 
 
 @query

@@ -27,21 +27,47 @@ def test_bootstrap_equals_numpy(spark):
         assert [got.low, got.high] == pytest.approx(np.quantile(means, (0.025, 0.975)).tolist())
 
 
+def test_random_tables_keep_their_margins():
+    rows, columns = np.array([7, 0, 12, 3]), np.array([10, 1, 0, 11])
+    tables = inference.margin_tables(rows, columns, 500, np.random.default_rng(0))
+    assert (tables >= 0).all() and (tables.sum(2) == rows).all() and (tables.sum(1) == columns).all()
+    assert inference.margin_tables(np.array([4]), np.array([1, 3]), 2, np.random.default_rng(0)).tolist() == [[[1, 3]]] * 2
+    # Cells have the mean and the variance of the hypergeometric distribution.
+    tables = inference.margin_tables(np.array([30, 20]), np.array([25, 15, 10]), 40_000, np.random.default_rng(1))
+    p = np.array([25, 15, 10]) / 50
+    assert tables[:, 0].mean(0) == pytest.approx(30 * p, abs=0.05)
+    assert tables[:, 0].var(0) == pytest.approx(30 * p * (1 - p) * 20 / 49, rel=0.05)
+
+
+def permuted_ps(table, repeats, rng):
+    """Both p-values by permuting the second answers one by one."""
+    first, second = (np.repeat(np.arange(table.shape[k]), table.sum(1 - k)) for k in (0, 1))
+    null = np.zeros((repeats, *table.shape), int)
+    for k in range(repeats):
+        np.add.at(null[k], (first, rng.permutation(second)), 1)
+    ps = []
+    for f, slack in ((inference.information, 1e-15), (inference.independence_distance, 1e-12)):
+        ps.append((1 + (f(null) >= f(table[None])[0] - slack).sum()) / (1 + repeats))
+    return ps
+
+
 def test_permutation_p_values(spark):
-    same, apart = np.array([50, 50]), np.array([100, 0])
-    assert inference.label_exchange_p(same, same, 500, inference.generator("x")) == 1.0
-    assert inference.label_exchange_p(apart, apart[::-1], 500, inference.generator("x")) == 1 / 501
-    assert inference.joint_p(np.array([[20, 0], [0, 20]]), 300, inference.generator("y")) == 1 / 301
-    cells = [("a", "x", 8), ("a", "y", 2), ("b", "x", 3), ("b", "y", 7)]
-    first = inference.information_p(cells, 200, np.random.default_rng(81))
-    assert first == inference.information_p(cells[::-1], 200, np.random.default_rng(81))
-    pairs = [(a, b) for a, b, n in cells for _ in range(n)]
-    a, b = (np.array([p[k] == v for p in pairs], int) for k, v in ((0, "b"), (1, "y")))
+    """The p-values of random tables are those of permutations, within what chance allows at 10,000 draws."""
     rng = np.random.default_rng(81)
-    null = [inference.information(a, rng.permutation(b)[None], 2, 2)[0] for _ in range(200)]
-    assert first[2] == (1 + sum(v >= first[0] - 1e-15 for v in null)) / 201
-    rows = spark.createDataFrame([("k", "x", 50, 5), ("k", "y", 5, 50), ("e", "x", 0, 3)], "key string, klass string, before long, after long")
-    assert {r.key: r.p for r in inference.tv_tests(rows, ["key"], 100).collect()} == {"k": 1 / 101, "e": None}
+    tables = {k: rng.multinomial(60, np.ones(9) / 9).reshape(3, 3) for k in range(4)} | {9: np.array([[8, 2], [3, 7]])}
+    rows = [(k, f"a{i}", f"b{j}", int(n)) for k, t in tables.items() for (i, j), n in np.ndenumerate(t)]
+    got = {r.key: r for r in inference.joint_tests(spark.createDataFrame(rows, "key int, a string, b string, n long"), ["key"], 10_000).collect()}
+    for k, t in tables.items():
+        for p, q in zip((got[k].p_information, got[k].p_tv), permuted_ps(t, 10_000, rng), strict=True):
+            assert abs(p - q) < 5 * np.sqrt(2 * q * (1 - q) / 10_000) + 1e-4
+        x = t[t.sum(1) > 0] / t.sum()
+        product = np.outer(x.sum(1), x.sum(0))
+        assert got[k].information == pytest.approx((x[x > 0] * np.log2(x[x > 0] / product[x > 0])).sum())
+    strong = inference.joint_tests(spark.createDataFrame([("k", "a", "x", 20), ("k", "b", "y", 20)], "key string, a string, b string, n long"), ["key"], 300).first()
+    assert strong.information == 1 and strong.p_information == strong.p_tv == 1 / 301
+    arms = [("k", "x", 50, 5), ("k", "y", 5, 50), ("e", "x", 0, 3), ("same", "x", 50, 50), ("same", "y", 50, 50)]
+    rows = spark.createDataFrame(arms, "key string, klass string, before long, after long")
+    assert {r.key: r.p for r in inference.tv_tests(rows, ["key"], 100).collect()} == {"k": 1 / 101, "e": None, "same": 1.0}
 
 
 def test_holm_leaves_controls_alone(spark):
@@ -70,9 +96,28 @@ def test_response_bootstrap(spark):
     assert joint.left == "h" and joint.right == "m" and 0.4 < joint.tv_low < 0.6
 
 
-def test_poisson_weights(spark):
-    got = spark.range(20000).select(inference.poisson_of(F.lit(1), "id").alias("w")).agg(F.avg("w"), F.var_pop("w"), F.max("w")).first()
-    assert abs(got[0] - 1) < 0.03 and abs(got[1] - 1) < 0.06 and 5 <= got[2] <= 10
+def test_people_are_a_multinomial(spark):
+    """Each replicate draws as many people as there are; a person's times have the multinomial's mean, variance and correlation; blocks don't matter to that."""
+    n, reps = 150, list(range(3, 1203))
+    rows = [(f"p{k}" if k else None, f"i{k % 3}", f"p{k}", 1) for k in range(n)]
+    df = spark.createDataFrame(rows, "person string, item string, klass string, n long")
+    for block in (1024, 8):
+        drawn = inference.drawn_people(df, reps, 5, 0, block).toPandas()
+        assert set(drawn.groupby("rep")["w"].sum()) == {n} and sorted(set(drawn["rep"])) == reps
+        times = drawn.pivot_table(index="rep", columns="klass", values="w", fill_value=0, aggfunc="sum").to_numpy()
+        assert times.shape == (len(reps), n)
+        assert times.mean(0) == pytest.approx(np.ones(n), abs=0.16)
+        assert times.var(0).mean() == pytest.approx(1 - 1 / n, rel=0.03)
+        c = np.cov(times.T)
+        assert c[~np.eye(n, dtype=bool)].mean() == pytest.approx(-1 / n, rel=0.05)
+    again = inference.drawn_people(df.repartition(3), reps, 5, 0, 8).toPandas()
+    order = ["rep", "item", "klass", "w"]
+    assert drawn[order].sort_values(order).values.tolist() == again[order].sort_values(order).values.tolist()
+    whole = [(None, "i", None, 2), ("a", "i", None, 3), ("a", "j", "x", 4)]
+    got = inference.drawn_people(spark.createDataFrame(whole, "person string, item string, klass string, n long"), [0, 1, 2, 3], 1, 0).toPandas()
+    for _, own in got.groupby("rep"):
+        w = {(r.item, r.klass): r.w for r in own.itertuples()}
+        assert w.get(("j", "x"), 0) % 4 == 0 and w.get(("i", None), 0) == 2 * (2 - w.get(("j", "x"), 0) // 4) + 3 * (w.get(("j", "x"), 0) // 4)
 
 
 def test_null_strata_are_drawn(spark):
