@@ -74,6 +74,18 @@ def oriented(x: np.ndarray) -> np.ndarray:
     return x * np.where(x[at, np.arange(x.shape[1])] < 0, -1.0, 1.0)
 
 
+def anchored(coordinates: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Coordinates (source, axis, value) with each axis turned so that its high anchors don't lie below its low ones on average.
+
+    ``anchors`` has axis, source and side ("high" or "low").  An axis one of whose sides has no source here is turned
+    so that its entry of largest size, the first source's among equals, is positive.
+    """
+    side = lambda s: F.avg(F.when(F.col("side") == s, F.col("value")))
+    axes = coordinates.join(anchors, ["axis", "source"], "left").groupBy("axis").agg(side("high").alias("high"), side("low").alias("low"), F.min_by("value", F.struct(-F.abs("value"), "source")).alias("largest"))
+    down = F.coalesce(F.col("high") < F.col("low"), F.col("largest") < 0)
+    return coordinates.join(axes.select("axis", F.when(down, -1.0).otherwise(1.0).alias("sign")), "axis").select("source", "axis", (F.col("value") * F.col("sign")).alias("value"))
+
+
 def stress(m: np.ndarray, x: np.ndarray) -> float:
     """Root of the squared misfit over the squared targets."""
     upper = np.triu_indices(len(m), 1)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrid.functions import metrics as m
+
 PENALTY = 1e-4
 TOLERANCE = 1e-8
 MOST_STEPS = 10_000
@@ -369,6 +371,41 @@ def objective_at(rows: DataFrame, keys: list[str], beta: dict[str, float], penal
     return items.groupBy(*keys).agg(F.count("*").alias("items"), (F.avg("loss") + penalty / 2 * sum(b * b for b in beta.values())).alias("objective"), largest.alias("gradient"))
 
 
+def selected_accuracy(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and item: how well the candidate of the largest ``probability`` names what was selected, and what could be reached.
+
+    ``rows`` has keys, item, share and probability, in sample or of items held out.  Candidates tied at the top share
+    the selection.  Beside the accuracy: what chance gives, the accuracy relative to it, the largest share as the
+    ceiling, the accuracy on the way from chance to the ceiling, the distance from uniform, and the bound 1 + candidates x
+    distance that it puts on the relative accuracy.
+    """
+    top = F.abs(F.col("probability") - F.max("probability").over(Window.partitionBy(*keys, "item")))
+    rows = rows.withColumn("_top", top <= 1e-12 + 1e-12 * F.abs("probability")).withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "item")))
+    found = rows.groupBy(*keys, "item").agg(
+        F.count("*").alias("candidates"),
+        F.sum(F.col("_top").cast("int")).alias("top_size"),
+        (F.sum(F.when(F.col("_top"), F.col("share")).otherwise(0.0)) / F.sum(F.col("_top").cast("int"))).alias("accuracy"),
+        F.max("share").alias("ceiling"),
+        (F.sum(F.abs(F.col("share") - 1 / F.col("_n"))) / 2).alias("distance"),
+        F.sum(-F.col("share") * F.log(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), "probability")))).alias("loss"),
+    )
+    chance = 1 / F.col("candidates")
+    return found.select(
+        *keys, "item", "candidates", "top_size", "accuracy", chance.alias("chance"), (F.col("accuracy") * F.col("candidates")).alias("relative"),
+        m.chance_to_ceiling(F.col("accuracy"), chance, F.col("ceiling")).alias("normalized"), "ceiling", "distance",
+        (1 + F.col("candidates") * F.col("distance")).alias("relative_bound"), "loss", F.log(F.col("candidates").cast("double")).alias("chance_loss"),
+    )
+
+
+def accuracy_summary(items: DataFrame, keys: list[str], times: str | None = None) -> DataFrame:
+    """Means over items of :func:`selected_accuracy`, each item weighing as often as it was drawn (``times``) where that is given."""
+    w = F.lit(1) if times is None else F.col(times)
+    mean = lambda c: F.sum(c * w) / F.sum(w)
+    names = ("loss", "chance_loss", "accuracy", "chance", "relative", "normalized", "relative_bound")
+    gain = mean(F.col("chance_loss") - F.col("loss")).alias("loss_gain")
+    return items.groupBy(*keys).agg(F.count("*").alias("items"), gain, *[mean(F.col(c)).alias(c) for c in names])
+
+
 def uniform_information(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """(keys, item, i, j, value): each item's information matrix of a uniform choice, from sums over its candidates."""
     n = F.count("*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,18 +173,84 @@ def symmetries(size: int) -> list[list[int]]:
     return out
 
 
+def canonical_labels(grid: str, size: int) -> Column:
+    """The least of all boards that renaming rows and columns, or swapping the two, makes of a square grid (rows of characters).
+
+    For an order of the rows the least board has its columns sorted, so only row orders are tried: size! of them, for boards of a puzzle's size.
+    """
+    lines = F.array(*[F.lit(k) for k in range(size)])
+    orders = F.array(*[F.array(*map(F.lit, p)) for p in itertools.permutations(range(size))])
+    cell = lambda rows, r, c: F.substr(F.element_at(rows, r + 1), c + 1, F.lit(1))
+    turned = lambda rows: F.transform(lines, lambda c: F.array_join(F.transform(lines, lambda r: cell(rows, r, c)), ""))
+    least = lambda rows: F.array_min(F.transform(orders, lambda p: turned(F.array_sort(F.transform(lines, lambda c: F.array_join(F.transform(p, lambda r: cell(rows, r, c)), ""))))))
+    return F.least(least(F.col(grid)), least(turned(F.col(grid))))
+
+
+def board_classes(rows: DataFrame, group: str, key: str, grid: str, size: int) -> DataFrame:
+    """(g, k, board, least): each grid's board, the least of its symmetric forms, and the least key of the group that has it."""
+    flat = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_join(grid, "").alias("s"))
+    board = F.array_min(_turned("s", size)).alias("board")
+    return flat.select("g", "k", board).withColumn("least", F.min("k").over(Window.partitionBy("g", "board")))
+
+
 def near_grids(rows: DataFrame, group: str, key: str, grid: str, size: int, most: int) -> DataFrame:
-    """(a, b, hamming), a < b: grids of a group that differ in ``most`` cells at most under a symmetry of the square.
+    """(a, b, hamming, pairs), a < b: different boards of a group that differ in 1 to ``most`` cells under a symmetry of the square.
 
-    ``most + 1`` bands of cells, one of which must agree, are the join's keys, so a group's pairs are not all made.
+    Boards stand for all grids that have them: a and b are their least keys, ``pairs`` says how many pairs of grids
+    that makes; which grid has which board, :func:`board_classes` says.  Of ``most + 1`` bands of cells one must
+    agree, and group, band and content are the join's key.
     """
     flat = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_join(grid, "").alias("s"))
+    boards = flat.groupBy("g", F.array_min(_turned("s", size)).alias("s")).agg(F.min("k").alias("k"), F.count("*").alias("n"))
     n = size * size
     cuts = [n * b // (most + 1) for b in range(most + 2)]
     bands = lambda s: F.array(*[F.struct(F.lit(b).alias("band"), F.substring(s, cuts[b] + 1, cuts[b + 1] - cuts[b]).alias("part")) for b in range(most + 1)])
-    turned = F.array(*[F.concat(*[F.substring("s", x + 1, 1) for x in order]) for order in symmetries(size)])
-    one = flat.select("g", F.col("k").alias("a"), F.col("s").alias("x"), F.explode(bands(F.col("s"))).alias("by"))
-    two = flat.select("g", F.col("k").alias("b"), F.explode(F.array_distinct(turned)).alias("y")).select("g", "b", "y", F.explode(bands(F.col("y"))).alias("by"))
+    one = boards.select("g", F.col("k").alias("a"), F.col("n").alias("na"), F.col("s").alias("x"), F.explode(bands(F.col("s"))).alias("by"))
+    two = boards.select("g", F.col("k").alias("b"), F.col("n").alias("nb"), F.explode(F.array_distinct(_turned("s", size))).alias("y")).select("g", "b", "nb", "y", F.explode(bands(F.col("y"))).alias("by"))
     differing = sum((F.substring("x", k + 1, 1) != F.substring("y", k + 1, 1)).cast("int") for k in range(n))
     met = one.join(two, ["g", "by"]).filter((F.col("a") < F.col("b")) & (differing <= most))
-    return met.groupBy("a", "b").agg(F.min(differing).alias("hamming"))
+    return met.groupBy("a", "b").agg(F.min(differing).alias("hamming"), F.max(F.col("na") * F.col("nb")).alias("pairs"))
+
+
+def _turned(s: str, size: int) -> Column:
+    """The symmetric forms of a square written row by row."""
+    orders = F.array(*[F.array(*map(F.lit, order)) for order in symmetries(size)])
+    return F.transform(orders, lambda order: F.array_join(F.transform(order, lambda x: F.substr(F.col(s), x + 1, F.lit(1))), ""))
+
+
+def shuffled_lines(size: int, band: int, *seed: Column) -> Column:
+    """The lines 0 to size - 1 in a seeded order that keeps bands of lines together: bands by the rank of their hash, lines by theirs within."""
+    hashed = lambda kind, k: F.sha2(F.concat_ws(":", *seed, F.lit(kind), k.cast("string")), 256)
+    ranked = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct(hashed("band", F.floor(k / band).cast("int")).alias("b"), hashed("line", k).alias("l"), k.alias("k")))
+    return F.transform(F.array_sort(ranked), lambda x: x["k"])
+
+
+def permuted_squares(rows: DataFrame, key: str, grids: list[str], box: tuple[int, int], seed: int) -> DataFrame:
+    """The grids of each row (a board and its solutions, say) with rows, columns and digits renamed alike.
+
+    Bands and rows within them, stacks and columns within them, and digits are permuted by ranks of hashes of seed and key, so
+    that a valid solution stays one.  Adds row_order, column_order (old lines in their new order) and digits (old digits in the order of the new ones).
+    """
+    size = box[0] * box[1]
+    of = lambda kind: (F.lit(str(seed)), F.col(key).cast("string"), F.lit(kind))
+    names = "".join(str(d + 1) for d in range(size))
+    rows = rows.withColumns({"row_order": shuffled_lines(size, box[0], *of("row")), "column_order": shuffled_lines(size, box[1], *of("column")), "_d": shuffled_lines(size, 1, *of("digit"))})
+    rows = rows.withColumn("digits", F.array_join(F.transform("_d", lambda d: (d + 1).cast("string")), "")).drop("_d")
+    for g in grids:
+        rows = rows.withColumn("_moved", _moved(g)).withColumn(g, F.transform("_moved", lambda x: F.call_function("translate", x, F.col("digits"), F.lit(names)))).drop("_moved")
+    return rows
+
+
+def _moved(grid: str) -> Column:
+    """The grid with its lines in the orders of row_order and column_order."""
+    cells = lambda row: F.transform("column_order", lambda c: F.substr(row, c + 1, F.lit(1)))
+    return F.transform("row_order", lambda r: F.array_join(cells(F.element_at(grid, r + 1)), ""))
+
+
+def square_holds(grid: str, box: tuple[int, int]) -> Column:
+    """Whether each row, column and box of a full square has each digit once."""
+    size = box[0] * box[1]
+    at = lambda r, c: F.substring(F.element_at(grid, r + 1), c + 1, 1)
+    lines = [[(r, c) for c in range(size)] for r in range(size)] + [[(r, c) for r in range(size)] for c in range(size)]
+    lines += [[(r0 + r, c0 + c) for r in range(box[0]) for c in range(box[1])] for r0 in range(0, size, box[0]) for c0 in range(0, size, box[1])]
+    return functools.reduce(lambda x, y: x & y, [F.size(F.array_distinct(F.array(*[at(r, c) for r, c in own]))) == size for own in lines])

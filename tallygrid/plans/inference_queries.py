@@ -83,7 +83,7 @@ ORACLES["given_draw_intervals"] = """WITH a AS (SELECT o_orderstatus AS source,
  t AS (SELECT DISTINCT source, item FROM a WHERE klass IS NOT NULL),
  k AS (SELECT item, klass FROM a WHERE klass IS NOT NULL GROUP BY ALL),
  x AS (SELECT l.source AS "left", r.source AS "right", l.item, rep, klass FROM t l JOIN t r ON l.item = r.item AND l.source < r.source JOIN k ON k.item = l.item, range(40) AS q(rep)),
- d AS (SELECT x.*, coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q, (p + q) / 2 AS m FROM x LEFT JOIN s a ON a.rep = x.rep AND a.source = x."left" AND a.item = x.item AND a.klass = x.klass
+ d AS (SELECT x.*, coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q, (coalesce(a.p, 0) + coalesce(b.p, 0)) / 2 AS m FROM x LEFT JOIN s a ON a.rep = x.rep AND a.source = x."left" AND a.item = x.item AND a.klass = x.klass
   LEFT JOIN s b ON b.rep = x.rep AND b.source = x."right" AND b.item = x.item AND b.klass = x.klass),
  e AS (SELECT "left", "right", item, rep, sum(p) > 0 AND sum(q) > 0 AS met, sum(abs(p - q)) / 2 AS tv,
   (sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END)) / 2 AS js, sqrt(sum((sqrt(p) - sqrt(q)) ** 2) / 2) AS hellinger FROM d GROUP BY ALL),

@@ -236,12 +236,12 @@ def rebalanced_targets(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT p_brand AS block, CASE WHEN p_partkey % 2 = 0 THEN 'cue' ELSE 'other' END AS module, CASE p_size % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'cued' ELSE 'late' END AS condition, p_type FROM part WHERE p_partkey % 7 < 2),
+    """WITH b AS (SELECT p_brand AS block, CASE WHEN p_partkey % 2 = 0 THEN 'cue' ELSE 'other' END AS module, CASE p_size % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'cued' ELSE 'late' END AS condition, p_type FROM part),
  g AS (SELECT module, block, count(*) AS n, count(DISTINCT condition) AS k, max(CASE WHEN condition = 'baseline' THEN 1 ELSE 0 END) AS base, max(CASE WHEN condition = 'cued' THEN 1 ELSE 0 END) AS cued, max(CASE WHEN condition = 'late' THEN 1 ELSE 0 END) AS late, count(DISTINCT p_type) AS types FROM b GROUP BY ALL)
  SELECT module, block, unnest(list_filter([CASE WHEN module <> 'cue' THEN 'unknown_module' END, CASE WHEN module = 'cue' AND base + cued < 2 THEN 'missing_arm' END, CASE WHEN module = 'cue' AND late > 0 THEN 'unknown_arm' END, CASE WHEN n > k THEN 'repeated_arm' END, CASE WHEN types > 1 THEN 'varying_type' END], lambda x: x IS NOT NULL)) AS problem FROM g"""
 )
 def design_problems(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").filter("p_partkey % 7 < 2").select(F.col("p_brand").alias("block"), F.when(F.col("p_partkey") % 2 == 0, "cue").otherwise("other").alias("module"), F.element_at(F.array(*map(F.lit, ("baseline", "cued", "late"))), F.col("p_size") % 3 + 1).alias("condition"), "p_type")
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("block"), F.when(F.col("p_partkey") % 2 == 0, "cue").otherwise("other").alias("module"), F.element_at(F.array(*map(F.lit, ("baseline", "cued", "late"))), F.col("p_size") % 3 + 1).alias("condition"), "p_type")
     return study.design_problems(rows, {"cue": ["baseline", "cued"]}, {"p_type": "varying_type"})
 
 
@@ -434,23 +434,23 @@ def embedding_stress(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT l_suppkey AS "left", l_partkey % 100 AS "right", CASE WHEN l_linenumber = 7 THEN -l_discount ELSE l_discount * 12 END AS value FROM lineitem WHERE l_suppkey < 5),
+    """WITH r AS (SELECT l_suppkey AS "left", l_partkey % 100 AS "right", CASE WHEN l_linenumber = 7 THEN -l_discount ELSE l_discount * 12 END AS value FROM lineitem),
  c AS (SELECT "left", "right", count(*) AS n, min(value) AS low, max(value) AS high FROM r GROUP BY ALL)
  SELECT CAST(l."left" AS BIGINT) AS "left", CAST(l."right" AS BIGINT) AS "right", unnest(list_filter([CASE WHEN n > 1 THEN 'repeated' END, CASE WHEN low < 0 OR high > 1 THEN 'out_of_range' END, CASE WHEN l."left" = l."right" AND (low <> 0 OR high <> 0) THEN 'diagonal' END,
   CASE WHEN l."left" <> l."right" AND (SELECT count(*) FROM c o WHERE o."left" = l."right" AND o."right" = l."left" AND o.low = l.low AND o.high = l.high) = 0 THEN 'asymmetric' END], lambda x: x IS NOT NULL)) AS problem FROM c l"""
 )
 def matrix_problems(spark, sf_dir):
     value = F.when(F.col("l_linenumber") == 7, -F.col("l_discount")).otherwise(F.col("l_discount") * 12)
-    rows = table(spark, sf_dir, "lineitem").filter("l_suppkey < 5").select(F.col("l_suppkey").alias("left"), (F.col("l_partkey") % 100).alias("right"), value.alias("value"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("left"), (F.col("l_partkey") % 100).alias("right"), value.alias("value"))
     return geometry.matrix_problems(rows)
 
 
 @query(
-    """WITH g AS (SELECT p_brand AS block, p_partkey, list_transform(range(3), lambda r: array_to_string(list_transform(range(3), lambda c: CASE WHEN (p_partkey * (r * 3 + c + 1)) % 4 = 0 THEN '#' ELSE '.' END), '')) AS grid FROM part WHERE p_size < 20)
+    """WITH g AS (SELECT p_brand AS block, p_partkey, list_transform(range(3), lambda r: array_to_string(list_transform(range(3), lambda c: CASE WHEN (p_partkey * (r * 3 + c + 1)) % 4 = 0 THEN '#' ELSE '.' END), '')) AS grid FROM part)
  SELECT p_partkey, how, array_to_string(CASE how WHEN 'mirror_v' THEN list_reverse(grid) WHEN 'mirror_h' THEN list_transform(grid, lambda x: reverse(x)) ELSE list_reverse(list_transform(grid, lambda x: reverse(x))) END, '/') AS grid FROM g, (VALUES ('mirror_v'), ('mirror_h'), ('mirror_hv')) v(how)"""
 )
 def grid_variants(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").filter("p_size < 20").select("p_partkey", _grid3().alias("grid"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", _grid3().alias("grid"))
     return rows.select("p_partkey", F.explode(puzzles.mirrored("grid")).alias("how", "grid")).select("p_partkey", "how", F.array_join("grid", "/").alias("grid"))
 
 
@@ -459,15 +459,30 @@ def _grid3() -> Column:
 
 
 @query(
-    """WITH g AS (SELECT p_brand AS block, p_partkey, array_to_string(list_transform(range(9), lambda k: CASE WHEN (p_partkey * (k + 1)) % 4 = 0 THEN '#' ELSE '.' END), '') AS s FROM part WHERE p_size < 20),
+    """WITH g AS (SELECT p_brand AS block, p_partkey, array_to_string(list_transform(range(9), lambda k: CASE WHEN (p_partkey * (k + 1)) % 4 = 0 THEN '#' ELSE '.' END), '') AS s FROM part),
  i AS (SELECT * FROM (VALUES (0, [1,2,3,4,5,6,7,8,9]), (1, [7,4,1,8,5,2,9,6,3]), (2, [9,8,7,6,5,4,3,2,1]), (3, [3,6,9,2,5,8,1,4,7]), (4, [3,2,1,6,5,4,9,8,7]), (5, [7,8,9,4,5,6,1,2,3]), (6, [1,4,7,2,5,8,3,6,9]), (7, [9,6,3,8,5,2,7,4,1])) t(k, ix)),
- p AS (SELECT a.p_partkey, b.p_partkey AS other, len(list_filter(range(1, 10), lambda j: a.s[j] <> b.s[ix[j]])) AS h FROM g a JOIN g b ON a.block = b.block AND a.p_partkey < b.p_partkey, i)
- SELECT p_partkey, other, CAST(min(h) AS INTEGER) AS hamming FROM p GROUP BY ALL HAVING min(h) <= 1"""
+ v AS (SELECT block, p_partkey, array_to_string(list_transform(ix, lambda x: s[x]), '') AS y FROM g, i),
+ c AS (SELECT block, p_partkey, min(y) AS s FROM v GROUP BY ALL),
+ u AS (SELECT block, s, min(p_partkey) AS p_partkey, count(*) AS n FROM c GROUP BY ALL),
+ p AS (SELECT a.p_partkey, b.p_partkey AS other, a.n * b.n AS pairs, len(list_filter(range(1, 10), lambda j: a.s[j] <> b.s[ix[j]])) AS h FROM u a JOIN u b ON a.block = b.block AND a.p_partkey < b.p_partkey, i)
+ SELECT p_partkey, other, CAST(min(h) AS INTEGER) AS hamming, pairs FROM p GROUP BY ALL HAVING min(h) <= 2"""
 )
 def near_grids(spark, sf_dir):
-    """Grids of a brand that differ in one cell at most under some rotation or reflection."""
-    rows = table(spark, sf_dir, "part").filter("p_size < 20").select("p_brand", "p_partkey", _grid3().alias("grid"))
-    return puzzles.near_grids(rows, "p_brand", "p_partkey", "grid", 3, 1).select(F.col("a").alias("p_partkey"), F.col("b").alias("other"), "hamming")
+    """Grids of a brand that differ in one or two cells under some rotation or reflection."""
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", _grid3().alias("grid"))
+    return puzzles.near_grids(rows, "p_brand", "p_partkey", "grid", 3, 2).select(F.col("a").alias("p_partkey"), F.col("b").alias("other"), "hamming", "pairs")
+
+
+@query(
+    """WITH g AS (SELECT p_brand AS block, p_partkey, array_to_string(list_transform(range(9), lambda k: CASE WHEN (p_partkey * (k + 1)) % 4 = 0 THEN '#' ELSE '.' END), '') AS s FROM part),
+ i AS (SELECT * FROM (VALUES ([1,2,3,4,5,6,7,8,9]), ([7,4,1,8,5,2,9,6,3]), ([9,8,7,6,5,4,3,2,1]), ([3,6,9,2,5,8,1,4,7]), ([3,2,1,6,5,4,9,8,7]), ([7,8,9,4,5,6,1,2,3]), ([1,4,7,2,5,8,3,6,9]), ([9,6,3,8,5,2,7,4,1])) t(ix)),
+ c AS (SELECT block, p_partkey, min(array_to_string(list_transform(ix, lambda x: s[x]), '')) AS board FROM g, i GROUP BY ALL)
+ SELECT p_partkey, board, min(p_partkey) OVER (PARTITION BY block, board) AS least FROM c"""
+)
+def grid_classes(spark, sf_dir):
+    """Which board each grid of a brand has: the boards that :func:`near_grids` pairs."""
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", _grid3().alias("grid"))
+    return puzzles.board_classes(rows, "p_brand", "p_partkey", "grid", 3).select(F.col("k").alias("p_partkey"), "board", "least")
 
 
 _BOARD_SQL = """g AS (SELECT p_partkey, list_transform(range(9), lambda k: CASE WHEN (p_partkey * p_partkey * (k + 1) + p_partkey * (k * k + 3) + k) % 23 < 9 THEN 'X' ELSE '.' END) AS b FROM part),
