@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import metrics as m
 
-from .lineage import fixed
+from .lineage import fixed, spread
 
 LEVELS = (0.025, 0.975)
 #: People of a leaf of the splitting tree.
@@ -193,7 +193,7 @@ def tv_tests(counts: DataFrame, keys: list[str], repeats: int) -> DataFrame:
     ``counts`` has keys, klass, before, after; one row a comparison goes to Python, as a table of two rows.
     """
     cells = F.sort_array(F.collect_list(F.struct(F.col("klass").cast("string").alias("k"), F.col("before").cast("long").alias("b"), F.col("after").cast("long").alias("a"))))
-    rows = counts.groupBy(*keys).agg(cells.alias("cells"))
+    rows = spread(counts, *keys).groupBy(*keys).agg(cells.alias("cells"))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -213,7 +213,7 @@ def joint_tests(joint: DataFrame, keys: list[str], repeats: int) -> DataFrame:
     ``joint`` has keys, a, b, n; one row a key goes to Python, with its cells.
     """
     cells = F.sort_array(F.collect_list(F.struct(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("n").cast("long").alias("n"))))
-    rows = joint.filter("n > 0").groupBy(*keys).agg(cells.alias("cells"))
+    rows = spread(joint.filter("n > 0"), *keys).groupBy(*keys).agg(cells.alias("cells"))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -353,7 +353,7 @@ def drawn_people(answers: DataFrame, reps: list[int], seed: int, tries: int, blo
         klass = names["klass"].astype(object).where(names["klass"].notna(), None).to_numpy()
         return pd.DataFrame({"rep": np.array(reps, np.int32)[rep], "item": names["item"].to_numpy()[at], "klass": klass[at], "w": sums[rep, at]})
 
-    mine = rows.withColumn("block", _block_of("h", depth)).groupBy("block").cogroup(people_blocks(people, depth).groupBy("block"))
+    mine = spread(rows.withColumn("block", _block_of("h", depth)), "block").groupBy("block").cogroup(spread(people_blocks(people, depth), "block").groupBy("block"))
     return mine.applyInPandas(draw, f"rep int, item {item}, klass string, w long")
 
 
@@ -362,7 +362,7 @@ def _world(answers: DataFrame, reps: list[int], seed: int, tries: int, crossed:
     own = F.col("source").eqNullSafe(F.lit(crossed)) if crossed is not None else F.lit(False)
     cell = F.struct(F.col("klass").isNull().alias("void"), F.col("klass").cast("string").alias("k"), F.col("n").cast("long").alias("n"))
     cells = answers.filter(~own).groupBy("source", "item", "klass").agg(F.sum("n").alias("n")).filter("n > 0")
-    rows = cells.groupBy("source", "item").agg(F.sort_array(F.collect_list(cell)).alias("cells"))  # an item's classes
+    rows = spread(cells, "source", "item").groupBy("source", "item").agg(F.sort_array(F.collect_list(cell)).alias("cells"))  # an item's classes
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,4 +1,4 @@
-"""Cutting the lineage of a table that several passes read."""
+"""Cutting the lineage of a table that several passes read, and spreading few rows with much work."""
 
 from __future__ import annotations
 
@@ -11,3 +11,8 @@ def fixed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by the keys into as many tasks as a shuffle has: adaptive execution would merge rows that are few, however long each takes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

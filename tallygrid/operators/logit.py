@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import metrics as m
 
+from .lineage import spread
+
 PENALTY = 1e-4
 TOLERANCE = 1e-8
 MOST_STEPS = 10_000
@@ -37,6 +39,11 @@ def minimise(value, derivatives, start: np.ndarray) -> tuple[np.ndarray, float,
         slope, scale = gradient @ move, 1.0
         if slope >= 0:
             move, slope = -gradient, -(gradient @ gradient)
+        if -slope <= 1e-12 * max(1.0, abs(now)):
+            # What a step gains is below the value's own rounding, so halving would go on for nothing; this near, whole steps converge.
+            x = x + move
+            now = value(x)
+            continue
         for _ in range(60):
             trial = value(x + scale * move)
             if trial <= now + 1e-4 * scale * slope:
@@ -52,13 +59,27 @@ class Choice:
     """Conditional logit: shares of the candidates of each item, explained by their features."""
 
     def __init__(self, x: list[np.ndarray], q: list[np.ndarray], penalty: float = PENALTY):
-        self.x, self.q, self.penalty = x, q, penalty
-        self.width = x[0].shape[1] if x else 0
-        # All items in one matrix; an item's candidates are a run of rows.
-        self.size = np.array([len(m) for m in x], np.int64)
-        self.head = np.cumsum(self.size) - self.size
-        self.rows = np.concatenate(x) if x else np.zeros((0, 0))
-        self.target = np.concatenate(q) if q else np.zeros(0)
+        size = np.array([len(m) for m in x], np.int64)
+        self._set(np.concatenate(x) if x else np.zeros((0, 0)), np.concatenate(q) if q else np.zeros(0), size, penalty)
+
+    @classmethod
+    def stacked(cls, rows: np.ndarray, target: np.ndarray, size: np.ndarray, penalty: float) -> Choice:
+        """Of all items in one matrix, where an item's candidates are a run of rows."""
+        out = cls.__new__(cls)
+        out._set(rows, target, size, penalty)
+        return out
+
+    def _set(self, rows: np.ndarray, target: np.ndarray, size: np.ndarray, penalty: float) -> None:
+        self.rows, self.target, self.size, self.penalty = rows, target, size, penalty
+        self.width, self.head = rows.shape[1], np.cumsum(size) - size
+
+    @property
+    def x(self) -> list[np.ndarray]:
+        return np.split(self.rows, self.head[1:]) if len(self.size) else []
+
+    @property
+    def q(self) -> list[np.ndarray]:
+        return np.split(self.target, self.head[1:]) if len(self.size) else []
 
     def _shares(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Shares and linear terms of all rows, and each item's log of the summed exponentials."""
@@ -69,17 +90,17 @@ class Choice:
         return p / np.repeat(total, self.size), e, top + np.log(total)
 
     def shares(self, beta: np.ndarray) -> list[np.ndarray]:
-        return np.split(self._shares(beta)[0], self.head[1:]) if self.x else []
+        return np.split(self._shares(beta)[0], self.head[1:]) if len(self.size) else []
 
     def losses(self, beta: np.ndarray) -> np.ndarray:
         """Cross-entropy of each item, in nats."""
-        if not self.x:
+        if not len(self.size):
             return np.zeros(0)
         _, e, log_total = self._shares(beta)
         return log_total - np.add.reduceat(self.target * e, self.head)
 
     def fit(self, weights: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
-        w = np.ones(len(self.x)) if weights is None else weights
+        w = np.ones(len(self.size)) if weights is None else weights
         w = w / w.sum()
         each = np.repeat(w, self.size)
 
@@ -141,57 +162,64 @@ class Source:
 class _Filled:
     """Features that don't vary inside an item say nothing of its choice; they take the mean of the training items."""
 
-    def __init__(self, x: list[np.ndarray]):
-        self.x = x
-        self.constant = np.array([np.ptp(m, axis=0) == 0 if len(m) else np.ones(m.shape[1], bool) for m in x])
-        self.sums = np.array([m.sum(axis=0) for m in x]) * ~self.constant
-        self.counts = np.array([len(m) for m in x])[:, None] * ~self.constant
-
-    def by(self, training: np.ndarray) -> list[np.ndarray]:
+    def __init__(self, rows: np.ndarray, size: np.ndarray):
+        self.rows, head = rows, np.cumsum(size) - size
+        constant = np.maximum.reduceat(rows, head) == np.minimum.reduceat(rows, head) if len(size) else np.zeros((0, rows.shape[1]), bool)
+        self.fixed, self.any = np.repeat(constant, size, 0), bool(constant.any())
+        self.sums = np.add.reduceat(rows, head) * ~constant if len(size) else np.zeros((0, rows.shape[1]))
+        self.counts = size[:, None] * ~constant
+
+    def by(self, training: np.ndarray) -> np.ndarray:
+        """All rows as these items (a mask) fill them."""
+        if not self.any:
+            return self.rows
         count = self.counts[training].sum(axis=0)
-        mean = self.sums[training].sum(axis=0) / np.maximum(1, count)
-        mean = np.where(count > 0, mean, 0.5)
-        return [np.where(c, mean, m) if some else m for m, c, some in zip(self.x, self.constant, self.constant.any(axis=1).tolist(), strict=True)]
+        mean = np.where(count > 0, self.sums[training].sum(axis=0) / np.maximum(1, count), 0.5)
+        return np.where(self.fixed, mean, self.rows)
 
 
 CHUNK = 64
+LEFT_OUT = 128
 _DRAWN = "rep int, place int, coefficient double, held_out double"
 
 
 class _ChoiceTask:
-    """A task's items, and refits of them: all, drawn ones, and with one left out."""
+    """A task's items, and refits of them: all, drawn ones, and with one left out.  An item that isn't drawn or is left out weighs nothing."""
 
     metric = "loss"
 
     def __init__(self, pdf: pd.DataFrame, item: str, order: str, target: str, features: list[str], penalty: float):
-        groups = [g for _, g in pdf.sort_values([item, order]).groupby(item, sort=True, dropna=False)]
-        self.names, self.penalty = features, penalty
-        self.q = [g[target].to_numpy(float) / g[target].sum() for g in groups]
-        self.features = _Filled([g[features].to_numpy(float) for g in groups])
-        self.items = len(groups)
+        pdf = pdf.sort_values([item, order])
+        of = pdf.groupby(item, sort=True, dropna=False).ngroup().to_numpy()
+        pdf, of = pdf.iloc[np.argsort(of, kind="stable")], np.sort(of)
+        self.names, self.penalty, self.size = features, penalty, np.bincount(of)
+        own = pdf[target].to_numpy(float)
+        self.q = own / np.bincount(of, own)[of]
+        self.features = _Filled(pdf[features].to_numpy(float), self.size)
+        self.items = len(self.size)
 
-    def _model(self, use: np.ndarray, filled: list[np.ndarray]) -> Choice:
-        return Choice([filled[k] for k in use], [self.q[k] for k in use], self.penalty)
+    def _model(self, training: np.ndarray) -> Choice:
+        return Choice.stacked(self.features.by(training), self.q, self.size, self.penalty)
 
     def fit(self, times: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
-        use = np.flatnonzero(times)
-        return self._model(use, self.features.by(use)).fit(times[use].astype(float), start)
-
-    def held_out(self, times: np.ndarray, start: np.ndarray | None = None) -> float:
-        """Mean loss of each drawn item under the fit without it (all its copies), weighted by its copies."""
-        use, total, n = np.flatnonzero(times), 0.0, 0
-        for k in use:
-            others = use[use != k]
-            if len(others):
-                filled = self.features.by(others)
-                beta = self._model(others, filled).fit(times[others].astype(float), start)[0]
-                total += times[k] * self._model([k], filled).losses(beta)[0]
+        return self._model(times > 0).fit(times.astype(float), start)
+
+    def held_out(self, times: np.ndarray, start: np.ndarray | None = None, left_out: np.ndarray | None = None) -> tuple[float, float]:
+        """Loss of each drawn item (or those of ``left_out``) under the fit without it (all its copies), summed by copies; and the copies."""
+        total, n = 0.0, 0.0
+        for k in np.flatnonzero(times) if left_out is None else left_out:
+            others = times.astype(float)
+            others[k] = 0
+            if others.any():
+                model = self._model(others > 0)
+                beta = model.fit(others, start)[0]
+                own = slice(model.head[k], model.head[k] + self.size[k])
+                total += times[k] * Choice.stacked(model.rows[own], self.q[own], self.size[k : k + 1], self.penalty).losses(beta)[0]
                 n += times[k]
-        return total / n if n else np.nan
+        return total, n
 
     def in_sample(self, beta: np.ndarray) -> dict[str, float]:
-        use = np.arange(self.items)
-        return {"loss": float(self._model(use, self.features.by(use)).losses(beta).mean()), "chance_loss": float(np.mean([np.log(len(q)) for q in self.q]))}
+        return {"loss": float(self._model(np.ones(self.items, bool)).losses(beta).mean()), "chance_loss": float(np.log(self.size).mean())}
 
 
 class _SourceTask:
@@ -210,23 +238,24 @@ class _SourceTask:
         return Source(self.x[rows], self.y[rows], self.w[rows] * times[self.of[rows]], self.penalty)
 
     def fit(self, times: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
-        return self._model(times[self.of] > 0, times).fit(start=start)
+        return Source(self.x, self.y, self.w * times[self.of], self.penalty).fit(start=start)
 
     @staticmethod
     def _right(model: Source, beta: np.ndarray) -> float:
         p = model.probability(beta)
         return float((model.w * np.where(p > 0.5, model.y, np.where(p < 0.5, 1 - model.y, 0.5))).sum() / model.w.sum())
 
-    def held_out(self, times: np.ndarray, start: np.ndarray | None = None) -> float:
-        total, n = 0.0, 0
-        for k in np.flatnonzero(times):
-            own = self.of == k
-            others = ~own & (times[self.of] > 0)
+    def held_out(self, times: np.ndarray, start: np.ndarray | None = None, left_out: np.ndarray | None = None) -> tuple[float, float]:
+        """Accuracy on each drawn item (or those of ``left_out``) under the fit without it, summed by copies; and the copies."""
+        total, n = 0.0, 0.0
+        for k in np.flatnonzero(times) if left_out is None else left_out:
+            others = times.astype(float)
+            others[k] = 0
             if others.any():
-                beta = self._model(others, times).fit(start=start)[0]
-                total += times[k] * self._right(self._model(own, times), beta)
+                beta = self.fit(others, start)[0]
+                total += times[k] * self._right(self._model(self.of == k, times), beta)
                 n += times[k]
-        return total / n if n else np.nan
+        return total, n
 
     def in_sample(self, beta: np.ndarray) -> dict[str, float]:
         ones = np.ones(self.items)
@@ -234,7 +263,7 @@ class _SourceTask:
 
 
 def _fits(kind: type, rows: DataFrame, task: str, item: str, order: str, target: str, features: list[str], repeats: int, seed: int, penalty: float, validate: bool, measures: list[str]) -> DataFrame:
-    """Point fits by task, and the intervals of their refits, which run in chunks of draws side by side.
+    """Point fits by task, validation in blocks of left-out items, and the intervals of refits in chunks of draws, all side by side.
 
     All draws of a task come from one generator, so that a chunk takes its own of them whatever the number of chunks.
     """
@@ -246,7 +275,13 @@ def _fits(kind: type, rows: DataFrame, task: str, item: str, order: str, target:
         ones = np.ones(own.items)
         beta, gradient, steps = own.fit(ones)
         found = own.in_sample(beta)
-        return pd.DataFrame({task: pdf[task].iloc[0], "place": range(len(own.names)), "feature": own.names, "coefficient": beta, "items": own.items, **{m: found[m] for m in measures}, "held_out": own.held_out(ones, beta), "gradient": gradient, "steps": steps})
+        return pd.DataFrame({task: pdf[task].iloc[0], "place": range(len(own.names)), "feature": own.names, "coefficient": beta, "items": own.items, **{m: found[m] for m in measures}, "gradient": gradient, "steps": steps})
+
+    def left_out(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, block = kind(pdf, item, order, target, features, penalty), int(pdf["block"].iloc[0])
+        ones = np.ones(own.items)
+        total, n = own.held_out(ones, own.fit(ones)[0], np.arange(block * LEFT_OUT, min(own.items, (block + 1) * LEFT_OUT)))
+        return pd.DataFrame({task: pdf[task].iloc[:1], "total": total, "n": n})
 
     def refits(pdf: pd.DataFrame) -> pd.DataFrame:
         own, chunk, rng, out = kind(pdf, item, order, target, features, penalty), int(pdf["chunk"].iloc[0]), np.random.default_rng(seed), []
@@ -254,14 +289,21 @@ def _fits(kind: type, rows: DataFrame, task: str, item: str, order: str, target:
             times = np.bincount(rng.integers(0, own.items, own.items), minlength=own.items)
             if rep >= chunk * CHUNK:
                 beta = own.fit(times)[0]
-                held = own.held_out(times, beta) if validate else np.nan
+                total, n = own.held_out(times, beta) if validate else (0.0, 0.0)
+                held = total / n if n else np.nan
                 out += [(pdf[task].iloc[0], rep, place, b, held) for place, b in enumerate(beta)]
         return pd.DataFrame(out, columns=[task, "rep", "place", "coefficient", "held_out"])
 
     columns = "".join(f"{m} double, " for m in measures)
-    points = ready.groupBy(task).applyInPandas(point, f"{task} {task_type}, place int, feature string, coefficient double, items long, {columns}held_out double, gradient double, steps long")
+    points = spread(ready, task).groupBy(task).applyInPandas(point, f"{task} {task_type}, place int, feature string, coefficient double, items long, {columns}gradient double, steps long")
+    # Items are left out in blocks side by side, each from the task's own fit on.
+    blocks = ready.groupBy(task).agg(F.count_distinct(F.struct(item)).alias("_items")).select(F.col(task).alias("_task"), F.explode(F.sequence(F.lit(0), F.floor((F.col("_items") - 1) / LEFT_OUT).cast("int"))).alias("block"))
+    apart = ready.join(blocks, ready[task].eqNullSafe(blocks["_task"])).drop("_task")
+    apart = spread(apart, task, "block").groupBy(task, "block").applyInPandas(left_out, f"{task} {task_type}, total double, n double")
+    apart = apart.groupBy(task).agg(F.try_divide(F.sum("total"), F.sum("n")).alias("held_out"))
+    points = points.join(apart, task, "left")
     chunks = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-repeats // CHUNK) - 1)))).alias("chunk")
-    drawn = ready.select("*", chunks).groupBy(task, "chunk").applyInPandas(refits, f"{task} {task_type}, {_DRAWN}")
+    drawn = spread(ready.select("*", chunks), task, "chunk").groupBy(task, "chunk").applyInPandas(refits, f"{task} {task_type}, {_DRAWN}")
     limits = drawn.groupBy(task, "place").agg(F.percentile("coefficient", [0.025, 0.975]).alias("c"), F.percentile(F.nanvl("held_out", F.lit(None).cast("double")), [0.025, 0.975]).alias("h"))
     shown = {"held_out": f"held_out_{kind.metric}"}
     out = points.join(limits, [task, "place"], "left")

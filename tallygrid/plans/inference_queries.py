@@ -15,6 +15,7 @@ from .tables import orders, shipments, table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 REPEATS = 5000
+FIT_REPEATS = 2000
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]):
@@ -148,7 +149,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def choice_logit(spark, sf_dir):
     rows = _candidates(spark, sf_dir).withColumn("share", F.col("n").cast("double"))
-    return logit.choice_fits(rows, "source", "item", "klass", "share", ["quantity", "discount"], repeats=50)
+    return logit.choice_fits(rows, "source", "item", "klass", "share", ["quantity", "discount"], repeats=FIT_REPEATS)
 
 
 @query
@@ -156,7 +157,7 @@ def source_logit(spark, sf_dir):
     rows = _candidates(spark, sf_dir).filter("source != 'N'")
     rows = d.distributions(rows.select("source", "item", "klass", "n")).join(_candidates(spark, sf_dir).select("source", "item", "klass", "quantity", "discount"), ["source", "item", "klass"])
     rows = rows.withColumn("task", F.lit("A or R")).withColumn("first", F.col("source") == "A")
-    return logit.source_fits(rows, "task", "item", "first", "p", ["quantity", "discount"], repeats=50)
+    return logit.source_fits(rows, "task", "item", "first", "p", ["quantity", "discount"], repeats=FIT_REPEATS)
 
 
 def _priority_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
