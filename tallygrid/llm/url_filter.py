@@ -29,7 +29,7 @@ from .common import flat, mixed, table
 #: (rule, verdict) of the query; fixed by its contract.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: Parameters of the training table: families of words, written down without the tables at hand; a host joins a first and a second word.
+#: Parameters of the training table: families of words, fixed beforehand (their author had seen the names of six spam hosts of the test tables); a host joins a first and a second word.
 GOOD_FAMILIES = (
     (("city", "north", "river", "green", "old", "village"), ("library", "museum", "school", "garden", "church", "hospital")),
     (("daily", "world", "local", "sunday", "open", "modern"), ("news", "journal", "science", "history", "weather", "review")),
