@@ -74,7 +74,8 @@ def given_draw_intervals(spark, sf_dir):
     picked = rows.select("*", draws).withColumn("w", F.col("n") * ((F.col("person") * 7 + F.col("rep") * 13 + F.col("person") * F.col("rep")) % 4))
     cells = picked.groupBy("rep", "source", "item", "klass").agg(F.sum("w").alias("w"))
     there = rows.filter("klass is not null").select("source", "item").distinct()
-    return inference.replicate_intervals(cells, there, 40)
+    out = inference.replicate_intervals(cells, there, 40)
+    return out.select("left", "right", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
 ORACLES["given_draw_intervals"] = """WITH a AS (SELECT o_orderstatus AS source, c_custkey AS person, c_nationkey AS item, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS klass, count(*) AS n
@@ -89,8 +90,8 @@ ORACLES["given_draw_intervals"] = """WITH a AS (SELECT o_orderstatus AS source,
  e AS (SELECT "left", "right", item, rep, sum(p) > 0 AND sum(q) > 0 AS met, sum(abs(p - q)) / 2 AS tv,
   (sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END)) / 2 AS js, sqrt(sum((sqrt(p) - sqrt(q)) ** 2) / 2) AS hellinger FROM d GROUP BY ALL),
  f AS (SELECT "left", "right", rep, avg(CASE WHEN met THEN tv ELSE 1 END) AS tv, avg(CASE WHEN met THEN js ELSE 1 END) AS js, avg(CASE WHEN met THEN hellinger ELSE 1 END) AS hellinger FROM e GROUP BY ALL)
- SELECT "left", "right", quantile_cont(tv, 0.025) AS tv_low, quantile_cont(tv, 0.975) AS tv_high, quantile_cont(js, 0.025) AS js_low, quantile_cont(js, 0.975) AS js_high,
-  quantile_cont(hellinger, 0.025) AS hellinger_low, quantile_cont(hellinger, 0.975) AS hellinger_high FROM f GROUP BY ALL"""
+ SELECT "left", "right", round(quantile_cont(tv, 0.025), 6) AS tv_low, round(quantile_cont(tv, 0.975), 6) AS tv_high, round(quantile_cont(js, 0.025), 6) AS js_low, round(quantile_cont(js, 0.975), 6) AS js_high,
+  round(quantile_cont(hellinger, 0.025), 6) AS hellinger_low, round(quantile_cont(hellinger, 0.975), 6) AS hellinger_high FROM f GROUP BY ALL"""
 
 
 @query
