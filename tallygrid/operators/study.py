@@ -12,7 +12,7 @@ COMPARISONS = {
     "cue": ("condition = 'baseline'", "condition != 'baseline'"),
     "spatial": ("role = 'original'", "role != 'original'"),
     "formulation": ("role = 'original'", "role != 'original'"),
-    "pair": ("condition = 'alone'", "condition != 'alone'"),
+    "pair": ("condition = 'alone'", "condition != 'alone' and coalesce(role, '') != 'first'"),
     "transfer": ("role = 'prime'", "role = 'target'"),
 }
 
