@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import spread
+
 #: Pressure of few solutions (up to 3, up to 6, more).
 FEW = (18.0, 9.0, 2.0)
 #: Terms (feature, low, high, weight) of a maze's pressure.
@@ -25,27 +27,44 @@ def few_solutions(n: Column) -> Column:
     return F.when(n <= 3, FEW[0]).when(n <= 6, FEW[1]).otherwise(FEW[2])
 
 
-def floods(board: str, size: int) -> Column:
-    """Steps from S to each cell of a square maze, row by row, null where there is no way, and how many shortest ways there are.
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once a row: a generator's output, which later filters and columns don't copy the expression of."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def without_copies(rows: DataFrame, key: Column) -> DataFrame:
+    """The row of least puzzle_id of each key.
+
+    Rows are spread over all tasks by the key, since what follows costs much a row.
+    """
+    dealt = spread(rows.withColumn("_key", key), "_key")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("puzzle_id"))
+    return dealt.withColumn("_r", first).filter("_r = 1").drop("_r", "_key")
+
+
+def characters(board: str) -> Column:
+    """A board's cells, row by row."""
+    return F.split(F.array_join(board, ""), "")
+
+
+def floods(cells: str, size: int) -> Column:
+    """(d, w, open) of each cell of a square maze: steps from S, null where there is no way, how many shortest ways there are, and whether it is no wall.
 
     A frontier is carried over the board: a cell is reached one step after its first neighbour, by the sum of that step's ways.
     A maze has at most one S.
     """
     n = size * size
-    flat = F.array_join(board, "")
-    places = F.array(*map(F.lit, range(n)))
-    start = F.transform(places, lambda k: F.struct(F.when(_at(flat, k) == "S", 0).cast("int").alias("d"), F.when(_at(flat, k) == "S", 1).otherwise(0).cast("long").alias("w")))
-    near = F.array(*[F.array(*[F.lit(k) for k in _beside(c, size)]) for c in range(n)])
+    start = F.transform(cells, lambda x: F.struct(F.when(x == "S", 0).cast("int").alias("d"), F.when(x == "S", 1).otherwise(0).cast("long").alias("w"), (x != "#").alias("open")))
+    near = F.array(*[F.array(*map(F.lit, _beside(c, size))) for c in range(n)])
+    none = F.lit(0).cast("long")
 
-    def step(cells: Column, number: Column) -> Column:
-        def one(k: Column) -> Column:
-            own = F.element_at(cells, k + 1)
-            ways = F.aggregate(F.element_at(near, k + 1), F.lit(0).cast("long"), lambda s, j: s + F.when(F.element_at(cells, j + 1)["d"] == number - 1, F.element_at(cells, j + 1)["w"]).otherwise(F.lit(0).cast("long")))
-            new = own["d"].isNull() & (_at(flat, k) != "#") & (ways > 0)
-            return F.struct(F.when(new, number).otherwise(own["d"]).alias("d"), F.when(new, ways).otherwise(own["w"]).alias("w"))
+    def step(found: Column, number: Column) -> Column:
+        def one(own: Column, k: Column) -> Column:
+            ways = F.aggregate(F.element_at(near, k + 1), none, lambda s, j: s + F.when(F.element_at(found, j + 1)["d"] == number - 1, F.element_at(found, j + 1)["w"]).otherwise(none))
+            # A cell that has no steps has no ways yet.
+            return F.when(own["d"].isNotNull() | ~own["open"], own).otherwise(F.struct(F.when(ways > 0, number).alias("d"), ways.alias("w"), own["open"].alias("open")))
 
-        moving = F.exists(cells, lambda x: x["d"] == number - 1)
-        return F.when(moving, F.transform(places, one)).otherwise(cells)
+        return F.when(F.exists(found, lambda x: x["d"] == number - 1), F.transform(found, one)).otherwise(found)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), start, step)
 
@@ -58,37 +77,45 @@ def maze_pool(rows: DataFrame, size: int, shortest: tuple[int, int], solutions:
     """
     n = size * size
     flat = F.array_join("board", "")
-    first = F.row_number().over(Window.partitionBy("_flat").orderBy("puzzle_id"))
+    dense = rows.select("puzzle_id", "board").filter((F.length(F.regexp_replace(flat, "[^#]", "")) / n >= density) & flat.contains("S") & flat.contains("G"))
     # Copies go before the flood, which is the costly part.
-    unique = rows.select("puzzle_id", "board", flat.alias("_flat")).withColumn("_r", first).filter("_r = 1")
-    dense = unique.withColumn("density", F.length(F.regexp_replace("_flat", "[^#]", "")) / n).filter((F.col("density") >= density) & F.col("_flat").contains("S") & F.col("_flat").contains("G"))
-    found = dense.withColumn("_f", floods("board", size)).withColumns({"_s": F.instr("_flat", "S") - 1, "_g": F.instr("_flat", "G") - 1})
-    goal = F.element_at("_f", F.col("_g") + 1)
-    found = found.withColumns({"shortest": goal["d"], "n_solutions": goal["w"]}).filter(F.col("shortest").between(*shortest) & F.col("n_solutions").between(*solutions))
-    degree = lambda c: sum((_at(F.col("_flat"), F.lit(k)) != "#").cast("int") for k in _beside(c, size))
-    reached = lambda c: F.element_at("_f", c + 1)["d"].isNotNull()
-    inner = lambda c: ~_at(F.col("_flat"), F.lit(c)).isin("S", "G")
-    apart = lambda f: F.abs(f("_s") - f("_g"))
+    found = once(without_copies(dense, flat), "_x", characters("board"))
+    found = once(found, "_f", floods("_x", size))
+    at = lambda x: F.array_position("_x", x).cast("int") - 1
+    found = once(found, "_g", F.struct(at("S").alias("s"), at("G").alias("g"), F.element_at("_f", at("G") + 1).alias("end")))
+    found = found.withColumns({"shortest": F.col("_g.end.d"), "n_solutions": F.col("_g.end.w")}).filter(F.col("shortest").between(*shortest) & F.col("n_solutions").between(*solutions))
+    near = F.array(*[F.array(*map(F.lit, _beside(c, size))) for c in range(n)])
+    degree = lambda k: F.size(F.filter(F.element_at(near, k + 1), lambda j: F.element_at("_f", j + 1)["open"]))
+    reached = F.filter(F.transform("_f", lambda x, k: F.struct(x["d"].isNotNull().alias("there"), degree(k).alias("degree"), k.isin(F.col("_g.s"), F.col("_g.g")).alias("end"))), lambda x: x["there"])
+    found = once(found, "_c", reached)
+    s, g = F.col("_g.s"), F.col("_g.g")
     found = found.withColumns(
         {
-            "dead_ends": sum((reached(c) & inner(c) & (degree(c) == 1)).cast("int") for c in range(n)),
-            "branches": sum((reached(c) & (degree(c) >= 3)).cast("int") for c in range(n)),
-            "detour": (F.col("shortest") - apart(lambda x: F.floor(F.col(x) / size)) - apart(lambda x: F.col(x) % size)).cast("int"),
+            "dead_ends": F.size(F.filter("_c", lambda x: (x["degree"] == 1) & ~x["end"])),
+            "branches": F.size(F.filter("_c", lambda x: x["degree"] >= 3)),
+            "detour": (F.col("shortest") - F.abs(F.floor(s / size) - F.floor(g / size)) - F.abs(s % size - g % size)).cast("int"),
+            "density": F.size(F.filter("_x", lambda x: x == "#")) / n,
         }
     )
     pressure = sum((scaled(F.col(c), low, high, weight) for c, low, high, weight in MAZE_TERMS), few_solutions(F.col("n_solutions")))
     return found.select("puzzle_id", "board", "shortest", "n_solutions", "detour", "dead_ends", "branches", "density", F.least(F.lit(100.0), pressure).alias("pressure"))
 
 
-def legal(board: str, digit: str, box: tuple[int, int]) -> Column:
-    """The empty cells of a square board, by rows, where a digit may go: ``[row, column]`` from 1."""
-    return F.filter(empty(board, box), lambda x: ~_taken(board, x, digit, box))
+def empty_cells(cells: str, digit: str, box: tuple[int, int]) -> Column:
+    """(cell, taken, visible) of each empty cell of a square board, by rows.
 
-
-def empty(board: str, box: tuple[int, int]) -> Column:
+    ``cell`` is ``[row, column]`` from 1, ``taken`` says that its row, column or box has the digit, ``visible`` how many clues they have.
+    """
     size = box[0] * box[1]
-    cells = F.array(*[F.array(F.lit(r + 1), F.lit(c + 1)) for r in range(size) for c in range(size)])
-    return F.filter(cells, lambda x: F.substr(F.element_at(board, x[0]), x[1], F.lit(1)) == ".")
+    peers = F.array(*[F.array(*map(F.lit, _peers(k, box))) for k in range(size * size)])
+    clue = lambda j: F.element_at(cells, j + 1)
+
+    def state(x: Column, k: Column) -> Column:
+        own = F.element_at(peers, k + 1)
+        place = F.array(F.floor(k / size).cast("int") + 1, k % size + 1)
+        return F.struct(place.alias("cell"), F.exists(own, lambda j: clue(j) == digit).alias("taken"), F.size(F.filter(own, lambda j: clue(j) != ".")).alias("visible"), (x == ".").alias("empty"))
+
+    return F.filter(F.transform(cells, state), lambda x: x["empty"])
 
 
 def square_pool(rows: DataFrame, digit: str, box: tuple[int, int], solutions: tuple[int, int] = (3, 8)) -> DataFrame:
@@ -97,17 +124,26 @@ def square_pool(rows: DataFrame, digit: str, box: tuple[int, int], solutions: tu
     A cell is visible by the clues in its row, column and box.  ``decoys`` are the other empty cells.  Of equal boards the least id stays.
     """
     size = box[0] * box[1]
-    first = F.row_number().over(Window.partitionBy("board").orderBy("puzzle_id"))
-    found = rows.withColumn("_r", first).filter("_r = 1").drop("_r")
-    found = found.withColumn("cells", legal("board", digit, box)).filter(F.size("cells").between(*solutions))
-    seen = F.transform("cells", lambda x: _visible("board", x, box))
-    found = found.withColumns({"decoys": F.array_except(empty("board", box), "cells"), "n_solutions": F.size("cells"), "_v": seen})
-    found = found.withColumns({"least_visible": F.array_min("_v"), "most_visible": F.array_max("_v"), "n_empty": F.col("n_solutions") + F.size("decoys")})
+    found = once(without_copies(rows, F.array_join("board", "/")), "_x", characters("board"))
+    found = once(found, "_e", empty_cells("_x", digit, box))
+    free = F.filter("_e", lambda x: ~x["taken"])
+    found = once(found, "_free", free).filter(F.size("_free").between(*solutions))
+    visible = F.col("_free.visible")
+    found = found.withColumns(
+        {
+            "cells": F.col("_free.cell"),
+            "decoys": F.transform(F.filter("_e", lambda x: x["taken"]), lambda x: x["cell"]),
+            "n_solutions": F.size("_free"),
+            "n_empty": F.size("_e"),
+            "least_visible": F.array_min(visible),
+            "most_visible": F.array_max(visible),
+        }
+    ).drop("_x", "_e", "_free")
     pressure = F.lit({4: 10.0, 6: 28.0}.get(size, 20.0)) + scaled(F.col("n_empty"), 8, 28, 28.0) + F.when(F.col("most_visible") <= 3, 18.0).otherwise(0.0) + few_solutions(F.col("n_solutions"))
     hard = F.lit(10.0 + 4.0 * max(0, size - 4)) + 1.2 * F.col("n_empty") - 4.0 * F.col("most_visible") - 1.2 * F.greatest(F.lit(0), F.col("n_solutions") - 2)
     found = found.withColumns({"pressure": F.least(F.lit(100.0), pressure), "difficulty": F.greatest(F.lit(0.0), F.least(F.lit(100.0), hard))})
     level = F.when(F.col("difficulty") < SQUARE_CUTS[0], "easy").when(F.col("difficulty") < SQUARE_CUTS[1], "medium").otherwise("hard")
-    return found.withColumn("level", level).drop("_v")
+    return found.withColumn("level", level)
 
 
 def ranked_simplicity(solutions: DataFrame, score: str, ties: list[str]) -> DataFrame:
@@ -120,35 +156,15 @@ def ranked_simplicity(solutions: DataFrame, score: str, ties: list[str]) -> Data
     return rows.withColumns({"percentile": (rank - 1) / F.greatest(F.lit(1), n - 1), "bucket": bucket}).drop("_n")
 
 
-def _at(flat: Column, k: Column) -> Column:
-    return F.substr(flat, k + 1, F.lit(1))
-
-
 def _beside(cell: int, size: int) -> list[int]:
     """The cells above, below, left and right of a cell of a square."""
     r, c = divmod(cell, size)
     return [x * size + y for x, y in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)) if 0 <= x < size and 0 <= y < size]
 
 
-def _box_rows(board: str, cell: Column, box: tuple[int, int]) -> Column:
-    """The parts of the rows that lie in a cell's box."""
-    top, left = (cell[0] - 1) - (cell[0] - 1) % box[0], (cell[1] - 1) - (cell[1] - 1) % box[1]
-    return F.transform(F.slice(board, top + 1, box[0]), lambda row: F.substr(row, left + 1, F.lit(box[1])))
-
-
-def _taken(board: str, cell: Column, digit: str, box: tuple[int, int]) -> Column:
-    across = F.element_at(board, cell[0]).contains(digit)
-    down = F.exists(board, lambda row: F.substr(row, cell[1], F.lit(1)) == digit)
-    return across | down | F.exists(_box_rows(board, cell, box), lambda row: row.contains(digit))
-
-
-def _visible(board: str, cell: Column, box: tuple[int, int]) -> Column:
-    """How many clues stand in a cell's row, column and box, each once."""
-    clues = lambda text: F.length(F.regexp_replace(text, r"\.", ""))
-    total = lambda parts: clues(F.array_join(parts, ""))
-    row = F.element_at(board, cell[0])
-    column = F.transform(board, lambda x: F.substr(x, cell[1], F.lit(1)))
-    top, left = (cell[0] - 1) - (cell[0] - 1) % box[0], (cell[1] - 1) - (cell[1] - 1) % box[1]
-    # The box's own row and column are counted already.
-    twice = clues(F.substr(row, left + 1, F.lit(box[1]))) + total(F.slice(column, top + 1, box[0])) - clues(F.substr(row, cell[1], F.lit(1)))
-    return clues(row) + total(column) - clues(F.substr(row, cell[1], F.lit(1))) + total(_box_rows(board, cell, box)) - twice
+def _peers(cell: int, box: tuple[int, int]) -> list[int]:
+    """The other cells of a cell's row, column and box."""
+    size = box[0] * box[1]
+    r, c = divmod(cell, size)
+    alike = lambda x, y: x == r or y == c or (x // box[0], y // box[1]) == (r // box[0], c // box[1])
+    return [x * size + y for x in range(size) for y in range(size) if (x, y) != (r, c) and alike(x, y)]

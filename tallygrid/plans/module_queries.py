@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.operators import modules, pools
+from tallygrid.streaming import resume
 
+from .source_queries import scratch
 from .study_queries import rounded
 from .tables import table
 
@@ -31,15 +33,19 @@ def whole(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
 
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pools.once(table(spark, sf_dir, "part"), "_h", F.sha2(F.col("p_partkey").cast("string"), 256))
+
+
 def _digit(k: int) -> Column:
-    return F.substring(F.sha2(F.col("p_partkey").cast("string"), 256), k + 1, 1)
+    return F.substring("_h", k + 1, 1)
 
 
 def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boards of 4 x 4 cells, each a clue with a chance of five in sixteen."""
     cell = lambda k: F.when(_digit(2 * k) < "5", F.translate(_digit(2 * k + 1), "0123456789abcdef", "1234123412341234")).otherwise(".")
     board = F.array(*[F.concat(*[cell(4 * r + c) for c in range(4)]) for r in range(4)])
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("puzzle_id"), F.col("p_type").alias("family"), "p_size", board.alias("board"))
+    return _hashed(spark, sf_dir).select(F.col("p_partkey").cast("long").alias("puzzle_id"), F.col("p_type").alias("family"), "p_size", board.alias("board"))
 
 
 _SQUARE_SQL = """b AS (SELECT CAST(p_partkey AS BIGINT) AS puzzle_id, p_type AS family, p_size, array_to_string(list_transform(range(16), lambda k: CASE WHEN h[2 * k + 1] < '5' THEN translate(h[2 * k + 2], '0123456789abcdef', '1234123412341234') ELSE '.' END), '') AS s
@@ -89,7 +95,7 @@ def maze_pool(spark, sf_dir):
     """Mazes of 5 x 5 with three to eight shortest ways, their counts and the pressure of the search."""
     cell = lambda k: F.lit("S") if k == 0 else F.lit("G") if k == 24 else F.when(_digit(k) < "6", "#").otherwise(".")
     board = F.array(*[F.concat(*[cell(5 * r + c) for c in range(5)]) for r in range(5)])
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("puzzle_id"), board.alias("board"))
+    rows = _hashed(spark, sf_dir).select(F.col("p_partkey").cast("long").alias("puzzle_id"), board.alias("board"))
     found = pools.maze_pool(rows, 5, (8, 22)).withColumn("board", F.array_join("board", ""))
     return whole(rounded(found, "pressure"), "shortest", "n_solutions", "detour", "dead_ends", "branches")
 
@@ -157,3 +163,15 @@ def formulation_module(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("puzzle_id"), F.col("p_type").alias("family"), numbers.alias("numbers"), (F.col("p_size") % 10).alias("n_solutions"))
     trials = modules.formulation_module(rows, [F.abs(F.col("n_solutions") - 5)], 40, 9)
     return trials.select("family", "block", "trial", "condition", "role", F.concat_ws(" ", F.transform("numbers", lambda x: x.cast("string"))).alias("numbers"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def streamed_latest(spark, sf_dir):
+    """Each user's last event, kept by a stream of four batches that rewrite the buckets they touch."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    log, kept = scratch(spark, "log"), scratch(spark, "kept")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(files, "event_id").write.parquet(log)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(log)
+    resume.upserted(stream, kept, ["user_id"], ["ts", "event_id"], f"{kept}-checkpoint", buckets=16).awaitTermination()
+    return resume.stored(spark, kept, rows.schema).select("user_id", "event_id", "event_type")

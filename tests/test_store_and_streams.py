@@ -133,7 +133,8 @@ def test_streams_agree_with_batches(spark, tmp_path):
     upsert()
     write("2.json", [("r2", "a", "2024-01-01T00:03:00", 9)])
     upsert()
-    latest = {r.request_id: r.v for r in spark.read.parquet(str(stored / "v1")).collect()}
+    kept = resume.stored(spark, str(stored), spark.read.schema(schema).json(str(folder)).schema)
+    latest = {r.request_id: r.v for r in kept.collect()}
     assert latest == {"r1": 3, "r2": 9} == {r.request_id: r.v for r in store.latest(spark.read.schema(schema).json(str(folder)), ["request_id"], ["at"]).collect()}
     seen = []
     resume.drained(resume.completed_once(spark, str(folder), schema, "request_id", "at", "1 hour"), lambda df, n: seen.extend(r.request_id for r in df.collect()), str(tmp_path / "c2"))
@@ -152,3 +153,22 @@ def test_command_line(spark, tmp_path):
     assert json.loads((out / "process.json").read_text())["status"] == "done"
     with pytest.raises(Exception):
         main(["analyze", "--scored", str(out / "scored"), "--out", str(out)])
+
+
+def test_upserts_touch_their_buckets_alone(spark, tmp_path):
+    folder, target, schema = tmp_path / "log", str(tmp_path / "kept"), "k int, at int, v string"
+    shape = spark.createDataFrame([], schema).schema
+    stream = lambda: resume.upserted(spark.readStream.schema(schema).json(str(folder)), target, ["k"], ["at"], str(tmp_path / "c"), 8).awaitTermination()
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(folder))
+    folder.mkdir()
+    assert resume.stored(spark, target, shape).count() == 0
+    put([(k, 1, f"a{k}") for k in range(40)] + [(None, 1, "x"), (3, 1, "a2")])
+    stream()
+    put([(3, 2, "b"), (4, 0, "late"), (None, 2, None)])
+    stream()
+    got = {r.k: r.v for r in resume.stored(spark, target, shape).collect()}
+    assert got == {**{k: f"a{k}" for k in range(40)}, 3: "b", None: None}
+    written = {int(p.name.split("=")[1]) for p in (tmp_path / "kept" / "rows" / "version=1").glob("bucket=*")}
+    assert 1 <= len(written) <= 3
+    assert resume.vacuumed(spark, target) == len(written) and resume.vacuumed(spark, target) == 0
+    assert {r.k: r.v for r in resume.stored(spark, target, shape).collect()} == got
