@@ -1,4 +1,4 @@
-"""Pools of mazes and of digit boards, and the pressure and difficulty scores of their puzzles, as columns of each board's own row.
+"""Pools of mazes, digit boards and mine boards, and the pressure and difficulty scores of their puzzles, as columns of each board's own row.
 
 Boards are arrays of rows of characters.  Nothing here meets another row but the removal of copies.
 """
@@ -14,8 +14,8 @@ from .lineage import spread
 FEW = (18.0, 9.0, 2.0)
 #: Terms (feature, low, high, weight) of a maze's pressure.
 MAZE_TERMS = (("shortest", 7, 22, 35.0), ("branches", 2, 18, 25.0), ("dead_ends", 0, 12, 15.0), ("density", 0.15, 0.38, 10.0))
-#: Where a digit board's difficulty becomes medium and hard.
-SQUARE_CUTS = (30.0, 55.0)
+#: Where the difficulty of digit and mine boards becomes medium and hard.
+CUTS = (30.0, 55.0)
 
 
 def scaled(value: Column, low: float, high: float, weight: float) -> Column:
@@ -27,6 +27,10 @@ def few_solutions(n: Column) -> Column:
     return F.when(n <= 3, FEW[0]).when(n <= 6, FEW[1]).otherwise(FEW[2])
 
 
+def level(difficulty: Column) -> Column:
+    return F.when(difficulty < CUTS[0], "easy").when(difficulty < CUTS[1], "medium").otherwise("hard")
+
+
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column that is worked out once a row: a generator's output, which later filters and columns don't copy the expression of."""
     return rows.select("*", F.explode(F.array(value)).alias(name))
@@ -142,8 +146,64 @@ def square_pool(rows: DataFrame, digit: str, box: tuple[int, int], solutions: tu
     pressure = F.lit({4: 10.0, 6: 28.0}.get(size, 20.0)) + scaled(F.col("n_empty"), 8, 28, 28.0) + F.when(F.col("most_visible") <= 3, 18.0).otherwise(0.0) + few_solutions(F.col("n_solutions"))
     hard = F.lit(10.0 + 4.0 * max(0, size - 4)) + 1.2 * F.col("n_empty") - 4.0 * F.col("most_visible") - 1.2 * F.greatest(F.lit(0), F.col("n_solutions") - 2)
     found = found.withColumns({"pressure": F.least(F.lit(100.0), pressure), "difficulty": F.greatest(F.lit(0.0), F.least(F.lit(100.0), hard))})
-    level = F.when(F.col("difficulty") < SQUARE_CUTS[0], "easy").when(F.col("difficulty") < SQUARE_CUTS[1], "medium").otherwise("hard")
-    return found.withColumn("level", level)
+    return found.withColumn("level", level(F.col("difficulty")))
+
+
+def assignments(unknown: Column, clues: Column) -> Column:
+    """All sets of mines, as bits of cells, that agree with the clues.
+
+    ``unknown`` are the open cells in order, ``clues`` (mask, n): the unknown cells about a clue and how many are mines.
+    Cells are decided one by one, and a set is dropped as soon as a clue has too many mines, or too few cells left.
+    """
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    count = lambda mask: F.bit_count(mask).cast("int")
+
+    def decide(sets: Column, k: Column) -> Column:
+        below = bit(k + 1) - 1
+        holds = lambda s: F.forall(clues, lambda c: count(s.bitwiseAND(c["mask"])).between(c["n"] - count(c["mask"].bitwiseAND(F.bitwise_not(below))), c["n"]))
+        return F.filter(F.concat(sets, F.transform(sets, lambda s: s.bitwiseOR(bit(k)))), holds)
+
+    return F.aggregate(unknown, F.array(F.lit(0).cast("long")), decide)
+
+
+def mine_pool(rows: DataFrame, shape: tuple[int, int], solutions: tuple[int, int] = (3, 8), most_unknown: int = 18) -> DataFrame:
+    """Adds cells, n_unknown, n_assignments, n_solutions, most_clues, pressure, difficulty and level to boards (puzzle_id, board, kind, more) with a fit number of forced cells.
+
+    ``?`` is an unknown cell and a digit a clue.  ``cells`` are those that are of the ``kind`` (safe or mine) in every set of mines that the
+    clues allow; boards that allow none, or have more unknown cells than ``most_unknown``, and rows of another kind go.  Of equal boards of a kind the least id stays.
+    """
+    n = shape[0] * shape[1]
+    near = F.array(*[F.array(*map(F.lit, _about(k, shape))) for k in range(n)])
+    about = lambda k: F.element_at(near, k + 1)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    bits = lambda ks: F.aggregate(ks, F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(bit(k)))
+    rows = rows.filter(F.col("kind").isin("safe", "mine"))
+    found = once(without_copies(rows, F.concat_ws("/", "kind", F.array_join("board", "/"))), "_x", characters("board"))
+    char = lambda k: F.element_at("_x", k + 1)
+    places = F.array(*map(F.lit, range(n)))
+    found = once(found, "_u", F.filter(places, lambda k: char(k) == "?")).filter(F.size("_u").between(1, most_unknown))
+    clue = F.filter(places, lambda k: char(k).rlike("[0-9]"))
+    found = once(found, "_c", F.transform(clue, lambda k: F.struct(bits(F.filter(about(k), lambda j: char(j) == "?")).alias("mask"), char(k).cast("int").alias("n"))))
+    found = once(found, "_s", assignments(F.col("_u"), F.col("_c"))).filter(F.size("_s") > 0)
+    every = F.aggregate("_s", F.lit(-1).cast("long"), lambda a, s: a.bitwiseAND(s))
+    some = F.aggregate("_s", F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(s))
+    found = once(found, "_f", F.when(F.col("kind") == "mine", every).otherwise(F.bitwise_not(some)))
+    found = once(found, "_k", F.filter("_u", lambda k: F.col("_f").bitwiseAND(bit(k)) != 0)).filter(F.size("_k").between(*solutions))
+    clues = lambda k: F.size(F.filter(about(k), lambda j: char(j).rlike("[0-9]")))
+    found = found.withColumns(
+        {
+            "cells": F.transform("_k", lambda k: F.array(F.floor(k / shape[1]).cast("int") + 1, k % shape[1] + 1)),
+            "n_unknown": F.size("_u"),
+            "n_assignments": F.size("_s"),
+            "n_solutions": F.size("_k"),
+            "most_clues": F.array_max(F.transform("_k", clues)),
+        }
+    ).drop("_x", "_u", "_c", "_s", "_f", "_k")
+    spread_of = F.log2("n_assignments")
+    pressure = scaled(F.col("n_unknown"), 6, 16, 28.0) + scaled(spread_of, 0, 6, 28.0) + F.when(F.col("most_clues") <= 1, 18.0).otherwise(0.0) + few_solutions(F.col("n_solutions"))
+    hard = 12.0 + 2.2 * F.col("n_unknown") + 8.0 * spread_of - 5.0 * F.col("most_clues") - 1.5 * F.greatest(F.lit(0), F.col("n_solutions") - 2)
+    found = found.withColumns({"pressure": F.least(F.lit(100.0), pressure), "difficulty": F.greatest(F.lit(0.0), F.least(F.lit(100.0), hard))})
+    return found.withColumn("level", level(F.col("difficulty")))
 
 
 def ranked_simplicity(solutions: DataFrame, score: str, ties: list[str]) -> DataFrame:
@@ -168,3 +228,9 @@ def _peers(cell: int, box: tuple[int, int]) -> list[int]:
     r, c = divmod(cell, size)
     alike = lambda x, y: x == r or y == c or (x // box[0], y // box[1]) == (r // box[0], c // box[1])
     return [x * size + y for x in range(size) for y in range(size) if (x, y) != (r, c) and alike(x, y)]
+
+
+def _about(cell: int, shape: tuple[int, int]) -> list[int]:
+    """The up to eight cells around a cell."""
+    r, c = divmod(cell, shape[1])
+    return [x * shape[1] + y for x in range(max(0, r - 1), min(shape[0], r + 2)) for y in range(max(0, c - 1), min(shape[1], c + 2)) if (x, y) != (r, c)]

@@ -100,6 +100,36 @@ def maze_pool(spark, sf_dir):
     return whole(rounded(found, "pressure"), "shortest", "n_solutions", "detour", "dead_ends", "branches")
 
 
+_ABOUT = {k: [j for j in range(12) if j != k and abs(j // 4 - k // 4) <= 1 and abs(j % 4 - k % 4) <= 1] for k in range(12)}
+_NEAR_SQL = f"[{', '.join(str(_ABOUT[k]) for k in range(12))}]"
+
+
+@query(
+    f"""WITH h AS (SELECT CAST(p_partkey AS BIGINT) AS p, sha256(CAST(p_partkey AS VARCHAR)) AS h, {_NEAR_SQL} AS near FROM part),
+ m AS (SELECT *, list_transform(range(12), lambda k: CASE WHEN h[2 * k + 1] < '4' OR h[2 * k + 2] < '6' THEN '?' ELSE CAST(len(list_filter(near[k + 1], lambda j: h[2 * j + 1] < '4')) AS VARCHAR) END) AS x FROM h),
+ d AS (SELECT p, x, near, list_sum(list_transform(range(12), lambda k: CASE WHEN x[k + 1] = '?' THEN 1 << k ELSE 0 END)) AS unknown,
+  list_transform(list_filter(range(12), lambda k: x[k + 1] <> '?'), lambda k: struct_pack(mask := CAST(coalesce(list_sum(list_transform(near[k + 1], lambda j: CASE WHEN x[j + 1] = '?' THEN 1 << j ELSE 0 END)), 0) AS BIGINT), n := CAST(x[k + 1] AS INTEGER))) AS clues FROM m),
+ u AS (SELECT *, kind FROM d, (VALUES ('safe'), ('mine')) v(kind) QUALIFY row_number() OVER (PARTITION BY x, kind ORDER BY p) = 1),
+ a AS (SELECT p, kind, s FROM u, range(4096) t(s) WHERE s & ~CAST(unknown AS BIGINT) = 0 AND len(list_filter(clues, lambda c: bit_count(s & c.mask) <> c.n)) = 0),
+ f AS (SELECT p, kind, count(*) AS n_assignments, bit_and(s) AS every, bit_or(s) AS either FROM a GROUP BY ALL),
+ g AS (SELECT f.*, x, near, len(list_filter(x, lambda y: y = '?')) AS n_unknown, list_filter(range(12), lambda k: x[k + 1] = '?' AND ((CASE WHEN kind = 'mine' THEN every ELSE ~either END) >> k) & 1 = 1) AS cells FROM f JOIN u USING (p, kind)),
+ q AS (SELECT *, len(cells) AS n_solutions, list_max(list_transform(cells, lambda k: len(list_filter(near[k + 1], lambda j: x[j + 1] <> '?')))) AS most_clues FROM g WHERE len(cells) BETWEEN 3 AND 8),
+ s AS (SELECT *, greatest(0, least(100, 12 + 2.2 * n_unknown + 8 * log2(n_assignments) - 5 * most_clues - 1.5 * greatest(0, n_solutions - 2))) AS difficulty FROM q)
+ SELECT p AS puzzle_id, kind, array_to_string(x, '') AS board, array_to_string(list_transform(cells, lambda k: (k // 4 + 1) || ',' || (k % 4 + 1)), ' ') AS cells, n_unknown, n_assignments, n_solutions, CAST(most_clues AS BIGINT) AS most_clues,
+  round(CAST(least(100, greatest(0, least(1, (n_unknown - 6) / 10)) * 28 + greatest(0, least(1, log2(n_assignments) / 6)) * 28 + CASE WHEN most_clues <= 1 THEN 18 ELSE 0 END + {_FEW_SQL}) AS DOUBLE), 6) AS pressure,
+  round(CAST(difficulty AS DOUBLE), 6) AS difficulty, CASE WHEN difficulty < 30 THEN 'easy' WHEN difficulty < 55 THEN 'medium' ELSE 'hard' END AS level FROM s"""
+)
+def mine_pool(spark, sf_dir):
+    """Boards of 3 x 4 with three to eight cells that are safe, or mines, in every way to lay the mines."""
+    mine = lambda k: (_digit(2 * k) < "4").cast("int")
+    cell = lambda k: F.when((_digit(2 * k) < "4") | (_digit(2 * k + 1) < "6"), "?").otherwise(sum((mine(j) for j in _ABOUT[k]), F.lit(0)).cast("string"))
+    board = F.array(*[F.concat(*[cell(4 * r + c) for c in range(4)]) for r in range(3)])
+    rows = pools.once(_hashed(spark, sf_dir), "board", board)
+    rows = rows.select(F.col("p_partkey").cast("long").alias("puzzle_id"), "board", F.explode(F.array(F.lit("safe"), F.lit("mine"))).alias("kind"))
+    found = pools.mine_pool(rows, (3, 4)).withColumns({"board": F.array_join("board", ""), "cells": F.array_join(F.transform("cells", modules.cell_text), " ")})
+    return whole(rounded(found, "pressure", "difficulty"), "n_unknown", "n_assignments", "n_solutions", "most_clues")
+
+
 @query(
     """WITH r AS (SELECT p_brand AS puzzle_id, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS rank, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
  SELECT puzzle_id, p_partkey, rank, round((rank - 1) / greatest(1, n - 1), 6) AS percentile, CASE WHEN rank = 1 THEN 'simplest' WHEN rank <= greatest(2, ceil(n / 3)) THEN 'simple' WHEN rank >= greatest(1, n - floor(n / 3) + 1) THEN 'complex' ELSE 'middle' END AS bucket FROM r"""

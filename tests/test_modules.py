@@ -66,6 +66,26 @@ def test_square_pool(spark):
     assert {tuple(x) for x in found.cells} == {x for x, (taken, _) in own.items() if not taken}
 
 
+def test_mine_pool(spark):
+    boards = [["?0?", "???"], ["?1?", "1??"], ["2??", "???"], ["???", "???"], ["000", "000"], ["?9?", "???"], ["?2?", "?3?"], ["??1", "1?1"]]
+    rows = [(k, b, kind) for k, b in enumerate(boards) for kind in ("safe", "mine")] + [(20, boards[0], "safe"), (21, None, "safe"), (22, boards[0], None)]
+    got = {(r.puzzle_id, r.kind): r for r in pools.mine_pool(spark.createDataFrame(rows, "puzzle_id int, board array<string>, kind string"), (2, 3), (0, 6)).collect()}
+    consistent = {}
+    for k, b in enumerate(boards):
+        flat = "".join(b)
+        unknown = [i for i, x in enumerate(flat) if x == "?"]
+        near = lambda i: [j for j in range(6) if j != i and abs(j // 3 - i // 3) <= 1 and abs(j % 3 - i % 3) <= 1]
+        ways = (set(m) for n in range(len(unknown) + 1) for m in itertools.combinations(unknown, n))
+        consistent[k] = [m for m in ways if all(sum(j in m for j in near(i)) == int(x) for i, x in enumerate(flat) if x != "?")] if unknown else []
+    assert {k for k, _ in got} == {k for k, ways in consistent.items() if ways} and (5, "safe") not in got
+    for (k, kind), r in got.items():
+        assert r.n_assignments == len(consistent[k])
+        forced = [i for i, x in enumerate("".join(boards[k])) if x == "?" and all((i in m) == (kind == "mine") for m in consistent[k])]
+        assert r.cells == [[i // 3 + 1, i % 3 + 1] for i in forced] == solvers.forced_cells(boards[k], kind)
+    crowded = spark.createDataFrame([(1, ["????"] * 5, "safe")], "puzzle_id int, board array<string>, kind string")
+    assert pools.mine_pool(crowded, (5, 4), (0, 20)).count() == 0
+
+
 def cells(n, row):
     return [[row, c + 1] for c in range(n)]
 
