@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions import metrics as m
 
+from . import inference
+
 #: Which rows of a block are compared: module -> (reference predicate, perturbed predicate).
 COMPARISONS = {
     "cue": ("condition = 'baseline'", "condition != 'baseline'"),
@@ -102,11 +106,60 @@ def with_mean(rows: DataFrame, keys: list[str], family: str, values: list[str],
 
 def context_table(rows: DataFrame, keys: list[str], block: str, family: str, arm: str, value: str, before: str) -> DataFrame:
     """Matched blocks of a related and an unrelated arm: both values, their difference, and the related arm's normalised change from ``before``; by family and in mean."""
+    return with_mean(_matched(rows, keys, block, family, arm, value, before), keys, family, ["related", "unrelated", "difference", "change"])
+
+
+def _matched(rows: DataFrame, keys: list[str], block: str, family: str, arm: str, value: str, before: str) -> DataFrame:
     pick = lambda name, c: F.max(F.when(F.col(arm) == name, F.col(c)))
     blocks = rows.groupBy(*keys, block, family).agg(pick("related", value).alias("related"), pick("unrelated", value).alias("unrelated"), pick("related", before).alias("p"))
     blocks = blocks.filter("related is not null and unrelated is not null")
-    blocks = blocks.withColumns({"difference": F.col("related") - F.col("unrelated"), "change": m.directional_gain(F.col("p"), F.col("related"))})
-    return with_mean(blocks, keys, family, ["related", "unrelated", "difference", "change"])
+    return blocks.withColumns({"difference": F.col("related") - F.col("unrelated"), "change": m.directional_gain(F.col("p"), F.col("related"))})
+
+
+def context_values(rows: DataFrame, keys: list[str], block: str, family: str, arm: str, value: str, before: str) -> DataFrame:
+    """What the means of :func:`context_table` are taken of, for :func:`with_intervals`: keys, metric, stratum (family), cluster (block), value."""
+    blocks = _matched(rows, keys, block, family, arm, value, before)
+    return _long(blocks, keys, family, block, ["related", "unrelated", "difference", "change"])
+
+
+def contrast_values(rows: DataFrame, keys: list[str], block: str, family: str, condition: str, pairs: list[tuple[str, str]], value: str) -> DataFrame:
+    """Differences of a value between two arms of a block, for each pair of arms, as values for :func:`with_intervals`; a block without one of the two has none."""
+    pick = lambda c: F.max(F.when(F.col(condition) == c, F.col(value)))
+    named = {f"{one}-{other}": pick(one) - pick(other) for one, other in pairs}
+    return _long(rows.groupBy(*keys, family, block).agg(*[x.alias(c) for c, x in named.items()]), keys, family, block, list(named)).filter("value is not null")
+
+
+def module_values(arms: DataFrame, keys: list[str], block: str, family: str, arm: str, movement: str, gain: str, before: str) -> DataFrame:
+    """What the means of :func:`module_summaries` are taken of, for :func:`with_intervals`: each metric's mean over a block's arms."""
+    share = m.normalized_attraction(F.col(gain), F.col(before))
+    metrics = F.array(
+        F.struct(F.lit("movement").alias("metric"), F.col(movement).alias("value")),
+        F.struct(F.concat(F.lit("movement_"), F.col(arm)).alias("metric"), F.col(movement).alias("value")),
+        F.struct(F.lit("gain").alias("metric"), F.col(gain).alias("value")),
+        F.struct(F.lit("normalized_gain").alias("metric"), share.alias("value")),
+    )
+    rows = arms.select(*keys, F.col(family).alias("stratum"), F.col(block).alias("cluster"), F.inline(metrics)).filter("value is not null")
+    return rows.groupBy(*keys, "metric", "stratum", "cluster").agg(F.avg("value").alias("value"))
+
+
+def _long(rows: DataFrame, keys: list[str], family: str, block: str, metrics: list[str]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in metrics])
+    return rows.select(*keys, F.col(family).alias("stratum"), F.col(block).alias("cluster"), F.inline(cells))
+
+
+def with_intervals(values: DataFrame, keys: list[str], drawn: Callable[[DataFrame], DataFrame], families: bool = True, name: str = "Mean") -> DataFrame:
+    """(keys, metric, family, mean, low, high, replicates): the equal-family mean ``name`` and, if ``families``, each family's own mean, with intervals over drawn blocks.
+
+    ``drawn`` makes draws (rep, index, times) of the numbered clusters (stratum, cluster, index); one draw of blocks serves all
+    keys and metrics, so that intervals of a table belong together.  Null values count in no mean.
+    """
+    numbered, _ = inference.numbered_clusters(values)
+    draws = drawn(numbered)
+    out = inference.summarised(values, numbered, draws, [*keys, "metric"], True).withColumn("family", F.lit(name))
+    if families:
+        own = inference.summarised(values.withColumn("family", F.col("stratum").cast("string")), numbered, draws, [*keys, "metric", "family"], False)
+        out = out.unionByName(own)
+    return out.select(*keys, "metric", "family", "mean", "low", "high", "replicates")
 
 
 def module_summaries(arms: DataFrame, keys: list[str], block: str, family: str, arm: str, movement: str, gain: str, before: str) -> DataFrame:

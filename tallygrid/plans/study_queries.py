@@ -225,6 +225,52 @@ def module_summaries(spark, sf_dir):
     return rounded(study.module_summaries(rows, ["source"], "block", "family", "arm", "v", "gain", "p"), "value")
 
 
+def _interval_sql(values: str, families: bool) -> str:
+    """Means over families and their percentile intervals over the draws made by formula, of values (source, metric, stratum, cluster, value)."""
+    own = """ UNION ALL SELECT source, metric, CAST(stratum AS VARCHAR), (SELECT avg(value) FROM vals v WHERE v.source = ms.source AND v.metric = ms.metric AND v.stratum = ms.stratum), quantile_cont(m, 0.025), quantile_cont(m, 0.975), count(*) FROM ms GROUP BY source, metric, stratum"""
+    return f"""WITH {_ARM_SQL}, {values},
+ c AS (SELECT stratum, cluster, row_number() OVER (PARTITION BY stratum ORDER BY cluster) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS n FROM (SELECT DISTINCT stratum, cluster FROM vals)),
+ pk AS (SELECT d.rep, d.stratum, t.cluster FROM (SELECT rep, stratum, (rep * rep * 31 + k * 17 + rep * k * 7) % n AS pick FROM c, range({_REPS}) r(rep)) d JOIN c t ON t.stratum = d.stratum AND t.k = d.pick),
+ ms AS (SELECT source, metric, rep, stratum, avg(value) AS m FROM pk JOIN vals USING (stratum, cluster) GROUP BY ALL), mm AS (SELECT source, metric, rep, avg(m) AS m FROM ms GROUP BY ALL),
+ t AS (SELECT source, metric, 'Mean' AS family, (SELECT avg(x) FROM (SELECT avg(value) AS x FROM vals v WHERE v.source = mm.source AND v.metric = mm.metric GROUP BY stratum)) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, count(*) AS replicates FROM mm GROUP BY source, metric{own if families else ""})
+ SELECT source, metric, family, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, replicates FROM t"""
+
+
+@query(
+    _interval_sql(
+        """b AS (SELECT source, block, family, max(v) FILTER (arm = 'related') AS related, max(v) FILTER (arm = 'unrelated') AS unrelated, max(p) FILTER (arm = 'related') AS p FROM a GROUP BY ALL HAVING related IS NOT NULL AND unrelated IS NOT NULL),
+ vals AS (SELECT source, family AS stratum, block AS cluster, metric, CASE metric WHEN 'related' THEN related WHEN 'unrelated' THEN unrelated WHEN 'difference' THEN related - unrelated WHEN 'change' THEN CASE WHEN 1 - p > 1e-12 THEN (related - p) / (1 - p) END END AS value FROM b, (VALUES ('related'), ('unrelated'), ('difference'), ('change')) m(metric))""",
+        True,
+    )
+)
+def context_intervals(spark, sf_dir):
+    """The context table's means with intervals over drawn blocks, by family and in mean."""
+    values = study.context_values(_arms(spark, sf_dir), ["source"], "block", "family", "arm", "v", "p")
+    return rounded(study.with_intervals(values, ["source"], _drawn), "mean", "low", "high")
+
+
+@query(_interval_sql("vals AS (SELECT source, family AS stratum, block AS cluster, 'related-unrelated' AS metric, max(v) FILTER (arm = 'related') - max(v) FILTER (arm = 'unrelated') AS value FROM a GROUP BY source, family, block HAVING max(v) FILTER (arm = 'related') - max(v) FILTER (arm = 'unrelated') IS NOT NULL)", False))
+def contrast_intervals(spark, sf_dir):
+    """The contrast of two arms with its interval."""
+    values = study.contrast_values(_arms(spark, sf_dir), ["source"], "block", "family", "arm", [("related", "unrelated")], "v")
+    return rounded(study.with_intervals(values, ["source"], _drawn, families=False), "mean", "low", "high")
+
+
+@query(
+    _interval_sql(
+        """y AS (SELECT source, 'movement' AS metric, family, block, v AS value FROM a UNION ALL SELECT source, 'movement_' || arm, family, block, v FROM a UNION ALL SELECT source, 'gain', family, block, v - p FROM a
+  UNION ALL SELECT source, 'normalized_gain', family, block, (v - p) / (1 - p) FROM a WHERE p <> 1),
+ vals AS (SELECT source, metric, family AS stratum, block AS cluster, avg(value) AS value FROM y GROUP BY ALL)""",
+        False,
+    )
+)
+def module_intervals(spark, sf_dir):
+    """The module summaries with intervals over drawn blocks."""
+    rows = _arms(spark, sf_dir).withColumn("gain", F.col("v") - F.col("p"))
+    values = study.module_values(rows, ["source"], "block", "family", "arm", "v", "gain", "p")
+    return rounded(study.with_intervals(values, ["source"], _drawn, families=False), "mean", "low", "high")
+
+
 @query(
     """WITH t AS (SELECT p_brand, count(*) AS have, CAST(right(p_brand, 1) AS INTEGER) * 2 AS target FROM part GROUP BY ALL), b AS (SELECT *, least(target, have) AS base FROM t),
  c AS (SELECT *, have - base AS spare, sum(have - base) OVER (ORDER BY target - base DESC, have DESC, p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(base) OVER () AS given FROM b)
