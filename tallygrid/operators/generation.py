@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordering import minmax_scaled, pruned, tertiles
+from .lineage import fixed
+from .ordering import minmax_scaled, numbered, pruned, thirds
 from .puzzles import mirrored, rook_solutions, symmetries
 
 
@@ -36,10 +37,14 @@ def rook_pool(rows: DataFrame, size: int, m: int, least: int = 3, most: int = 8,
     solved = rows.select("puzzle_id", "board", F.size(rook_solutions("board", F.lit(m))).alias("n_solutions")).filter(F.col("n_solutions").between(least, most))
     solved = solved.withColumns({"canonical": canonical_board("board", size), "blocked": F.length(F.regexp_replace(F.array_join("board", ""), "[^X]", ""))})
     first = Window.partitionBy("canonical").orderBy("puzzle_id")
-    unique = solved.withColumn("_r", F.row_number().over(first)).filter("_r = 1").withColumn("pool", F.lit(0))
-    scored = minmax_scaled(minmax_scaled(unique, "n_solutions", ["pool"]), "blocked", ["pool"])
-    scored = scored.withColumn("score", F.col("blocked_scaled") - F.col("n_solutions_scaled"))
-    bucketed = tertiles(scored, "score", ["puzzle_id"], ["pool"]).withColumnRenamed("tertile", "difficulty")
+    # Two passes follow over what has been solved: the pool's bounds, four numbers and a count, and its order.
+    unique = fixed(solved.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r"))
+    columns = ("n_solutions", "blocked")
+    bounds = unique.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{name}") for c in columns for name, f in (("low", F.min), ("high", F.max))]).first()
+    width = {c: (bounds[f"{c}_high"] or 0) - (bounds[f"{c}_low"] or 0) for c in columns}
+    scaled = lambda c: (F.col(c) - bounds[f"{c}_low"]) / width[c] if width[c] else F.lit(0.0)
+    scored = numbered(unique.withColumn("score", scaled("blocked") - scaled("n_solutions")), ["score", "puzzle_id"], "_place")
+    bucketed = scored.withColumn("difficulty", thirds(F.col("_place"), bounds["n"]))
     return pruned(bucketed, "canonical", "difficulty", "score", ["puzzle_id"], per_bucket).select("puzzle_id", "board", "n_solutions", "blocked", "score", "difficulty")
 
 

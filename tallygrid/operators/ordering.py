@@ -9,22 +9,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lineage import fixed
+
+
+def numbered(rows: DataFrame, order: list[Column | str], place: str = "place") -> DataFrame:
+    """Adds each row's place from 1 in one order of all rows, without a window over all of them.
+
+    Rows are dealt to tasks by ranges of the order, which should be total, and the ranges are fixed by a checkpoint; places are
+    counted in each range and moved on by what the ranges before hold.
+    """
+    ranged = _ranged(rows, order)
+    before = _before(ranged.groupBy("_range").agg(F.count("*").alias("_n")), F.sum("_n"), "_base")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(before), "_range").withColumn(place, F.coalesce("_base", F.lit(0)) + own).drop("_range", "_base")
+
+
+def _ranged(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """The rows by ranges of an order, as many as a shuffle has tasks, with the range's number ``_range``."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fixed(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def _before(totals: DataFrame, fold: Column, name: str, *more: str) -> DataFrame:
+    """(_range, more, name): totals of all earlier ranges; a row for each range, which bounds the window and what is broadcast."""
+    return totals.select("_range", *more, fold.over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias(name))
+
 
 def holm(tests: DataFrame, p: str, order: list[str], within: list[str] | None = None, included: Column | None = None) -> DataFrame:
     """Adds p_holm: step-down adjusted p over the included tests of each family; null for the others.
 
-    Ties keep the order of ``order``.  A family is one multiple-testing problem,
-    so its tests are ranked in one window; many families run in parallel.
+    Ties keep the order of ``order``.  Families run in parallel, each in a window of its own; without ``within`` all tests are
+    one family, ranked by ranges of p as in :func:`numbered`.
     """
-    family = Window.partitionBy(*(within or [F.lit(0)]))
-    steps = family.orderBy(p, *order)
     chosen = tests.withColumn("_in", F.lit(True) if included is None else F.coalesce(included, F.lit(False)))
-    tested = chosen.filter("_in").withColumn("_m", F.count("*").over(family)).withColumn("_k", F.row_number().over(steps) - 1)
-    raised = F.max(F.least(F.lit(1.0), (F.col("_m") - F.col("_k")) * F.col(p))).over(steps.rowsBetween(Window.unboundedPreceding, 0))
-    done = tested.withColumn("p_holm", raised).drop("_m", "_k")
+    tested = chosen.filter("_in")
+    if within:
+        family = Window.partitionBy(*within)
+        steps = family.orderBy(p, *order)
+        tested = tested.withColumn("_m", F.count("*").over(family)).withColumn("_k", F.row_number().over(steps) - 1)
+        raised = F.max(F.least(F.lit(1.0), (F.col("_m") - F.col("_k")) * F.col(p))).over(steps.rowsBetween(Window.unboundedPreceding, 0))
+        done = tested.withColumn("p_holm", raised).drop("_m", "_k")
+    else:
+        done = _holm_over_all(tested, p, order)
     return done.unionByName(chosen.filter("not _in").withColumn("p_holm", F.lit(None).cast("double"))).drop("_in")
 
 
+def _holm_over_all(tested: DataFrame, p: str, order: list[str]) -> DataFrame:
+    steps = [F.col(p), *map(F.col, order)]
+    ranged = _ranged(tested, steps)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    every = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = _before(counts.withColumn("_m", F.sum("_n").over(every)), F.sum("_n"), "_base", "_m")
+    own = Window.partitionBy("_range").orderBy(*steps)
+    left = F.col("_m") - F.coalesce("_base", F.lit(0)) - F.row_number().over(own) + 1
+    scaled = ranged.join(F.broadcast(before), "_range").withColumn("_q", left * F.col(p)).withColumn("_q", F.least(F.lit(1.0), F.col("_q")))
+    raised = scaled.withColumn("_q", F.max("_q").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    highest = _before(raised.groupBy("_range").agg(F.max("_q").alias("_top")), F.max("_top"), "_floor")
+    return raised.join(F.broadcast(highest), "_range").withColumn("p_holm", F.greatest("_q", "_floor")).drop("_range", "_base", "_m", "_q", "_floor")
+
+
 def minmax_scaled(rows: DataFrame, value: str, within: list[str], tolerance: float = 0.0) -> DataFrame:
     """Adds value_scaled: 0 to 1 in its group, 0 where the group is constant to the tolerance."""
     w = Window.partitionBy(*within)
@@ -37,6 +80,14 @@ def tertiles(rows: DataFrame, score: str, ties: list[str], within: list[str]) ->
     return rows.withColumn("tertile", F.ntile(3).over(Window.partitionBy(*within).orderBy(score, *ties)))
 
 
+def thirds(place: Column, n: int) -> Column:
+    """Tertile 1 to 3 of a place from 1 among n; the first ones have the rows that are over."""
+    each, over = divmod(n, 3)
+    head = over * (each + 1)
+    low = F.floor((place - 1) / (each + 1)) + 1
+    return F.when(place <= head, low).otherwise(F.floor((place - head - 1) / max(1, each)) + 1 + over).cast("int")
+
+
 def rank_percentile(rows: DataFrame, score: str, ties: list[str], within: list[str]) -> DataFrame:
     """Adds rank (from 1) and percentile ((rank-1)/(n-1), 0 for a group of one)."""
     w = Window.partitionBy(*within)

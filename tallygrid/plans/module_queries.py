@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.operators import modules, pools
+from tallygrid.operators import modules, ordering, pools
 from tallygrid.streaming import resume
 
 from .source_queries import scratch
@@ -205,3 +205,22 @@ def streamed_latest(spark, sf_dir):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(log)
     resume.upserted(stream, kept, ["user_id"], ["ts", "event_id"], f"{kept}-checkpoint", buckets=16).awaitTermination()
     return resume.stored(spark, kept, rows.schema).select("user_id", "event_id", "event_type")
+
+
+_P_SQL = "CAST((p_partkey * 7919) % 9973 + 1 AS DOUBLE) / 99740000"
+
+
+@query(
+    f"""WITH t AS (SELECT p_partkey, p_size, {_P_SQL} AS p FROM part), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, p_partkey) AS k FROM t WHERE p_size > 3)
+ SELECT p_partkey, round(max(least(1.0, (m - k + 1) * p)) OVER (ORDER BY k), 9) AS p_holm FROM r UNION ALL SELECT p_partkey, NULL FROM t WHERE NOT p_size > 3"""
+)
+def holm_over_all(spark, sf_dir):
+    """All parts' tests as one family, ranked by ranges; parts of the least sizes are left out of it."""
+    tests = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.expr(_P_SQL).alias("p"))
+    return ordering.holm(tests, "p", ["p_partkey"], None, F.col("p_size") > 3).select("p_partkey", (F.round("p_holm", 9) + F.lit(0.0)).alias("p_holm"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer")
+def numbered_rows(spark, sf_dir):
+    """Each customer's place in one order of all, by prefix sums of ranges."""
+    return whole(ordering.numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), F.col("c_custkey")]).drop("c_acctbal"), "place")

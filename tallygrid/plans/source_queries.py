@@ -129,7 +129,7 @@ def row_hashes(spark, sf_dir):
 
 
 @query(
-    """SELECT 'P' || lpad(CAST(row_number() OVER (ORDER BY c_name) AS VARCHAR), 4, '0') AS participant_id, CAST(c_custkey AS VARCHAR) AS puzzle_id, c_acctbal > 0 AS is_valid,
+    """SELECT 'P' || lpad(CAST(row_number() OVER (ORDER BY c_name) AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER (ORDER BY c_name) AS VARCHAR))) AS INTEGER), '0') AS participant_id, CAST(c_custkey AS VARCHAR) AS puzzle_id, c_acctbal > 0 AS is_valid,
  CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'class' END AS solution_id, CASE WHEN c_custkey % 3 = 0 THEN 'abstract' WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'class' END AS abstract_solution_id, 1 AS attempt_index, 'HUMAN' AS source FROM customer"""
 )
 def deidentified_rows(spark, sf_dir):

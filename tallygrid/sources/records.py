@@ -136,17 +136,18 @@ def exported(rows: DataFrame, allowed: list[str], dropped: list[str] = (), key:
 def pseudonyms(people: DataFrame, name: str, known: DataFrame | None, prefix: str = "P") -> DataFrame:
     """(name, alias): known aliases stay; new names get the next numbers in the order of the names.
 
-    People are a study's participants; the numbering is one window over the few new ones.
+    Numbers of more than four digits are written whole.
     """
-    from pyspark.sql import Window
+    from tallygrid.operators.ordering import numbered
 
     names = people.select(name).distinct()
     if known is None:
         known = people.sparkSession.createDataFrame([], f"{name} string, alias string")
     base = known.agg(F.coalesce(F.max(F.regexp_extract("alias", r"(\d+)$", 1).cast("int")), F.lit(0)).alias("n")).first()["n"]
     new = names.join(known.select(name), name, "left_anti")
-    number = F.row_number().over(Window.orderBy(name)) + base
-    fresh = new.select(name, F.concat(F.lit(prefix), F.lpad(number.cast("string"), 4, "0")).alias("alias"))
+    number = (F.col("_place") + base).cast("string")
+    padded = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
+    fresh = numbered(new, [name], "_place").select(name, F.concat(F.lit(prefix), padded).alias("alias"))
     return known.join(names, name, "left_semi").select(name, "alias").unionAll(fresh)
 
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrid.functions import solvers
-from tallygrid.operators import modules, pools, study
+from tallygrid.operators import modules, ordering, pools, study
+from tallygrid.sources import records
 
 MAZES = [
     ["S..", ".#.", "..G"],
@@ -149,3 +150,26 @@ def test_ranked_simplicity(spark, n, names):
     rows = spark.createDataFrame([("p", k, 0.5) for k in range(n)], "puzzle_id string, k int, score double")
     got = pools.ranked_simplicity(rows, "score", ["k"]).orderBy("k").collect()
     assert [r.bucket for r in got] == names and got[0].percentile == 0 and (n == 1 or got[-1].percentile == 1)
+
+
+def test_places_over_all_rows(spark):
+    values = [((k * 7919) % 101, k) for k in range(300)]
+    rows = spark.createDataFrame(values, "v int, k int").repartition(7)
+    got = {r.k: r.place for r in ordering.numbered(rows, [F.desc("v"), F.col("k")]).collect()}
+    assert got == {k: i + 1 for i, (_, k) in enumerate(sorted(values, key=lambda x: (-x[0], x[1])))}
+    assert ordering.numbered(rows.limit(0), ["v", "k"]).count() == 0
+    for n in range(1, 9):
+        at = spark.range(1, n + 1).select("id", ordering.thirds(F.col("id"), n).alias("t"), F.ntile(3).over(ordering.Window.orderBy("id")).alias("u")).collect()
+        assert [r.t for r in at] == [r.u for r in at]
+
+
+def test_holm_over_ranges_is_holm(spark):
+    rows = spark.createDataFrame([(k, ((k * 37) % 50 + 1) / 20000, 0) for k in range(120)], "k int, p double, g int")
+    one = {r.k: r.p_holm for r in ordering.holm(rows, "p", ["k"]).collect()}
+    assert one == pytest.approx({r.k: r.p_holm for r in ordering.holm(rows, "p", ["k"], ["g"]).collect()})
+
+
+def test_long_pseudonyms_are_whole(spark):
+    known = spark.createDataFrame([("a", "P9998")], "name string, alias string")
+    got = records.pseudonyms(spark.createDataFrame([(x,) for x in "abcd"], "name string"), "name", known).collect()
+    assert {r.name: r.alias for r in got} == {"a": "P9998", "b": "P9999", "c": "P10000", "d": "P10001"}
