@@ -5,7 +5,8 @@ every sequence a capacity for each.  Sequences are filled one at a time by the
 dot-product heuristic: of the pieces in a pool that fit, the one whose demand
 has the largest scaled dot product with the remaining capacity goes in next.
 The pool is refilled from the stream after each closed sequence, so a task
-holds ``POOL`` pieces at most, whatever it reads; nothing is shuffled.
+holds ``POOL`` pieces and what is over of the last document, whose pieces come
+in at once; nothing is shuffled.
 
 A document longer than a sequence is cut at the sequence length.  If nothing
 in the pool fits into what is left of a sequence and at least ``MIN_FILL``
