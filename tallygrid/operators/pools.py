@@ -122,6 +122,20 @@ def empty_cells(cells: str, digit: str, box: tuple[int, int]) -> Column:
     return F.filter(F.transform(cells, state), lambda x: x["empty"])
 
 
+def square_targets(rows: DataFrame, digit: str, box: tuple[int, int]) -> DataFrame:
+    """(puzzle_id, r, c, box, options) of the cells of boards (puzzle_id, board) where a digit may go, ``options`` being how many digits may go there."""
+    size = box[0] * box[1]
+    digits = F.array(*[F.lit(str(d + 1)) for d in range(size)])
+    peers = F.array(*[F.array(*map(F.lit, _peers(k, box))) for k in range(size * size)])
+    found = once(rows.select("puzzle_id", "board"), "_x", characters("board"))
+    free = F.filter(empty_cells("_x", digit, box), lambda x: ~x["taken"])
+    found = found.select("puzzle_id", "_x", F.explode(F.transform(free, lambda x: x["cell"])).alias("_cell"))
+    r, c = F.col("_cell")[0], F.col("_cell")[1]
+    seen = F.transform(F.element_at(peers, (r - 1) * size + c), lambda j: F.element_at("_x", j + 1))
+    number = F.floor((r - 1) / box[0]) * (size // box[1]) + F.floor((c - 1) / box[1])
+    return found.select("puzzle_id", r.alias("r"), c.alias("c"), number.alias("box"), F.size(F.array_except(digits, seen)).alias("options"))
+
+
 def square_pool(rows: DataFrame, digit: str, box: tuple[int, int], solutions: tuple[int, int] = (3, 8)) -> DataFrame:
     """Adds cells, decoys, n_solutions, n_empty, least_visible, most_visible, pressure, difficulty and level to boards (puzzle_id, board, more) with a fit number of cells for a digit.
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.operators import modules, ordering, pools
+from tallygrid.operators import modules, ordering, pools, puzzles
 from tallygrid.streaming import resume
 
 from .source_queries import scratch
@@ -100,6 +100,18 @@ def maze_pool(spark, sf_dir):
     return whole(rounded(found, "pressure"), "shortest", "n_solutions", "detour", "dead_ends", "branches")
 
 
+@query(
+    """WITH b AS (SELECT CAST(p_partkey AS BIGINT) AS puzzle_id, sha256(CAST(p_partkey AS VARCHAR)) AS h FROM part),
+ c AS (SELECT puzzle_id, k // 4 AS r, k % 4 AS c, CASE WHEN h[2 * k + 1] < '5' THEN translate(h[2 * k + 2], '0123456789abcdef', '1234123412341234') ELSE '.' END AS x FROM b, range(16) t(k)),
+ f AS (SELECT a.puzzle_id, a.r, a.c, 4 - count(DISTINCT o.x) FILTER (o.x <> '.') AS options FROM c a JOIN c o ON o.puzzle_id = a.puzzle_id AND (o.r = a.r OR o.c = a.c OR (o.r // 2 = a.r // 2 AND o.c // 2 = a.c // 2)) WHERE a.x = '.' GROUP BY ALL HAVING NOT bool_or(o.x = '1'))
+ SELECT puzzle_id, r + 1 AS r, c + 1 AS c, options, least(count(*) OVER (PARTITION BY puzzle_id, r), count(*) OVER (PARTITION BY puzzle_id, c), count(*) OVER (PARTITION BY puzzle_id, r // 2, c // 2)) AS least_targets FROM f"""
+)
+def square_targets(spark, sf_dir):
+    """The cells where a 1 may go: how many digits may go there, and the fewest such cells of a cell's row, column and box."""
+    cells = puzzles.sudoku_features(pools.square_targets(_boards(spark, sf_dir), "1", (2, 2)))
+    return whole(cells.select("puzzle_id", "r", "c", "options", "least_targets"), "r", "c", "options", "least_targets")
+
+
 _ABOUT = {k: [j for j in range(12) if j != k and abs(j // 4 - k // 4) <= 1 and abs(j % 4 - k % 4) <= 1] for k in range(12)}
 _NEAR_SQL = f"[{', '.join(str(_ABOUT[k]) for k in range(12))}]"
 
