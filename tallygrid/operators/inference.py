@@ -292,23 +292,23 @@ def _emptied(cells: DataFrame, there: DataFrame, reps: list[int]) -> DataFrame:
     return cells.sparkSession.createDataFrame([(r,) for r in reps], "rep int").join(full, "rep", "left_anti")
 
 
-def people_blocks(people: DataFrame, depth: int) -> DataFrame:
-    """(block, path): the leaves of a splitting tree over people, and the sizes along their way down from the root.
+def people_blocks(people: DataFrame, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, block, path): the leaves of a splitting tree over people, a tree for each value of ``keys``, and the sizes along their way down from the root.
 
-    ``people`` has one row a person and a column ``h``, a hash of the person, whose first ``depth`` bits say which
+    ``people`` has keys, one row a person and a column ``h``, a hash of the person, whose first ``depth`` bits say which
     way the person goes.  ``path`` lists each node on the way, whether the way goes on to the right, how many people go left
     there and how many pass it.
     """
-    sizes = people.groupBy(_block_of("h", depth).alias("block")).agg(F.count("*").alias("n"))
-    on_way = sizes.select("block", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).withColumn("node", F.expr(f"shiftright(block, {depth} - level)"))
-    nodes = on_way.groupBy("level", "node").agg(F.sum("n").alias("size"))
-    left = nodes.filter("level > 0 and node % 2 = 0").select((F.col("level") - 1).alias("level"), F.shiftright("node", 1).alias("node"), F.col("size").alias("left"))
-    nodes = nodes.join(left, ["level", "node"], "left").fillna(0, ["left"])
+    sizes = people.groupBy(*keys, block_of("h", depth).alias("block")).agg(F.count("*").alias("n"))
+    on_way = sizes.select(*keys, "block", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).withColumn("node", F.expr(f"shiftright(block, {depth} - level)"))
+    nodes = on_way.groupBy(*keys, "level", "node").agg(F.sum("n").alias("size"))
+    left = nodes.filter("level > 0 and node % 2 = 0").select(*keys, (F.col("level") - 1).alias("level"), F.shiftright("node", 1).alias("node"), F.col("size").alias("left"))
+    nodes = nodes.join(left, [*keys, "level", "node"], "left").fillna(0, ["left"])
     step = F.struct("level", "node", F.expr(f"shiftright(block, greatest({depth} - level - 1, 0)) % 2 = 1").alias("right"), "left", "size")
-    return on_way.select("block", "level", "node").join(nodes, ["level", "node"]).groupBy("block").agg(F.sort_array(F.collect_list(step)).alias("path"))
+    return on_way.select(*keys, "block", "level", "node").join(nodes, [*keys, "level", "node"]).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(step)).alias("path"))
 
 
-def _block_of(h: str, depth: int) -> Column:
+def block_of(h: str, depth: int) -> Column:
     """The first bits of a 64-bit hash."""
     return F.shiftrightunsigned(h, 64 - depth).cast("long") if depth else F.lit(0).cast("long")
 
@@ -353,7 +353,7 @@ def drawn_people(answers: DataFrame, reps: list[int], seed: int, tries: int, blo
         klass = names["klass"].astype(object).where(names["klass"].notna(), None).to_numpy()
         return pd.DataFrame({"rep": np.array(reps, np.int32)[rep], "item": names["item"].to_numpy()[at], "klass": klass[at], "w": sums[rep, at]})
 
-    mine = spread(rows.withColumn("block", _block_of("h", depth)), "block").groupBy("block").cogroup(spread(people_blocks(people, depth), "block").groupBy("block"))
+    mine = spread(rows.withColumn("block", block_of("h", depth)), "block").groupBy("block").cogroup(spread(people_blocks(people, depth), "block").groupBy("block"))
     return mine.applyInPandas(draw, f"rep int, item {item}, klass string, w long")
 
 

@@ -1,8 +1,7 @@
 """Penalised choice and source regressions with leave-one-item-out validation.
 
-A fit is small and dense: an item's candidates are one matrix, so a task's items go
-to Python in one group and the tasks run in parallel.  Newton steps are damped
-by backtracking; an intercept, if any, isn't penalised.
+The fits of tables are made by :mod:`newton`, on sums over blocks of items; :class:`Choice` and :class:`Source` are
+the same models of one small matrix.  Newton steps are damped by backtracking; an intercept, if any, isn't penalised.
 """
 
 from __future__ import annotations
@@ -12,16 +11,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrid.functions import metrics as m
 
-from .lineage import spread
+from . import newton
+from .newton import MOST_STEPS, TOLERANCE
 
 PENALTY = 1e-4
-TOLERANCE = 1e-8
-MOST_STEPS = 10_000
 
 
 def minimise(value, derivatives, start: np.ndarray) -> tuple[np.ndarray, float, int]:
@@ -62,13 +60,6 @@ class Choice:
         size = np.array([len(m) for m in x], np.int64)
         self._set(np.concatenate(x) if x else np.zeros((0, 0)), np.concatenate(q) if q else np.zeros(0), size, penalty)
 
-    @classmethod
-    def stacked(cls, rows: np.ndarray, target: np.ndarray, size: np.ndarray, penalty: float) -> Choice:
-        """Of all items in one matrix, where an item's candidates are a run of rows."""
-        out = cls.__new__(cls)
-        out._set(rows, target, size, penalty)
-        return out
-
     def _set(self, rows: np.ndarray, target: np.ndarray, size: np.ndarray, penalty: float) -> None:
         self.rows, self.target, self.size, self.penalty = rows, target, size, penalty
         self.width, self.head = rows.shape[1], np.cumsum(size) - size
@@ -159,163 +150,47 @@ class Source:
         return minimise(value, derivatives, np.zeros(self.x.shape[1]) if start is None else start)
 
 
-class _Filled:
-    """Features that don't vary inside an item say nothing of its choice; they take the mean of the training items."""
-
-    def __init__(self, rows: np.ndarray, size: np.ndarray):
-        self.rows, head = rows, np.cumsum(size) - size
-        constant = np.maximum.reduceat(rows, head) == np.minimum.reduceat(rows, head) if len(size) else np.zeros((0, rows.shape[1]), bool)
-        self.fixed, self.any = np.repeat(constant, size, 0), bool(constant.any())
-        self.sums = np.add.reduceat(rows, head) * ~constant if len(size) else np.zeros((0, rows.shape[1]))
-        self.counts = size[:, None] * ~constant
-
-    def by(self, training: np.ndarray) -> np.ndarray:
-        """All rows as these items (a mask) fill them."""
-        if not self.any:
-            return self.rows
-        count = self.counts[training].sum(axis=0)
-        mean = np.where(count > 0, self.sums[training].sum(axis=0) / np.maximum(1, count), 0.5)
-        return np.where(self.fixed, mean, self.rows)
-
-
-CHUNK = 64
-LEFT_OUT = 128
-_DRAWN = "rep int, place int, coefficient double, held_out double"
-
-
-class _ChoiceTask:
-    """A task's items, and refits of them: all, drawn ones, and with one left out.  An item that isn't drawn or is left out weighs nothing."""
-
-    metric = "loss"
-
-    def __init__(self, pdf: pd.DataFrame, item: str, order: str, target: str, features: list[str], penalty: float):
-        pdf = pdf.sort_values([item, order])
-        of = pdf.groupby(item, sort=True, dropna=False).ngroup().to_numpy()
-        pdf, of = pdf.iloc[np.argsort(of, kind="stable")], np.sort(of)
-        self.names, self.penalty, self.size = features, penalty, np.bincount(of)
-        own = pdf[target].to_numpy(float)
-        self.q = own / np.bincount(of, own)[of]
-        self.features = _Filled(pdf[features].to_numpy(float), self.size)
-        self.items = len(self.size)
-
-    def _model(self, training: np.ndarray) -> Choice:
-        return Choice.stacked(self.features.by(training), self.q, self.size, self.penalty)
-
-    def fit(self, times: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
-        return self._model(times > 0).fit(times.astype(float), start)
-
-    def held_out(self, times: np.ndarray, start: np.ndarray | None = None, left_out: np.ndarray | None = None) -> tuple[float, float]:
-        """Loss of each drawn item (or those of ``left_out``) under the fit without it (all its copies), summed by copies; and the copies."""
-        total, n = 0.0, 0.0
-        for k in np.flatnonzero(times) if left_out is None else left_out:
-            others = times.astype(float)
-            others[k] = 0
-            if others.any():
-                model = self._model(others > 0)
-                beta = model.fit(others, start)[0]
-                own = slice(model.head[k], model.head[k] + self.size[k])
-                total += times[k] * Choice.stacked(model.rows[own], self.q[own], self.size[k : k + 1], self.penalty).losses(beta)[0]
-                n += times[k]
-        return total, n
-
-    def in_sample(self, beta: np.ndarray) -> dict[str, float]:
-        return {"loss": float(self._model(np.ones(self.items, bool)).losses(beta).mean()), "chance_loss": float(np.log(self.size).mean())}
-
-
-class _SourceTask:
-    """The same for the regression of a source: weights of an item's rows grow with its copies."""
-
-    metric = "accuracy"
-
-    def __init__(self, pdf: pd.DataFrame, item: str, order: str, target: str, features: list[str], penalty: float):
-        pdf = pdf.sort_values([item, order])
-        self.names = ["intercept", *features]
-        self.x, self.y, self.w = pdf[features].to_numpy(float), pdf[order].to_numpy(float), pdf[target].to_numpy(float)
-        self.of = np.unique(pdf[item].astype(str).to_numpy(), return_inverse=True)[1]
-        self.items, self.penalty = int(self.of.max(initial=-1)) + 1, penalty
-
-    def _model(self, rows: np.ndarray, times: np.ndarray) -> Source:
-        return Source(self.x[rows], self.y[rows], self.w[rows] * times[self.of[rows]], self.penalty)
-
-    def fit(self, times: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
-        return Source(self.x, self.y, self.w * times[self.of], self.penalty).fit(start=start)
-
-    @staticmethod
-    def _right(model: Source, beta: np.ndarray) -> float:
-        p = model.probability(beta)
-        return float((model.w * np.where(p > 0.5, model.y, np.where(p < 0.5, 1 - model.y, 0.5))).sum() / model.w.sum())
-
-    def held_out(self, times: np.ndarray, start: np.ndarray | None = None, left_out: np.ndarray | None = None) -> tuple[float, float]:
-        """Accuracy on each drawn item (or those of ``left_out``) under the fit without it, summed by copies; and the copies."""
-        total, n = 0.0, 0.0
-        for k in np.flatnonzero(times) if left_out is None else left_out:
-            others = times.astype(float)
-            others[k] = 0
-            if others.any():
-                beta = self.fit(others, start)[0]
-                total += times[k] * self._right(self._model(self.of == k, times), beta)
-                n += times[k]
-        return total, n
-
-    def in_sample(self, beta: np.ndarray) -> dict[str, float]:
-        ones = np.ones(self.items)
-        return {"accuracy": self._right(self._model(np.ones(len(self.y), bool), ones), beta)}
-
-
-def _fits(kind: type, rows: DataFrame, task: str, item: str, order: str, target: str, features: list[str], repeats: int, seed: int, penalty: float, validate: bool, measures: list[str]) -> DataFrame:
-    """Point fits by task, validation in blocks of left-out items, and the intervals of refits in chunks of draws, all side by side.
-
-    All draws of a task come from one generator, so that a chunk takes its own of them whatever the number of chunks.
-    """
-    ready = rows.select(task, item, order, target, *features)
-    task_type = dict(rows.dtypes)[task]
-
-    def point(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = kind(pdf, item, order, target, features, penalty)
-        ones = np.ones(own.items)
-        beta, gradient, steps = own.fit(ones)
-        found = own.in_sample(beta)
-        return pd.DataFrame({task: pdf[task].iloc[0], "place": range(len(own.names)), "feature": own.names, "coefficient": beta, "items": own.items, **{m: found[m] for m in measures}, "gradient": gradient, "steps": steps})
-
-    def left_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, block = kind(pdf, item, order, target, features, penalty), int(pdf["block"].iloc[0])
-        ones = np.ones(own.items)
-        total, n = own.held_out(ones, own.fit(ones)[0], np.arange(block * LEFT_OUT, min(own.items, (block + 1) * LEFT_OUT)))
-        return pd.DataFrame({task: pdf[task].iloc[:1], "total": total, "n": n})
-
-    def refits(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, chunk, rng, out = kind(pdf, item, order, target, features, penalty), int(pdf["chunk"].iloc[0]), np.random.default_rng(seed), []
-        for rep in range(min(repeats, (chunk + 1) * CHUNK)):
-            times = np.bincount(rng.integers(0, own.items, own.items), minlength=own.items)
-            if rep >= chunk * CHUNK:
-                beta = own.fit(times)[0]
-                total, n = own.held_out(times, beta) if validate else (0.0, 0.0)
-                held = total / n if n else np.nan
-                out += [(pdf[task].iloc[0], rep, place, b, held) for place, b in enumerate(beta)]
-        return pd.DataFrame(out, columns=[task, "rep", "place", "coefficient", "held_out"])
-
-    columns = "".join(f"{m} double, " for m in measures)
-    points = spread(ready, task).groupBy(task).applyInPandas(point, f"{task} {task_type}, place int, feature string, coefficient double, items long, {columns}gradient double, steps long")
-    # Items are left out in blocks side by side, each from the task's own fit on.
-    blocks = ready.groupBy(task).agg(F.count_distinct(F.struct(item)).alias("_items")).select(F.col(task).alias("_task"), F.explode(F.sequence(F.lit(0), F.floor((F.col("_items") - 1) / LEFT_OUT).cast("int"))).alias("block"))
-    apart = ready.join(blocks, ready[task].eqNullSafe(blocks["_task"])).drop("_task")
-    apart = spread(apart, task, "block").groupBy(task, "block").applyInPandas(left_out, f"{task} {task_type}, total double, n double")
-    apart = apart.groupBy(task).agg(F.try_divide(F.sum("total"), F.sum("n")).alias("held_out"))
-    points = points.join(apart, task, "left")
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-repeats // CHUNK) - 1)))).alias("chunk")
-    drawn = spread(ready.select("*", chunks), task, "chunk").groupBy(task, "chunk").applyInPandas(refits, f"{task} {task_type}, {_DRAWN}")
-    limits = drawn.groupBy(task, "place").agg(F.percentile("coefficient", [0.025, 0.975]).alias("c"), F.percentile(F.nanvl("held_out", F.lit(None).cast("double")), [0.025, 0.975]).alias("h"))
-    shown = {"held_out": f"held_out_{kind.metric}"}
-    out = points.join(limits, [task, "place"], "left")
+def _tasks(rows: DataFrame, task: str) -> DataFrame:
+    """The names by which fits know the tasks."""
+    return rows.select(task, F.to_json(F.struct(F.col(task).alias("task"))).alias("_t")).distinct()
+
+
+def _points(spark: SparkSession, found: dict[str, newton.Steps], names: list[str]) -> DataFrame:
+    point = [(t, place, name, float(s.x[0, place]), float(s.size[0]), int(s.steps[0])) for t, s in found.items() for place, name in enumerate(names)]
+    return spark.createDataFrame(point, "_t string, place int, feature string, coefficient double, gradient double, steps long")
+
+
+def _fits(kind: type, rows: DataFrame, task: str, item: str, order: str, target: str, features: list[str], repeats: int, seed: int, penalty: float, validate: bool) -> DataFrame:
+    """Fits of all items of a task and of its draws by :mod:`newton`, how they do in sample, and their validation by items left out."""
+    spark, names = rows.sparkSession, kind.names(features)
+    blocks = newton.packed(rows, task, item, order, target, features, repeats, seed, ranked=kind is newton.ChoiceItems)
+    found = newton.fits(blocks, kind, features, repeats, seed, penalty)
+    points = _points(spark, found, names)
+    # Tasks x draws x features, which a study fixes.
+    drawn = [pd.DataFrame({"_t": t, "place": np.tile(np.arange(len(names), dtype=np.int32), repeats), "c": s.x[1:].ravel()}) for t, s in found.items()]
+    kinds = "_t string, place int, c double"
+    drawn = spark.createDataFrame(pd.concat(drawn), kinds) if drawn and repeats else spark.createDataFrame([], kinds)
+    limits = drawn.groupBy("_t", "place").agg(F.percentile("c", [0.025, 0.975]).alias("c"))
+    apart = newton.held_out(blocks, kind, features, repeats if validate else 0, seed, penalty, found).groupBy("_t")
+    apart = apart.agg(F.max(F.when(F.col("rep") < 0, F.col("held_out"))).alias("held"), F.percentile(F.when(F.col("rep") >= 0, F.col("held_out")), [0.025, 0.975]).alias("h"))
+    out = points.join(newton.measured(blocks, kind, features, seed, found), "_t").join(limits, ["_t", "place"], "left").join(apart, "_t", "left").join(_tasks(rows, task), "_t")
+    name = f"held_out_{kind.metric}"
     return out.select(
-        task, "feature", "coefficient", F.col("c")[0].alias("low"), F.col("c")[1].alias("high"), "items", *measures,
-        F.col("held_out").alias(shown["held_out"]), F.col("h")[0].alias("held_out_low"), F.col("h")[1].alias("held_out_high"), "gradient", "steps",
+        task, "feature", "coefficient", F.col("c")[0].alias("low"), F.col("c")[1].alias("high"), "items", *kind.measures,
+        F.col("held").alias(name), F.col("h")[0].alias("held_out_low"), F.col("h")[1].alias("held_out_high"), "gradient", "steps",
     )
 
 
 def choice_fits(rows: DataFrame, task: str, item: str, candidate: str, share: str, features: list[str], repeats: int = 2000, seed: int = 0, penalty: float = PENALTY, validate: bool = False) -> DataFrame:
     """Per task and feature: coefficient and interval (items drawn whole); per task: loss in and out of sample, of chance, and validation by items left out, in each draw too if ``validate``."""
-    return _fits(_ChoiceTask, rows, task, item, candidate, share, features, repeats, seed, penalty, validate, ["loss", "chance_loss"])
+    return _fits(newton.ChoiceItems, rows, task, item, candidate, share, features, repeats, seed, penalty, validate)
+
+
+def stepped(rows: DataFrame, task: str, item: str, candidate: str, share: str, features: list[str], steps: int, penalty: float = PENALTY) -> DataFrame:
+    """(task, feature, coefficient, gradient, steps) of the choice regression after so many Newton steps from 0 on, or fewer where the gradient vanishes before."""
+    blocks = newton.packed(rows, task, item, candidate, share, features, 0, 0, ranked=True)
+    found = newton.fits(blocks, newton.ChoiceItems, features, 0, 0, penalty, most=steps)
+    return _points(rows.sparkSession, found, features).join(_tasks(rows, task), "_t").select(task, "feature", "coefficient", "gradient", "steps")
 
 
 def source_fits(rows: DataFrame, task: str, item: str, is_first: str, weight: str, features: list[str], repeats: int = 0, seed: int = 0, penalty: float = PENALTY, validate: bool = False) -> DataFrame:
@@ -324,7 +199,7 @@ def source_fits(rows: DataFrame, task: str, item: str, is_first: str, weight: st
     ``rows`` has one row for each item, source and candidate, ``weight`` its share of the source's answers on the item, so each source has weight 1 an item.
     """
     ready = rows.withColumn(is_first, F.col(is_first).cast("double"))
-    return _fits(_SourceTask, ready, task, item, is_first, weight, features, repeats, seed, penalty, validate, ["accuracy"])
+    return _fits(newton.SourceItems, ready, task, item, is_first, weight, features, repeats, seed, penalty, validate)
 
 
 def fingerprints(rows: DataFrame, task: str, parameters: str) -> DataFrame:

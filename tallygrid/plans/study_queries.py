@@ -348,6 +348,28 @@ def choice_objective(spark, sf_dir):
     return rounded(out, "objective", "gradient")
 
 
+def _newton_sql(steps: int) -> str:
+    """Whole Newton steps of two slopes from 0 on, a few tables for each step."""
+    out = [_CHOICE_SQL, "b0 AS (SELECT DISTINCT source, 0.0 AS x, 0.0 AS y FROM ch)"]
+    for k in range(steps):
+        out += [
+            f"e{k} AS (SELECT ch.*, exp(x * price + y * late) AS e FROM ch JOIN b{k} USING (source))",
+            f"p{k} AS (SELECT source, item, price, late, share, e / sum(e) OVER (PARTITION BY source, item) AS p FROM e{k})",
+            f"""i{k} AS (SELECT source, item, sum(price * (p - share)) AS g, sum(late * (p - share)) AS h, sum(p * price * price) - sum(p * price) ** 2 AS a, sum(p * price * late) - sum(p * price) * sum(p * late) AS c,
+  sum(p * late * late) - sum(p * late) ** 2 AS d FROM p{k} GROUP BY ALL)""",
+            f"t{k} AS (SELECT source, x, y, avg(g) + 0.0001 * x AS g, avg(h) + 0.0001 * y AS h, avg(a) + 0.0001 AS a, avg(c) AS c, avg(d) + 0.0001 AS d FROM i{k} JOIN b{k} USING (source) GROUP BY source, x, y)",
+            f"b{k + 1} AS (SELECT source, x - (d * g - c * h) / (a * d - c * c) AS x, y - (a * h - c * g) / (a * d - c * c) AS y FROM t{k})",
+        ]
+    return "WITH " + ",\n ".join(out) + f" SELECT source, unnest(['price', 'late']) AS feature, round(unnest([x, y]), 6) AS coefficient FROM b{steps}"
+
+
+@query(_newton_sql(2))
+def newton_steps(spark, sf_dir):
+    """The fits of the choice regression after two steps."""
+    out = logit.stepped(logit.choice_rows(*_choices(spark, sf_dir), ["price", "late"]), "source", "item", "klass", "share", ["price", "late"], 2)
+    return rounded(out.select("source", "feature", "coefficient"), "coefficient")
+
+
 @query(
     f"""WITH {_CHOICE_SQL}, s AS (SELECT source, item, count(*) AS n, sum(price * price) AS pp, sum(price * late) AS pl, sum(late * late) AS ll, avg(price) AS mp, avg(late) AS ml FROM ch GROUP BY ALL)
  SELECT source, item, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN i = 0 AND j = 0 THEN pp / n - mp * mp WHEN i = 1 AND j = 1 THEN ll / n - ml * ml ELSE pl / n - mp * ml END, 6) AS value FROM s, range(2) a(i), range(2) b(j)"""
