@@ -381,35 +381,66 @@ def _world(answers: DataFrame, reps: list[int], seed: int, tries: int, crossed:
     return out
 
 
-def paired_correlations(values: DataFrame, repeats: int, seed: int) -> DataFrame:
+def dealt(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """(1 + replicates, n): once each, then how often each of a block's ``n`` members is drawn, of as many as ``counts`` says."""
+    places = rng.integers(0, n, int(counts.sum()))
+    drawn = np.bincount(np.repeat(np.arange(len(counts)), counts) * n + places, minlength=len(counts) * n)
+    return np.vstack((np.ones((1, n)), drawn.reshape(len(counts), n)))
+
+
+#: Replicates of a message of sums.
+REPLICATES = 512
+
+
+def paired_correlations(values: DataFrame, repeats: int, seed: int, block: int = PEOPLE_A_BLOCK) -> DataFrame:
     """Correlation of each pair of sources over items, with an interval from item draws within strata shared by all pairs.
 
-    ``values`` has source, stratum, item, value: a study's items, one small table a stratum.
+    ``values`` has source, stratum, item, value; rows without source or value are left out, and an item's several values
+    are averaged.  ``mean_r`` is the mean of the strata's correlations, null where a stratum has no spread; such draws don't
+    count for the interval.  Items sit in blocks that know their share of each replicate from a splitting tree, and a
+    block answers with a replicate's count, sums, squares and products: nothing sees a stratum whole.
     """
-    a, b = (values.select("stratum", "item", F.col("source").alias(s), F.col("value").alias(v)) for s, v in (("left", "x"), ("right", "y")))
-    pairs = a.join(b, ["stratum", "item"]).filter(F.col("left") < F.col("right"))
-
-    def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["stratum", "item"])
-        blocks = [g[["x", "y"]].to_numpy() for _, g in pdf.groupby("stratum", sort=True)]
-        rng = np.random.default_rng(seed)
-        out = []
-        for _ in range(repeats):
-            rs = [_r(block[rng.integers(0, len(block), len(block))]) for block in blocks]
-            out.append(np.mean(rs))
-        r = np.mean([_r(block) for block in blocks])
-        pooled = _r(np.concatenate(blocks))
-        low, high = np.nanquantile(out, LEVELS) if not np.all(np.isnan(out)) else (np.nan, np.nan)
-        return pd.DataFrame([{"left": pdf["left"].iloc[0], "right": pdf["right"].iloc[0], "mean_r": r, "pooled_r": pooled, "low": low, "high": high}])
-
-    kinds = dict(pairs.dtypes)
-    return pairs.groupBy("left", "right").applyInPandas(correlate, f"left {kinds['left']}, right {kinds['right']}, mean_r double, pooled_r double, low double, high double")
-
-
-def _r(xy: np.ndarray) -> float:
-    x, y = xy[:, 0] - xy[:, 0].mean(), xy[:, 1] - xy[:, 1].mean()
-    scale = np.sqrt((x * x).sum() * (y * y).sum())
-    return float((x * y).sum() / scale) if scale > 1e-12 else float("nan")
+    kind = dict(values.dtypes)["source"]
+    rows = values.filter("source is not null and value is not null").groupBy(F.to_json(F.struct("stratum")).alias("_s"), "source", F.to_json(F.struct("item")).alias("item")).agg(F.avg("value").alias("value"))
+    rows = rows.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("source"))).withColumn("h", F.xxhash64(F.lit(seed), "item"))
+    rows = fixed(rows)
+    items = rows.select("_s", "item", "h").distinct()
+    most = items.groupBy("_s").count().agg(F.max("count")).first()[0] or 1
+    depth = max(0, math.ceil(math.log2(most / block)))
+
+    def sums(key: tuple, own: pd.DataFrame, way: pd.DataFrame) -> pd.DataFrame:
+        wide = own.pivot(index=["h", "item"], columns="source", values="value").sort_index()
+        times = dealt(block_counts(list(way["path"].iloc[0]), repeats, seed, 0), len(wide), generator(str(seed), *map(str, key)))
+        v, names, out = wide.to_numpy(), list(wide.columns), []
+        for i, left in enumerate(names):
+            for j in range(i + 1, len(names)):
+                both = ~np.isnan(v[:, i]) & ~np.isnan(v[:, j])
+                x, y = v[both, i], v[both, j]
+                found = times[:, both] @ np.column_stack((np.ones(len(x)), x, y, x * x, y * y, x * y))
+                out += [(key[0], left, names[j], c, found[c * REPLICATES : (c + 1) * REPLICATES].tobytes()) for c in range(-(-len(found) // REPLICATES))]
+        return pd.DataFrame(out, columns=["_s", "left", "right", "chunk", "sums"])
+
+    def correlate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        strata = [sum(np.frombuffer(b, float).reshape(-1, 6) for b in g) for _, g in pdf.groupby("_s")["sums"]]
+        rep = key[2] * REPLICATES - 1 + np.arange(len(strata[0]))
+        return pd.DataFrame({"left": key[0], "right": key[1], "rep": rep, "r": np.mean([_r(s) for s in strata], axis=0), "pooled": _r(sum(strata))})
+
+    mine = spread(rows.withColumn("block", block_of("h", depth)), "_s", "block").groupBy("_s", "block")
+    ways = people_blocks(items, depth, ("_s",)).select(F.col("_s").alias("_of"), F.col("block").alias("_number"), "path")
+    found = mine.cogroup(spread(ways, "_of", "_number").groupBy("_of", "_number")).applyInPandas(sums, f"_s string, left {kind}, right {kind}, chunk int, sums binary")
+    found = found.groupBy("left", "right", "chunk").applyInPandas(correlate, f"left {kind}, right {kind}, rep int, r double, pooled double")
+    point = lambda c: F.max(F.when(F.col("rep") < 0, F.col(c)))
+    limits = F.percentile(F.when(F.col("rep") >= 0, F.col("r")), list(LEVELS))
+    out = found.groupBy("left", "right").agg(point("r").alias("mean_r"), point("pooled").alias("pooled_r"), limits.alias("q"))
+    return out.select("left", "right", "mean_r", "pooled_r", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def _r(sums: np.ndarray) -> np.ndarray:
+    """Correlations from rows of count, sums, squares and product; NaN where one side has no spread."""
+    n, x, y, xx, yy, xy = np.maximum(sums, [1, -np.inf, -np.inf, 0, 0, -np.inf]).T
+    vx, vy = xx - x * x / n, yy - y * y / n
+    sound = (vx > 1e-12 * xx) & (vy > 1e-12 * yy)
+    return np.where(sound, (xy - x * y / n) / np.sqrt(np.where(sound, vx * vy, 1)), np.nan)
 
 
 def recentred(values: DataFrame) -> DataFrame:

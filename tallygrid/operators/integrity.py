@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,12 +79,20 @@ def double_centred(distances: DataFrame) -> DataFrame:
 
 
 def same_in_any(rows: DataFrame, key: str, columns: list[list[str]], name: str) -> DataFrame:
-    """How many other rows agree with a row on one of the column lists at least; rows without any are left out."""
-    pairs = None
-    for cs in columns:
-        arm = rows.select(F.col(key), *cs).join(rows.select(F.col(key).alias("_other"), *cs), cs).filter(F.col(key) != F.col("_other")).select(key, "_other")
-        pairs = arm if pairs is None else pairs.unionAll(arm)
-    return pairs.distinct().groupBy(key).agg(F.count("*").alias(name))
+    """How many other rows agree with a row on one of the column lists at least; rows without any are left out, and nulls agree with nothing.
+
+    ``key`` tells rows apart.  Rows that agree on one list or another are counted by inclusion and exclusion, from the numbers of
+    rows that agree on all columns of some of the lists, so no pairs are made, however many rows agree.
+    """
+    lists = [k for size in range(1, len(columns) + 1) for k in itertools.combinations(columns, size)]
+    agreeing = F.lit(0).cast("long")
+    out = rows.select(key, *dict.fromkeys(c for cs in columns for c in cs))
+    for k, some in enumerate(lists):
+        cs = list(dict.fromkeys(c for one in some for c in one))
+        n = rows.dropna(subset=cs).groupBy(*cs).agg((F.count("*") - 1).alias(f"_n{k}")).filter(f"_n{k} > 0")
+        out = out.join(n, cs, "left")
+        agreeing = agreeing + (1 if len(some) % 2 else -1) * F.coalesce(f"_n{k}", F.lit(0))
+    return out.select(key, agreeing.alias(name)).filter(F.col(name) > 0)
 
 
 def constraint_problems(name: str, rows: DataFrame, key: list[str], required: list[str] = (), references: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .inference import block_counts, block_of, generator, people_blocks
+from .inference import block_counts, block_of, dealt, generator, people_blocks
 from .lineage import fixed, spread
 
 TOLERANCE = 1e-8
@@ -183,10 +183,7 @@ class Block:
 
     def times(self) -> np.ndarray:
         """(1 + draws, items): once each, then the draws' own share of the block, dealt to its items by the block's generator."""
-        n, draws = len(self.items.size), len(self.counts)
-        places = generator(str(self.seed), "items", str(self.number)).integers(0, n, int(self.counts.sum()))
-        drawn = np.bincount(np.repeat(np.arange(draws), self.counts) * n + places, minlength=draws * n)
-        return np.vstack((np.ones((1, n)), drawn.reshape(draws, n)))
+        return dealt(self.counts, len(self.items.size), generator(str(self.seed), "items", str(self.number)))
 
 
 _PACKED = "_t string, block long, n long, size binary, x binary, order binary, target binary, counts binary"

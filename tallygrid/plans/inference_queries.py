@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -187,7 +188,12 @@ def design_diagnostics(spark, sf_dir):
 
 @query
 def fit_method(spark, sf_dir):
-    return spark.createDataFrame(sorted((k, str(v)) for k, v in logit.method().items()), "name string, value string")
+    """How the fits of each source are made, beside the fingerprint of what they are made from."""
+    counts = _answers(spark, sf_dir).filter("klass is not null").groupBy("source", "item", "klass").agg(F.sum("n").alias("n"))
+    method = logit.method()
+    about = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(str(v)).alias("value")) for k, v in sorted(method.items())])).alias("m")
+    marks = logit.fingerprints(counts, "source", json.dumps(method, sort_keys=True))
+    return marks.select("source", "fingerprint", about).select("source", "fingerprint", "m.name", "m.value")
 
 
 @query

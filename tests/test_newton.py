@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from tallygrid.operators import logit, newton
+from pyspark.sql import functions as F
+
+from tallygrid.operators import inference, integrity, logit, newton
 
 
 def _design(spark, n=60, seed=5):
@@ -105,3 +107,33 @@ def test_steps_are_halved_until_they_gain():
     assert way.trial[0, 0] == -1 and way.steps[0] == 0 and way.open[0]
     way.advance(np.array([[1.0, 4.0, 0.0, 1.0]]), shrink, 99)
     assert way.x[0, 0] == -1 and way.steps[0] == 1 and not way.open[0]
+
+
+def test_paired_correlations_from_sums(spark):
+    rng = np.random.default_rng(8)
+    values = {(s, t, i): float(rng.normal() + (i % 7 if s != "c" else 0)) for s in "abc" for t in ("x", None) for i in range(50)}
+    df = spark.createDataFrame([(*k, v) for k, v in values.items()] + [("a", "x", 99, None), (None, "x", 1, 2.0)], "source string, stratum string, item int, value double")
+    for block in (1024, 8):
+        got = {(r.left, r.right): r for r in inference.paired_correlations(df, 600, 3, block).collect()}
+        assert sorted(got) == [("a", "b"), ("a", "c"), ("b", "c")]
+        for (left, right), r in got.items():
+            x, y = (np.array([[values[s, t, i] for i in range(50)] for t in ("x", None)]) for s in (left, right))
+            assert r.mean_r == pytest.approx(np.mean([np.corrcoef(a, b)[0, 1] for a, b in zip(x, y)])) and r.pooled_r == pytest.approx(np.corrcoef(x.ravel(), y.ravel())[0, 1])
+            drawn = []
+            for _ in range(600):
+                at = rng.integers(0, 50, (2, 50))
+                drawn.append(np.mean([np.corrcoef(a[k], b[k])[0, 1] for a, b, k in zip(x, y, at)]))
+            assert (r.low, r.high) == pytest.approx(tuple(np.quantile(drawn, (0.025, 0.975))), abs=0.05)
+    flat = df.withColumn("value", F.when(F.col("source") == "c", 4.0).otherwise(F.col("value")))
+    assert inference.paired_correlations(flat, 20, 3).filter("left = 'a' and right = 'c'").first().mean_r is None
+
+
+def test_agreeing_rows_are_counted_without_pairs(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, *(None if v == 3 else int(v) for v in rng.integers(0, 4, 4))) for k in range(80)]
+    lists = [["a", "b"], ["b", "c"], ["d"]]
+    at = {c: k + 1 for k, c in enumerate("abcd")}
+    same = lambda p, q: any(all(p[at[c]] is not None and p[at[c]] == q[at[c]] for c in cs) for cs in lists)
+    want = {p[0]: n for p in rows if (n := sum(same(p, q) for q in rows if q[0] != p[0]))}
+    got = integrity.same_in_any(spark.createDataFrame(rows, "k int, a int, b int, c int, d int"), "k", lists, "others")
+    assert {r.k: r.others for r in got.collect()} == want and got.columns == ["k", "others"]
