@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from tallygrid.functions import solvers
 
+from .lineage import fixed
+
 _CELLS = T.ArrayType(T.ArrayType(T.IntegerType()))
 _STRINGS = T.ArrayType(T.StringType())
 
@@ -123,23 +125,31 @@ def mine_certificate(board: pd.Series, r: pd.Series, c: pd.Series, kind: pd.Seri
 
 
 def diverse(rows: DataFrame, within: str, key: str, vector: str, k: int) -> DataFrame:
-    """Greedy choice of k rows a group, each the farthest from those chosen; a stratum's candidates are one small group."""
-    import numpy as np
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = np.array(pdf[vector].tolist(), float)
-        width = np.ptp(x, axis=0)
-        x = np.where(width > 0, (x - x.min(0)) / np.where(width > 0, width, 1), 0.0)
-        chosen = [0]
-        gap = ((x - x[0]) ** 2).sum(1)
-        while len(chosen) < min(k, len(x)):
-            gap[chosen] = -1
-            chosen.append(int(gap.argmax()))
-            gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
-        return pdf.loc[chosen].assign(place=range(1, len(chosen) + 1))
-
-    return rows.groupBy(within).applyInPandas(choose, T.StructType([*rows.schema.fields, T.StructField("place", T.IntegerType())]))
+    """Greedy choice of k rows a group, each the farthest from those chosen, coordinates scaled to 0 to 1 in the group; adds place.
+
+    ``key`` tells a group's rows apart; the least one comes first and wins ties.  A group of fewer rows is taken whole.  Each of the k
+    rounds brings a group's last choice to its rows and takes the farthest row by an aggregate, so no group is seen whole.
+    """
+    x = F.col(vector).cast("array<double>")
+    own = rows.select(F.to_json(F.struct(F.col(within).alias("g"))).alias("_g"), F.col(key).alias("_k"), x.alias("_x"))
+    ends = own.select("_g", F.posexplode("_x").alias("i", "v")).groupBy("_g", "i").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    # A coordinate's ends in order; a vector has few.
+    ends = ends.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("i", "low", "high"))).alias("_ends"))
+    scale = lambda v, e: F.when(e["high"] > e["low"], (v - e["low"]) / (e["high"] - e["low"])).otherwise(0.0)
+    left = fixed(own.join(ends, "_g", "left").select("_g", "_k", F.zip_with("_x", "_ends", scale).alias("_x"), F.lit(float("inf")).alias("_gap")))
+    chosen = None
+    for place in range(1, k + 1):
+        best = left.groupBy("_g").agg(F.min_by(F.struct("_k", "_x"), F.struct(-F.col("_gap"), F.col("_k").isNull(), "_k")).alias("_b"))
+        best = fixed(best.select("_g", F.col("_b._k").alias("_c"), F.col("_b._x").alias("_y"), F.lit(place).alias("place")))
+        chosen = best.drop("_y") if chosen is None else chosen.unionAll(best.drop("_y"))
+        if place < k:
+            apart = F.aggregate(F.zip_with("_x", "_y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+            others = left.join(best, "_g").filter(~F.col("_k").eqNullSafe(F.col("_c")))
+            left = fixed(others.select("_g", "_k", "_x", F.least("_gap", F.coalesce(apart, F.lit(0.0))).alias("_gap")))
+    if chosen is None:
+        return rows.limit(0).withColumn("place", F.lit(0))
+    mine = F.to_json(F.struct(F.col(within).alias("g"))).eqNullSafe(F.col("_g")) & F.col(key).eqNullSafe(F.col("_c"))
+    return rows.join(chosen, mine).drop("_g", "_c")
 
 
 def legal_cells(boards: DataFrame, digit: str, box_rows: int, box_columns: int) -> DataFrame:

@@ -109,3 +109,21 @@ def permuted_squares(spark, sf_dir):
     rows = puzzles.permuted_squares(table(spark, sf_dir, "part").select("p_partkey", board.alias("board"), full.alias("solution")), "p_partkey", ["board", "solution"], (2, 2), 7)
     flat = [F.array_join(c, "").alias(c) for c in ("board", "solution", "row_order", "column_order")]
     return rows.select("p_partkey", *flat, "digits", puzzles.square_holds("solution", (2, 2)).alias("holds"))
+
+
+@query(
+    """WITH s AS (SELECT s_nationkey AS g, s_suppkey AS k, CAST(s_acctbal AS DOUBLE) AS a, CAST(s_suppkey % 17 AS DOUBLE) AS b FROM supplier),
+ x AS (SELECT g, k, CASE WHEN max(a) OVER w > min(a) OVER w THEN (a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w) ELSE 0 END AS a,
+  CASE WHEN max(b) OVER w > min(b) OVER w THEN (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) ELSE 0 END AS b FROM s WINDOW w AS (PARTITION BY g)),
+ p1 AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY g ORDER BY k) = 1),
+ d1 AS (SELECT x.*, (x.a - p.a) * (x.a - p.a) + (x.b - p.b) * (x.b - p.b) AS gap FROM x JOIN p1 p ON x.g = p.g AND x.k <> p.k),
+ p2 AS (SELECT * FROM d1 QUALIFY row_number() OVER (PARTITION BY g ORDER BY gap DESC, k) = 1),
+ d2 AS (SELECT d.g, d.k, least(d.gap, (d.a - p.a) * (d.a - p.a) + (d.b - p.b) * (d.b - p.b)) AS gap FROM d1 d JOIN p2 p ON d.g = p.g AND d.k <> p.k),
+ p3 AS (SELECT * FROM d2 QUALIFY row_number() OVER (PARTITION BY g ORDER BY gap DESC, k) = 1)
+ SELECT g AS nation, k AS supplier, 1 AS place FROM p1 UNION ALL SELECT g, k, 2 FROM p2 UNION ALL SELECT g, k, 3 FROM p3"""
+)
+def diverse_suppliers(spark, sf_dir):
+    """Three suppliers of each nation, each the farthest from those before."""
+    vector = F.array(F.col("s_acctbal").cast("double"), (F.col("s_suppkey") % 17).cast("double")).alias("v")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"), vector)
+    return puzzles.diverse(rows, "nation", "supplier", "v", 3).drop("v")

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallygrid.operators import ordering
+from tallygrid.operators.lineage import fixed
+
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, strict: bool = True) -> DataFrame:
     """JSON lines, gzip by suffix; blank lines are skipped, and other text fails when ``strict``.
@@ -39,11 +42,22 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_sorted(rows: DataFrame, path: str, order: list[str], files: int = 1, compressed: bool = False) -> None:
-    """JSON lines whose bytes depend on the rows alone: ranges of a total order, columns by name; gzip headers have no time."""
+#: Rows of a file of a sorted sink.
+FILE_ROWS = 1_000_000
+
+
+def write_sorted(rows: DataFrame, path: str, order: list[str], files: int | None = None, compressed: bool = False, file_rows: int = FILE_ROWS) -> None:
+    """JSON lines whose bytes depend on the rows alone: one order of all rows cut at fixed places, columns by name; gzip headers have no time.
+
+    A file holds ``file_rows`` rows, or its share of ``files``, and each is written by a task of its own.  Rows equal in
+    ``order`` follow that of their JSON.
+    """
     ordered = rows.select(*sorted(rows.columns))
-    ranged = ordered.repartitionByRange(files, *order) if files > 1 else ordered.coalesce(1)
-    ranged.sortWithinPartitions(*order).write.mode("errorifexists").option("compression", "gzip" if compressed else "none").option("ignoreNullFields", "false").json(path)
+    placed = fixed(ordering.numbered(ordered, [*order, F.to_json(F.struct(*ordered.columns))], "_place"))
+    total = max(1, placed.count())
+    size = file_rows if files is None else -(-total // files)
+    cut = placed.repartitionById(-(-total // size), ((F.col("_place") - 1) / size).cast("int")).sortWithinPartitions("_place").drop("_place")
+    cut.write.mode("errorifexists").option("compression", "gzip" if compressed else "none").option("ignoreNullFields", "false").json(path)
 
 
 def _file_system(spark: SparkSession, path: str):

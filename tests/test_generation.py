@@ -1,6 +1,7 @@
 """Generated pools and modules, resumed fits, and sinks that SQL can't see into."""
 
 import gzip
+import json
 import os
 import stat
 
@@ -94,6 +95,18 @@ def test_sorted_gzip_has_fixed_bytes(spark, tmp_path):
     assert texts[0] == texts[1] and gzip.decompress(texts[0][0]).startswith(b'{"k":0,"s":"t0"}\n')
 
 
+def test_sorted_files_hold_fixed_ranges(spark, tmp_path):
+    rows = spark.createDataFrame([(k // 3, f"t{k * 7 % 101}") for k in range(101)] + [(None, "x"), (None, "x")], "k long, s string")
+    for name in ("a", "b"):
+        records.write_sorted(rows.repartition(7 if name == "a" else 3), str(tmp_path / name), ["k"], file_rows=20)
+    one, two = ([p.read_bytes() for p in sorted((tmp_path / n).glob("*.json"))] for n in ("a", "b"))
+    assert one == two and [t.count(b"\n") for t in one] == [20, 20, 20, 20, 20, 3]
+    lines = b"".join(one).decode().splitlines()
+    assert lines == sorted(lines, key=lambda t: (json.loads(t)["k"] is not None, json.loads(t)["k"] or 0, t))
+    records.write_sorted(rows.limit(0), str(tmp_path / "none"), ["k"])
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+
+
 def test_private_sink_is_exclusive(spark, tmp_path):
     path = str(tmp_path / "p")
     records.write_private(spark.range(3), path)

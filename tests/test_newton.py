@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tallygrid.operators import inference, integrity, logit, newton
+from tallygrid.operators import inference, integrity, logit, newton, puzzles
 
 
 def _design(spark, n=60, seed=5):
@@ -137,3 +137,22 @@ def test_agreeing_rows_are_counted_without_pairs(spark):
     want = {p[0]: n for p in rows if (n := sum(same(p, q) for q in rows if q[0] != p[0]))}
     got = integrity.same_in_any(spark.createDataFrame(rows, "k int, a int, b int, c int, d int"), "k", lists, "others")
     assert {r.k: r.others for r in got.collect()} == want and got.columns == ["k", "others"]
+
+
+def test_diverse_rows_are_the_farthest(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, k, [float(v) for v in rng.integers(0, 4, 2)] + [1.0]) for g in ("a", "b", None) for k in range(12)] + [("c", 5, [1.0, 2.0, 3.0])]
+    got = {}
+    for r in puzzles.diverse(spark.createDataFrame(rows, "g string, k int, v array<double>"), "g", "k", "v", 5).collect():
+        got.setdefault(r.g, {})[r.place] = r.k
+    assert got["c"] == {1: 5}
+    for g in ("a", "b", None):
+        x = np.array([v for h, _, v in rows if h == g])
+        width = np.ptp(x, axis=0)
+        x = (x - x.min(0)) / np.where(width > 0, width, 1)
+        chosen = [0]
+        while len(chosen) < 5:
+            gap = ((x[:, None] - x[chosen]) ** 2).sum(2).min(1)
+            gap[chosen] = -1
+            chosen.append(int(gap.argmax()))
+        assert [got[g][p] for p in range(1, 6)] == chosen
