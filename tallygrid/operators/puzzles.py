@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,12 +13,26 @@ from pyspark.sql import types as T
 
 from tallygrid.functions import solvers
 
-from .lineage import fixed
+from .lineage import fixed, spread
 
+#: Rows of solutions that are sent to all executors, in place of a shuffle by what few puzzles there are.
+FEW = 1 << 17
 _CELLS = T.ArrayType(T.ArrayType(T.IntegerType()))
 _STRINGS = T.ArrayType(T.StringType())
 
 
+def solved_once(rows: DataFrame, key: str, puzzle: list[str], solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows beside what ``solve`` finds for their puzzle, a row for each solution; rows with the same puzzle share one solving.
+
+    ``solve`` gets the different puzzles, spread over the tasks, and returns them with their solutions in rows.  These are
+    a checkpoint, so nothing that follows is pushed down into the solver.  ``key`` spreads the rows, whatever their puzzles.
+    """
+    found = fixed(solve(spread(rows.select(*puzzle).distinct(), *puzzle)))
+    found = found.withColumnsRenamed({p: f"_of_{p}" for p in puzzle})
+    same = functools.reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_of_{p}")) for p in puzzle])
+    return spread(rows, key).join(F.broadcast(found) if found.count() <= FEW else found, same).drop(*[f"_of_{p}" for p in puzzle])
+
+
 @F.pandas_udf(_STRINGS)
 def arithmetic_solutions(numbers: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([solvers.arithmetic(tuple(int(x) for x in n), int(t)) for n, t in zip(numbers, target, strict=True)], dtype=object)
@@ -186,14 +202,16 @@ def symmetries(size: int) -> list[list[int]]:
 def canonical_labels(grid: str, size: int) -> Column:
     """The least of all boards that renaming rows and columns, or swapping the two, makes of a square grid (rows of characters).
 
-    For an order of the rows the least board has its columns sorted, so only row orders are tried: size! of them, for boards of a puzzle's size.
+    For an order of the rows the least board has its columns sorted, so only row orders are tried: size! of them, for boards of a
+    puzzle's size.  A board's columns are read once, each row order then only picks from them.
     """
-    lines = F.array(*[F.lit(k) for k in range(size)])
-    orders = F.array(*[F.array(*map(F.lit, p)) for p in itertools.permutations(range(size))])
-    cell = lambda rows, r, c: F.substr(F.element_at(rows, r + 1), c + 1, F.lit(1))
-    turned = lambda rows: F.transform(lines, lambda c: F.array_join(F.transform(lines, lambda r: cell(rows, r, c)), ""))
-    least = lambda rows: F.array_min(F.transform(orders, lambda p: turned(F.array_sort(F.transform(lines, lambda c: F.array_join(F.transform(p, lambda r: cell(rows, r, c)), ""))))))
-    return F.least(least(F.col(grid)), least(turned(F.col(grid))))
+    lines = range(size)
+    orders = F.array(*[F.array(*map(F.lit, p)) for p in itertools.permutations(lines)])
+    columns = lambda rows: F.array(*[F.concat(*[F.substring(rows[r], c + 1, 1) for r in lines]) for c in lines])
+    picked = lambda p: lambda column: F.concat(*[F.substr(column, p[r] + 1, F.lit(1)) for r in lines])
+    least = lambda turned: F.array_min(F.transform(F.transform(orders, lambda p: F.array_sort(F.transform(turned, picked(p)))), columns))
+    # Rows are the columns of the swapped board.
+    return F.array_min(F.transform(F.array(columns(F.col(grid)), F.col(grid)), least))
 
 
 def board_classes(rows: DataFrame, group: str, key: str, grid: str, size: int) -> DataFrame:

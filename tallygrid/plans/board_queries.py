@@ -87,7 +87,8 @@ def _square3() -> Column:
 def canonical_boards(spark, sf_dir):
     """The board that each part's grid is once rows and columns may be renamed or swapped."""
     rows = table(spark, sf_dir, "part").select("p_partkey", _square3().alias("grid"))
-    return rows.select("p_partkey", F.array_join(puzzles.canonical_labels("grid", 3), "/").alias("canonical"))
+    solve = lambda boards: boards.select("grid", F.array_join(puzzles.canonical_labels("grid", 3), "/").alias("canonical"))
+    return puzzles.solved_once(rows, "p_partkey", ["grid"], solve).select("p_partkey", "canonical")
 
 
 def _order_sql(kind: str, band: int) -> str:
