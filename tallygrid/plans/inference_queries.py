@@ -199,11 +199,10 @@ def fit_method(spark, sf_dir):
 @query
 def solver_arithmetic(spark, sf_dir):
     digits = table(spark, sf_dir, "part").select("p_partkey", F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: ((F.col("p_partkey") * (k + 3) + F.col("p_size") * k) % 9 + 1).cast("int")).alias("numbers"))
-    # Numbers in another order have the same solutions, so each set of numbers is solved once, spread over the tasks.
+    # Numbers in another order have the same solutions, so each set of numbers is solved once.
     digits = digits.select("p_partkey", F.array_sort("numbers").alias("numbers"))
-    sets = digits.select("numbers").distinct().repartition(spark.sparkContext.defaultParallelism, "numbers")
-    solved = sets.select("numbers", puzzles.arithmetic_solutions("numbers", F.lit(24)).alias("found"))
-    return digits.join(solved, "numbers").select("p_partkey", F.explode("found").alias("expression"))
+    solve = lambda sets: sets.select("numbers", F.explode(puzzles.arithmetic_solutions("numbers", F.lit(24))).alias("expression"))
+    return puzzles.solved_once(digits, "p_partkey", ["numbers"], solve).select("p_partkey", "expression")
 
 
 @query
@@ -218,7 +217,6 @@ def solver_maze(spark, sf_dir):
 def arithmetic_features(spark, sf_dir):
     """Features of the solutions of each order of numbers, which is solved once and joined back to its parts."""
     numbers = F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: ((F.col("p_partkey") * (k + 3) + F.col("p_size") * k) % 6 + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.array_join(numbers, ",").alias("puzzle_id"), numbers.alias("numbers"))
-    sets = rows.select("puzzle_id", "numbers").distinct().repartition(spark.sparkContext.defaultParallelism, "puzzle_id")
-    found = puzzles.arithmetic_features(sets.withColumn("target", F.lit(24)))
-    return rows.select("p_partkey", "puzzle_id").join(found, "puzzle_id").drop("puzzle_id")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array_join(numbers, ",").alias("puzzle_id"))
+    solve = lambda sets: puzzles.arithmetic_features(sets.select("puzzle_id", F.split("puzzle_id", ",").cast("array<int>").alias("numbers"), F.lit(24).alias("target")))
+    return puzzles.solved_once(rows, "p_partkey", ["puzzle_id"], solve).drop("puzzle_id")
