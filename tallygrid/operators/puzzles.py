@@ -81,6 +81,8 @@ def maze_features(paths: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """Turns, mean load of shared steps, and mean centred distance to the goal of each path (puzzle_id, moves, start_r, start_c, goal_r, goal_c), scaled in its puzzle."""
     from .ordering import minmax_scaled
 
+    # One shuffle by the puzzle serves all that follows.
+    paths = paths.repartition("puzzle_id")
     step = paths.select("puzzle_id", "moves", "goal_r", "goal_c", "start_r", "start_c", F.posexplode(F.regexp_extract_all("moves", F.lit("."), F.lit(0))).alias("k", "m"))
     along = Window.partitionBy("puzzle_id", "moves").orderBy("k")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)

@@ -209,8 +209,15 @@ def solver_arithmetic(spark, sf_dir):
 def solver_maze(spark, sf_dir):
     side = 5
     rows = table(spark, sf_dir, "part").select("p_partkey", F.transform(F.array(*[F.lit(r) for r in range(side)]), lambda r: F.array_join(F.transform(F.array(*[F.lit(c) for c in range(side)]), lambda c: F.when((r == 0) & (c == 0), "S").when((r == side - 1) & (c == side - 1), "G").when((F.col("p_partkey") * (r * 7 + c * 3 + 1)) % 5 == 0, "#").otherwise(".")), "")).alias("grid"))
-    paths = rows.select(F.col("p_partkey").alias("puzzle_id"), F.explode(puzzles.maze_solutions("grid")).alias("moves"), *[F.lit(v).alias(n) for n, v in (("start_r", 0), ("start_c", 0), ("goal_r", side - 1), ("goal_c", side - 1))])
-    return puzzles.maze_features(paths)
+    ends = [F.lit(v).alias(n) for n, v in (("start_r", 0), ("start_c", 0), ("goal_r", side - 1), ("goal_c", side - 1))]
+
+    def solve(mazes: DataFrame) -> DataFrame:
+        """Mazes with the same grid have the same paths and features."""
+        found = puzzles.maze_features(mazes.select(F.col("grid").alias("puzzle_id"), F.explode(puzzles.maze_solutions("grid")).alias("moves"), *ends))
+        return found.withColumnRenamed("puzzle_id", "grid")
+
+    found = puzzles.solved_once(rows, "p_partkey", ["grid"], solve)
+    return found.select(F.col("p_partkey").alias("puzzle_id"), *[c for c in found.columns if c not in ("p_partkey", "grid")])
 
 
 @query
