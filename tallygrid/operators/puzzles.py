@@ -219,8 +219,15 @@ def canonical_labels(grid: str, size: int) -> Column:
 def board_classes(rows: DataFrame, group: str, key: str, grid: str, size: int) -> DataFrame:
     """(g, k, board, least): each grid's board, the least of its symmetric forms, and the least key of the group that has it."""
     flat = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_join(grid, "").alias("s"))
-    board = F.array_min(_turned("s", size)).alias("board")
-    return flat.select("g", "k", board).withColumn("least", F.min("k").over(Window.partitionBy("g", "board")))
+    grids = _boards(flat, size, F.min("k").alias("_k")).withColumn("least", F.min("_k").over(Window.partitionBy("g", "board")))
+    known = fixed(grids.select(F.col("g").alias("_g"), F.col("s").alias("_s"), "board", "least"))
+    own = spread(flat, "k").join(F.broadcast(known) if known.count() <= FEW else known, F.col("g").eqNullSafe(F.col("_g")) & F.col("s").eqNullSafe(F.col("_s")))
+    return own.select("g", "k", "board", "least")
+
+
+def _boards(flat: DataFrame, size: int, *summary: Column) -> DataFrame:
+    """(g, s, board) of the different grids of each group, with a summary of their rows: grids are turned once, not row by row."""
+    return flat.groupBy("g", "s").agg(*summary).withColumn("board", F.array_min(_turned("s", size)))
 
 
 def near_grids(rows: DataFrame, group: str, key: str, grid: str, size: int, most: int) -> DataFrame:
@@ -231,7 +238,8 @@ def near_grids(rows: DataFrame, group: str, key: str, grid: str, size: int, most
     agree, and group, band and content are the join's key.
     """
     flat = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_join(grid, "").alias("s"))
-    boards = flat.groupBy("g", F.array_min(_turned("s", size)).alias("s")).agg(F.min("k").alias("k"), F.count("*").alias("n"))
+    boards = _boards(flat, size, F.min("k").alias("k"), F.count("*").alias("n")).groupBy("g", F.col("board").alias("s")).agg(F.min("k").alias("k"), F.sum("n").alias("n"))
+    boards = fixed(boards)
     n = size * size
     cuts = [n * b // (most + 1) for b in range(most + 2)]
     bands = lambda s: F.array(*[F.struct(F.lit(b).alias("band"), F.substring(s, cuts[b] + 1, cuts[b + 1] - cuts[b]).alias("part")) for b in range(most + 1)])
@@ -244,8 +252,7 @@ def near_grids(rows: DataFrame, group: str, key: str, grid: str, size: int, most
 
 def _turned(s: str, size: int) -> Column:
     """The symmetric forms of a square written row by row."""
-    orders = F.array(*[F.array(*map(F.lit, order)) for order in symmetries(size)])
-    return F.transform(orders, lambda order: F.array_join(F.transform(order, lambda x: F.substr(F.col(s), x + 1, F.lit(1))), ""))
+    return F.array(*[F.concat(*[F.substring(s, x + 1, 1) for x in order]) for order in symmetries(size)])
 
 
 def shuffled_lines(size: int, band: int, *seed: Column) -> Column:

@@ -37,12 +37,18 @@ def test_solved_once(spark):
 
 @pytest.mark.parametrize(
     "name, step",
-    [("canonical_boards", "array_sort"), ("solver_arithmetic", "arithmetic_solutions"), ("arithmetic_features", "arithmetic_classes"), ("solver_maze", "Window")],
+    [("canonical_boards", "array_sort"), ("solver_arithmetic", "arithmetic_solutions"), ("arithmetic_features", "arithmetic_classes"), ("solver_maze", "Window"), ("grid_classes", "array_min")],
 )
 def test_rows_take_solutions_of_their_puzzle(spark, parts, name, step):
     assert step not in plan(catalog.QUERIES[name](spark, parts))
 
 
+def test_near_boards_are_turned_once(spark):
+    rows = spark.createDataFrame([(k, "a", ["#..", "...", s]) for k, s in enumerate(["...", "..#", "..."])], "k int, g string, grid array<string>")
+    out = puzzles.near_grids(rows, "g", "k", "grid", 3, 2)
+    assert "array_min" not in plan(out) and [tuple(r) for r in out.collect()] == [(0, 1, 1, 2)]
+
+
 def test_walks_and_mines_of_copies(spark, parts):
     side, walks, mines = 5, {}, {}
     for r in catalog.QUERIES["shortest_walks"](spark, parts).collect():
