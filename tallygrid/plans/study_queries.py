@@ -629,7 +629,9 @@ def shortest_walks(spark, sf_dir):
     side = 5
     cell = lambda r, c: F.when(F.lit(r + c == 0), "S").when(F.lit(r + c == 2 * side - 2), "G").when((F.col("p_partkey") * (r * 7 + c * 3 + 1)) % 5 == 0, "#").otherwise(".")
     grid = F.array(*[F.concat(*[cell(r, c) for c in range(side)]) for r in range(side)])
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("puzzle_id"), F.explode(puzzles.maze_solutions(grid)).alias("moves"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("puzzle_id"), grid.alias("grid"))
+    solve = lambda mazes: mazes.select("grid", F.explode(puzzles.maze_solutions("grid")).alias("moves"))
+    return puzzles.solved_once(rows, "puzzle_id", ["grid"], solve).select("puzzle_id", "moves")
 
 
 # A board of three by three with a clue in its middle row and unknown cells in the two others.
