@@ -646,8 +646,10 @@ _CLUE = "CAST((p_partkey * ({k} + 2) + {k}) % 4 AS INTEGER)"
 )
 def forced_mines(spark, sf_dir):
     clues = F.concat(*[F.expr(_CLUE.format(k=k)).cast("string") for k in range(3)])
-    boards = table(spark, sf_dir, "part").select("p_partkey", F.array(F.lit("???"), clues, F.lit("???")).alias("board"), F.explode(F.array(F.lit("safe"), F.lit("mine"))).alias("kind"))
-    cells = boards.select("p_partkey", "kind", F.explode(puzzles.mine_solutions("board", "kind")).alias("cell"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.lit("???"), clues, F.lit("???")).alias("board"))
+    kinds = F.explode(F.array(F.lit("safe"), F.lit("mine"))).alias("kind")
+    solve = lambda boards: boards.select("board", kinds).select("board", "kind", F.explode(puzzles.mine_solutions("board", "kind")).alias("cell"))
+    cells = puzzles.solved_once(rows, "p_partkey", ["board"], solve)
     return cells.select("p_partkey", F.col("cell")[0].alias("r"), F.col("cell")[1].alias("c"), "kind")
 
 

@@ -37,7 +37,7 @@ def test_solved_once(spark):
 
 @pytest.mark.parametrize(
     "name, step",
-    [("canonical_boards", "array_sort"), ("solver_arithmetic", "arithmetic_solutions"), ("arithmetic_features", "arithmetic_classes"), ("solver_maze", "Window"), ("shortest_walks", "maze_solutions"), ("grid_classes", "array_min")],
+    [("canonical_boards", "array_sort"), ("solver_arithmetic", "arithmetic_solutions"), ("arithmetic_features", "arithmetic_classes"), ("solver_maze", "Window"), ("shortest_walks", "maze_solutions"), ("forced_mines", "mine_solutions"), ("grid_classes", "array_min")],
 )
 def test_rows_take_solutions_of_their_puzzle(spark, parts, name, step):
     assert step not in plan(catalog.QUERIES[name](spark, parts))
