@@ -4,6 +4,8 @@ A fit belongs to a task and to a draw of the task's items; draw -1 takes each it
 bounded number, whatever a task's size, each block one packed row of a checkpoint.  A pass sends every open fit's
 coefficients to the blocks; these answer with weight, loss, gradient and information, which are added up by task and draw
 before the next step is taken, by task and a few draws side by side.  The driver holds coefficients only: tasks x draws x features.
+Draws start at the fit of all items.  Fits without an item start there too, and need no pass: near that point the sums of all
+items follow from their derivatives, with a bound on what that leaves out.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ class ChoiceItems:
 
     def sums(self, beta: np.ndarray, times: np.ndarray) -> np.ndarray:
         """For each draw: weight, loss, gradient and information, summed over the items as often as it took them."""
-        p, loss = self._shares(beta)
+        p, loss = self._shares(_different(beta))
         t, k = times.T, beta.shape[1]
         each = np.repeat(t, self.size, 0)
         information = (each * p).T @ self.pairs
@@ -76,6 +78,34 @@ class ChoiceItems:
         """Loss of items, each under its own coefficients."""
         return self._shares(beta)[1][items, np.arange(len(items))]
 
+    #: Of the gradient's remainder after three orders: a fifth cumulant is at most 11 products of ranges, over 4!.
+    REMAINDER = 11 / 24
+
+    def ranges(self) -> np.ndarray:
+        """Of each feature the largest range in an item."""
+        return (np.maximum.reduceat(self.x, self.head) - np.minimum.reduceat(self.x, self.head)).max(0)
+
+    def orders(self, beta: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
+        """Weight, gradient and the next three orders of its derivatives at a point: sums of each item's joint cumulants of the features."""
+        p = self._shares(beta[None])[0]
+        t, each, k = times, np.repeat(times, self.size)[:, None] * p, len(beta)
+        mean = np.add.reduceat(p * self.x, self.head)
+        c = self.x - np.repeat(mean, self.size, 0)
+        pairs = (c[:, :, None] * c[:, None, :]).reshape(len(c), -1)
+        own = np.add.reduceat(p * pairs, self.head)
+        return [np.array([t.sum()]), self.x.T @ (each[:, 0] - np.repeat(t, self.size) * self.q), each[:, 0] @ pairs, (each * c).T @ pairs, (each * pairs).T @ pairs - 3 * (t[:, None] * own).T @ own]
+
+    def alone(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each item's weight, gradient, information and score under coefficients of its own (items, features)."""
+        e = (self.x * np.repeat(beta, self.size, 0)).sum(1)
+        top = np.maximum.reduceat(e, self.head)
+        p = np.exp(e - np.repeat(top, self.size))
+        total = np.add.reduceat(p, self.head)
+        p = (p / np.repeat(total, self.size))[:, None]
+        mean, k = np.add.reduceat(p * self.x, self.head), beta.shape[1]
+        information = np.add.reduceat(p * self.pairs, self.head).reshape(-1, k, k) - mean[:, :, None] * mean[:, None, :]
+        return np.ones(len(self.size)), mean - np.add.reduceat(self.q[:, None] * self.x, self.head), information, top + np.log(total) - np.add.reduceat(self.q * e, self.head)
+
     def measure(self, beta: np.ndarray) -> list[float]:
         """Number of items, and sums of what is averaged over them."""
         return [len(self.size), float(self._shares(beta[None])[1].sum()), float(np.log(self.size).sum())]
@@ -101,7 +131,7 @@ class SourceItems:
 
     def sums(self, beta: np.ndarray, times: np.ndarray) -> np.ndarray:
         """For each draw: weight, loss, gradient and information."""
-        e = self.x @ beta.T
+        e = self.x @ _different(beta).T
         p, w = 0.5 * (1 + np.tanh(e / 2)), np.repeat(times.T, self.size, 0) * self.w[:, None]
         y = self.y[:, None]
         return np.column_stack((w.sum(0), (w * (np.logaddexp(0, e) - y * e)).sum(0), (w * (p - y)).T @ self.x, (w * p * (1 - p)).T @ self.pairs))
@@ -117,10 +147,35 @@ class SourceItems:
         right, weight = np.add.reduceat(self._right(beta), self.head), np.add.reduceat(self.w, self.head)
         return right[items, np.arange(len(items))] / weight[items]
 
+    #: The logistic function's fourth derivative stays below a quarter; over 4!.
+    REMAINDER = 0.25 / 24
+
+    def ranges(self) -> np.ndarray:
+        """Of each feature the largest size."""
+        return np.abs(self.x).max(0)
+
+    def orders(self, beta: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
+        """Weight, gradient and the next three orders of its derivatives at a point."""
+        p, w = 0.5 * (1 + np.tanh(self.x @ beta / 2)), np.repeat(times, self.size) * self.w
+        one = p * (1 - p)
+        return [np.array([w.sum()]), self.x.T @ (w * (p - self.y)), (w * one) @ self.pairs, (self.x.T * (w * one * (1 - 2 * p))) @ self.pairs, (self.pairs.T * (w * one * (1 - 6 * one))) @ self.pairs]
+
+    def alone(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each item's weight, gradient, information and score under coefficients of its own (items, features)."""
+        p, k = 0.5 * (1 + np.tanh((self.x * np.repeat(beta, self.size, 0)).sum(1) / 2)), beta.shape[1]
+        add = lambda v: np.add.reduceat(v, self.head)
+        right, weight = self.w * np.where(p > 0.5, self.y, np.where(p < 0.5, 1 - self.y, 0.5)), add(self.w)
+        return weight, add((self.w * (p - self.y))[:, None] * self.x), add((self.w * p * (1 - p))[:, None] * self.pairs).reshape(-1, k, k), add(right) / weight
+
     def measure(self, beta: np.ndarray) -> list[float]:
         return [float(self.w.sum()), float(self._right(beta[None]).sum())]
 
 
+def _different(beta: np.ndarray) -> np.ndarray:
+    """One row for many that are the same."""
+    return beta[:1] if (beta == beta[:1]).all() else beta
+
+
 class Steps:
     """Where some fits are on their way: the last point taken, the point under trial, and how the trial is judged."""
 
@@ -235,7 +290,7 @@ def _pass(blocks: DataFrame, kind: type, features: list[str], starts: list[range
                     yield _message(of, held)
                     held = {}
                 of, own = t, Block(kind, _Named(row), width, seed)
-                times = own.times()
+                times = own.times() if any(t == k and c for k, c in shared.value) else np.ones((1, len(own.items.size)))
                 room = max(1, ROOM // max(1, len(own.items.x)))
                 for c, numbers in enumerate(starts):
                     if (t, c) in shared.value:
@@ -256,20 +311,29 @@ def _pass(blocks: DataFrame, kind: type, features: list[str], starts: list[range
     return sums.groupBy("_t", "chunk").applyInPandas(advance, "_t string, chunk int, state binary")
 
 
-def fits(blocks: DataFrame, kind: type, features: list[str], repeats: int, seed: int, penalty: float, most: int = MOST_STEPS) -> dict[str, Steps]:
-    """Every task's fits of all draws, by Newton steps; the first is that of each item once."""
-    spark, names = blocks.sparkSession, kind.names(features)
-    k, shrink = len(names), kind.shrink(features, penalty)
-    chunk = max(1, MESSAGE // (k * k + k + 2))
-    starts = [range(a, min(repeats + 1, a + chunk)) for a in range(0, repeats + 1, chunk)]
-    state = {(r["_t"], c): Steps(np.zeros((len(own), k))) for r in blocks.select("_t").distinct().collect() for c, own in enumerate(starts)}
-    todo = state
+def _run(blocks: DataFrame, kind: type, features: list[str], starts: list[range], seed: int, shrink: np.ndarray, most: int, state: dict, todo: dict) -> None:
+    """Passes until the fits of ``todo`` are closed in ``state``."""
     while todo:
-        shared = spark.sparkContext.broadcast(todo)
+        shared = blocks.sparkSession.sparkContext.broadcast(dict(todo))
         for r in _pass(blocks, kind, features, starts, seed, shrink, most, shared).collect():
             state[r["_t"], r["chunk"]] = pickle.loads(r["state"])
         shared.unpersist()
-        todo = {key: s for key, s in state.items() if s.open.any()}
+        todo = {key: state[key] for key in todo if state[key].open.any()}
+
+
+def fits(blocks: DataFrame, kind: type, features: list[str], repeats: int, seed: int, penalty: float, most: int = MOST_STEPS) -> dict[str, Steps]:
+    """Every task's fits of all draws, by Newton steps; the first is that of each item once."""
+    names = kind.names(features)
+    k, shrink = len(names), kind.shrink(features, penalty)
+    chunk = max(1, MESSAGE // (k * k + k + 2))
+    starts = [range(0, 1), *(range(a, min(repeats + 1, a + chunk)) for a in range(1, repeats + 1, chunk))]
+    tasks = [r["_t"] for r in blocks.select("_t").distinct().collect()]
+    state = {(t, 0): Steps(np.zeros((1, k))) for t in tasks}
+    _run(blocks, kind, features, starts, seed, shrink, most, state, state)
+    start = {t: np.where(np.isfinite(state[t, 0].x).all(), state[t, 0].x, 0.0) for t in tasks}
+    drawn = {(t, c): Steps(np.repeat(start[t], len(own), 0)) for t in tasks for c, own in enumerate(starts) if c}
+    state.update(drawn)
+    _run(blocks, kind, features, starts, seed, shrink, most, state, drawn)
     out: dict[str, Steps] = {}
     for t in dict.fromkeys(t for t, _ in state):
         parts = [state[t, c] for c in range(len(starts))]
@@ -292,24 +356,111 @@ def measured(blocks: DataFrame, kind: type, features: list[str], seed: int, foun
     return sums.groupBy("_t").agg(F.sum("items").alias("items"), *[(F.sum(c) / F.sum("_w")).alias(c) for c in kind.measures])
 
 
+def _orders_at(blocks: DataFrame, kind: type, features: list[str], starts: dict[str, np.ndarray], seed: int) -> dict[tuple[str, int], tuple[np.ndarray, list[np.ndarray]]]:
+    """For each task and draw (from 0, the first being each item once): the features' ranges, and the derivatives summed over all items."""
+    width = len(features)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {}
+        for batch in batches:
+            for row in batch.itertuples(index=False, name=None):
+                own = Block(kind, _Named(row), width, seed)
+                times = own.times() if len(starts[row[0]]) > 1 else np.ones((1, len(own.items.size)))
+                ranges = own.items.ranges()
+                for draw, beta in enumerate(starts[row[0]]):
+                    found = np.concatenate([o.ravel() for o in own.items.orders(beta, times[draw])])
+                    before = held.get((row[0], draw))
+                    held[row[0], draw] = (ranges, found) if before is None else (np.maximum(ranges, before[0]), found + before[1])
+        rows = [(t, draw, r.tolist(), v.tolist()) for (t, draw), (r, v) in held.items()]
+        yield pd.DataFrame(rows, columns=["_t", "draw", "ranges", "sums"])
+
+    parts = blocks.mapInPandas(partial, "_t string, draw int, ranges array<double>, sums array<double>").select("_t", "draw", F.posexplode("sums").alias("i", "v"), "ranges")
+    sums = parts.groupBy("_t", "draw", "i").agg(F.sum("v").alias("v"))
+    tops = parts.filter("i = 0").select("_t", "draw", F.posexplode("ranges").alias("i", "v")).groupBy("_t", "draw", "i").agg(F.max("v").alias("v"))
+    found: dict[tuple[str, int], tuple[dict, dict]] = {}
+    for which, rows in enumerate((tops, sums)):
+        for r in rows.collect():  # tasks x draws x derivatives
+            found.setdefault((r["_t"], r["draw"]), ({}, {}))[which][r["i"]] = r["v"]
+    out = {}
+    for key, (top, v) in found.items():
+        k, flat = len(top), np.array([v[i] for i in range(len(v))])
+        cuts = np.cumsum([1, k, k**2, k**3])
+        shapes = [(), (k,), (k, k), (k, k, k), (k, k, k, k)]
+        out[key] = np.array([top[i] for i in range(k)]), [x.reshape(shape) for x, shape in zip(np.split(flat, cuts), shapes, strict=True)]
+    return out
+
+
+def _without(items, times: np.ndarray, start: np.ndarray, about: tuple[np.ndarray, list[np.ndarray]], shrink: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(score of each item under the fit without it, whether that fit is sure to meet the tolerance).
+
+    The gradient of all items is expanded to three orders about ``start``, an item's own part is taken off as it is.
+    A fit is sure if its gradient and the bound on the expansion's remainder are half the tolerance each at most.
+    """
+    ranges, (weight, gradient, second, third, fourth) = about
+    beta, sure = np.repeat(start[None], len(items.size), 0), np.zeros(len(items.size), bool)
+    with np.errstate(all="ignore"):
+        for _ in range(30):
+            d = beta - start
+            own, mine, information, score = items.alone(beta)
+            left = weight - times * own
+            bent = np.einsum("abc,nc->nab", third, d)
+            bent2 = np.einsum("abcd,nc,nd->nab", fourth, d, d)
+            slope = gradient + np.einsum("nab,nb->na", second + bent / 2 + bent2 / 6, d) - times[:, None] * mine
+            slope = slope / left[:, None] + shrink * beta
+            rest = _remainder(items, ranges, d) * weight / left
+            sure = (np.abs(slope).max(1, initial=0.0) <= TOLERANCE / 2) & (rest <= TOLERANCE / 2) & (left > 0)
+            if sure.all():
+                break
+            curved = (second + bent - times[:, None, None] * information) / left[:, None, None] + np.diag(shrink)
+            try:
+                beta = beta - np.linalg.solve(curved, slope[:, :, None])[:, :, 0]
+            except np.linalg.LinAlgError:
+                break
+    return score, sure & np.isfinite(score)
+
+
+def _remainder(items, ranges: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The most that the gradient of one unit of weight is off after three orders, a step ``d`` away."""
+    return items.REMAINDER * ranges.max(initial=0.0) * (np.abs(d) @ ranges) ** 4
+
+
 def held_out(blocks: DataFrame, kind: type, features: list[str], reps: int, seed: int, penalty: float, found: dict[str, Steps]) -> DataFrame:
     """(_t, rep, held_out) of draw -1 and the first ``reps`` ones: the mean over drawn items of their score under the fit without the item (all its copies).
 
-    Items are left out in groups side by side, each group's fits at once, from the draw's own fit on.  A group reads its task whole, as packed blocks.
+    Each block finds its items' fits from the derivatives of all items at the draw's own fit, so the work follows the items.
+    Fits that aren't sure to meet the tolerance that way, those of few items mostly, are made on all other items: they are
+    left out in groups side by side, each group's fits at once.  Such a group reads its task whole, as packed blocks.
     """
     starts, width, shrink = {t: s.x[: reps + 1] for t, s in found.items()}, len(features), kind.shrink(features, penalty)
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.sum("n") - 1) / BLOCK))).alias("part")
-    groups = blocks.groupBy("_t").agg(parts).select("*", F.explode(F.sequence(F.lit(-1), F.lit(reps - 1))).alias("rep"))
+    about = blocks.sparkSession.sparkContext.broadcast(_orders_at(blocks, kind, features, starts, seed))
     columns = blocks.columns
+    drawn = {r["_t"]: r["n"] for r in blocks.groupBy("_t").agg(F.sum("n").alias("n")).collect()}
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                own, t = Block(kind, _Named(row), width, seed), row[0]
+                times = own.times() if reps else np.ones((1, len(own.items.size)))
+                for draw, start in enumerate(starts[t]):
+                    score, sure = _without(own.items, times[draw], start, about.value[t, draw], shrink)
+                    apart = (times[draw] > 0) & (times[draw] < drawn[t])
+                    done = apart & sure
+                    out.append((t, draw - 1, row[1], float(times[draw][done] @ score[done]), float(times[draw][done].sum()), np.flatnonzero(apart & ~sure).tolist()))
+            yield pd.DataFrame(out, columns=["_t", "rep", "part", "total", "n", "places"])
+
+    first = fixed(blocks.mapInPandas(near, "_t string, rep int, part long, total double, n double, places array<int>"))
+    groups = first.filter(F.size("places") > 0).select("_t", "rep", "part", "places")
 
     def leave(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t, rep, part = key
-        pdf = pdf.sort_values("block")[columns]
+        pdf = pdf.sort_values("block")
+        places, before = np.array(pdf["places"].iloc[0]), int(pdf.loc[pdf["block"] < part, "n"].sum())
+        pdf = pdf[columns]
         times = np.concatenate([Block(kind, _Named(row), width, seed).times()[rep + 1] for row in pdf.itertuples(index=False, name=None)])
         whole = lambda c, of: np.frombuffer(b"".join(pdf[c]), of)
         items = kind(whole("x", float).reshape(-1, width), whole("order", float), whole("target", float), whole("size", np.int64))
-        out = np.arange(part * BLOCK, min(len(times), (part + 1) * BLOCK))
-        out = out[(times[out] > 0) & (times[out] < times.sum())]
+        out = places + before
         total, room = 0.0, max(1, ROOM // max(1, len(items.x)))
         for a in range(0, len(out), room):
             some = out[a : a + room]
@@ -322,4 +473,5 @@ def held_out(blocks: DataFrame, kind: type, features: list[str], reps: int, seed
         return pd.DataFrame([{"_t": t, "rep": rep, "total": total, "n": float(times[out].sum())}])
 
     apart = spread(blocks.join(groups, "_t"), "_t", "rep", "part").groupBy("_t", "rep", "part").applyInPandas(leave, "_t string, rep int, total double, n double")
+    apart = first.select("_t", "rep", "total", "n").unionAll(apart)
     return apart.groupBy("_t", "rep").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("held_out"))

@@ -156,3 +156,35 @@ def test_diverse_rows_are_the_farthest(spark):
             gap[chosen] = -1
             chosen.append(int(gap.argmax()))
         assert [got[g][p] for p in range(1, 6)] == chosen
+
+
+@pytest.mark.parametrize("kind", [newton.ChoiceItems, newton.SourceItems])
+def test_items_left_out_need_no_other_items(kind):
+    """Among many items each fit without one follows from the derivatives of all; among few that isn't sure."""
+    rng = np.random.default_rng(3)
+
+    def design(n):
+        size = rng.integers(2, 5, n)
+        size += size % 2 if kind is newton.SourceItems else 0
+        x, order = rng.normal(size=(size.sum(), 2)), np.arange(size.sum()) % 2.0
+        return kind(x, order, rng.random(size.sum()) + 0.1, size)
+
+    def fitted(items, times):
+        k = len(kind.names(["f", "g"]))
+        way = newton.Steps(np.zeros((len(times), k)))
+        while way.open.any():
+            way.advance(items.sums(way.trial[way.open], times[way.open]), kind.shrink(["f", "g"], 1e-4), newton.MOST_STEPS)
+        return way.x
+
+    for n, surely in ((20_000, True), (6, False)):
+        items, times = design(n), rng.poisson(1.0, n).astype(float)
+        start = fitted(items, times[None])[0]
+        orders = items.orders(start, times)
+        k = len(start)
+        about = items.ranges(), [o.reshape((k,) * j) for j, o in enumerate(orders)]
+        score, sure = newton._without(items, times, start, about, kind.shrink(["f", "g"], 1e-4))
+        assert sure.all() if surely else not sure.all()
+        some = np.flatnonzero(sure)[:: max(1, n // 20)]
+        others = np.repeat(times[None], len(some), 0)
+        others[np.arange(len(some)), some] = 0
+        assert score[some] == pytest.approx(items.scores(fitted(items, others), some), abs=1e-7)
