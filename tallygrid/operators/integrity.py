@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import fixed, spread
+
 
 def missing_crossing(rows: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(left, right) combinations that no row has; empty for a complete crossing.
@@ -51,13 +53,48 @@ def pairwise_jaccard(rows: DataFrame, group: str, member: str, element: str) ->
     return pairs.groupBy(group).agg(F.count("*").alias("pairs"), F.avg("d").alias("mean_distance"), F.max("d").alias("max_distance"))
 
 
+#: Parts of a group's vectors that are paired side by side.
+PARTS = 32
+
+
 def max_contrast(vectors: DataFrame, group: str, member: str, vector: str) -> DataFrame:
-    """Greatest Euclidean distance between members of each group."""
-    a = vectors.select(group, F.col(member).alias("a"), F.col(vector).alias("x"))
-    b = vectors.select(group, F.col(member).alias("b"), F.col(vector).alias("y"))
-    squares = F.zip_with("x", "y", lambda p, q: (p - q) * (p - q))
-    d = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
-    return a.join(b, group).filter("a < b").groupBy(group).agg(F.max(d).alias("contrast"))
+    """Greatest Euclidean distance between members of each group.
+
+    Equal vectors are one.  No vector is farther from another than its group's box, or the ball about the box, allows; those that
+    this keeps below a distance already found (from the vector that may reach farthest, and on from there) aren't paired.
+    The others are, in parts, so that a group's pairs are many tasks' work.
+    """
+    points = vectors.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("x")).agg(F.min(member).alias("lo"), F.max(member).alias("hi"))
+    points = fixed(points.withColumns({"size": F.size("x"), "sound": F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))}))
+    keys, own = ["g", "size"], points.filter("sound")
+    box = own.select(*keys, F.posexplode("x").alias("i", "v")).groupBy(*keys, "i").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    box = box.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "low", "high"))), lambda e: F.struct(e["low"], e["high"], ((e["low"] + e["high"]) / 2).alias("mid"))).alias("box"))
+    corner = F.zip_with("x", "box", lambda v, e: F.greatest(v - e["low"], e["high"] - v))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, d: s + d * d))
+    own = own.join(box, keys).select(*keys, "x", "lo", "hi", norm(corner).alias("corner"), norm(F.zip_with("x", "box", lambda v, e: v - e["mid"])).alias("out"))
+    ball = own.groupBy(*keys).agg(F.max("out").alias("radius"))
+    own = fixed(own.join(ball, keys).select(*keys, "x", "lo", "hi", F.least("corner", F.col("out") + F.col("radius")).alias("reach")))
+    # Two members are at least this far apart.
+    apart = lambda p, q: norm(F.zip_with(p, q, lambda a, b: a - b))
+    differ = F.least("lo", "_lo") < F.greatest("hi", "_hi")
+    pole, found = own.groupBy(*keys).agg(F.max_by(F.struct("x", "lo", "hi"), "reach").alias("p")), None
+    for _ in range(3):
+        pole = fixed(pole.select(*keys, F.col("p.x").alias("_x"), F.col("p.lo").alias("_lo"), F.col("p.hi").alias("_hi")))
+        far = F.when(differ, apart("x", "_x"))
+        pole = fixed(own.join(pole, keys).groupBy(*keys).agg(F.max(far).alias("far"), F.max_by(F.struct("x", "lo", "hi"), far).alias("p")))
+        found = pole.select(*keys, "far") if found is None else found.unionAll(pole.select(*keys, "far"))
+        pole = pole.filter("p is not null")
+    least = found.groupBy(*keys).agg(F.max("far").alias("far"))
+    near = F.col("reach") < F.col("far") * (1 - 1e-9)
+    kept = own.join(least, keys).filter(~F.coalesce(near, F.lit(False))).select("g", "x", "lo", "hi", "size")
+    kept = fixed(kept.unionAll(points.filter("not sound").select("g", "x", "lo", "hi", "size")).withColumn("part", F.pmod(F.xxhash64("x"), F.lit(PARTS))))
+    others = kept.select("g", "size", F.col("x").alias("_x"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("part").alias("_part"))
+    # Each pair of parts meets once, at the one of the greater number.
+    others = others.select("*", F.explode(F.sequence("_part", F.lit(PARTS - 1).cast("long"))).alias("part"))
+    pairs = spread(kept, "g", "size", "part").join(spread(others, "g", "size", "part"), ["g", "size", "part"]).filter(differ)
+    contrast = pairs.groupBy("g").agg(F.max(apart("x", "_x")).alias("contrast"))
+    several = points.groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("g")
+    return several.join(contrast, "g", "left").select(F.col("g").alias(group), "contrast")
 
 
 def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
