@@ -250,6 +250,22 @@ def near_grids(rows: DataFrame, group: str, key: str, grid: str, size: int, most
     return met.groupBy("a", "b").agg(F.min(differing).alias("hamming"), F.max(F.col("na") * F.col("nb")).alias("pairs"))
 
 
+def near_members(rows: DataFrame, group: str, key: str, grid: str, size: int, most: int) -> DataFrame:
+    """(k, least, other, hamming, grids): for each grid the boards of its group that differ from its own in ``most`` cells at most, its own included.
+
+    ``least`` and ``other`` are the least keys of the two boards, ``grids`` says how many grids have the other one, itself left
+    out: no two grids are paired row by row, and none of their links is lost.
+    """
+    own = fixed(board_classes(rows, group, key, grid, size).select("k", "least"))
+    sizes = own.groupBy(F.col("least").alias("other")).agg(F.count("*").alias("n"))
+    pairs = near_grids(rows, group, key, grid, size, most).select("a", "b", "hamming")
+    turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "hamming")
+    same = sizes.select(F.col("other").alias("a"), F.col("other").alias("b"), F.lit(0).alias("hamming"))
+    links = pairs.unionAll(turned).unionAll(same).toDF("least", "other", "hamming").join(sizes, "other")
+    links = fixed(links.withColumn("grids", F.col("n") - (F.col("least") == F.col("other")).cast("long")).filter("grids > 0"))
+    return own.join(F.broadcast(links) if links.count() <= FEW else links, "least").select("k", "least", "other", "hamming", "grids")
+
+
 def _turned(s: str, size: int) -> Column:
     """The symmetric forms of a square written row by row."""
     return F.array(*[F.concat(*[F.substring(s, x + 1, 1) for x in order]) for order in symmetries(size)])

@@ -531,14 +531,15 @@ def _grid3() -> Column:
  i AS (SELECT * FROM (VALUES (0, [1,2,3,4,5,6,7,8,9]), (1, [7,4,1,8,5,2,9,6,3]), (2, [9,8,7,6,5,4,3,2,1]), (3, [3,6,9,2,5,8,1,4,7]), (4, [3,2,1,6,5,4,9,8,7]), (5, [7,8,9,4,5,6,1,2,3]), (6, [1,4,7,2,5,8,3,6,9]), (7, [9,6,3,8,5,2,7,4,1])) t(k, ix)),
  v AS (SELECT block, p_partkey, array_to_string(list_transform(ix, lambda x: s[x]), '') AS y FROM g, i),
  c AS (SELECT block, p_partkey, min(y) AS s FROM v GROUP BY ALL),
- u AS (SELECT block, s, min(p_partkey) AS p_partkey, count(*) AS n FROM c GROUP BY ALL),
- p AS (SELECT a.p_partkey, b.p_partkey AS other, a.n * b.n AS pairs, len(list_filter(range(1, 10), lambda j: a.s[j] <> b.s[ix[j]])) AS h FROM u a JOIN u b ON a.block = b.block AND a.p_partkey < b.p_partkey, i)
- SELECT p_partkey, other, CAST(min(h) AS INTEGER) AS hamming, pairs FROM p GROUP BY ALL HAVING min(h) <= 2"""
+ u AS (SELECT block, s, min(p_partkey) AS least, count(*) AS n FROM c GROUP BY ALL),
+ p AS (SELECT a.block, a.s, a.least, b.least AS other, b.n - CASE WHEN a.s = b.s THEN 1 ELSE 0 END AS grids, len(list_filter(range(1, 10), lambda j: a.s[j] <> b.s[ix[j]])) AS h FROM u a JOIN u b ON a.block = b.block, i),
+ q AS (SELECT block, s, least, other, grids, min(h) AS hamming FROM p GROUP BY ALL HAVING min(h) <= 2)
+ SELECT p_partkey, least, other, CAST(hamming AS INTEGER) AS hamming, grids FROM c JOIN q USING (block, s) WHERE grids > 0"""
 )
 def near_grids(spark, sf_dir):
-    """Grids of a brand that differ in one or two cells under some rotation or reflection."""
+    """Each grid beside the boards of its brand that differ from it in two cells at most under some rotation or reflection, its own included."""
     rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", _grid3().alias("grid"))
-    return puzzles.near_grids(rows, "p_brand", "p_partkey", "grid", 3, 2).select(F.col("a").alias("p_partkey"), F.col("b").alias("other"), "hamming", "pairs")
+    return puzzles.near_members(rows, "p_brand", "p_partkey", "grid", 3, 2).withColumnRenamed("k", "p_partkey")
 
 
 @query(

@@ -32,3 +32,20 @@ def test_max_contrast(spark):
     got = {r.g: r.contrast for r in integrity.max_contrast(spark.createDataFrame(rows, "g int, k int, v array<double>"), "g", "k", "v").collect()}
     assert got.keys() == expected.keys() and math.isnan(got.pop(6))
     assert all(abs(v - max(expected[g])) < 1e-12 for g, v in got.items()) and got[3] == 0
+
+
+def test_near_members(spark):
+    """Every grid has all grids near it, copies included, as boards with their numbers of grids."""
+    rng = random.Random(6)
+    grids = [(k, "ab"[k % 2], "".join(rng.choice("..#") for _ in range(4))) for k in range(40)]
+    rows = spark.createDataFrame([(k, g, [s[:2], s[2:]]) for k, g, s in grids], "k int, g string, grid array<string>")
+    forms = lambda s: {"".join(s[x] for x in order) for order in puzzles.symmetries(2)}
+    off = lambda x, y: min(sum(a != b for a, b in zip(x, f, strict=True)) for f in forms(y))
+    expected = {}
+    for (i, g, s), (j, h, t) in itertools.permutations(grids, 2):
+        if g == h and off(s, t) <= 1:
+            other = i, min(forms(t))
+            expected[other] = off(s, t), expected.get(other, (0, 0))[1] + 1
+    board = {k: min(forms(s)) for k, _, s in grids}
+    got = {(r.k, board[r.other]): (r.hamming, r.grids) for r in puzzles.near_members(rows, "g", "k", "grid", 2, 1).collect()}
+    assert got == expected
