@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lineage import fixed
+from .lineage import fixed, spread
+
+#: Groups whose ends are sent to all executors, in place of a shuffle by the group.
+FEW_GROUPS = 1 << 14
 
 
 def numbered(rows: DataFrame, order: list[Column | str], place: str = "place") -> DataFrame:
@@ -111,11 +114,25 @@ def flattened(rows: DataFrame, keys: list[str], features: list[str]) -> DataFram
 
 
 def scaled_vectors(cells: DataFrame, within: list[str], key: list[str]) -> DataFrame:
-    """Adds scaled: 0 to 1 by group and name.  A row without a name that its group has counts as 0 there."""
+    """Adds scaled: 0 to 1 by group and name.  A row without a name that its group has counts as 0 there.
+
+    A name's ends are an aggregate, which goes to the group's rows as a list of its few names; no group is sorted or held whole.
+    One shuffle by the row's key serves all steps.
+    """
+    cells = fixed(spread(cells.withColumn("value", F.nanvl(F.coalesce("value", F.lit(0.0)), F.lit(0.0))), *within, *key))
     members = cells.select(*within, *key).distinct()
-    names = cells.groupBy(*within).agg(F.collect_set("name").alias("names"))  # a group's feature names
-    dense = members.join(names, within).select(*within, *key, F.explode("names").alias("name")).join(cells, [*within, *key, "name"], "left").fillna(0.0, ["value"])
-    return minmax_scaled(dense, "value", [*within, "name"]).withColumnRenamed("value_scaled", "scaled")
+    each = cells.groupBy(*within, *key, "name").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    ends = each.filter("name is not null").groupBy(*within, "name").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n"))
+    ends = ends.groupBy(*within).agg(F.collect_list(F.struct("name", "low", "high", "n")).alias("_ends"))
+    ends = fixed(members.groupBy(*within).agg(F.count("*").alias("_members")).join(ends, within))
+    dense = members.join(F.broadcast(ends) if ends.count() <= FEW_GROUPS else ends, within).select(*within, *key, "_members", F.explode("_ends").alias("_e"))
+    lacking = F.col("_e.n") < F.col("_members")
+    low, high = (F.when(lacking, end(F.col(f"_e.{c}"), F.lit(0.0))).otherwise(F.col(f"_e.{c}")) for c, end in (("low", F.least), ("high", F.greatest)))
+    dense = dense.select(*within, *key, "_e.name", low.alias("_low"), high.alias("_high"))
+    rows = dense.join(cells, [*within, *key, "name"], "left").fillna(0.0, ["value"])
+    width = F.col("_high") - F.col("_low")
+    scaled = F.when(width > 0, F.try_divide(F.col("value") - F.col("_low"), width)).otherwise(0.0)
+    return rows.withColumn("scaled", scaled).select(*within, *key, "name", "value", "scaled")
 
 
 def submatrix(rows: DataFrame, labels: list[str]) -> DataFrame:

@@ -34,6 +34,15 @@ def test_max_contrast(spark):
     assert all(abs(v - max(expected[g])) < 1e-12 for g, v in got.items()) and got[3] == 0
 
 
+def test_scaled_vectors(spark):
+    """Ends are those of a group's rows, those that lack the name included, and no window holds a group."""
+    cells = [("g", 1, "a", 2.0), ("g", 2, "a", 6.0), ("g", 3, "b", -1.0), ("g", 1, "b", -3.0), ("h", 1, "a", 4.0), ("h", 2, "a", 4.0)]
+    out = ordering.scaled_vectors(spark.createDataFrame(cells, "g string, k int, name string, value double"), ["g"], ["k"])
+    got = {(r.g, r.k, r.name): round(r.scaled, 6) for r in out.collect()}
+    expected = {("g", 1, "a"): 2 / 6, ("g", 2, "a"): 1, ("g", 3, "a"): 0, ("g", 1, "b"): 0, ("g", 2, "b"): 1, ("g", 3, "b"): 2 / 3, ("h", 1, "a"): 0, ("h", 2, "a"): 0}
+    assert got == {k: round(v, 6) for k, v in expected.items()} and "Window" not in plan(out)
+
+
 def test_near_members(spark):
     """Every grid has all grids near it, copies included, as boards with their numbers of grids."""
     rng = random.Random(6)
