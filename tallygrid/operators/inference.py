@@ -25,6 +25,10 @@ from .lineage import fixed, spread
 LEVELS = (0.025, 0.975)
 #: People of a leaf of the splitting tree.
 PEOPLE_A_BLOCK = 1024
+#: Replicates of a message of sums.
+REPLICATES = 512
+#: Up to so many cells, blocks are added up before they are sent.
+SHARED_CELLS = 4096
 
 
 def indices(sizes: tuple[int, ...], repeats: int, seed: int) -> Iterator[np.ndarray]:
@@ -313,48 +317,74 @@ def block_of(h: str, depth: int) -> Column:
     return F.shiftrightunsigned(h, 64 - depth).cast("long") if depth else F.lit(0).cast("long")
 
 
-def block_counts(path: list[dict], reps: int, seed: int, tries: int) -> np.ndarray:
+def block_counts(path: list[dict], reps: int, seed: int, tries: int, known: dict | None = None) -> np.ndarray:
     """How many of the people that each replicate draws fall to a block.
 
     At each node on its way the count is split by a binomial seeded by the node, so all blocks see the same
     splits and together get exactly as many as there are people: a multinomial of any number of people, drawn in parallel.
+    Blocks of one tree may share ``known``, the splits that were made before.
     """
+    known = {} if known is None else known
     count = np.full(reps, path[0]["size"], np.int64)
     for step in path[:-1]:
-        left = generator(str(seed), str(tries), "node", str(step["level"]), str(step["node"])).binomial(count, step["left"] / step["size"])
-        count = count - left if step["right"] else left
+        node = step["level"], step["node"]
+        if node not in known:
+            known[node] = generator(str(seed), str(tries), "node", *map(str, node)).binomial(count, step["left"] / step["size"])
+        count = count - known[node] if step["right"] else known[node]
     return count
 
 
 def drawn_people(answers: DataFrame, reps: list[int], seed: int, tries: int, block: int = PEOPLE_A_BLOCK) -> DataFrame:
     """(rep, item, klass, w) of people drawn with replacement, as many as there are, each with all answers (person, item, klass, n).
 
-    A block's sums are rows of its own, to be added up; blocks hold about ``block`` people whatever their number.
+    Blocks hold about ``block`` people whatever their number.  A task adds up the blocks of a shelf and sends a cell's
+    sums for many replicates as one message, so what is sent doesn't grow with replicates x blocks.
     People's order within a block is that of their hashes, so the draw doesn't depend on how rows came.
     """
     rows = answers.groupBy(F.col("person").cast("string").alias("person"), "item", F.col("klass").cast("string").alias("klass")).agg(F.sum("n").cast("long").alias("n"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "person"))
-    people = rows.select("person", "h").distinct()
+    rows = fixed(rows.withColumn("h", F.xxhash64(F.lit(seed), "person")))
+    people = fixed(rows.select("person", "h").distinct())
     depth = max(0, math.ceil(math.log2(max(people.count(), 1) / block)))
+    shelf = F.shiftright("block", shelf_depth(depth, rows.select("item", "klass").distinct().count())).alias("shelf")
     item = dict(answers.dtypes)["item"]
 
-    def draw(key: tuple, own: pd.DataFrame, way: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["h", "person", "item", "klass"])
-        person = own.groupby(["h", "person"], dropna=False, sort=False).ngroup().to_numpy()
+    def draw(key: tuple, own: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["block", "h", "person"])
         cells = own.groupby(["item", "klass"], dropna=False)
-        cell, names = cells.ngroup().to_numpy(), cells.size().reset_index()
-        n, people = own["n"].to_numpy(), int(person.max()) + 1
-        rng = generator(str(seed), str(tries), "block", str(key[0]))
-        sums = np.empty((len(reps), len(names)), np.int64)
-        for k, count in enumerate(block_counts(list(way["path"].iloc[0]), len(reps), seed, tries)):
-            times = np.bincount(rng.integers(0, people, count), minlength=people)
-            sums[k] = np.bincount(cell, times[person] * n, len(names))
-        rep, at = np.nonzero(sums)
-        klass = names["klass"].astype(object).where(names["klass"].notna(), None).to_numpy()
-        return pd.DataFrame({"rep": np.array(reps, np.int32)[rep], "item": names["item"].to_numpy()[at], "klass": klass[at], "w": sums[rep, at]})
-
-    mine = spread(rows.withColumn("block", block_of("h", depth)), "block").groupBy("block").cogroup(spread(people_blocks(people, depth), "block").groupBy("block"))
-    return mine.applyInPandas(draw, f"rep int, item {item}, klass string, w long")
+        own["cell"], names = cells.ngroup(), cells.size().reset_index()[["item", "klass"]]
+        paths, known, blocks = dict(zip(ways["block"], ways["path"], strict=True)), {}, []
+        for number, rows in own.groupby("block"):
+            person = rows.groupby(["h", "person"], dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(rows["cell"].to_numpy(), kind="stable")
+            found, first = np.unique(rows["cell"].to_numpy()[order], return_index=True)
+            counts = block_counts(list(paths[number]), len(reps), seed, tries, known)
+            rng = generator(str(seed), str(tries), "block", str(number))
+            blocks.append((rng, counts, int(person.max()) + 1, list(zip(found, np.split(person[order], first[1:]), np.split(rows["n"].to_numpy()[order], first[1:]), strict=True))))
+        out = []
+        for chunk, k in enumerate(range(0, len(reps), REPLICATES)):
+            sums = np.zeros((len(names), len(reps[k : k + REPLICATES])), np.int64)
+            for rng, counts, people, parts in blocks:
+                times = np.ascontiguousarray(drawn_times(counts[k : k + REPLICATES], people, rng).T)
+                for cell, person, n in parts:
+                    sums[cell] += n @ times[person]
+            out.append(names.assign(chunk=chunk, sums=[s.tobytes() for s in sums]))
+        out = pd.concat(out)
+        return out.assign(klass=out["klass"].astype(object).where(out["klass"].notna(), None))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = sum(np.frombuffer(b, np.int64) for b in pdf["sums"])
+        at = np.flatnonzero(sums)
+        rep = np.array(reps, np.int32)[pdf["chunk"].iloc[0] * REPLICATES + at]
+        return pd.DataFrame({"rep": rep, "w": sums[at]}).assign(item=pdf["item"].iloc[0], klass=pdf["klass"].iloc[0])[["rep", "item", "klass", "w"]]
+
+    mine = spread(rows.withColumn("block", block_of("h", depth)).withColumn("shelf", shelf), "shelf").groupBy("shelf")
+    found = mine.cogroup(spread(people_blocks(people, depth).withColumn("shelf", shelf), "shelf").groupBy("shelf")).applyInPandas(draw, f"item {item}, klass string, chunk int, sums binary")
+    return spread(found, "item", "klass", "chunk").groupBy("item", "klass", "chunk").applyInPandas(add, f"rep int, item {item}, klass string, w long")
+
+
+def shelf_depth(depth: int, cells: int) -> int:
+    """How many of the last splits of a tree stay within a shelf: there are 64 shelves before one has two blocks, and 32 blocks to a shelf at most; one where cells are so many that blocks share few."""
+    return min(5, max(0, depth - 6)) if cells <= SHARED_CELLS else 0
 
 
 def _world(answers: DataFrame, reps: list[int], seed: int, tries: int, crossed: str | None) -> DataFrame:
@@ -376,20 +406,25 @@ def _world(answers: DataFrame, reps: list[int], seed: int, tries: int, crossed:
     kinds = dict(answers.dtypes)
     out = rows.mapInPandas(draw, f"rep int, source {kinds['source']}, item {kinds['item']}, klass string, w long")
     if crossed is not None:
-        drawn = drawn_people(answers.filter(own), reps, seed, tries).groupBy("rep", "item", "klass").agg(F.sum("w").alias("w"))
+        drawn = drawn_people(answers.filter(own), reps, seed, tries)
         out = out.unionAll(drawn.select("rep", F.lit(crossed).cast(kinds["source"]).alias("source"), "item", "klass", "w"))
     return out
 
 
-def dealt(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """(1 + replicates, n): once each, then how often each of a block's ``n`` members is drawn, of as many as ``counts`` says."""
-    places = rng.integers(0, n, int(counts.sum()))
-    drawn = np.bincount(np.repeat(np.arange(len(counts)), counts) * n + places, minlength=len(counts) * n)
-    return np.vstack((np.ones((1, n)), drawn.reshape(len(counts), n)))
+def drawn_times(counts: np.ndarray, n: int, rng: np.random.Generator, step: int = 64) -> np.ndarray:
+    """(replicates, n): how often each of a block's ``n`` members is drawn, of as many as ``counts`` says; a few replicates at a time, which is one stream."""
+    out = np.empty((len(counts), n), np.int64)
+    for k in range(0, len(counts), step):
+        own = counts[k : k + step]
+        places = rng.integers(0, n, int(own.sum()))
+        places += np.repeat(np.arange(len(own)) * n, own)
+        out[k : k + step] = np.bincount(places, minlength=len(own) * n).reshape(len(own), n)
+    return out
 
 
-#: Replicates of a message of sums.
-REPLICATES = 512
+def dealt(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """(1 + replicates, n): once each, then :func:`drawn_times`."""
+    return np.vstack((np.ones((1, n)), drawn_times(counts, n, rng)))
 
 
 def paired_correlations(values: DataFrame, repeats: int, seed: int, block: int = PEOPLE_A_BLOCK) -> DataFrame:
