@@ -125,20 +125,21 @@ def margin_tables(rows: np.ndarray, columns: np.ndarray, repeats: int, rng: np.r
     A table is filled cell by cell: of what its row still needs, a cell takes a hypergeometric share of what is
     left in its column against the columns after it.  The cost follows the cells, not the answers.
     """
-    out = np.zeros((repeats, len(rows), len(columns)), np.int64)
-    left = np.tile(np.asarray(columns, np.int64), (repeats, 1))
+    # A cell's values lie together.
+    out = np.zeros((len(rows), len(columns), repeats), np.int64)
+    left = np.repeat(np.asarray(columns, np.int64)[:, None], repeats, 1)
     for i, size in enumerate(rows[:-1]):
         need = np.full(repeats, size, np.int64)
-        after = left.sum(1)
+        after = left.sum(0)
         for j in range(len(columns) - 1):
-            after -= left[:, j]
-            out[:, i, j] = rng.hypergeometric(left[:, j], after, need)
-            need -= out[:, i, j]
-        out[:, i, -1] = need
-        left -= out[:, i]
+            after -= left[j]
+            out[i, j] = rng.hypergeometric(left[j], after, need)
+            need -= out[i, j]
+        out[i, -1] = need
+        left -= out[i]
     if len(rows):
-        out[:, -1] = left
-    return out
+        out[-1] = left
+    return out.transpose(2, 0, 1)
 
 
 def null_values(table: np.ndarray, statistic: Callable[[np.ndarray], np.ndarray], repeats: int, rng: np.random.Generator, room: int = 1 << 20) -> np.ndarray:
@@ -172,6 +173,30 @@ def information(tables: np.ndarray) -> np.ndarray:
     return np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / np.where(q > 0, q, 1)), 0.0).sum((1, 2))
 
 
+def dependence_terms(n: np.ndarray, row: int, column: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a cell adds to :func:`information` and to :func:`independence_distance` if it holds ``n`` and its margins are these."""
+    p, q = n / total, row / total * (column / total)
+    return np.where(n > 0, p * np.log2(np.where(n > 0, p, 1) / (q or 1)), 0.0), np.abs(p - q) / 2
+
+
+def dependence(tables: np.ndarray) -> np.ndarray:
+    """Both statistics, one below the other, of tables that have the same margins: a cell's terms are looked up where it takes fewer values than there are tables."""
+    out = np.zeros((2, len(tables)))
+    if not len(tables):
+        return out
+    rows, columns = tables[0].sum(1), tables[0].sum(0)
+    total = int(rows.sum())
+    for i, row in enumerate(rows.tolist()):
+        for j, column in enumerate(columns.tolist()):
+            n, most = tables[:, i, j], min(row, column)
+            if most < len(n):
+                for k, terms in enumerate(dependence_terms(np.arange(most + 1), row, column, total)):
+                    out[k] += terms[n]
+            else:
+                out += dependence_terms(n, row, column, total)
+    return out
+
+
 def canonical_pairs(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, place, a, b): the cells (a, b, n) of each key as single pairs, numbered in the order of a and b."""
     first = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -227,8 +252,8 @@ def joint_tests(joint: DataFrame, keys: list[str], repeats: int) -> DataFrame:
                 table = np.zeros((len(ka), len(kb)), np.int64)
                 np.add.at(table, (a, b), [c["n"] for c in cells])
                 rng = np.random.Generator(np.random.PCG64(canonical_seed("tallygrid.dependence", 0, key="|".join(map(str, key)))))
-                bits, apart = null_values(table, lambda t: np.stack((information(t), independence_distance(t))), repeats, rng)
-                seen, off = float(information(table[None])[0]), float(independence_distance(table[None])[0])
+                bits, apart = null_values(table, dependence, repeats, rng)
+                seen, off = dependence(table[None])[:, 0].tolist()
                 found.append((seen, float(bits.mean()) if repeats else 0.0, tail(seen, bits, 1e-15), tail(off, apart, 1e-12)))
             extra = pd.DataFrame(found, columns=["information", "information_null", "p_information", "p_tv"], index=batch.index)
             yield pd.concat([batch[keys], extra], axis=1)
