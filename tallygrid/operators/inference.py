@@ -279,16 +279,20 @@ def response_bootstrap(answers: DataFrame, repeats: int, seed: int, crossed: str
     With ``item_draws`` (rep, item, times) replicates weigh their items by how often they were drawn: the joint
     bootstrap of answers and items.
     """
-    there = answers.filter("klass is not null and n > 0").select("source", "item").distinct()
-    answers = answers.join(there, ["source", "item"], "left_semi")
+    # Answers are read once for all cells, and once for the people drawn.
+    cells = fixed(answers.groupBy("source", "item", "klass").agg(F.sum("n").alias("n"), F.max("n").alias("most")))
+    there = cells.filter("klass is not null and most > 0").select("source", "item").distinct()
+    own = F.col("source").eqNullSafe(F.lit(crossed)) if crossed is not None else F.lit(False)
+    others = cells.filter(~own).join(there, ["source", "item"], "left_semi").filter("n > 0").drop("most")
+    people = fixed(answers.filter(own).join(there, ["source", "item"], "left_semi").select("person", "item", "klass", "n")) if crossed is not None else None
     tries, accepted, left = 0, None, list(range(repeats))
     while left:
         if tries == 100:
             raise ValueError("a source has hardly any classed answers on an item")
-        cells = fixed(_world(answers, left, seed, tries, crossed))
-        empty = _emptied(cells, there, left)
-        cells = cells.join(empty, "rep", "left_anti")
-        accepted = cells if accepted is None else accepted.unionAll(cells)
+        drawn = fixed(_world(others, people, left, seed, tries, crossed))
+        empty = _emptied(drawn, there, left)
+        drawn = drawn.join(empty, "rep", "left_anti")
+        accepted = drawn if accepted is None else accepted.unionAll(drawn)
         left = sorted(r["rep"] for r in empty.collect())  # replicates, at most
         tries += 1
     return replicate_intervals(accepted, there, repeats, item_draws)
@@ -412,11 +416,9 @@ def shelf_depth(depth: int, cells: int) -> int:
     return min(5, max(0, depth - 6)) if cells <= SHARED_CELLS else 0
 
 
-def _world(answers: DataFrame, reps: list[int], seed: int, tries: int, crossed: str | None) -> DataFrame:
-    """(rep, source, item, klass, w): how much of each cell the replicates have drawn."""
-    own = F.col("source").eqNullSafe(F.lit(crossed)) if crossed is not None else F.lit(False)
+def _world(cells: DataFrame, people: DataFrame | None, reps: list[int], seed: int, tries: int, crossed: str | None) -> DataFrame:
+    """(rep, source, item, klass, w): how much of each cell (source, item, klass, n), and of the people of ``crossed``, the replicates have drawn."""
     cell = F.struct(F.col("klass").isNull().alias("void"), F.col("klass").cast("string").alias("k"), F.col("n").cast("long").alias("n"))
-    cells = answers.filter(~own).groupBy("source", "item", "klass").agg(F.sum("n").alias("n")).filter("n > 0")
     rows = spread(cells, "source", "item").groupBy("source", "item").agg(F.sort_array(F.collect_list(cell)).alias("cells"))  # an item's classes
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -428,10 +430,10 @@ def _world(answers: DataFrame, reps: list[int], seed: int, tries: int, crossed:
                 names = np.array([c["k"] for c in found], object)
                 yield pd.DataFrame({"rep": np.array(reps, np.int32)[rep], "source": source, "item": item, "klass": names[place], "w": drawn[rep, place]})
 
-    kinds = dict(answers.dtypes)
+    kinds = dict(cells.dtypes)
     out = rows.mapInPandas(draw, f"rep int, source {kinds['source']}, item {kinds['item']}, klass string, w long")
     if crossed is not None:
-        drawn = drawn_people(answers.filter(own), reps, seed, tries)
+        drawn = drawn_people(people, reps, seed, tries)
         out = out.unionAll(drawn.select("rep", F.lit(crossed).cast(kinds["source"]).alias("source"), "item", "klass", "w"))
     return out
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators import distributions as d
 from tallygrid.operators import geometry, inference, logit, puzzles
+from tallygrid.operators.lineage import fixed
 
 from .tables import orders, shipments, table
 
@@ -62,7 +63,7 @@ def joint_bootstrap(spark, sf_dir):
     """Answers and items drawn anew together: items within their region."""
     rows = _answers(spark, sf_dir)
     items = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cluster"), F.col("n_regionkey").alias("stratum")).join(rows.select(F.col("item").alias("cluster")).distinct(), "cluster")
-    numbered, sizes = inference.numbered_clusters(items)
+    numbered, sizes = inference.numbered_clusters(fixed(items))
     drawn = inference.draws(spark, sizes, REPEATS, 0).join(numbered, "index").select("rep", F.col("cluster").alias("item"), "times")
     return inference.response_bootstrap(rows, REPEATS, 0, crossed="F", item_draws=drawn)
 

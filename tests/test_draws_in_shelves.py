@@ -41,3 +41,19 @@ def test_splits_made_before_are_the_same():
     first = inference.block_counts(way, 50, 1, 0, known)
     assert set(known) == {(0, 0), (1, 1)}
     assert (inference.block_counts(way, 50, 1, 0, known) == first).all() and (inference.block_counts(way, 50, 1, 0) == first).all()
+
+
+def test_answers_are_read_twice(spark):
+    """Once for all cells and once for the people drawn, whatever is made of them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = [("h", f"p{k}", f"i{k % 2}", "a" if k % 3 else "b", 1) for k in range(60)] + [("m", None, f"i{j}", k, 9) for j in range(2) for k in "ab"]
+    df = spark.createDataFrame(rows, "source string, person string, item string, klass string, n int")
+    got = inference.response_bootstrap(df.mapInPandas(counted, df.schema), 6, 0, crossed="h").collect()
+    assert read.value <= 2 * len(rows)
+    assert got == inference.response_bootstrap(df, 6, 0, crossed="h").collect()
